@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,24 +49,30 @@ def md5_bits(text: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), start, digits), 16, 10).cast("bigint")
 
 
-def runs(frames: Iterator, keys: list[str]) -> Iterator:
-    """Of frames whose rows come sorted by keys: one frame for each run of equal keys, also where a run spans frames."""
-    import pandas as pd
-
-    held: list = []
-    held_key = None
-    for frame in frames:
-        if not len(frame):
-            continue
-        cut = (frame[keys] != frame[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-        cut = sorted({0, *cut}) + [len(frame)]
-        for a, b in zip(cut, cut[1:]):
-            piece = frame.iloc[a:b]
-            key = tuple(piece.iloc[0][keys])
-            if held and key != held_key:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(piece)
-            held_key = key
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """(node, root) of the graph of links (a, b): root is the least node that can be reached. Nodes without links have no row.
+
+    Alternates large and small stars (every node points its greater, then its smaller neighbours at the least one) until
+    nothing changes: about as many rounds as the logarithm of the longest path. Each round is written out, so lost
+    executors cost at most one round, and no node's neighbours ever meet in one task: minima are taken by partial
+    aggregation and joined back.
+    """
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = materialise(edges, name)
+
+    def star(pairs: DataFrame, least: DataFrame) -> DataFrame:
+        joined = pairs.join(least, "u")
+        return joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = star(both.where("v > u"), least).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = star(large, least).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
+        new = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        same = new.unionByName(edges).groupBy("u", "v").agg(F.count("*").alias("n")).where("n = 1").limit(1)
+        if not same.take(1):
+            break
+        edges = new
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

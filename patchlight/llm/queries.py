@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlight.llm import chat, mixing, sharding, urls
+from patchlight.llm import chat, decontamination, language, mixing, neardup, sharding, urls
 from patchlight.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.render(chat.fold(chat.with_probe(table(spark, sf_dir, "conversations"), spark))))
 
@@ -18,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
 
@@ -26,11 +34,16 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_chat_formatting, op3_mixing, op6_sharding, op8_url_filters)
+    f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_mixing, op4_minhash_neardup, op6_sharding, op8_url_filters, op9_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
     "op6_sharding": sharding.ORACLE_SQL,
+    "op9_decontamination": decontamination.ORACLE_SQL,
 }
