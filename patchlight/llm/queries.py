@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlight.llm import chat, decontamination, language, mixing, neardup, sharding, urls
+from patchlight.llm import chat, decontamination, language, mixing, neardup, sharding, urls, vectors
 from patchlight.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.links(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
 
@@ -39,11 +43,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_mixing, op4_minhash_neardup, op6_sharding, op8_url_filters, op9_decontamination)
+    f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_mixing, op4_minhash_neardup, op5_embedding_neardup, op6_sharding, op8_url_filters, op9_decontamination)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE_SQL,
     "op3_mixing": mixing.ORACLE_SQL,
+    "op5_embedding_neardup": vectors.ORACLE_SQL,
     "op6_sharding": sharding.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
 }
