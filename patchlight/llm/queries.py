@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlight.llm import chat, decontamination, language, mixing, neardup, sharding, urls, vectors
+from patchlight.llm import chat, decontamination, language, mixing, neardup, quality, sharding, urls, vectors
 from patchlight.llm.common import table
 
 
@@ -42,8 +42,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_mixing, op4_minhash_neardup, op5_embedding_neardup, op6_sharding, op8_url_filters, op9_decontamination)
+    f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_mixing, op4_minhash_neardup, op5_embedding_neardup, op6_sharding, op8_url_filters, op9_decontamination, op10_quality)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE_SQL,
