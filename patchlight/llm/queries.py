@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlight.llm import chat, decontamination, language, mixing, neardup, quality, sharding, urls, vectors
+from patchlight.llm import chat, decontamination, language, licences, mixing, neardup, quality, sharding, urls, vectors
 from patchlight.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
 
 
+def op7_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_mixing, op4_minhash_neardup, op5_embedding_neardup, op6_sharding, op8_url_filters, op9_decontamination, op10_quality)
+    f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_mixing, op4_minhash_neardup, op5_embedding_neardup, op6_sharding, op7_licence_scans, op8_url_filters, op9_decontamination, op10_quality)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE_SQL,
