@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlight.llm import mixing, sharding
+from patchlight.llm import decontamination, language, mixing, neardup, sharding
 from patchlight.llm.common import materialise, table
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told."""
+    return language.accepted(docs)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal and nearly equal ones."""
+    return neardup.deduplicated(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold too much of the benchmark."""
+    judged = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return judged.where("not contaminated").select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix to target weights has them."""
     return mixing.apply(docs)
@@ -18,9 +34,15 @@ def put_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return sharding.shard(docs)
 
 
-STAGES = [("mixing", mix_sources), ("sharding", put_into_shards)]
+STAGES = [
+    ("language ID", keep_known_languages),
+    ("near-dedup", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", put_into_shards),
+]
 
-#: Trained classifiers decide in some stages: SQL can't express them.
+#: Trained models and sampled hashes decide in some stages: SQL can't express them.
 ORACLE_SQL = None
 
 
