@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,34 @@ def md5_bits(text: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), start, digits), 16, 10).cast("bigint")
 
 
+def sorted_runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Of batches whose rows come sorted by some columns of numbers: one table for each run of equal ones, also where a run spans batches."""
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if held is not None:
+            t = pa.concat_tables([held, t])
+        c = np.stack([t.column(n).to_numpy() for n in by], 1)
+        cuts = [0, *(np.flatnonzero((c[1:] != c[:-1]).any(1)) + 1)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield t.slice(lo, hi - lo)
+        held = t.slice(cuts[-1])
+    if held is not None and len(held):
+        yield held
+
+
+def least_reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n places the least that links (a, b), given in both directions, reach from it."""
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) of the graph of links (a, b): root is the least node that can be reached. Nodes without links have no row.
 

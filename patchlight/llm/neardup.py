@@ -8,12 +8,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlight.llm.common import components, materialise
+from patchlight.llm.common import components, least_reached, materialise, sorted_runs
 from patchlight.llm.tokens import mix, shingles
 
 #: Words of a shingle; least similarity of a link.
@@ -23,11 +24,11 @@ BANDS, ROWS = 12, 4
 #: Document frequencies are kept in a count-min sketch of so many counters in each of two rows, whatever the corpus: 8 MB.
 #: It counts all documents; frequencies are over-estimated by at most what falls into a shingle's two counters.
 COUNTERS, BLOCK = 1 << 20, 1 << 12
-#: Buckets of up to so many texts are compared pair by pair.
-SMALL = 6
+#: Texts, about, and characters of a chunk: what is compared at once.
+CHUNK, CHARS = 256, 1 << 24
 #: What rounding may do to a distance.
 SLACK = 1e-9
-_CHUNK = 512
+_CHUNK, _SLAB = 512, 4096
 
 
 def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,25 +101,46 @@ def weigh(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, n * np.maximum(idf[0, a], idf[1, b]).astype(np.float64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity: the sum of minima by the sum of maxima."""
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = np.minimum(a[1][i], b[1][j]).sum()
-    top = a[1].sum() + b[1].sum() - low
-    return float(low / top) if top > 0 else 0.0
+def similarities(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of weighed texts: the sum of minima by the sum of maxima."""
+    n = len(texts)
+    who = np.repeat(np.arange(n), [len(h) for h, _ in texts])
+    h, w = np.concatenate([h for h, _ in texts]), np.concatenate([w for _, w in texts])
+    order = np.argsort(h, kind="stable")
+    h, w, who = h[order], w[order], who[order]
+    column = np.cumsum(np.r_[False, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    size = np.bincount(column) if len(h) else np.empty(0, np.int64)
+    low = np.zeros((n, n))
+    firsts = np.r_[0, np.cumsum(size)[:-1]] if len(h) else np.empty(0, np.int64)
+    if len(h):
+        even = np.minimum.reduceat(w, firsts) == np.maximum.reduceat(w, firsts)
+        # shingles that weigh the same in all texts that have them: a product of matrices
+        number = np.cumsum((size > 1) & even) - 1
+        mine = ((size > 1) & even)[column]
+        at, of, weight = number[column[mine]], who[mine], w[mine]
+        for k in range(0, int(number[-1]) + 1, _SLAB):
+            a, b = np.searchsorted(at, [k, k + _SLAB])
+            x = np.zeros((n, min(_SLAB, int(number[-1]) + 1 - k)))
+            x[of[a:b], at[a:b] - k] = np.sqrt(weight[a:b])
+            low += x @ x.T
+        for c in np.flatnonzero((size > 1) & ~even):
+            part = slice(firsts[c], firsts[c] + size[c])
+            low[np.ix_(who[part], who[part])] += np.minimum(w[part][:, None], w[part][None, :])
+    total = np.array([v.sum() for _, v in texts])
+    top = total[:, None] + total[None, :] - low
+    return np.divide(low, top, out=np.zeros((n, n)), where=top > 0)
 
 
 @lru_cache(maxsize=1)
 def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Quantiles of Gamma(2, 1) at 2**16 places and their logarithms; a salt for each sample."""
+    """Quantiles of Gamma(2, 1) at 2**16 places and their logarithms; an odd multiplier for each sample."""
     p = (np.arange(1 << 16) + 0.5) / (1 << 16)
-    x = np.full(len(p), 1.7)
     lo, hi = np.zeros(len(p)), np.full(len(p), 40.0)
     for _ in range(60):  # halving: the distribution function is 1 - (1 + x) exp(-x)
         x = (lo + hi) / 2
         above = 1 - (1 + x) * np.exp(-x) > p
         hi[above], lo[~above] = x[above], x[~above]
-    return x.astype(np.float32), np.log(x).astype(np.float32), mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+    return x.astype(np.float32), np.log(x).astype(np.float32), mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -126,19 +148,21 @@ def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
     Two texts draw the same one with the probability of their weighted Jaccard similarity.
     """
-    gamma, log_gamma, salts = _draws()
-    best, found = np.full(len(salts), np.inf, np.float32), np.zeros(len(salts), np.uint64)
-    rows = np.arange(len(salts))
+    gamma, log_gamma, multipliers = _draws()
+    best, found = np.full(len(multipliers), np.inf, np.float32), np.zeros(len(multipliers), np.uint64)
+    rows = np.arange(len(multipliers))
     for at in range(0, len(h), _CHUNK):
         e, s = h[at : at + _CHUNK], np.log(w[at : at + _CHUNK]).astype(np.float32)
-        x = (e[None, :] ^ salts[:, None]) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        low = x.astype(np.uint32)
-        beta = (x >> np.uint64(32)).astype(np.float32) * np.float32(2.0**-32)
-        r = gamma[low & np.uint32(0xFFFF)]
-        t = np.floor(s / r + beta)
-        score = log_gamma[low >> np.uint32(16)] - r * (t - beta + np.float32(1))
+        bits = (e[None, :] * multipliers[:, None]).view(np.uint16).reshape(len(rows), len(e), 4)
+        r = gamma.take(bits[..., 2])
+        beta = bits[..., 3] * np.float32(2.0**-16)
+        t = s / r
+        t += beta
+        np.floor(t, out=t)
+        score = t - beta
+        score += np.float32(1)
+        score *= r
+        np.subtract(log_gamma.take(bits[..., 1]), score, out=score)
         i = score.argmin(1)
         least = score[rows, i]
         better = least < best
@@ -148,7 +172,7 @@ def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _bands(rows: DataFrame, idf: Broadcast) -> DataFrame:
-    """(id, node, bands) of rows (id, node, t): one 64-bit key for each band, none for texts without words."""
+    """(id, node, chars, bands) of rows (id, node, t): one 64-bit key for each band, none for texts without words."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
         mult = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -157,69 +181,92 @@ def _bands(rows: DataFrame, idf: Broadcast) -> DataFrame:
             for t in b.column("t"):
                 h, w = weigh(t.as_py(), table)
                 keys.append(mix((samples(h, w).reshape(BANDS, ROWS) * mult).sum(1)).astype(np.int64) if len(h) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("node"), pc.utf8_length(b.column("t")).cast(pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "chars", "bands"])
 
-    shape = T.StructType([rows.schema["id"], rows.schema["node"], T.StructField("bands", T.ArrayType(T.LongType()))])
+    shape = T.StructType([rows.schema["id"], rows.schema["node"], T.StructField("chars", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
     return rows.select("id", "node", "t").mapInArrow(sign, shape)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
-    """(a, b, far) of pairs (a, b): far is 1 less the weighted Jaccard similarity."""
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, last, held = idf.value, None, None
-        for f in frames:
-            far = []
-            for b, s, t in zip(f["b"], f["ta"], f["tb"]):
-                if b != last:
-                    last, held = b, weigh(t, table)
-                far.append(1 - similarity(weigh(s, table), held))
-            yield pd.DataFrame({"a": f["a"], "b": f["b"], "far": far})
-
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-    return two.select("a", "b", "ta", "tb").mapInPandas(compare, "a binary, b binary, far double")
-
-
-def _linked(open_rows: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame | None:
-    """(node, root) of the texts that link, directly or not, to others; None if no two share a band.
-
-    open_rows (band, key, node): the buckets of at least two texts. Those of up to SMALL are compared pair by pair. In
-    larger ones all texts are compared with a pivot. Settled is then who is in a pivot's component and nearer to the pivot
-    than any text of another component by more than 1 - SIMILAR: by the triangle inequality (weighted Jaccard distance is
-    a metric) it links with none of those. All others go to the next round, with four times as many pivots, unless they
-    are in one component by now. So no link between components is lost, a bucket of copies costs a comparison for
-    each text, and rounds are at most the logarithm of the largest bucket.
+def _compared(blocks: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame:
+    """(node, root, band, key, far) of blocks (band, key, i, j, node, chunk, pivot).
+
+    With a root: node is linked to it over links within the block. With far: its distance from the block's pivot.
+    Links are looked for between the chunks i and j, or all rows if they are the same.
+    """
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = idf.value
+        names = ["node", "root", "band", "key", "far"]
+        for t in sorted_runs(batches, ["band", "key", "i", "j"]):
+            if len(t) < 2:
+                continue
+            s = similarities([weigh(x.as_py(), table) for x in t.column("t")])
+            linked = s >= SIMILAR - SLACK
+            if t.column("i")[0].as_py() != t.column("j")[0].as_py():
+                chunk = t.column("chunk").to_numpy()
+                linked &= chunk[:, None] != chunk[None, :]
+            root = least_reached(*np.nonzero(linked), len(t))
+            nodes = t.column("node").combine_chunks()
+            band, key = t.column("band").combine_chunks(), t.column("key").combine_chunks()
+            some = pa.array(np.flatnonzero(root != np.arange(len(t))))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([nodes.take(some), nodes.take(pa.array(root[some.to_numpy()])), band.take(some), key.take(some), pa.nulls(len(some), pa.float64())], names)
+            pivot = np.flatnonzero(t.column("pivot").to_numpy(zero_copy_only=False))
+            if len(pivot):
+                yield pa.RecordBatch.from_arrays([nodes, pa.nulls(len(t), pa.binary()), band, key, pa.array(1 - s[:, pivot[0]])], names)
+
+    order = ["band", "key", "i", "j"]
+    rows = blocks.join(texts, "node").select(*order, "chunk", "pivot", "node", "t")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(judge, "node binary, root binary, band int, key bigint, far double")
+
+
+def _chunked(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows (band, key, node) of buckets (band, key, n, chars), and columns chunks, chunk: chunks hold CHUNK texts, about, and CHARS characters."""
+    out = rows.join(buckets.withColumn("chunks", F.ceil(F.greatest(F.col("n") / CHUNK, F.col("chars") / CHARS))).drop("n", "chars"), ["band", "key"])
+    return out.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+
+
+def _linked(nodes: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame | None:
+    """(node, root) of the texts that link, directly or not, to others; None if no two of nodes (node, bands, chars) share a band.
+
+    Texts that share a band's key are a bucket; buckets with the same texts count once. Buckets are cut into chunks. First
+    each chunk is compared as a whole, and with one pivot for all chunks of its bucket. Settled is then who is in the
+    pivot's component and nearer to the pivot than any text of another component by more than 1 - SIMILAR: by the
+    triangle inequality (weighted Jaccard distance is a metric) it links with none of those. All others are compared
+    across chunks, unless the bucket is one component by now. So of the links between texts that share a band only such
+    are left out that components don't need; a bucket of copies, however large, costs one comparison with each chunk,
+    and of a mixed one of n texts (n / CHUNK)**2 / 2 blocks are compared, of which only sums go on.
     """
-    links = roots = None
-    pivots = 1
-    while open_rows.take(1):
-        h = F.xxhash64("node", F.lit(pivots))
-        buckets = open_rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(h.alias("h"), "node"))["node"].alias("first"))
-        placed = open_rows.join(buckets, ["band", "key"])
-        is_pivot = (F.col("node") == F.col("first")) | (F.pmod(h, F.ceil(F.col("n") / F.lit(pivots))) == 0 if pivots > 1 else F.lit(False))
-        placed = materialise(placed.select("band", "key", "node", (F.col("n") <= SMALL).alias("small"), is_pivot.alias("pivot")), "neardup-placed")
-        small, large = placed.where("small"), placed.where("not small")
-        by_pair = small.select("band", "key", F.col("node").alias("x")).join(small.select("band", "key", F.col("node").alias("p")), ["band", "key"]).where("x < p").select("x", "p")
-        compared = large.select("band", "key", F.col("node").alias("x"), "pivot").join(large.where("pivot").select("band", "key", F.col("node").alias("p")), ["band", "key"]).where("x <> p")
-        pairs = by_pair.unionByName(compared.select("x", "p")).select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
-        far = materialise(_verified(pairs, texts, idf), "neardup-far")
-        new = far.where(F.col("far") <= 1 - SIMILAR + SLACK).select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links, "neardup-links")
-        if not large.take(1):
-            break
-        m = compared.where("not pivot").withColumns({"a": F.least("x", "p"), "b": F.greatest("x", "p")}).join(far, ["a", "b"]).drop("a", "b")
-        for c in ("x", "p"):
-            m = m.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-        m = materialise(m.select("band", "key", "x", "p", "root_x", (F.col("root_x") != F.col("root_p")).alias("other"), "far"), "neardup-judged")
-        least = m.where("other").groupBy("band", "key", "p").agg(F.min("far").alias("least"))
-        near = ~F.col("other") & (F.col("least").isNull() | (F.col("far") < F.col("least") - (1 - SIMILAR) - SLACK))
-        left = m.join(least, ["band", "key", "p"], "left").groupBy("band", "key", "x").agg(F.max(near).alias("settled"), F.first("root_x").alias("root")).where("not settled")
-        left = materialise(left.select("band", "key", F.col("x").alias("node"), "root"), "neardup-open")
-        mixed = left.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        open_rows = materialise(left.join(mixed.select("band", "key"), ["band", "key"], "left_semi").select("band", "key", "node"), "neardup-open")
-        pivots *= 4
-    return roots
+    cells = nodes.select("node", "chars", F.posexplode("bands").alias("band", "key"))
+    buckets = cells.groupBy("band", "key").agg(
+        F.count("*").alias("n"), F.sum("chars").alias("chars"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        F.min(F.struct(F.xxhash64("node", F.lit(2)).alias("h"), "node"))["node"].alias("pivot"),
+    ).where("n > 1")
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key", "chars", "pivot")).alias("b")).select("n", "b.*")
+    buckets = materialise(buckets, "neardup-buckets")
+    placed = materialise(_chunked(cells.select("band", "key", "node"), buckets.drop("pivot")), "neardup-placed")
+    if not placed.take(1):
+        return None
+    wide = buckets.join(placed.where("chunks > 1").select("band", "key", "chunks").distinct(), ["band", "key"])
+    pivots = wide.select("band", "key", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
+    members = placed.join(wide.select("band", "key", "pivot"), ["band", "key"], "left").where("pivot is null or node <> pivot").select("band", "key", "node", "chunk", F.lit(False).alias("pivot"))
+    first = members.unionByName(pivots.select("band", "key", "node", "chunk", F.lit(True).alias("pivot")))
+    first = materialise(_compared(first.withColumns({"i": F.col("chunk"), "j": F.col("chunk")}), texts, idf), "neardup-first")
+    links = first.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(links, "neardup-links")
+    if not wide.take(1):
+        return roots
+    m = first.where("far is not null").select("band", "key", "node", "far").distinct().join(wide.select("band", "key", "pivot"), ["band", "key"]).where("node <> pivot")
+    for c in ("node", "pivot"):
+        m = m.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    m = materialise(m.select("band", "key", "node", F.col("node_root").alias("root"), (F.col("node_root") != F.col("pivot_root")).alias("other"), "far"), "neardup-judged")
+    least = m.groupBy("band", "key").agg(F.min(F.when(F.col("other"), F.col("far"))).alias("least")).where("least is not null")
+    left = m.join(least, ["band", "key"]).where(F.col("other") | (F.col("far") >= F.col("least") - (1 - SIMILAR) - SLACK)).drop("least")
+    again = left.join(nodes.select("node", "chars"), "node").groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    again = _chunked(left.select("band", "key", "node"), again.select("band", "key", "n", "chars"))
+    again = again.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    again = again.select("band", "key", "node", "chunk", F.lit(False).alias("pivot"), F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
+    second = materialise(_compared(again, texts, idf), "neardup-second")
+    return components(links.unionByName(second.select(F.col("node").alias("a"), F.col("root").alias("b"))), "neardup-links")
 
 
 def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -230,14 +277,14 @@ def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     idf = spark.sparkContext.broadcast(idf_of(*frequencies(docs, text)))
     signed = materialise(_bands(rows, idf), "neardup-bands")
     order = F.struct(F.col("id").isNull().alias("no"), "id")  # null keys last
-    nodes = materialise(signed.groupBy("node").agg(F.min(order)["id"].alias("id"), F.first("bands").alias("bands")), "neardup-nodes")
+    nodes = materialise(signed.groupBy("node").agg(F.min(order)["id"].alias("id"), F.first("bands").alias("bands"), F.first("chars").alias("chars")), "neardup-nodes")
     cells = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = cells.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    open_rows = materialise(cells.join(shared, ["band", "key"], "left_semi"), "neardup-open")
-    picked = nodes.select("node", "id").join(open_rows.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("pn"), F.col("id").alias("pi"))
+    near = materialise(cells.join(shared, ["band", "key"], "left_semi").select("node").distinct(), "neardup-near")
+    picked = nodes.join(near, "node", "left_semi")
     # by key and text: copies of a text don't meet in one task
-    texts = rows.join(picked, (F.col("node") == F.col("pn")) & F.col("id").eqNullSafe(F.col("pi"))).select("node", "id", "t").dropDuplicates(["node", "id"])
-    roots = _linked(open_rows, materialise(texts.select("node", "t"), "neardup-texts"), idf)
+    texts = rows.join(picked.select(F.col("node").alias("pn"), F.col("id").alias("pi")), (F.col("node") == F.col("pn")) & F.col("id").eqNullSafe(F.col("pi"))).select("node", "id", "t").dropDuplicates(["node", "id"])
+    roots = _linked(picked.select("node", "bands", "chars"), materialise(texts.select("node", "t"), "neardup-texts"), idf)
     label = nodes.select("node", "id")
     label = label.withColumn("root", F.col("node")) if roots is None else label.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = label.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "node")).alias("least"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlight.llm.common import components, materialise
+from patchlight.llm.common import components, least_reached, materialise, sorted_runs
 from patchlight.llm.tokens import mix
 
 SIMILAR = 0.98
@@ -52,45 +52,21 @@ def block_links(x: np.ndarray, k: np.ndarray, copies: np.ndarray, table: int, ch
         return None
     new = ~(k[a, :table] == k[b, :table]).any(1) if table else np.ones(len(a), bool)
     degree = np.bincount(a[new], copies[b[new]], len(x)).astype(np.int64)
-    root = np.arange(len(x))
-    while True:
-        least = root.copy()
-        np.minimum.at(least, a, root[b])
-        least = least[least]
-        if (least == root).all():
-            return degree, root
-        root = least
+    return degree, least_reached(a, b, len(x))
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks come sorted, one after the other; each is held until its last row is there."""
-    held: pa.Table | None = None
-
-    def bounds(t: pa.Table) -> np.ndarray:
-        c = np.stack([t.column(n).to_numpy() for n in ("size", "table", "key", "i", "j", "group")], 1)
-        return np.flatnonzero((c[1:] != c[:-1]).any(1)) + 1
-
-    def judge(t: pa.Table) -> pa.RecordBatch | None:
-        x, k = _matrix(t.column("vec").combine_chunks()), np.array(t.column("keys").combine_chunks().flatten()).reshape(len(t), -1)
+    for t in sorted_runs(batches, ["group", "size", "table", "key", "i", "j"]):
+        if len(t) < 2:
+            continue
+        x, k = _matrix(t.column("vec").combine_chunks()), t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
         found = block_links(x, k, t.column("copies").to_numpy(), t.column("table")[0].as_py(), t.column("chunk").to_numpy(), (t.column("i")[0].as_py(), t.column("j")[0].as_py()))
         if found is None:
-            return None
+            continue
         degree, root = found
         some = np.flatnonzero((degree > 0) | (root != np.arange(len(t))))
         nodes = t.column("node").combine_chunks()
-        return pa.RecordBatch.from_arrays([nodes.take(pa.array(some)), nodes.take(pa.array(root[some])), pa.array(degree[some])], ["node", "root", "degree"])
-
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        if held is not None:
-            t = pa.concat_tables([held, t])
-        cuts = [0, *bounds(t)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if hi - lo > 1 and (out := judge(t.slice(lo, hi - lo))) is not None:
-                yield out
-        held = t.slice(cuts[-1])
-    if held is not None and len(held) > 1 and (out := judge(held)) is not None:
-        yield out
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(some)), nodes.take(pa.array(root[some])), pa.array(degree[some])], ["node", "root", "degree"])
 
 
 def links(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
