@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlight.llm.common import lower_ascii
+from patchlight.llm.common import lower_ascii, materialise
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window; of a k-gram. Every window has SPAN - K + 1 k-grams, and the least of their hashes is its fingerprint.
 SPAN, K = 13, 8
 PER_WINDOW = SPAN - K + 1
@@ -29,49 +28,53 @@ def _hashed(df: DataFrame, text: str) -> DataFrame:
 
 
 def fingerprints(hashed: DataFrame) -> DataFrame:
-    """A row (fp, ctx) for each fingerprint: ctx has the word hashes of all windows that it stands for, and some of the next.
+    """A row (nth, fp, ctx) for each fingerprint: ctx has the word hashes of all windows that it stands for, and some of the next.
 
-    Texts of fewer than SPAN words have none.
+    Texts of fewer than SPAN words have one row, with a null fingerprint.
     """
-    last_k, last_w = F.size("w") - K + 1, F.size("w") - SPAN + 1
+    last_k, last_w, none = F.size("w") - K + 1, F.size("w") - SPAN + 1, F.array().cast("array<bigint>")
     low = (1 << PLACE_BITS) - 1
     gram = lambda i: F.xxhash64(F.slice("w", i, K)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint").bitwiseAND(F.lit(low)))
-    d = hashed.where(last_w >= 1)
-    d = d.withColumn("g", F.explode(F.array(F.transform(F.sequence(F.lit(1), last_k), gram))))
-    d = d.withColumn("m", F.explode(F.array(F.transform(F.sequence(F.lit(1), last_w), lambda j: F.array_min(F.slice("g", j, PER_WINDOW)))))).drop("g")
-    d = d.withColumn("at", F.explode(F.filter(F.sequence(F.lit(1), F.size("m")), lambda j: (j == 1) | (F.get("m", j - 1) != F.get("m", j - 2)))))
-    return d.withColumn("fp", F.shiftright(F.get("m", F.col("at") - 1), PLACE_BITS)).withColumn("ctx", F.slice("w", F.col("at"), SPAN + PER_WINDOW - 1)).drop("m", "w")
+    least = lambda j: F.array_min(F.slice("g", j, PER_WINDOW))
+    d = hashed.withColumn("g", F.explode(F.array(F.when(last_w >= 1, F.transform(F.sequence(F.lit(1), last_k), gram)).otherwise(none))))
+    d = d.withColumn("m", F.explode(F.array(F.when(last_w >= 1, F.transform(F.sequence(F.lit(1), last_w), least)).otherwise(none)))).drop("g")
+    new = F.filter(F.sequence(F.lit(1), F.size("m")), lambda j: (j == 1) | (F.get("m", j - 1) != F.get("m", j - 2)))
+    d = d.select("*", F.posexplode_outer(F.when(F.size("m") > 0, new)).alias("nth", "at"))
+    fp = F.when(F.col("at").isNotNull(), F.shiftright(F.get("m", F.col("at") - 1), PLACE_BITS))
+    return d.withColumn("fp", fp).withColumn("ctx", F.when(F.col("at").isNotNull(), F.slice("w", F.col("at"), SPAN + PER_WINDOW - 1))).drop("m", "w")
 
 
-def _windows(d: DataFrame, ctx: str, at: Column) -> DataFrame:
-    """A row (start, window) for each window of SPAN words within ctx, whose first word is word number at."""
-    inner = F.transform(F.sequence(F.lit(0), F.size(ctx) - SPAN), lambda j: F.struct((at + j).alias("start"), F.xxhash64(F.slice(ctx, j + 1, SPAN)).alias("window")))
-    return d.withColumn("__x", F.explode(inner)).drop(ctx).select("*", "__x.*").drop("__x")
+def _windows(ctx: Column, at: Column) -> Column:
+    """An array of (start, window) for each window of SPAN words within ctx, whose first word is word number at."""
+    return F.transform(F.sequence(F.lit(0), F.size(ctx) - SPAN), lambda j: F.struct((at + j).alias("start"), F.xxhash64(F.slice(ctx, j + 1, SPAN)).alias("window")))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """(key, text_hash, item_id, start, length): each occurrence in a document of a window of an item, from word start (1 and up).
+    """(key, text_hash, n_words, item_id, start, length): each occurrence in a document of a window of an item, from word start (1 and up).
 
-    Windows are SPAN consecutive words of an item, or a shorter item's words as a whole. A window that a document shares
-    with an item has the same fingerprint in both, so the join on fingerprints misses none; the windows around each
-    fingerprint that matches are then compared by hashes of their words. text_hash tells apart rows that share a key.
+    Documents without any have a row with a null start. Windows are SPAN consecutive words of an item, or a shorter
+    item's words as a whole. A window that a document shares with an item has the same fingerprint in both, so the join on
+    fingerprints misses none; the windows around each fingerprint that matches are then compared by hashes of their
+    words. text_hash tells apart rows that share a key. Documents are read and split once, and once more if there are
+    shorter items.
     """
-    d = _hashed(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t")), "t")
-    b = _hashed(benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("t")), "t").cache()
-    items = _windows(b.where(F.size("w") >= SPAN).withColumn("ctx", F.col("w")), "ctx", F.lit(1)).select("item_id", "window").distinct()
-    prints = fingerprints(b).select("fp").distinct()
-    small = b.select(F.sum(F.size("w"))).first()[0] or 0
-    sent = F.broadcast if small <= BROADCAST_ROWS else (lambda x: x)
-    found = fingerprints(d).join(sent(prints), "fp", "left_semi")
-    full = _windows(found, "ctx", F.col("at")).join(sent(items), "window").select("key", "text_hash", "item_id", "start", F.lit(SPAN).alias("length"))
-    out = full
-    # shorter items: at most SPAN - 1 lengths
-    for m in sorted(r[0] for r in b.where(F.size("w").between(1, SPAN - 1)).select(F.size("w")).distinct().collect()):
-        short = b.where(F.size("w") == m).select("item_id", F.xxhash64("w").alias("window"))
-        grams = d.where(F.size("w") >= m).withColumn("x", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.struct(i.alias("start"), F.xxhash64(F.slice("w", i, m)).alias("window")))))
-        grams = grams.select("key", "text_hash", F.col("x")["window"].alias("window"), F.col("x")["start"].alias("start"))
-        out = out.unionByName(grams.join(sent(short), "window").select("key", "text_hash", "item_id", "start", F.lit(m).alias("length")))
-    return out.distinct()
+    d = _hashed(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t")), "t").withColumn("n_words", F.size("w"))
+    b = materialise(_hashed(benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("t")), "t"), "benchmark-words")
+    long_items = b.where(F.size("w") >= SPAN)
+    items = long_items.select("item_id", F.explode(_windows(F.col("w"), F.lit(1))).alias("x")).select("item_id", "x.window").distinct()
+    prints = fingerprints(long_items).select("fp", F.lit(True).alias("near")).distinct()
+    sizes = b.select(F.sum(F.size("w")).alias("n"), F.array_sort(F.collect_set(F.when(F.size("w").between(1, SPAN - 1), F.size("w")))).alias("short")).first()
+    sent = F.broadcast if (sizes["n"] or 0) <= BROADCAST_ROWS else (lambda x: x)
+    found = fingerprints(d).join(sent(prints), "fp", "left").where("near or coalesce(nth, 0) = 0")
+    names = ["key", "text_hash", "n_words", "item_id", "start", "length"]
+    found = found.select("key", "text_hash", "n_words", F.explode_outer(F.when(F.col("near"), _windows(F.col("ctx"), F.col("at")))).alias("x")).select("key", "text_hash", "n_words", "x.start", "x.window")
+    out = found.join(sent(items.withColumn("same", F.lit(True))), "window", "left").withColumn("start", F.when(F.col("same"), F.col("start"))).withColumn("length", F.when(F.col("same"), F.lit(SPAN))).select(*names)
+    if sizes["short"]:  # at most SPAN - 1 lengths
+        whole = b.where(F.size("w").between(1, SPAN - 1)).select("item_id", F.xxhash64("w").alias("window"), F.size("w").alias("length"))
+        runs = F.flatten(F.transform(F.array(*map(F.lit, sizes["short"])), lambda m: F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.struct(i.alias("start"), m.alias("length"), F.xxhash64(F.slice("w", i, m)).alias("window")))).otherwise(F.array())))
+        grams = d.select("key", "text_hash", "n_words", F.explode(runs).alias("x")).select("key", "text_hash", "n_words", "x.*")
+        out = out.unionByName(grams.join(sent(whole), ["window", "length"]).select(*names))
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", share: int = 20) -> DataFrame:
@@ -79,22 +82,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     n_hit: words inside any occurrence of a window of an item. contaminated: n_hit > 0 and share * n_hit >= n_words.
     items_sha256: of the item_ids (sorted as strings, joined by commas) whose windows occur. Null and empty texts have no
-    words and no hits; repeated rows get equal results; items without words and null items hit nothing; items that share
-    an id count as one. Existing columns of the new names are replaced.
+    words and no hits; repeated rows get equal results; items without words hit nothing; items that share an id count as
+    one, those with null ids not at all, but their words are hit. Existing columns of the new names are replaced.
     """
-    new = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    docs = docs.drop(*new)
-    spans = hits(docs, benchmark, key, text, item).where("item_id is not null")
-    # a document's hits, at most a few for each of its words: starts in order, each adding what earlier ones don't cover
-    per_doc = spans.groupBy("key", "text_hash", "start").agg(F.max("length").alias("length"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    per_doc = per_doc.groupBy("key", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    # of a document at most a few spans for each of its words, and the ids of the items that it holds
+    per_doc = hits(docs, benchmark, key, text, item).groupBy("key", "text_hash").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length")))).alias("spans"),
+        F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.col("item_id").cast("string")))).alias("ids"),
+    )
     added = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, s: F.struct(
         (a["n"] + F.greatest(s["start"] + s["length"] - F.greatest(s["start"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], s["start"] + s["length"]).alias("end")))
-    per_doc = per_doc.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), added["n"].cast("bigint").alias("n_hit"), F.size("ids").cast("bigint").alias("n_items"), F.array_join("ids", ",").alias("__ids"))
-    counted = docs.withColumn("n_words", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))), F.lit(0)).cast("bigint")).withColumn("__text_hash", F.xxhash64(text))
-    out = counted.join(per_doc, (F.col("__text_hash") == F.col("__hash")) & F.col(key).eqNullSafe(F.col("__key")), "left")
-    n_hit = F.coalesce("n_hit", F.lit(0))
-    return out.select(*[F.col(c) for c in docs.columns], "n_words", n_hit.cast("bigint").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"), F.sha2(F.coalesce("__ids", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    per_doc = per_doc.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.col("n_words").cast("bigint").alias("n_words"), added["n"].cast("bigint").alias("n_hit"), F.size("ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    marked = docs.withColumn("__text_hash", F.xxhash64(text))
+    out = marked.join(per_doc, (F.col("__text_hash") == F.col("__hash")) & marked[key].eqNullSafe(F.col("__key")), "left")
+    return out.select(*[marked[f"`{c}`"] for c in docs.columns], "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def digest(judged: DataFrame) -> DataFrame:
