@@ -126,13 +126,13 @@ def links(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label
 #: All pairs of a label, and components by widening each vector's reach until nothing is added.
 ORACLE_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  SELECT vec_id, label, CASE WHEN label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings
 ), ok AS (
-  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
-  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE e IS NOT NULL
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
-  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) END / (a.n * b.n) >= 0.98
 ), r(a, b) AS (
   SELECT vec_id, vec_id FROM ok UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
 ), c AS (SELECT a, min(b) AS c FROM r GROUP BY a), d AS (SELECT a, count(*) AS n FROM l GROUP BY a)
