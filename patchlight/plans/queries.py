@@ -537,3 +537,127 @@ def eval_metrics(spark, sf):
 def inter_rater(spark, sf):
     both = tables.parquet(spark, sf, "labels").where("quality is not null and toxic is not null")
     return both.agg(F.round(100 * F.avg((F.col("quality") == F.col("toxic")).cast("double")), 6).alias("agreement"), F.count("*").alias("n"))
+
+
+# More of the same
+
+
+@query("SELECT d.pr_id, count(*) AS rows, count(*) > 0 AS has_files FROM d JOIN pr ON pr.id = d.pr_id AND pr.agent_group = 'AI' GROUP BY d.pr_id")
+def file_count(spark, sf):
+    chosen = tables.parquet(spark, sf, "orders").where(F.col("o_orderpriority").isin(AGENTS)).select(F.col("o_orderkey").alias("pr_id"))
+    return details(spark, sf).join(chosen, "pr_id", "left_semi").groupBy("pr_id").agg(F.count("*").alias("rows")).withColumn("has_files", F.col("rows") > 0)
+
+
+@query("SELECT id FROM p WHERE files > 0 AND state <> 'open' AND (additions > 50 OR deletions > 20)")
+def filter_type_prs(spark, sf):
+    return prs(spark, sf).where((F.col("files") > 0) & (F.col("state") != "open") & ((F.col("additions") > 50) | (F.col("deletions") > 20))).select("id")
+
+
+@query("SELECT id, additions + 2 * files AS total_score FROM p WHERE files > 0 AND (additions >= 10 OR deletions >= 18) AND additions + 2 * files >= 28")
+def filter_scored(spark, sf):
+    total = F.col("additions") + 2 * F.col("files")
+    return prs(spark, sf).where((F.col("files") > 0) & ((F.col("additions") >= 10) | (F.col("deletions") >= 18)) & (total >= 28)).select("id", total.alias("total_score"))
+
+
+@query("SELECT pr_id, max(additions) AS best, sum(deletions)::BIGINT AS removed FROM d GROUP BY pr_id")
+def max_patch_score(spark, sf):
+    return details(spark, sf).groupBy("pr_id").agg(F.max("additions").alias("best"), F.sum("deletions").alias("removed"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE additions > 0) AS adding, sum(CASE WHEN agent_group = 'AI' THEN additions ELSE 0 END)::BIGINT AS ai_additions, sum(deletions)::BIGINT AS deletions FROM p")
+def group_totals(spark, sf):
+    return prs(spark, sf).agg(F.count("*").alias("n"), F.count_if(F.col("additions") > 0).alias("adding"), F.sum(F.when(F.col("agent_group") == "AI", F.col("additions")).otherwise(0)).alias("ai_additions"), F.sum("deletions").alias("deletions"))
+
+
+@query("SELECT agent AS name, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM p WHERE agent_group = 'AI' GROUP BY agent UNION ALL SELECT 'Human', sum(additions)::BIGINT, sum(deletions)::BIGINT FROM p WHERE agent_group = 'Human'")
+def agent_breakdown(spark, sf):
+    sums = [F.sum(c).alias(c) for c in ("additions", "deletions")]
+    all_prs = prs(spark, sf)
+    return all_prs.where("agent_group = 'AI'").groupBy(F.col("agent").alias("name")).agg(*sums).unionByName(all_prs.where("agent_group = 'Human'").agg(*sums).select(F.lit("Human").alias("name"), "additions", "deletions"))
+
+
+@query("SELECT status, round(100.0::DOUBLE * avg((files > 3)::INT), 6) AS agreement FROM p GROUP BY status")
+def agreement_by_status(spark, sf):
+    return prs(spark, sf).groupBy("status").agg(F.round(100 * F.avg((F.col("files") > 3).cast("double")), 6).alias("agreement"))
+
+
+@query("SELECT factor, held, round(100.0::DOUBLE * avg((status = 'merged')::INT), 6) AS rate FROM (SELECT status, unnest(['wide', 'removal']) AS factor, unnest([files > 4, deletions > 20]) AS held FROM p) GROUP BY factor, held")
+def acceptance_by_factor(spark, sf):
+    flags = prs(spark, sf).select("status", (F.col("files") > 4).alias("wide"), (F.col("deletions") > 20).alias("removal"))
+    return flags.unpivot("status", ["wide", "removal"], "factor", "held").groupBy("factor", "held").agg(F.round(100 * F.avg(_merged().cast("double")), 6).alias("rate"))
+
+
+@query("SELECT round(100.0::DOUBLE * avg((files > 4)::INT), 6) AS wide, round(100.0::DOUBLE * avg((deletions > 20)::INT), 6) AS removal FROM p")
+def indicator_rates(spark, sf):
+    return prs(spark, sf).agg(F.round(100 * F.avg((F.col("files") > 4).cast("double")), 6).alias("wide"), F.round(100 * F.avg((F.col("deletions") > 20).cast("double")), 6).alias("removal"))
+
+
+@query("SELECT v.unique AS features, count(id) AS n FROM (SELECT unnest(generate_series(0, 15)) AS unique) v LEFT JOIN p ON p.files = v.unique GROUP BY 1", prs=True)
+def diversity_hist(spark, sf):
+    n = prs(spark, sf).groupBy(F.col("files").alias("features")).agg(F.count("*").alias("n"))
+    return spark.range(16).select(F.col("id").alias("features")).join(n, "features", "left").select("features", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT agent_group, count(*) AS n, round(avg(changes), 6) AS mean, round(median(changes), 6) AS median FROM p WHERE changes > 0 GROUP BY agent_group")
+def nonzero_filtered_stats(spark, sf):
+    return prs(spark, sf).where("changes > 0").groupBy("agent_group").agg(F.count("*").alias("n"), F.round(F.avg("changes"), 6).alias("mean"), F.round(F.median("changes"), 6).alias("median"))
+
+
+@query("SELECT agent_group, round(avg(coalesce(TRY_CAST(substr(agent, 1, 1) AS DOUBLE), 0)), 6) AS mean FROM p GROUP BY agent_group")
+def secondary_escape_means(spark, sf):
+    n = F.coalesce(F.expr("try_cast(substr(agent, 1, 1) AS double)"), F.lit(0.0))
+    return prs(spark, sf).groupBy("agent_group").agg(F.round(F.avg(n), 6).alias("mean"))
+
+
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders WHERE o_orderstatus = 'P'", prs=False)
+def batch_slices(spark, sf):
+    """Batches of 100 keys in order; each part's rows are numbered on their own, after the sizes of the parts before."""
+    o = tables.parquet(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.floor(F.col("o_orderkey") / 4096).alias("part"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = o.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) - 1
+    return o.withColumn("at", at).join(parts, "part").select("o_orderkey", F.floor((F.col("at") + F.col("before")) / 100).alias("batch"))
+
+
+@query("SELECT doc_id, l.quality = 1 AND d.lang = 'en' AS final, CASE WHEN l.quality IS NULL THEN 'ERROR' WHEN l.toxic = 1 THEN 'REJECTED' ELSE 'APPROVED' END AS validation FROM documents d LEFT JOIN labels l USING (doc_id)", prs=False)
+def final_decision(spark, sf):
+    j = tables.parquet(spark, sf, "documents").join(tables.parquet(spark, sf, "labels"), "doc_id", "left")
+    return j.select("doc_id", ((F.col("quality") == 1) & (F.col("lang") == "en")).alias("final"), F.when(F.col("quality").isNull(), "ERROR").when(F.col("toxic") == 1, "REJECTED").otherwise("APPROVED").alias("validation"))
+
+
+@query("SELECT CASE WHEN quality = 1 THEN 'type_related' ELSE 'not_type_related' END AS label, count(*) AS n, sum(toxic)::BIGINT AS rejected, round(avg(toxic), 6) AS share FROM labels GROUP BY 1", prs=False)
+def llm_summary(spark, sf):
+    label = F.when(F.col("quality") == 1, "type_related").otherwise("not_type_related")
+    return tables.parquet(spark, sf, "labels").groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.sum("toxic").alias("rejected"), F.round(F.avg("toxic"), 6).alias("share"))
+
+
+@query("SELECT 'documents' AS source, lang AS name, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'orders', o_orderpriority, count(*) FROM orders GROUP BY 2", prs=False)
+def dataset_overview(spark, sf):
+    a = tables.parquet(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("lang").alias("name"))
+    b = tables.parquet(spark, sf, "orders").select(F.lit("orders").alias("source"), F.col("o_orderpriority").alias("name"))
+    return a.unionByName(b).groupBy("source", "name").agg(F.count("*").alias("n"))
+
+
+@query(_LINES + "SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(x, '^E.*, [a-z]')))::BIGINT AS adds, len(list_filter(range(1, len(l)), lambda i: regexp_matches(l[i], '^T.*[.]$') AND regexp_matches(l[i + 1], '^E.*, [a-z]')))::BIGINT AS replaced FROM t", prs=False)
+def any_adds_and_replacements(spark, sf):
+    t = F.coalesce("text", F.lit(""))
+    replaced = P.followed_by(F.col("text"), lambda x: F.regexp_like(x, P.pattern(r"^T.*[.]$")), lambda x: F.regexp_like(x, P.pattern("^E.*, [a-z]")))
+    return tables.parquet(spark, sf, "documents").select("doc_id", P.occurrences(t, "^E.*, [a-z]", lines=True).alias("adds"), replaced.alias("replaced"))
+
+
+@query("SELECT rq, metric, ai, human, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS sig FROM (SELECT 'RQ3' AS rq, 'acceptance' AS metric, round(100.0::DOUBLE * a / (a + b), 4) AS ai, round(100.0::DOUBLE * c / (c + d), 4) AS human, " + S.erfc_sql("sqrt(chi2 / 2.0)") + """ AS p FROM (
+  SELECT *, (a + b + c + d) * pow(greatest(abs(a * d - b * c)::DOUBLE - (a + b + c + d) / 2.0::DOUBLE, 0), 2) / ((a + b)::DOUBLE * (c + d) * (a + c) * (b + d)) AS chi2 FROM (
+    SELECT count(*) FILTER (WHERE agent_group = 'AI' AND status = 'merged') AS a, count(*) FILTER (WHERE agent_group = 'AI' AND status <> 'merged') AS b, count(*) FILTER (WHERE agent_group <> 'AI' AND status = 'merged') AS c, count(*) FILTER (WHERE agent_group <> 'AI' AND status <> 'merged') AS d FROM p))
+  UNION ALL SELECT 'RQ2', 'diversity', ma, mh, """ + S.erfc_sql("z") + f""" FROM (SELECT *, {_Z} AS z FROM (SELECT ma, mh, n1, n2, r1 - n1 * (n1 + 1) / 2 AS u1, ties FROM (
+    SELECT round(avg(x) FILTER (WHERE g), 4) AS ma, round(avg(x) FILTER (WHERE NOT g), 4) AS mh, (count(*) FILTER (WHERE g))::DOUBLE AS n1, (count(*) FILTER (WHERE NOT g))::DOUBLE AS n2, sum(r) FILTER (WHERE g) AS r1, sum(c * c - 1)::DOUBLE AS ties FROM (
+      SELECT agent_group = 'AI' AS g, files AS x, rank() OVER (ORDER BY files) + (count(*) OVER (PARTITION BY files) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY files) AS c FROM p)))))""")
+def language_report(spark, sf):
+    """One row for each question and metric: the two groups' figures, the test's p and its stars."""
+    base = prs(spark, sf).withColumn("one", F.lit(1))
+    rate = lambda a, b: F.round(F.lit(100.0) * F.col(a) / (F.col(a) + F.col(b)), 4)
+    accepted = _tables_2x2(base, "one").select(F.lit("RQ3").alias("rq"), F.lit("acceptance").alias("metric"), rate("a", "b").alias("ai"), rate("c", "d").alias("human"), S.chi2_p(S.chi2_yates(*map(F.col, "abcd"))).alias("p"))
+    mean = lambda g: F.round(F.avg(F.when(F.col("agent_group") == g, F.col("files"))), 4)
+    means = base.groupBy("one").agg(mean("AI").alias("ai"), mean("Human").alias("human"))
+    diverse = S.mann_whitney(base, "files", F.col("agent_group") == "AI", ["one"]).join(means, "one").select(F.lit("RQ2").alias("rq"), F.lit("diversity").alias("metric"), "ai", "human", "p")
+    both = accepted.unionByName(diverse)
+    return both.select("rq", "metric", "ai", "human", F.round("p", 6).alias("p"), S.stars(F.col("p")).alias("sig"))
