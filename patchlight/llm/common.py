@@ -92,7 +92,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     edges = materialise(edges, name)
 
     def star(pairs: DataFrame, least: DataFrame) -> DataFrame:
-        joined = pairs.join(least, "u")
+        # written out first, both sides of the join are plain shuffles, of which Spark splits those of a hot node
+        joined = pairs.join(materialise(least, f"{name}-least"), "u")
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
     while True:
