@@ -90,3 +90,22 @@ def has_suffix(name: Column, suffixes: list[str], generated: list[str] = ()) ->
     good = reduce(lambda a, b: a | b, [F.lower(base).endswith(s) & (F.length(base) > len(s)) for s in suffixes])
     bad = reduce(lambda a, b: a | b, [name.endswith(g) for g in generated], F.lit(False))
     return F.coalesce(good & ~bad, F.lit(False))
+
+
+def count_in_lines(found: Column, p: str, ignore_case: bool = False) -> Column:
+    """How often a pattern occurs in the lines, none of the matches across two."""
+    return F.aggregate(found, F.lit(0).cast("bigint"), lambda n, x: n + occurrences(x, p, ignore_case))
+
+
+def header_names(patch: Column) -> Column:
+    """What stands in lines '=== name (...) ===', in order, as often as it does."""
+    heads = F.filter(lines(patch), lambda x: x.startswith("===") & x.endswith("==="))
+    return F.transform(heads, lambda x: F.trim(F.split(F.replace(x, F.lit("==="), F.lit("")), r"\(", -1)[0]))
+
+
+def names_file(patch: Column, suffixes: list[str], first: int = 50) -> Column:
+    """Whether a header names a file of these suffixes, or else one of the first lines that name files contains one."""
+    ends = lambda x: reduce(lambda a, b: a | b, [F.lower(x).endswith(s) for s in suffixes])
+    holds = lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(s) for s in suffixes])
+    names = lambda x: x.contains("diff --git") | x.startswith("---") | x.startswith("+++")
+    return F.exists(header_names(patch), ends) | F.exists(F.slice(lines(patch), 1, first), lambda x: names(x) & holds(x))

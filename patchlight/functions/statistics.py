@@ -111,3 +111,16 @@ def cohens_d(x: Column, first: Column) -> Column:
     na, nb = F.count(a).cast("double"), F.count(b).cast("double")
     pooled = F.sqrt(((na - 1) * F.var_samp(a) + (nb - 1) * F.var_samp(b)) / (na + nb - 2))
     return F.when((na < 2) | (nb < 2) | (pooled == 0), F.lit(0.0)).otherwise(F.try_divide(F.avg(a) - F.avg(b), pooled))
+
+
+def cohens_d_simple(x: Column, first: Column) -> Column:
+    """An aggregate: the difference of means by the root of the mean of both variances; 0 if there is no deviation."""
+    a, b = F.when(first, x), F.when(~first, x)
+    sd = F.sqrt((F.var_samp(a) + F.var_samp(b)) / F.lit(2.0))
+    return F.when(sd > 0, (F.avg(a) - F.avg(b)) / sd).otherwise(F.lit(0.0))
+
+
+def proportion_p(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Fisher's p where a side has fewer than 50 rows or a cell fewer than 5, else that of chi-squared."""
+    few = (F.least(a + b, c + d) < 50) | (F.least(a, b, c, d) < 5)
+    return F.when(few, fisher_p(a, b, c, d)).otherwise(chi2_p(chi2_yates(a, b, c, d)))

@@ -109,3 +109,44 @@ def confusion(df: DataFrame, predicted: Column, truth: Column) -> DataFrame:
     tp, fp, tn, fn = (F.col(x).cast("double") for x in ("tp", "fp", "tn", "fn"))
     div = lambda a, b: F.round(F.try_divide(a, b), 6)
     return c.select("tp", "fp", "tn", "fn", div(tp + tn, tp + tn + fp + fn).alias("accuracy"), div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"), div(tn, tn + fp).alias("specificity"), div(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def size_bucket_3(changes: Column) -> Column:
+    return F.when(changes <= 10, "Small").when(changes <= 50, "Medium").otherwise("Large")
+
+
+def is_merged(merged_at: Column) -> Column:
+    """Whether the time of merging is there, and not blank."""
+    return F.coalesce(F.trim(merged_at.cast("string")) != "", F.lit(False))
+
+
+def first_chars(c: Column, n: int, default: str) -> Column:
+    """The first n characters; default for null and empty texts."""
+    return F.coalesce(F.nullif(F.left(c, F.lit(n)), F.lit("")), F.lit(default))
+
+
+def behaviour(added: Column, removed: Column) -> Column:
+    return F.when((added > 0) & (removed > 0), "Both").when(added > 0, "Only Adds").when(removed > 0, "Only Removes")
+
+
+def resolution(added: Column, removed: Column) -> Column:
+    return F.when(removed > added, "Improves").when(removed < added, "Reduces").otherwise("Neutral")
+
+
+def quality_score(tests: Column, todo: Column, lint_off: Column, ignored: Column, untyped: Column, agreed: Column, confidence: Column) -> Column:
+    """2 for tests, 1 for agreement, less 1 for to-dos and 2, 3, 2 for silenced linters, silenced checks and untyped values, plus the confidence."""
+    worth = lambda c, n: F.when(c, F.lit(n)).otherwise(0)
+    return worth(tests, 2) - worth(todo, 1) - worth(lint_off, 2) - worth(ignored, 3) - worth(untyped, 2) + worth(agreed, 1) + F.coalesce(confidence, F.lit(0.0))
+
+
+def type_related(files: Column, false_positive: Column, counts: list[Column], keyword: Column, patch: Column, need_count: bool) -> Column:
+    """Whether a change is about types: it has files, is no false positive, and a count above 0 and (need_count) or else or a hit in text or patch."""
+    counted = F.greatest(*counts, F.lit(0)) > 0
+    hit = keyword | patch
+    return (files > 0) & ~false_positive & ((counted & hit) if need_count else (counted | hit))
+
+
+def judged(classified: Column, validation: Column, error: Column) -> tuple[Column, Column]:
+    """The final label (positive and approved) and the validation, which is ERROR, and the label false, after an error."""
+    failed = F.coalesce(error, F.lit(False))
+    return ~failed & F.coalesce(classified & (validation == "APPROVED"), F.lit(False)), F.when(failed, "ERROR").otherwise(F.coalesce(validation, F.lit("UNCERTAIN")))

@@ -1,0 +1 @@
+from patchlight.plans import kernels, queries  # noqa: F401  (both register their queries)

@@ -96,3 +96,30 @@ def test_conform_and_csv(spark, tmp_path):
     shape = T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType()), T.StructField("patch", T.StringType()), T.StructField("n", T.IntegerType())])
     rows = tables.conform(df, shape, {"title": "none", "n": 0}, {"title": ["pr_title"]}).orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, "x", "+a\n+b", 0), (2, "none", None, 0)]
+
+
+def test_kernels_over_headers(spark):
+    from patchlight.functions import patch as P
+    from patchlight.operators import changes as O
+
+    rows = [(1, "=== a/b.TS (+1/-0) ===\n+x as any as any\n=== c.md (+0/-2) ==="), (2, "diff --git a/x.tsx b/x.tsx"), (3, None), (4, "x.ts\n=== ==="), (5, "\n" * 60 + "+++ b/y.ts")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    t = F.col("t")
+    got = {r.id: r for r in df.select("id", P.header_names(t).alias("names"), P.names_file(t, [".ts", ".tsx"]).alias("there"), P.count_in_lines(P.marked(t), r"as\s+any").alias("n")).collect()}
+    assert got[1].names == ["a/b.TS", "c.md"] and got[3].names == [] and got[4].names == [""]
+    assert [got[i].there for i in range(1, 6)] == [True, True, False, False, False]
+    assert [got[i].n for i in range(1, 6)] == [2, 0, 0, 0, 0]
+    final, validation = O.judged(F.col("id") < 4, F.when(F.col("id") < 3, "APPROVED"), F.col("id") == 1)
+    assert [tuple(r) for r in df.orderBy("id").select(final, validation).take(3)] == [(False, "ERROR"), (True, "APPROVED"), (False, "UNCERTAIN")]
+
+
+def test_files_keep_lines_quotes_and_spaces(spark):
+    from patchlight.sources import files, tables
+
+    rows = [(1, 'a "quoted", text\nof two lines'), (2, "  spaces "), (3, None), (4, "")]
+    path = files.fresh_folder(spark, "t")
+    files.write_csv(spark.createDataFrame(rows, "id int, t string"), path)
+    back = {r.id: r.t for r in tables.csv(spark, path, "id int, t string").collect()}
+    assert back == {1: rows[0][1], 2: rows[1][1], 3: None, 4: None}
+    hits = files.search_hits(spark.createDataFrame([('{"items": [{"number": 7, "user": {"login": "u"}}]}',), ("broken",), (None,)], "p string"), "p").collect()
+    assert [(h.number, h.title, h.user_login) for h in hits] == [(7, None, "u")]
