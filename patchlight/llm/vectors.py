@@ -20,6 +20,7 @@ SIMILAR = 0.98
 TABLES, PROJECTIONS, WIDTH = 20, 10, 1.6
 #: Buckets are compared in blocks of two chunks of about so many vectors.
 CHUNK = 512
+SALTS = 64
 
 
 @lru_cache(maxsize=8)
@@ -116,8 +117,10 @@ def links(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label
     of = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "vectors-links")
     known = reps.select("node", "id", "copies").join(degrees, "node", "left").join(of, "node", "left")
     known = known.select("node", "id", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    least = known.groupBy("root").agg(F.min("id").alias("component_id"))
-    known = known.join(least, "root").select("node", "n_links", "component_id")
+    # the members of a large class are split over SALTS places, to each of which the least key goes
+    known = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    least = known.groupBy("root", "salt").agg(F.min("id").alias("id")).groupBy("root").agg(F.min("id").alias("component_id"), F.collect_list("salt").alias("salts"))
+    known = known.join(least.select("root", "component_id", F.explode("salts").alias("salt")), ["root", "salt"]).select("node", "n_links", "component_id")
     out = rows.select("id", "node").join(known, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
