@@ -39,6 +39,10 @@ CONFIRMED = 0.6
 #: So large a part of the sample's unknown paragraphs has to stay below the threshold.
 STRICT = 0.9995
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A line feed, lines without words, and a line feed: what lies between blocks of lines.
+BREAK = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
+#: Words of a span of a block, and from one span to the next: runs of SPAN - STEP + 1 words, more than any template has, lie in one span.
+SPAN, STEP = 64, 16
 
 
 def words(paragraph: Column) -> Column:
@@ -55,13 +59,36 @@ def grams(w: Column) -> Column:
     return F.concat(w, pairs(w))
 
 
+def lines(text: Column) -> Column:
+    """The lines that aren't blank."""
+    return F.filter(F.split(text, r"\r?\n"), lambda p: F.trim(p) != "")
+
+
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """A row for each line of a text that isn't blank (one with a null paragraph for other texts), as words w; the text goes."""
-    lines = F.filter(F.split(F.col(text), r"\r?\n"), lambda p: F.trim(p) != "")
-    out = docs.withColumn("paragraph", F.explode_outer(lines)).drop(text)
+    out = docs.withColumn("paragraph", F.explode_outer(lines(F.col(text)))).drop(text)
     return out.withColumn("w", F.coalesce(words(F.col("paragraph")), F.array().cast("array<string>")))
 
 
+def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (block, line, w) of a text, which goes: each line (line is true) and the spans of blocks that may hold a notice wrapped over lines.
+
+    Blocks are runs of lines with words. Those of two lines at least that hold a template's runs of two words, wherever
+    they stand, are cut into overlapping spans. A text without any gives one row, with no words.
+    """
+    out = docs.select("*", F.posexplode_outer(F.split(F.col(text), BREAK)).alias("block", "b")).drop(text)
+    out = out.withColumns({"lines": lines(F.col("b")), "bw": words(F.col("b"))})
+    starts = F.sequence(F.lit(1), F.greatest(F.size("bw") - SPAN + STEP, F.lit(1)), F.lit(STEP))
+    spans = F.when((F.size("lines") > 1) & holds_any(F.col("bw")), F.transform(starts, lambda i: F.slice(F.col("bw"), i, SPAN)))
+    none = F.array().cast("array<struct<line:boolean,w:array<string>>>")
+    rows = F.concat(
+        F.coalesce(F.transform("lines", lambda p: F.struct(F.lit(True).alias("line"), words(p).alias("w"))), none),
+        F.coalesce(F.transform(spans, lambda w: F.struct(F.lit(False).alias("line"), w.alias("w"))), none),
+    )
+    out = out.withColumn("c", F.explode_outer(rows)).drop("lines", "bw", "b")
+    return out.withColumns({"line": F.col("c.line"), "w": F.coalesce("c.w", F.array().cast("array<string>"))}).drop("c")
+
+
 def _table(spark: SparkSession) -> DataFrame:
     rows = [(a + t + b, f) for f, ts in TEMPLATES.items() for t in ts for a, b in AROUND] + [(a + t + b, UNKNOWN) for t in OTHERS for a, b in AROUND]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{p}', '{f}')" for p, f in rows) + " AS t(paragraph, family)").withColumn("w", words(F.col("paragraph")))
@@ -71,12 +98,22 @@ def _classes() -> list[str]:
     return sorted([*TEMPLATES, UNKNOWN])
 
 
+def runs(t: str) -> list[str]:
+    """The distinct runs of two words of a template."""
+    v = "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    return sorted({f"{a} {b}" for a, b in zip(v, v[1:])})
+
+
+def holds_any(w: Column) -> Column:
+    """Whether the words hold CONFIRMED of the runs of two of any template."""
+    every = [runs(t) for ts in TEMPLATES.values() for t in ts]
+    found = F.array_intersect(pairs(w), F.array(*map(F.lit, sorted({x for r in every for x in r}))))
+    held = [lambda f, r=r: F.size(F.array_intersect(f, F.array(*map(F.lit, r)))) >= CONFIRMED * len(r) for r in every]
+    return F.exists(F.array(found), lambda f: (F.size(f) > 0) & reduce(lambda a, b: a | b, [h(f) for h in held]))
+
+
 def confirmed(w: Column, family: Column) -> Column:
     """Whether the words hold CONFIRMED of the runs of two of one of the family's templates."""
-    def runs(t: str) -> list[str]:
-        v = "".join(c if c.isalnum() else " " for c in t.lower()).split()
-        return sorted({f"{a} {b}" for a, b in zip(v, v[1:])})
-
     def held(t: str) -> Column:
         r = runs(t)
         return F.size(F.array_intersect(pairs(w), F.array(*map(F.lit, r)))) >= CONFIRMED * len(r)
@@ -112,20 +149,28 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each of docs: its key, n_paragraphs, n_notices, n_unsure, families.
 
     A paragraph is a line that isn't blank. Its family is the likeliest, if that isn't 'unknown', all families together
-    reach the calibrated threshold, and a template confirms it: then it is a notice. n_unsure counts those that no
-    template confirms. families: those of the notices, sorted, joined by commas; '' for none. Null and blank texts have
-    no paragraphs; repeated rows get a row each, null keys too; other columns don't matter; an empty table stays empty.
+    reach the calibrated threshold, and a template confirms it: then it is a notice. Spans of lines (see candidates) are
+    judged alike: a block of lines has one notice for each family that its spans and none of its lines give. n_unsure
+    counts lines of a family that no template confirms and that their block has no notice of. families: those of the
+    notices, sorted, joined by commas; '' for none. Null and blank texts have no paragraphs; repeated rows get a row
+    each, null keys too; other columns don't matter; an empty table stays empty.
     """
     model, least = train(docs, key, text)
-    rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("t"))
-    judged = model.transform(paragraphs(rows, "t").withColumn("g", grams(F.col("w"))))
+    n = F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines(F.col(text)))), F.lit(0)).cast("bigint")
+    rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), n.alias("n"), F.col(text).alias("t"))
+    judged = model.transform(candidates(rows, "t").withColumn("g", grams(F.col("w"))))
     unknown = _classes().index(UNKNOWN)
     family = F.element_at(F.array(*map(F.lit, _classes())), (F.col("best") + 1).cast("int"))
     is_one = (F.col("best") != unknown) & (1 - vector_to_array("p")[unknown] >= least) & (F.size("w") > 0)
-    judged = judged.select("id", "row", F.col("paragraph").isNotNull().alias("some"), "w", F.when(is_one, family).alias("family"))
+    judged = judged.select("id", "row", "n", "block", "line", "w", F.when(is_one, family).alias("family"))
     judged = judged.withColumn("sure", F.when(F.col("family").isNotNull(), confirmed(F.col("w"), F.col("family"))))
+    at, sure, line = F.struct("block", "family"), F.col("sure"), F.col("line")
     per_row = judged.groupBy("row").agg(
-        F.first("id").alias(key), F.count_if("some").alias("n_paragraphs"), F.count_if("sure").alias("n_notices"), F.count_if(~F.col("sure")).alias("n_unsure"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("sure"), F.col("family")))), ",").alias("families"),
+        F.first("id").alias(key), F.first("n").alias("n_paragraphs"), F.count_if(sure & line).alias("in_lines"), F.collect_set(F.when(sure & line, at)).alias("lines"),
+        F.collect_set(F.when(sure & ~line, at)).alias("spans"), F.collect_list(F.when(~sure & line, at)).alias("unsure"),
+    )
+    return per_row.select(
+        key, "n_paragraphs", (F.col("in_lines") + F.size(F.array_except("spans", "lines"))).alias("n_notices"),
+        F.size(F.filter("unsure", lambda x: ~F.array_contains(F.col("spans"), x))).cast("bigint").alias("n_unsure"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(F.array_union("lines", "spans"), lambda x: x["family"]))), ",").alias("families"),
     )
-    return per_row.drop("row")

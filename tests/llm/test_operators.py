@@ -232,6 +232,23 @@ def test_licences_odd_rows(spark):
     assert licences.scan(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+WRAPPED = {
+    "mit": ["MIT License", "", "Copyright (c) 2021 The Authors", "", 'Permission is hereby granted, free of charge, to any person obtaining a copy', 'of this software and associated documentation files (the "Software"), to deal', "in the Software without restriction, including without limitation the rights", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell", "copies of the Software, and to permit persons to whom the Software is", "furnished to do so, subject to the following conditions:"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."],
+}
+
+
+def test_licences_wrapped_over_lines(spark):
+    walk = ["A free walk by the river was open to all of them.", "The museum shows the new road in all weathers."] * 30
+    rows = [(k, "\n".join(v), f) for k, (f, v) in enumerate((f, x) for f, v in WRAPPED.items() for x in (v, [f" * {y}".rstrip() for y in v], [*walk, *v, *walk], ["\r".join(["A walk.", ""]), "", *v]))]
+    rows += [(100, "\n".join(walk), "")]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    got = {x.doc_id: x for x in licences.scan(docs).collect()}
+    assert {k: got[k].families for k, _, _ in rows} == {k: f for k, _, f in rows}
+    assert all(got[k].n_notices == bool(f) and got[k].n_paragraphs == sum(x.strip() != "" for x in t.split("\n")) for k, t, f in rows)
+
+
 # 8
 
 
