@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlight.llm.common import ASCII_LOWER, ASCII_UPPER
+from patchlight.llm.common import ASCII_LOWER, ASCII_UPPER, materialise
 
 UNKNOWN = "unknown"
 #: Notices by family, in usual words.
@@ -32,11 +32,14 @@ TEMPLATES = {
 AROUND = [("", ""), ("Copyright (c) 2021 The Authors. ", ""), ("", " See the file for details."), ("Notice: ", " The authors."), ("This project and its documents: ", " Thank you for reading."), ("// ", " //")]
 #: Paragraphs that speak of like things and are no notices.
 OTHERS = ["The museum opens at nine and closes at five in all weathers.", "He got a driving license in May.", "She studied at MIT before she moved to the coast.", "The general public was free to visit the garden.", "Please read the terms of the meeting before you vote.", "The foundation published a free guide to birds.", "An Apache helicopter flew over the village.", "This work was done by hand in the winter months.", "The following conditions were hard for all of them.", "Version 2 of the map shows the new road.", "The source of the river lies in the hills.", "All of the rights and wrongs were told again.", "Permission to enter was given by the owner.", "It is released in spring and sold in autumn.", "The file was found under a pile of papers.", "You may not use the lift when there is a fire.", "The library lends books under these rules.", "A copy of the letter is in the archive."]
-#: Documents, about, whose paragraphs teach the unknown class (one half) and set the threshold (the other).
+#: The paragraphs of half of so many documents, about, teach the unknown class.
 SAMPLE_DOCS = 600
 #: Least share of a template's runs of two words that a paragraph must hold to confirm its family.
 CONFIRMED = 0.6
-#: So large a part of the sample's unknown paragraphs has to stay below the threshold.
+#: A paragraph with such a part of a template's runs of two words (two at least), or with a run that has one of these words, isn't an unknown one.
+SHARED = 0.15
+MARKS = ["bsd", "cc", "cc0", "creative", "gnu", "hereby", "license", "licensed", "mozilla", "mpl", "redistribute", "redistribution", "reserved", "spdx"]
+#: So large a part of all unknown paragraphs has to stay below the threshold.
 STRICT = 0.9995
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A line feed, lines without words, and a line feed: what lies between blocks of lines.
@@ -104,12 +107,30 @@ def runs(t: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(v, v[1:])})
 
 
-def holds_any(w: Column) -> Column:
-    """Whether the words hold CONFIRMED of the runs of two of any template."""
+def _in_templates(w: Column, test) -> Column:
+    """Whether, of the runs of two words that the words share with templates, test(runs, those of a template) is true for one."""
     every = [runs(t) for ts in TEMPLATES.values() for t in ts]
     found = F.array_intersect(pairs(w), F.array(*map(F.lit, sorted({x for r in every for x in r}))))
-    held = [lambda f, r=r: F.size(F.array_intersect(f, F.array(*map(F.lit, r)))) >= CONFIRMED * len(r) for r in every]
-    return F.exists(F.array(found), lambda f: (F.size(f) > 0) & reduce(lambda a, b: a | b, [h(f) for h in held]))
+    return F.exists(F.array(found), lambda f: (F.size(f) > 0) & reduce(lambda a, b: a | b, [test(f, r) for r in every]))
+
+
+def _shared(found: Column, r: list[str]) -> Column:
+    return F.size(F.array_intersect(found, F.array(*map(F.lit, r))))
+
+
+def holds_any(w: Column) -> Column:
+    """Whether the words hold CONFIRMED of the runs of two of any template."""
+    return _in_templates(w, lambda f, r: _shared(f, r) >= CONFIRMED * len(r))
+
+
+def speaks_of_any(w: Column) -> Column:
+    """Whether the words share SHARED of the runs of two of any template, or one with a word of MARKS."""
+    def test(f: Column, r: list[str]) -> Column:
+        marked = [x for x in r if set(x.split()) & set(MARKS)]
+        some = _shared(f, r) >= max(2, SHARED * len(r))
+        return some | F.arrays_overlap(f, F.array(*map(F.lit, marked))) if marked else some
+
+    return _in_templates(w, test)
 
 
 def confirmed(w: Column, family: Column) -> Column:
@@ -121,49 +142,54 @@ def confirmed(w: Column, family: Column) -> Column:
     return reduce(lambda x, f: F.when(family == f, reduce(lambda a, b: a | b, map(held, TEMPLATES[f]))).otherwise(x), TEMPLATES, F.lit(False))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[PipelineModel, float]:
-    """The model and the least probability of a family.
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> PipelineModel:
+    """The model: fitted on the templates in several surroundings, on other paragraphs, and on those of a sample of documents.
 
-    Fitted on the templates in several surroundings, on other paragraphs, and on those of half of a sample of documents,
-    chosen by the hash of their keys; paragraphs that templates confirm aren't taken for unknown ones. The other half
-    calibrates: the threshold is what STRICT of its paragraphs stay below, 0.5 at least.
+    The sample is chosen by the hash of the keys; paragraphs that speak of licences as templates do aren't taken for unknown ones.
     """
     spark, n = docs.sparkSession, docs.count()
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("licence/"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     rate = min(1.0, SAMPLE_DOCS / max(n, 1))
-    sample = docs.select(draw.alias("d"), F.col(text).alias("t")).where(F.col("d") < rate)
-    sample = paragraphs(sample, "t").where("size(w) > 0")
-    sample = sample.where(~reduce(lambda a, f: a | confirmed(F.col("w"), F.lit(f)), TEMPLATES, F.lit(False))).select("w", (F.col("d") < rate / 2).alias("fit")).distinct()
+    sample = paragraphs(docs.select(draw.alias("d"), F.col(text).alias("t")).where(F.col("d") < rate / 2), "t")
+    sample = sample.where((F.size("w") > 0) & ~speaks_of_any(F.col("w"))).select("w").distinct()
     classes = F.array(*map(F.lit, _classes()))
-    rows = _table(spark).select("w", "family").unionByName(sample.where("fit").select("w", F.lit(UNKNOWN).alias("family")))
+    rows = _table(spark).select("w", "family").unionByName(sample.select("w", F.lit(UNKNOWN).alias("family")))
     rows = rows.select(grams(F.col("w")).alias("g"), (F.array_position(classes, F.col("family")) - 1).cast("double").alias("y"))
     vocabulary = CountVectorizer(inputCol="g", outputCol="x", binary=True, minDF=1, vocabSize=1 << 14).fit(_table(spark).select(grams(F.col("w")).alias("g")))
     lr = LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="p", rawPredictionCol="raw", predictionCol="best", family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=60)
-    model = PipelineModel([vocabulary, lr.fit(vocabulary.transform(rows).coalesce(4))])
-    best = model.transform(sample.where("not fit").select(grams(F.col("w")).alias("g"))).select((1 - vector_to_array("p")[_classes().index(UNKNOWN)]).alias("s"))
-    level = best.agg(F.percentile_approx("s", STRICT, 10000)).first()[0]
-    return model, max(0.5, level or 0.0)
+    return PipelineModel([vocabulary, lr.fit(vocabulary.transform(rows).coalesce(4))])
+
+
+def threshold(judged: DataFrame) -> float:
+    """The least probability of a family: what STRICT of all distinct unknown paragraphs (h, s) stay below, 0.5 at least. Rows without h aren't such."""
+    level = judged.where("h is not null").groupBy("h").agg(F.max("s").alias("s")).agg(F.percentile_approx("s", STRICT, 100000)).first()[0]
+    return max(0.5, level or 0.0)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each of docs: its key, n_paragraphs, n_notices, n_unsure, families.
 
     A paragraph is a line that isn't blank. Its family is the likeliest, if that isn't 'unknown', all families together
-    reach the calibrated threshold, and a template confirms it: then it is a notice. Spans of lines (see candidates) are
+    reach the threshold that all documents' unknown paragraphs set, and a template confirms it: then it is a notice. Spans of lines (see candidates) are
     judged alike: a block of lines has one notice for each family that its spans and none of its lines give. n_unsure
     counts lines of a family that no template confirms and that their block has no notice of. families: those of the
     notices, sorted, joined by commas; '' for none. Null and blank texts have no paragraphs; repeated rows get a row
     each, null keys too; other columns don't matter; an empty table stays empty.
     """
-    model, least = train(docs, key, text)
+    model = train(docs, key, text)
     n = F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines(F.col(text)))), F.lit(0)).cast("bigint")
     rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), n.alias("n"), F.col(text).alias("t"))
     judged = model.transform(candidates(rows, "t").withColumn("g", grams(F.col("w"))))
     unknown = _classes().index(UNKNOWN)
     family = F.element_at(F.array(*map(F.lit, _classes())), (F.col("best") + 1).cast("int"))
-    is_one = (F.col("best") != unknown) & (1 - vector_to_array("p")[unknown] >= least) & (F.size("w") > 0)
-    judged = judged.select("id", "row", "n", "block", "line", "w", F.when(is_one, family).alias("family"))
-    judged = judged.withColumn("sure", F.when(F.col("family").isNotNull(), confirmed(F.col("w"), F.col("family"))))
+    some = F.size("w") > 0
+    judged = judged.select("id", "row", "n", "block", "line", "w", (1 - vector_to_array("p")[unknown]).alias("s"), F.when((F.col("best") != unknown) & some, family).alias("family"))
+    judged = judged.withColumns({
+        "sure": F.when(F.col("family").isNotNull(), confirmed(F.col("w"), F.col("family"))),
+        "h": F.when(F.col("line") & some & ~speaks_of_any(F.col("w")), F.xxhash64("w")),
+    })
+    judged = materialise(judged.drop("w"), "licences-judged")
+    judged = judged.withColumn("sure", F.when(F.col("s") >= threshold(judged), F.col("sure")))
     at, sure, line = F.struct("block", "family"), F.col("sure"), F.col("line")
     per_row = judged.groupBy("row").agg(
         F.first("id").alias(key), F.first("n").alias("n_paragraphs"), F.count_if(sure & line).alias("in_lines"), F.collect_set(F.when(sure & line, at)).alias("lines"),

@@ -249,6 +249,23 @@ def test_licences_wrapped_over_lines(spark):
     assert all(got[k].n_notices == bool(f) and got[k].n_paragraphs == sum(x.strip() != "" for x in t.split("\n")) for k, t, f in rows)
 
 
+def test_licences_threshold_covers_all_documents(spark, monkeypatch):
+    walk = [(k, f"A walk of {k} miles by the river was open to all of them.") for k in range(900)]
+    second = [k for k in range(2000, 2100) if int(hashlib.md5(f"licence/{k}".encode()).hexdigest()[:8], 16) >= 1 << 31]
+    reworded = [(k, "SPDX: GNU General Public License, Mozilla Public License, MIT License, BSD License, Creative Commons: see what the license file says.") for k in second[:3]]
+    real = [(3000 + k, f"He read this work in the {w} of the village, and the museum of the file: released under the MIT License.") for k, w in enumerate(["letters", "maps", "songs", "books", "library"])]
+    seen, level = [], licences.threshold
+    monkeypatch.setattr(licences, "threshold", lambda judged: seen.append({r.id for r in judged.where("h is not null").collect()}) or level(judged))
+    got = {x.doc_id: x.families for x in licences.scan(spark.createDataFrame(walk + reworded + real, "doc_id long, text string")).collect()}
+    assert {k: f for k, f in got.items() if f} == {k: "mit" for k, _ in real}
+    assert seen == [{k for k, _ in walk}]  # no sample of them, and none that speaks of licences
+
+
+def test_licences_threshold_of_all_paragraphs(spark):
+    scores = spark.createDataFrame([(k, k / 10000) for k in range(10000)] * 2 + [(None, 1.0)] * 5000, "h long, s double")
+    assert 0.9993 < licences.threshold(scores) < 0.9997
+
+
 # 8
 
 
