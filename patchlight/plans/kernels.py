@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlight.functions import patch as P
@@ -117,6 +117,38 @@ _type_query("filter_type_prs_cs", [C.DYNAMIC_PATTERN], False)
 _type_query("filter_type_prs_rs", [C.UNSAFE_PATTERN, C.UNWRAP_PATTERN, C.AS_CAST_PATTERN], False)
 
 
+#: By language, the extractor's keywords, patch patterns, false positives and features.
+EXTRACTORS = {
+    "cs": (C.CSHARP_KEYWORDS, C.CSHARP_PATCH_PATTERNS, C.CSHARP_FALSE_POSITIVES, C.CSHARP_EXTRACTED),
+    "rs": (C.RUST_KEYWORDS, C.RUST_PATCH_PATTERNS, C.RUST_FALSE_POSITIVES, C.RUST_EXTRACTED),
+}
+
+
+def extracted(df: DataFrame, language: str) -> DataFrame:
+    """The rows whose text t is about types by the catalogues of the language's own extractor."""
+    keywords, patch, fps, features = EXTRACTORS[language]
+    t = F.col("t")
+    line_hit = F.exists(P.lines(t), lambda x: P.any_match(F.trim(x), patch))
+    counts = list(P.catalogue_counts(t, features, False).values())
+    return df.where(O.type_related(F.length("t"), P.any_match(t, fps, True), counts, P.any_match(t, keywords, True), line_hit, False))
+
+
+def _extractor_query(language: str) -> None:
+    keywords, patch, fps, features = EXTRACTORS[language]
+    plain = [p.replace(r"(?!\?)", r"(?:[^?]|$)") for p in features.values()]  # the same texts match
+    line_hit = f"len(list_filter(string_split(t, chr(10)), lambda x: {_any_sql(patch, 'trim(x)', '')})) > 0"
+
+    def run(spark: SparkSession, sf: str):
+        return extracted(_ascii_pages(spark, sf), language).select("page_id")
+
+    run.__name__ = f"filter_type_prs_{language}_own"
+    query(f"SELECT page_id FROM {_ASCII} WHERE length(t) > 0 AND NOT {_any_sql(fps)} AND ({_any_sql(plain, 't', '')} OR {_any_sql(keywords)} OR {line_hit})", prs=False)(run)
+
+
+_extractor_query("cs")
+_extractor_query("rs")
+
+
 @query("SELECT doc_id FROM labels WHERE coalesce(quality = 1, false)", prs=False)
 def filter_final_label(spark, sf):
     return tables.parquet(spark, sf, "labels").where(F.coalesce(F.col("quality") == 1, F.lit(False))).select("doc_id")

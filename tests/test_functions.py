@@ -123,3 +123,13 @@ def test_files_keep_lines_quotes_and_spaces(spark):
     assert back == {1: rows[0][1], 2: rows[1][1], 3: None, 4: None}
     hits = files.search_hits(spark.createDataFrame([('{"items": [{"number": 7, "user": {"login": "u"}}]}',), ("broken",), (None,)], "p string"), "p").collect()
     assert [(h.number, h.title, h.user_login) for h in hits] == [(7, None, "u")]
+
+
+def test_extractors_use_their_own_catalogues(spark):
+    from patchlight.plans import kernels
+
+    texts = {"cs": ["struct X", "public record Y", "#nullable enable"], "rs": ["pub trait Shape", "struct X", "enum Kind"], "": ["a plain walk", ""]}
+    df = spark.createDataFrame([(t,) for ts in texts.values() for t in ts], "t string")
+    for language in ("cs", "rs"):
+        got = {r.t for r in kernels.extracted(df, language).collect()}
+        assert set(texts[language]) <= got and not got & set(texts[""])
