@@ -611,14 +611,24 @@ def secondary_escape_means(spark, sf):
 
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders WHERE o_orderstatus = 'P'", prs=False)
 def batch_slices(spark, sf):
+    return _batches(tables.parquet(spark, sf, "orders").where("o_orderstatus = 'P'"))
+
+
+def _batches(orders: DataFrame) -> DataFrame:
     """Batches of 100 keys in order; each part's rows are numbered on their own, after the sizes of the parts before."""
-    o = tables.parquet(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.floor(F.col("o_orderkey") / 4096).alias("part"))
+    o = orders.select("o_orderkey", F.floor(F.col("o_orderkey") / 4096).alias("part"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = o.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
     at = F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) - 1
     return o.withColumn("at", at).join(parts, "part").select("o_orderkey", F.floor((F.col("at") + F.col("before")) / 100).alias("batch"))
 
 
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders", prs=False)
+def batch_slices_all(spark, sf):
+    """batch_slices of all orders."""
+    return _batches(tables.parquet(spark, sf, "orders"))
+
+
 @query("SELECT doc_id, l.quality = 1 AND d.lang = 'en' AS final, CASE WHEN l.quality IS NULL THEN 'ERROR' WHEN l.toxic = 1 THEN 'REJECTED' ELSE 'APPROVED' END AS validation FROM documents d LEFT JOIN labels l USING (doc_id)", prs=False)
 def final_decision(spark, sf):
     j = tables.parquet(spark, sf, "documents").join(tables.parquet(spark, sf, "labels"), "doc_id", "left")

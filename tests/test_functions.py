@@ -133,3 +133,11 @@ def test_extractors_use_their_own_catalogues(spark):
     for language in ("cs", "rs"):
         got = {r.t for r in kernels.extracted(df, language).collect()}
         assert set(texts[language]) <= got and not got & set(texts[""])
+
+
+def test_batches_cover_all_orders(spark):
+    from patchlight.plans import queries
+
+    r = queries.QUERIES["batch_slices_all"](spark, "/root/testdata/sf0.001").collect()
+    n = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert sorted(x.batch for x in r) == [k // 100 for k in range(n)]
