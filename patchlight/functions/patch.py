@@ -1,16 +1,23 @@
-"""Kernels over the lines of patches, as columns. A null patch counts as an empty one."""
+"""Kernels over the lines of patches, as columns. A null patch counts as an empty one.
+
+Patterns see words, blanks and cases as Unicode has them, and only line feeds end lines within them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What ends a line where lines are split at every kind of break; what is cut off at the ends of a line.
+BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
 
 def pattern(p: str, ignore_case: bool = False, lines: bool = False) -> Column:
-    """A pattern under which only line feeds end lines."""
-    return F.lit("(?d" + "i" * ignore_case + "m" * lines + ")" + p)
+    return F.lit("(?dU" + "i" * ignore_case + "m" * lines + ")" + p)
 
 
 def search(p: str, ignore_case: bool = False) -> Column:
@@ -18,20 +25,30 @@ def search(p: str, ignore_case: bool = False) -> Column:
     return pattern(p.removeprefix(".*"), ignore_case)
 
 
-def lines(patch: Column) -> Column:
-    return F.split(F.coalesce(patch, F.lit("")), "\n", -1)
+def lines(patch: Column, every_break: bool = False) -> Column:
+    """The lines of a text, split at line feeds, or at every kind of line break."""
+    return F.split(F.coalesce(patch, F.lit("")), BREAKS if every_break else "\n", -1)
 
 
-def marked(patch: Column, mark: str = "+", headers: bool = False) -> Column:
+def marked(patch: Column, mark: str = "+", headers: bool = False, every_break: bool = False) -> Column:
     """Lines that start with mark; file headers, where it stands three times, only if asked for."""
     starts = lambda x: x.startswith(mark) if headers else x.startswith(mark) & ~x.startswith(mark * 3)
-    return F.filter(lines(patch), starts)
+    return F.filter(lines(patch, every_break), starts)
+
+
+def unmarked(found: Column, mark: str = "+") -> Column:
+    return F.transform(found, lambda x: F.substr(x, F.lit(len(mark) + 1)))
 
 
-def marked_text(patch: Column, mark: str = "+", keep_mark: bool = False, headers: bool = False) -> Column:
+def marked_text(patch: Column, mark: str = "+", keep_mark: bool = False, headers: bool = False, every_break: bool = False) -> Column:
     """Those lines as one text, without their marks unless keep_mark."""
-    found = marked(patch, mark, headers)
-    return F.array_join(found if keep_mark else F.transform(found, lambda x: F.substr(x, F.lit(len(mark) + 1))), "\n")
+    found = marked(patch, mark, headers, every_break)
+    return F.array_join(found if keep_mark else unmarked(found, mark), "\n")
+
+
+def stripped(line: Column) -> Column:
+    """A marked line without its mark and without blanks at its ends."""
+    return F.btrim(F.substr(line, F.lit(2)), F.lit(BLANKS))
 
 
 def occurrences(text: Column, p: str, ignore_case: bool = False, lines: bool = False) -> Column:
@@ -47,22 +64,28 @@ def total_and_unique(names: list[str]) -> tuple[Column, Column]:
     return reduce(lambda a, b: a + b, map(F.col, names)), reduce(lambda a, b: a + b, [(F.col(n) > 0).cast("bigint") for n in names])
 
 
-def any_match(text: Column, patterns: list[str], ignore_case: bool = False) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(F.regexp_like(text, search(p, ignore_case)), F.lit(False)) for p in patterns])
+def any_match(text: Column, patterns: list[str], ignore_case: bool = False, lines: bool = False) -> Column:
+    """Whether one of the patterns is found; in a null text none is. lines: ^ and $ stand at the ends of lines, too."""
+    made = [pattern(p, ignore_case, True) if lines else search(p, ignore_case) for p in patterns]
+    return reduce(lambda a, b: a | b, [F.coalesce(F.regexp_like(text, p), F.lit(False)) for p in made])
+
+
+def any_line_match(patch: Column, patterns: list[str]) -> Column:
+    """Whether an added line of the patch, without mark and outer blanks, holds one of the patterns."""
+    return F.exists(marked(patch, every_break=True), lambda x: any_match(stripped(x), patterns))
 
 
-def score_text(text: Column, patterns: list[str], scores: list[int]) -> Column:
-    """The sum of the scores of the patterns that the lower-cased text matches."""
-    parts = [F.when(F.regexp_like(F.lower(text), pattern(p)), s).otherwise(0) for p, s in zip(patterns, scores)]
-    return reduce(lambda a, b: a + b, parts).cast("bigint")
+def score_text(text: Column, scored: list[tuple[str, int]]) -> Column:
+    """The sum of the scores of the patterns that the text matches in either case; a null text scores 0."""
+    return reduce(lambda a, b: a + b, [F.when(F.regexp_like(text, pattern(p, True)), n).otherwise(0) for p, n in scored]).cast("bigint")
 
 
-def score_lines(found: Column, patterns: list[str], scores: list[int]) -> Column:
-    """The sum over lines of the score of the first pattern that each matches."""
+def score_patch(patch: Column, scored: list[tuple[str, int]], line: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The sum, over added lines (as line() gives them), of the score of the first pattern that each matches."""
     def first(x: Column) -> Column:
-        return reduce(lambda rest, ps: F.when(F.regexp_like(x, search(ps[0])), F.lit(ps[1])).otherwise(rest), reversed(list(zip(patterns, scores))), F.lit(0))
+        return reduce(lambda rest, ps: F.when(F.regexp_like(x, search(ps[0])), F.lit(ps[1])).otherwise(rest), reversed(scored), F.lit(0))
 
-    return F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + first(x))
+    return F.aggregate(marked(patch, every_break=True), F.lit(0).cast("bigint"), lambda a, x: a + first(line(x)))
 
 
 def followed_by(patch: Column, first, second) -> Column:
@@ -72,23 +95,33 @@ def followed_by(patch: Column, first, second) -> Column:
     return F.when(F.size(rows) > 1, F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, x: a + x)).otherwise(F.lit(0).cast("bigint"))
 
 
+def type_to_any(patch: Column, any_pattern: str) -> Column:
+    """How many removed lines with a colon and no 'any' are followed by a line that starts with the added mark and holds the pattern."""
+    typed = lambda x: x.startswith("-") & ~x.startswith("---") & x.contains(":") & ~F.lower(x).contains("any")
+    return followed_by(patch, typed, lambda x: x.startswith("+") & F.regexp_like(x, pattern(any_pattern)))
+
+
 def header_sums(patch: Column) -> tuple[Column, Column, Column]:
     """Additions and deletions that headers '=== name (+a/-d) ===' state (or, if these add up to none, the marked lines), and the number of names."""
+    heads = F.filter(lines(patch), lambda x: x.startswith("===") & x.endswith("==="))
+
     def numbers(i: int) -> Column:
-        found = F.regexp_extract_all(F.coalesce(patch, F.lit("")), F.lit(r"(?d)\(\+(\d+)/-(\d+)\)"), F.lit(i))
-        return F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+        return F.aggregate(heads, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(F.nullif(F.regexp_extract(x, r"\(\+(\d+)/-(\d+)\)", i), F.lit("")).cast("bigint"), F.lit(0)))
 
     plus, minus = numbers(1), numbers(2)
     stated = (plus + minus) > 0
-    names = F.array_distinct(F.filter(F.transform(lines(patch), lambda x: F.trim(F.regexp_extract(x, r"\A===(.*?)(?:\(.*)?===\z", 1))), lambda x: x != ""))
+    names = F.array_distinct(F.filter(header_names(patch), lambda x: x != ""))
     return F.when(stated, plus).otherwise(F.size(marked(patch, "+")).cast("bigint")), F.when(stated, minus).otherwise(F.size(marked(patch, "-")).cast("bigint")), F.size(names).cast("bigint")
 
 
 def has_suffix(name: Column, suffixes: list[str], generated: list[str] = ()) -> Column:
-    """Whether a path ends in one of the suffixes, in any case, and in none of the generated ones, in just that case; null: false."""
+    """Whether a path's last part ends in one of the suffixes, in any case, and isn't generated; null: false.
+
+    generated: endings (they begin with a dot) and whole names, in just that case.
+    """
     base = F.element_at(F.split(name, "/"), -1)
     good = reduce(lambda a, b: a | b, [F.lower(base).endswith(s) & (F.length(base) > len(s)) for s in suffixes])
-    bad = reduce(lambda a, b: a | b, [name.endswith(g) for g in generated], F.lit(False))
+    bad = reduce(lambda a, b: a | b, [base.endswith(g) if g.startswith(".") else base == g for g in generated], F.lit(False))
     return F.coalesce(good & ~bad, F.lit(False))
 
 
@@ -100,12 +133,23 @@ def count_in_lines(found: Column, p: str, ignore_case: bool = False) -> Column:
 def header_names(patch: Column) -> Column:
     """What stands in lines '=== name (...) ===', in order, as often as it does."""
     heads = F.filter(lines(patch), lambda x: x.startswith("===") & x.endswith("==="))
-    return F.transform(heads, lambda x: F.trim(F.split(F.replace(x, F.lit("==="), F.lit("")), r"\(", -1)[0]))
-
-
-def names_file(patch: Column, suffixes: list[str], first: int = 50) -> Column:
-    """Whether a header names a file of these suffixes, or else one of the first lines that name files contains one."""
-    ends = lambda x: reduce(lambda a, b: a | b, [F.lower(x).endswith(s) for s in suffixes])
-    holds = lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(s) for s in suffixes])
-    names = lambda x: x.contains("diff --git") | x.startswith("---") | x.startswith("+++")
-    return F.exists(header_names(patch), ends) | F.exists(F.slice(lines(patch), 1, first), lambda x: names(x) & holds(x))
+    return F.transform(heads, lambda x: F.btrim(F.split(F.coalesce(F.get(F.split(x, "===", -1), F.lit(1)), F.lit("")), r"\(", -1)[0], F.lit(BLANKS)))
+
+
+def names_file(patch: Column, suffixes: list[str], generated: list[str] = (), first: int = 50) -> Column:
+    """Whether a header names a file of these suffixes, or else one of the first lines that name files holds a suffix and nothing generated."""
+    holds = lambda x, parts: reduce(lambda a, b: a | b, [x.contains(s) for s in parts], F.lit(False))
+    names = lambda x: x.startswith("diff --git") | x.startswith("---") | x.startswith("+++")
+    told = F.exists(F.slice(lines(patch), 1, first), lambda x: names(x) & holds(x, suffixes) & ~holds(x, generated))
+    return F.exists(header_names(patch), lambda x: has_suffix(x, suffixes, generated)) | told
+
+
+def file_count(patch: Column, suffixes: list[str], generated: list[str] = (), from_diffs: bool = False) -> Column:
+    """How many different files of these suffixes headers name; where they name none and from_diffs, lines 'diff --git a/x b/x'."""
+    valid = lambda x: has_suffix(x, suffixes, generated)
+    named = F.size(F.array_distinct(F.filter(header_names(patch), valid))).cast("bigint")
+    if not from_diffs:
+        return named
+    parts = F.transform(F.filter(lines(patch), lambda x: x.startswith("diff --git")), lambda x: F.get(F.split(F.btrim(x, F.lit(BLANKS)), r"\s+"), F.lit(3)))
+    told = F.transform(F.filter(parts, lambda x: x.isNotNull()), lambda x: F.when(x.startswith("b/"), F.substr(x, F.lit(3))).otherwise(x))
+    return F.when(named > 0, named).otherwise(F.size(F.array_distinct(F.filter(told, valid))).cast("bigint"))

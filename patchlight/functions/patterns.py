@@ -67,30 +67,46 @@ RUST_FEATURES = {
     'any_trait': r'\b(?:std::)?any::Any\b|\bdyn\s+Any\b',
 }
 
-TYPE_KEYWORDS = [
-    r'\btype\s+\w+\s*=',
-    r'\binterface\s+\w+',
-    r':\s*[A-Z][a-zA-Z]*\s*[;\)\}]',
-    r'as\s+[A-Z][a-zA-Z]*',
-    r'<[A-Z][a-zA-Z]*>',
-    r'\btype\s+fix\b',
-    r'\bfix.*type error\b',
-    r'\bnoImplicitAny\b',
-    r'\bstrictNullChecks\b',
-    r'\badd.*\btype\b',
-    r'\bimprove.*\btyping\b',
-    r'\brefactor.*\btype\b',
+# A keyword pattern and what it scores.
+SCORED_KEYWORDS = [
+    (r'\btype\s+\w+\s*=', 12),
+    (r'\binterface\s+\w+', 12),
+    (r':\s*[A-Z][a-zA-Z]*\s*[;\)\}]', 10),
+    (r'as\s+[A-Z][a-zA-Z]*', 8),
+    (r'<[A-Z][a-zA-Z]*>', 7),
+    (r'\btype\s+fix\b', 8),
+    (r'\bfix.*type error\b', 9),
+    (r'\bnoImplicitAny\b', 11),
+    (r'\bstrictNullChecks\b', 11),
+    (r'\badd.*\btype\b', 6),
+    (r'\bimprove.*\btyping\b', 7),
+    (r'\brefactor.*\btype\b', 6),
 ]
-TYPE_KEYWORD_SCORES = [12, 12, 10, 8, 7, 8, 9, 11, 11, 6, 7, 6]
-PATCH_PATTERNS = [
-    r'.*:\s*[a-zA-Z_][\w]*\s*[;\)\}]',
-    r'.*:\s*[A-Z][a-zA-Z]*\s*[;\)\}]',
-    r'(interface|type)\s+\w+',
-    r'.*\s+as\s+[A-Z][a-zA-Z]*',
-    r'.*<[^<>]*[A-Z][a-zA-Z][^<>]*>',
-    r'.*:\s*any\b',
+# A pattern of whole added lines, mark included, and what it scores: the first that matches counts.
+SCORED_LINES = [
+    (r'^\+\s*.*:\s*[a-zA-Z_][\w]*\s*[;\)\}]', 15),
+    (r'^\+\s*.*:\s*[A-Z][a-zA-Z]*\s*[;\)\}]', 18),
+    (r'^\+\s*(interface|type)\s+\w+', 25),
+    (r'^\+\s*.*\s+as\s+[A-Z][a-zA-Z]*', 12),
+    (r'^\+\s*.*<[^<>]*[A-Z][a-zA-Z][^<>]*>', 10),
+    (r'^\+\s*.*:\s*any\b', 18),
 ]
-PATCH_SCORES = [15, 18, 25, 12, 10, 18]
+# The same of added lines without marks and outer blanks.
+SCORED_STRIPPED_LINES = [
+    (r'.*:\s*[a-zA-Z_][\w]*\s*[;\)\}]', 15),
+    (r'.*:\s*[A-Z][a-zA-Z]*\s*[;\)\}]', 18),
+    (r'(interface|type)\s+\w+', 25),
+    (r'.*\s+as\s+[A-Z][a-zA-Z]*', 12),
+    (r'.*<[^<>]*[A-Z][a-zA-Z][^<>]*>', 10),
+    (r'.*:\s*any\b', 18),
+]
+LEAST_TEXT, LEAST_PATCH, LEAST_TOTAL, PER_FILE = 10, 18, 28, 2
+TYPE_KEYWORDS = [p for p, _ in SCORED_KEYWORDS]
+PATCH_PATTERNS = [p for p, _ in SCORED_STRIPPED_LINES]
+# Over the lines of a patch: at most once a line; and a typed removed line right before an added one that says any.
+ANY_ADDED_LINE = r'^\+\s*.*:\s*any\b'
+ANY_REMOVED_LINE = r'^\-\s*.*:\s*any\b'
+ANY_REPLACED_LINES = r'^\-\s*.*:\s*([a-zA-Z_][\w\[\]<>]*)\s*[;\)\}]?\s*$\n^\+\s*.*:\s*any\b'
 FALSE_POSITIVES = [
     r'type\s*=\s*["\']',
     r'typeof\s+\w+',
@@ -104,7 +120,91 @@ UNWRAP_PATTERN = r'\.\s*(?:unwrap|expect)\s*\('
 AS_CAST_PATTERN = r'\bas\s+(?:[iu](?:8|16|32|64|128|size)|f32|f64|bool|char|usize|isize|\*(?:const|mut)|&)'
 AI_AGENTS = ["OpenAI_Codex", "Devin", "Copilot", "Cursor", "Claude_Code"]
 
-# The catalogues of the C# and Rust extractors: keywords and false positives in either case, patch patterns and features as written.
+# The features of the TypeScript extractor, as written, over added lines with their marks.
+TS_EXTRACTED = {
+    'generics': r'(interface|type|class|function|declare\s+function|const\s+\w+\s*:\s*)\s*\w+\s*<[^<>]+>',
+    'conditional_type': r'\bextends\b\s*[^?]*\?\s*[^:]*:\s*',
+    'infer': r'\binfer\s+\w+\b',
+    'mapped_type': r'\[\s*(readonly\s+)?([A-Za-z_]\w*)\s+in\s+keyof\s+\w+\s*(\s*\?)?\s*\]',
+    'key_remap': r'\[[^\]]+in[^\]]+\bas\s+[A-Za-z_]\w+[^\]]*\]',
+    'template_literal_type': r'`[^`]*\$\{[^}]+}[^`]*`',
+    'satisfies': r'\s+satisfies\s+',
+    'as_const': r'\bas\s+const\b',
+    'non_null_assertion': r'!\s*([\.\[(])',
+    'type_guard_is': r':\s*\(?\s*\w+\s+is\s+\w+',
+    'keyof': r'\bkeyof\b',
+    'typeof': r'\btypeof\b',
+    'in_operator': r'\[[^\]]*\bin\b[^\]]*\]',
+    'intersection_type': r'[A-Za-z0-9)\]]\s*&\s*[A-Za-z0-9(\[]',
+    'union_type': r'[A-Za-z0-9)\]]\s*\|\s*[A-Za-z0-9(\[]',
+    'indexed_access': r'\w+\s*\[\s*keyof\s*\w+\s*\]',
+    'utility_type_usage': r'\b(Partial|Required|Readonly|Pick|Omit|Record|ReturnType|InstanceType|Parameters|ConstructorParameters|Awaited|ThisType|Exclude|Extract|NonNullable)\s*<',
+    'recursive_type': r'type\s+(\w+)\s*=\s*.*\b\1\b',
+    'const_assertion': r'(as\s+const)|(\{[^}]+\}\s+as\s+const)',
+    'discriminated_union': r'\b(kind|type|tag)\s*:\s*(\'[A-Za-z_0-9]+\'|"[A-Za-z_0-9]+")',
+    'unique_symbol': r'\bunique\s+symbol\b',
+    'readonly_modifier': r'\b(readonly\s+([A-Za-z_]\w+|\[))|(\{[^}]*readonly\s+\w+:[^}]*\})',
+    'optional_property': r'\w+\s*\?:',
+}
+# Those of human changes in TypeScript: likewise.
+TS_HUMAN = {
+    'generics': r'(interface|type|class|function)\s+\w*\s*<[^<>]+>',
+    'conditional_type': r'\bextends\b[^?]+\?.+:.+',
+    'satisfies': r'\s+satisfies\s+',
+    'as_const': r'\bas\s+const\b',
+    'non_null_assertion': r'!\s*([\.\[(])',
+    'type_guard_is': r':\s*\(?\s*\w+\s+is\s+\w+',
+    'keyof_typeof': r'\bkeyof\s+typeof\b',
+}
+# The analysis of features counts these besides, in either case, over all lines that start with the mark.
+TS_ANALYSIS = TS_FEATURES | {
+    'discriminated_unions': r'(?:type|interface)\s+\w+\s*=\s*(?:\{[^}]*\|\s*[^}]*\}|\w+\s*\|\s*\w+)',
+    'type_predicates': r':\s*\w+\s+is\s+\w+',
+    'namespace_types': r'namespace\s+\w+\s*\{',
+}
+TS_SUBSET = {k: TS_FEATURES[k] for k in ('generics', 'union_types', 'type_assertions', 'optional_chaining', 'non_null_assertion', 'type_guards', 'satisfies', 'as_const', 'nullish_coalescing', 'keyof_typeof')}
+CSHARP_ANALYSIS = CSHARP_FEATURES | {
+    'readonly_struct': r'\breadonly\s+struct',
+    'ref_struct': r'\bref\s+struct',
+    'in_parameter': r'\bin\s+\w+',
+    'out_parameter': r'\bout\s+\w+',
+    'ref_parameter': r'\bref\s+\w+',
+}
+CSHARP_NULLS = {
+    'null_coalescing': r'\?\?',
+    'null_conditional': r'\?\.',
+}
+CSHARP_SUBSET = {k: CSHARP_FEATURES[k] for k in ('generics', 'nullable', 'null_forgiving', 'pattern_matching', 'async_await', 'linq')} | CSHARP_NULLS
+CSHARP_SAFETY = {k: CSHARP_FEATURES[k] for k in ('null_forgiving', 'nullable', 'pattern_matching')} | CSHARP_NULLS
+TS_SAFETY = {k: TS_ANALYSIS[k] for k in ('type_guards', 'non_null_assertion', 'type_predicates', 'satisfies', 'as_const')}
+# As written, over added lines without marks.
+RUST_ANALYSIS = RUST_FEATURES | {
+    'phantom_data': r'\bPhantomData\s*<',
+    'impl_block': r'\bimpl(?:\s*<[^>]+>)?\s+[A-Z]\w*',
+    'send_sync': r'\b(?:Send|Sync)\b',
+}
+# How features count in tiers and scores.
+TIERS = {
+    'Basic': ['union_types', 'type_assertions', 'optional_chaining', 'nullish_coalescing'],
+    'Intermediate': ['generics', 'utility_types', 'keyof_typeof', 'as_const'],
+    'Advanced': ['conditional_types', 'type_guards', 'satisfies', 'intersection_types'],
+}
+SOPHISTICATION = {
+    'generics': 2.0,
+    'conditional_types': 3.0,
+    'mapped_types': 3.0,
+    'type_guards': 2.5,
+    'utility_types': 1.5,
+    'satisfies': 2.5,
+    'template_literals': 2.0,
+    'union_types': 1.0,
+    'intersection_types': 1.5,
+    'as_const': 1.5,
+}
+MODERN = ['optional_chaining', 'nullish_coalescing', 'satisfies', 'template_literals']
+LEGACY = ['type_assertions', 'namespace_types', 'enum_types']
+
+# The catalogues of the C# and Rust extractors: keywords and false positives in either case, patch patterns and features as written, over added lines without marks.
 CSHARP_KEYWORDS = [
     r'\bclass\s+\w+',
     r'\binterface\s+\w+',
@@ -237,3 +337,5 @@ RUST_EXTRACTED = {
     'transmute': r'\bmem::transmute\b|\btransmute\s*::\s*<',
     'any_trait': r'\b(?:std::)?any::Any\b|\bdyn\s+Any\b',
 }
+# What human changes in C# count: the first of the extractor's, over added lines with their marks.
+CSHARP_HUMAN = {k: CSHARP_EXTRACTED[k] for k in ('generics', 'nullable', 'null_forgiving', 'var', 'dynamic', 'record', 'init', 'required', 'is_pattern', 'typeof', 'as_cast')}

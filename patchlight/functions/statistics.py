@@ -57,13 +57,22 @@ def _log_factorial(n: Column) -> Column:
 
 
 def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided: the probability of all tables with these margins that are no likelier than (a, b; c, d)."""
+    """Two-sided: the probability of all tables with these margins that are no likelier than (a, b; c, d).
+
+    Only tables within 40 deviations of the likeliest one are summed up: all others together add less than 1e-300.
+    """
+    a, b, c, d = (x.cast("bigint") for x in (a, b, c, d))
     r1, r2, c1 = a + b, c + d, a + c
+    n = (r1 + r2).cast("double")
     base = _log_factorial(r1) + _log_factorial(r2) + _log_factorial(c1) + _log_factorial(b + d) - _log_factorial(r1 + r2)
     chance = lambda x: F.exp(base - _log_factorial(x) - _log_factorial(r1 - x) - _log_factorial(c1 - x) - _log_factorial(r2 - c1 + x))
-    every = F.transform(F.sequence(F.greatest(F.lit(0).cast("bigint"), c1 - r2), F.least(r1, c1)), chance)
+    mean = F.coalesce(F.try_divide(r1.cast("double") * c1, n), F.lit(0.0))
+    wide = 40 * F.sqrt(F.coalesce(F.try_divide(mean * F.try_divide(r2.cast("double"), n) * (b + d), F.greatest(n - 1, F.lit(1.0))), F.lit(0.0))) + 50
+    lo = F.greatest(F.lit(0).cast("bigint"), c1 - r2, F.floor(mean - wide).cast("bigint"))
+    hi = F.least(r1, c1, F.ceil(mean + wide).cast("bigint"))
     seen = chance(a)
-    return F.least(F.lit(1.0), F.aggregate(F.filter(every, lambda p: p <= seen * (1 + 1e-7)), F.lit(0.0), lambda s, p: s + p))
+    tails = F.aggregate(F.filter(F.transform(F.sequence(lo, hi), chance), lambda p: p <= seen * (1 + 1e-7)), F.lit(0.0), lambda s, p: s + p)
+    return F.least(F.lit(1.0), F.greatest(tails, seen))
 
 
 def stars(p: Column) -> Column:
@@ -79,30 +88,85 @@ def size_of_v(v: Column) -> Column:
     return F.when(v < 0.1, "negligible").when(v < 0.3, "small").when(v < 0.5, "medium").otherwise("large")
 
 
+#: The values of a key are ranked within so many stretches, about.
+STRETCHES = 64
+
+
+def running_counts(values: DataFrame, by: list[str], x: str, n: str) -> DataFrame:
+    """values (one row for each by and x) and upto: the sum of n over all x up to this one, for each by.
+
+    A key's values are cut at quantiles into STRETCHES; sums run within these, so no task has to hold a key.
+    """
+    cuts = values.groupBy(*by).agg(F.percentile_approx(x, [i / STRETCHES for i in range(1, STRETCHES)], 1000).alias("__cuts"))
+    v = values.join(cuts, by).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(x)))).drop("__cuts")
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = v.groupBy(*by, "__part").agg(F.sum(n).alias("__m")).select(*by, "__part", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__first"))
+    here = Window.partitionBy(*by, "__part").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    return v.withColumn("upto", F.sum(n).over(here)).join(firsts, [*by, "__part"]).withColumn("upto", F.col("upto") + F.col("__first")).drop("__part", "__first")
+
+
 def midranks(df: DataFrame, x: str, by: list[str], out: str = "rank") -> DataFrame:
     """df and the mean rank of x among the rows of its by. Distinct values are counted first, so only those are put in order, not rows."""
-    values = df.groupBy(*by, x).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
-    values = values.withColumn(out, below - (F.col("__n") - F.lit(1.0)) / F.lit(2.0)).withColumn("__ties", F.col("__n"))
-    return df.join(values.drop("__n"), [*by, x])
+    values = running_counts(df.groupBy(*by, x).agg(F.count("*").alias("__n")), by, x, "__n")
+    values = values.withColumn(out, F.col("upto") - (F.col("__n") - F.lit(1.0)) / F.lit(2.0)).withColumn("__ties", F.col("__n"))
+    return df.join(values.drop("__n", "upto"), [*by, x])
+
+
+def exact_u_p(u: Column, n1: Column, n2: Column) -> Column:
+    """Two-sided p of U among n1 and n2 values without ties, one of the counts 8 at most: twice the part of all orders whose U is as far out.
+
+    The number of orders with each U grows by one row at a time: with i rows it is the sum, over the places that the i-th
+    one takes, of the numbers with i - 1 rows.
+    """
+    m, n = F.least(n1, n2).cast("int"), F.greatest(n1, n2).cast("int")
+    top = m * n
+    far = F.greatest(u, n1 * n2 - u).cast("int")
+    start = F.transform(F.sequence(F.lit(0), top), lambda j: F.when(j == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+    def more(ways: Column, step: Column) -> Column:
+        # with i rows, first times 1 - q^(n + i), then by 1 - q^i: steps 2i and 2i + 1
+        i = F.shiftright(step, 1)
+        longer = F.transform(ways, lambda w, j: w - F.coalesce(F.get(ways, j - n - i), F.lit(0.0)))
+        summed = F.transform(ways, lambda w, j: F.aggregate(F.sequence(j % i, j, i), F.lit(0.0), lambda s, k: s + F.coalesce(F.get(ways, k), F.lit(0.0))))
+        return F.when(step % 2 == 0, longer).otherwise(summed)
+
+    ways = F.aggregate(F.sequence(F.lit(2), 2 * m + 1), start, more)
+    sums = F.aggregate(ways, F.struct(F.lit(0.0).alias("tail"), F.lit(0.0).alias("all"), F.lit(0).alias("at")), lambda s, w: F.struct(
+        (s["tail"] + F.when(s["at"] >= far, w).otherwise(0.0)).alias("tail"), (s["all"] + w).alias("all"), (s["at"] + 1).alias("at")))
+    return F.aggregate(F.array(sums), F.lit(0.0), lambda x, r: F.least(F.lit(1.0), 2 * r["tail"] / r["all"]))
+
+
+#: The exact p is taken where one side has so many values at most, none is tied, and the sides' product is below EXACT_UP_TO.
+SMALL, EXACT_UP_TO = 8, 1024
 
 
 def mann_whitney(df: DataFrame, x: str, first: Column, by: list[str]) -> DataFrame:
-    """For each by: n1, n2, u1, p (two-sided, normal, corrected for ties and continuity) and rank_biserial, of the rows where first holds against the others.
+    """For each by: n1, n2, u1, p (two-sided), rank_biserial and greatest (of x), of the rows where first holds against the others.
 
-    Works on the counts of distinct values, of which a task holds one by's at most.
+    p is exact for small samples without ties (see SMALL), else normal, corrected for ties and continuity; where all
+    values are equal it is 1. Null values don't count. Works on the counts of distinct values.
     """
-    v = df.withColumn("__f", first).groupBy(*by, x).agg(F.count_if("__f").alias("n1"), F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
-    v = v.withColumn("rank", below.cast("double") - (F.col("n") - 1).cast("double") / F.lit(2.0))
+    v = df.where(F.col(x).isNotNull()).withColumn("__f", first).groupBy(*by, x).agg(F.count_if("__f").alias("n1"), F.count("*").alias("n"))
+    v = running_counts(v, by, x, "n")
+    v = v.withColumn("rank", F.col("upto").cast("double") - (F.col("n") - 1).cast("double") / F.lit(2.0))
     n = F.col("n").cast("double")
-    s = v.groupBy(*by).agg(F.sum("n1").alias("n1"), F.sum(F.col("n") - F.col("n1")).alias("n2"), F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum(n * n * n - n).alias("ties"))
+    s = v.groupBy(*by).agg(F.sum("n1").alias("n1"), F.sum(F.col("n") - F.col("n1")).alias("n2"), F.sum(F.col("rank") * F.col("n1")).alias("r1"), F.sum(n * n * n - n).alias("ties"), F.max(x).alias("greatest"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     total = n1 + n2
     s = s.withColumn("u1", F.col("r1") - n1 * (n1 + 1) / 2)
     sd = F.sqrt(n1 * n2 / 12 * (total + 1 - F.try_divide(F.col("ties"), total * (total - 1))))
     z = F.greatest(F.try_divide(F.abs(F.col("u1") - n1 * n2 / 2) - F.lit(0.5), sd), F.lit(0.0))
-    return s.select(*by, "n1", "n2", "u1", F.least(F.lit(1.0), erfc(z / F.sqrt(F.lit(2.0)))).alias("p"), F.coalesce(F.try_divide(2 * F.col("u1"), n1 * n2) - 1, F.lit(0.0)).alias("rank_biserial"))
+    few = (F.col("ties") == 0) & (F.least(n1, n2) <= SMALL) & (F.least(n1, n2) > 0) & (n1 * n2 < EXACT_UP_TO)
+    p = F.when(few, exact_u_p(F.col("u1"), F.col("n1"), F.col("n2"))).otherwise(F.least(F.lit(1.0), erfc(z / F.sqrt(F.lit(2.0)))))
+    return s.select(*by, "n1", "n2", "u1", p.alias("p"), F.coalesce(F.try_divide(2 * F.col("u1"), n1 * n2) - 1, F.lit(0.0)).alias("rank_biserial"), "greatest")
+
+
+def per_feature_tests(df: DataFrame, features: list[str], group: Column) -> DataFrame:
+    """mann_whitney of each feature column, as rows with the feature's name; features that are 0 in all rows have null u1, p and rank_biserial."""
+    long = df.withColumn("__g", group).unpivot("__g", features, "feature", "x")
+    t = mann_whitney(long, "x", F.col("__g"), ["feature"])
+    used = F.col("greatest") > 0
+    return t.select("feature", "n1", "n2", *[F.when(used, F.col(c)).alias(c) for c in ("u1", "p", "rank_biserial")])
 
 
 def cohens_d(x: Column, first: Column) -> Column:
@@ -124,3 +188,12 @@ def proportion_p(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Fisher's p where a side has fewer than 50 rows or a cell fewer than 5, else that of chi-squared."""
     few = (F.least(a + b, c + d) < 50) | (F.least(a, b, c, d) < 5)
     return F.when(few, fisher_p(a, b, c, d)).otherwise(chi2_p(chi2_yates(a, b, c, d)))
+
+
+def proportion_test(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
+    """test, p, effect_name and effect of the table (a, b; c, d): Fisher's with the odds ratio for small tables, else chi-squared with Cramer's V."""
+    few = (F.least(a + b, c + d) < 50) | (F.least(a, b, c, d) < 5)
+    return {
+        "test": F.when(few, "Fisher's exact").otherwise("Chi-square"), "p": proportion_p(a, b, c, d), "effect_name": F.when(few, "OR").otherwise("V"),
+        "effect": F.when(few, odds_ratio(a, b, c, d)).otherwise(cramers_v(chi2_yates(a, b, c, d), a + b + c + d)),
+    }

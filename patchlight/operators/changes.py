@@ -42,6 +42,21 @@ def unit_of(unit: str, at: Column) -> Column:
     return F.date_trunc(unit, at.cast("timestamp")).cast("timestamp_ntz")
 
 
+def change_pattern(ratio: Column) -> Column:
+    """How deletions stand to additions."""
+    return F.when(F.abs(ratio - 1) < 0.5, "Balanced Changes").when(ratio < 0.5, "More Additions").when(ratio > 1.5, "More Deletions")
+
+
+def quality_flags(patch: Column) -> dict[str, Column]:
+    """What a patch holds: the first three in any case, the others in just theirs; a null patch holds nothing."""
+    p = F.coalesce(patch, F.lit(""))
+    low = F.lower(p)
+    return {
+        "has_tests": low.contains("test") | low.contains("spec"), "has_todo": low.contains("todo") | low.contains("fixme"), "has_eslint_disable": low.contains("eslint-disable"),
+        "has_ts_ignore": p.contains("@ts-ignore") | p.contains("@ts-nocheck"), "has_any_type": p.contains(": any") | p.contains("<any>"),
+    }
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is not above 0."""
     return F.when(b > 0, a.cast("double") / b.cast("double")).otherwise(F.lit(0.0))
@@ -53,18 +68,27 @@ def left_with_zeros(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     return df.join(stats, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in new})
 
 
-def commit_stats(details: DataFrame) -> DataFrame:
-    """Sums of a change's details, and the number of its different files."""
-    return details.groupBy("pr_id").agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.sum("changes").alias("changes"), F.countDistinct("filename").alias("files"))
+def commit_stats(details: DataFrame, *more: Column) -> DataFrame:
+    """Sums of a change's details, and the number of its different files; and what more aggregates give."""
+    return details.groupBy("pr_id").agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.sum("changes").alias("changes"), F.countDistinct("filename").alias("files"), *more)
 
 
 def joined_text(df: DataFrame, key: str, order: list[str], piece: Column, separator: str, first: int | None = None) -> DataFrame:
-    """Each key's pieces (the first ones, if a number is given), in order, as one text."""
+    """Each key's pieces (the first ones, if a number is given: others don't get as far as the grouping), in order, as one text."""
+    if first:
+        df = df.withColumn("__piece", piece)
+        df, piece = first_rows(df, [key], [F.col(c) for c in [*order, "__piece"]], first), F.col("__piece")
     rows = F.array_sort(F.collect_list(F.struct(*order, piece.alias("__piece"))))
-    rows = F.slice(rows, 1, first) if first else rows
     return df.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["__piece"]), separator).alias("text"))
 
 
+def collected_patches(details: DataFrame, order: list[str]) -> DataFrame:
+    """Each pr_id's patches that aren't blank, in order, each under a header '=== filename (+additions/-deletions) ==='."""
+    d = details.where(F.btrim(F.col("patch"), F.lit(" \t\n\r")) != "")
+    head = F.format_string("=== %s (+%s/-%s) ===\n", F.col("filename"), F.col("additions").cast("string"), F.col("deletions").cast("string"))
+    return joined_text(d, "pr_id", [*order, "patch", "additions", "deletions"], F.concat(head, F.col("patch")), "\n\n")
+
+
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """Each by's first n rows."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
@@ -84,17 +108,37 @@ def spread(x: Column) -> dict[str, Column]:
     return {"mean": F.avg(x), "std": F.stddev_samp(x), "sem": sem, "ci": F.lit(1.96) * sem}
 
 
+def units(df: DataFrame, unit: str) -> DataFrame:
+    """One row for each unit of time from the first to the last that column unit of df has."""
+    return df.agg(F.min(unit).alias("a"), F.max(unit).alias("b")).select(F.explode(F.sequence("a", "b", F.expr(f"interval 1 {unit}"))).alias(unit))
+
+
 def calendar(df: DataFrame, at: str, unit: str = "month") -> DataFrame:
     """Counts for each unit of time from the first to the last, gaps as 0."""
     counts = df.where(F.col(at).isNotNull()).groupBy(unit_of(unit, F.col(at)).alias(unit)).agg(F.count("*").alias("n"))
-    every = counts.agg(F.min(unit).alias("a"), F.max(unit).alias("b")).select(F.explode(F.sequence("a", "b", F.expr(f"interval 1 {unit}"))).alias(unit))
-    return every.join(counts, unit, "left").select(unit, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return units(counts, unit).join(counts, unit, "left").select(unit, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def rolling_mean(df: DataFrame, by: list[str], at: str, x: Column, days: int = 30) -> DataFrame:
-    """df and the mean of x over (t - days, t], for each by."""
-    w = Window.partitionBy(*by).orderBy(micros(F.col(at))).rangeBetween(1 - days * 86_400_000_000, 0)
-    return df.withColumn("rolling", F.avg(x).over(w))
+    """df and the mean of x over (t - days, t], for each by; rows of one time have the same. Rows without a time have none, nor count.
+
+    The difference of two running sums: up to t, and up to t - days, which a probe at that time reads,
+    after all rows that stand there. Sums run within days, after the sums of the days before, so no task holds more than a day.
+    """
+    us, span = 86_400_000_000, days * 86_400_000_000
+    t = df.select(*by, micros(F.col(at)).alias("__t"), x.cast("double").alias("__x")).where("__t is not null")
+    seen = t.groupBy(*by, "__t").agg(F.coalesce(F.sum("__x"), F.lit(0.0)).alias("__s"), F.count("__x").alias("__n"))
+    marks = seen.withColumn("__k", F.lit(0)).unionByName(seen.select(*by, (F.col("__t") - span).alias("__t"), F.lit(0.0).alias("__s"), F.lit(0).cast("bigint").alias("__n"), F.lit(1).alias("__k")))
+    marks = marks.withColumn("__d", F.floor(F.col("__t") / us))
+    daily = marks.groupBy(*by, "__d").agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    daily = daily.select(*by, "__d", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__s0"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"))
+    here = Window.partitionBy(*by, "__d").orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    run = marks.withColumns({"__s": F.sum("__s").over(here), "__n": F.sum("__n").over(here)}).join(daily, [*by, "__d"])
+    run = run.select(*by, (F.col("__t") + F.when(F.col("__k") == 1, span).otherwise(0)).alias("__t"), "__k", (F.col("__s") + F.col("__s0")).alias("__s"), (F.col("__n") + F.col("__n0")).alias("__n"))
+    part = lambda c, k: F.max(F.when(F.col("__k") == k, F.col(c)))
+    means = run.groupBy(*by, "__t").agg(F.try_divide(part("__s", 0) - part("__s", 1), part("__n", 0) - part("__n", 1)).alias("rolling"))
+    return df.withColumn("__t", micros(F.col(at))).join(means, [*by, "__t"], "left").drop("__t")
 
 
 def sampled(df: DataFrame, strata: str, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -150,3 +194,27 @@ def judged(classified: Column, validation: Column, error: Column) -> tuple[Colum
     """The final label (positive and approved) and the validation, which is ERROR, and the label false, after an error."""
     failed = F.coalesce(error, F.lit(False))
     return ~failed & F.coalesce(classified & (validation == "APPROVED"), F.lit(False)), F.when(failed, "ERROR").otherwise(F.coalesce(validation, F.lit("UNCERTAIN")))
+
+
+def stored_means(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Means of columns that may hold numbers as text; what is no number counts as 0, and so does a column that isn't there."""
+    x = lambda n: F.coalesce(F.expr(f"try_cast(`{n}` as double)"), F.lit(0.0)) if n in df.columns else F.lit(0.0)
+    return df.groupBy(*by).agg(*[F.round(F.avg(x(n)), 6).alias(n) for n in names])
+
+
+def histogram(df: DataFrame, by: str, x: str, most: int) -> DataFrame:
+    """by, bin, n, density: whole numbers x in bins of one from 0 to the least of most and the greatest x of each by; the last bin holds its upper end, too, and none what lies beyond."""
+    counts = df.groupBy(by, x).agg(F.count("*").alias("n"))
+    tops = counts.groupBy(by).agg(F.max(x).alias("top"))
+    last = tops.agg(F.least(F.min("top"), F.lit(most)).alias("last"), F.collect_set(by).alias("names"))
+    bins = last.select(F.explode("names").alias(by), "last").select(by, "last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint"))).alias("bin"))
+    of = counts.join(last.select("last"), F.col(x) <= F.col("last") + 1).groupBy(by, F.least(x, "last").cast("bigint").alias("bin")).agg(F.sum("n").alias("n"))
+    out = bins.drop("last").join(of, [by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.withColumn("density", F.round(F.try_divide(F.col("n").cast("double"), F.sum("n").over(Window.partitionBy(by)).cast("double")), 6))
+
+
+def weekdays(df: DataFrame, at: str) -> DataFrame:
+    """weekday (0: Monday), n, share (in percent): all seven, days without rows as 0."""
+    n = df.where(F.col(at).isNotNull()).groupBy(F.weekday(at).cast("bigint").alias("weekday")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(7).select(F.col("id").alias("weekday")).join(n, "weekday", "left").select("weekday", F.coalesce("n", F.lit(0)).alias("n"))
+    return every.withColumn("share", F.round(F.try_divide(F.lit(100.0) * F.col("n"), F.sum("n").over(Window.partitionBy()).cast("double")), 6))

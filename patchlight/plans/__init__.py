@@ -1 +1 @@
-from patchlight.plans import kernels, queries  # noqa: F401  (both register their queries)
+from patchlight.plans import extraction, kernels, labelling, queries  # noqa: F401  (all register their queries)

@@ -32,89 +32,75 @@ def sink_csv(spark, sf):
     return tables.csv(spark, path, "o_orderkey bigint, o_orderstatus string")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", prs=False)
+@query("SELECT page_id, url, length(url) AS n FROM pages", prs=False)
+def src_csv_chunked(spark, sf):
+    """Fields without line breaks: files are split, and read in chunks of some bytes."""
+    path = files.fresh_folder(spark, "pages-lines")
+    files.write_csv(tables.parquet(spark, sf, "pages").select("page_id", "url"), path)
+    return tables.csv(spark, path, "page_id bigint, url string", lines=True).select("page_id", "url", F.length("url").cast("bigint").alias("n"))
+
+
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query("SELECT c_custkey, c_name FROM customer", prs=False)
 def incremental_save(spark, sf):
-    """Each batch is appended to what earlier ones stored."""
+    """Each batch (a segment, and at last what belongs to none) is appended to what earlier ones stored."""
     path, c = files.fresh_folder(spark, "saved"), tables.parquet(spark, sf, "customer")
-    for segment in ("BUILDING", "MACHINERY"):
-        files.write_csv(c.where(F.col("c_mktsegment") == segment).select("c_custkey", "c_name"), path, "append")
+    known = F.coalesce(F.col("c_mktsegment").isin(_SEGMENTS), F.lit(False))
+    for batch in [F.col("c_mktsegment") == s for s in _SEGMENTS] + [~known]:
+        files.write_csv(c.where(batch).select("c_custkey", "c_name"), path, "append")
     return tables.csv(spark, path, "c_custkey bigint, c_name string")
 
 
-@query("SELECT page_id FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages s WHERE s.page_id % 2 = 0 AND s.url = p.url)", prs=False)
-def resume_dedup(spark, sf):
-    pages = tables.parquet(spark, sf, "pages")
-    return tables.not_seen(pages, pages.where("page_id % 2 = 0"), "url").select("page_id")
-
-
 @query("SELECT turn::BIGINT AS number, text AS title, 'c/' || conv_id AS html_url, role AS user_login FROM conversations", prs=False)
 def src_rest_search(spark, sf):
-    """Recorded pages of 30 hits at most, replayed."""
+    """Stored answers to searches (files of JSON, 30 hits a line at most) as rows."""
     user = F.struct(F.col("role").alias("login"))
     item = F.struct(F.col("turn").cast("bigint").alias("number"), F.col("text").alias("title"), F.concat(F.lit("c/"), F.col("conv_id").cast("string")).alias("html_url"), user.alias("user"))
-    pages = tables.parquet(spark, sf, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 30)).agg(F.to_json(F.struct(F.count("*").alias("total_count"), F.collect_list(item).alias("items"))).alias("payload"))
-    return files.search_hits(pages, "payload")
+    pages = tables.parquet(spark, sf, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 30)).agg(F.to_json(F.struct(F.count("*").alias("total_count"), F.collect_list(item).alias("items"))).alias("value"))
+    path = files.fresh_folder(spark, "searches")
+    pages.select("value").write.text(path)
+    return files.search_hits(spark.read.text(path), "value")
 
 
-_PROBED = {"page_id": "bigint", "url": "string", "html": "string"}
-
+@query("SELECT agent_group, count(*) AS total, count(*) FILTER (WHERE status = 'merged') AS merged, sum(additions)::BIGINT AS additions FROM p GROUP BY agent_group")
+def sink_json_summary(spark, sf):
+    """A summary written as a line of JSON for each group, and read back."""
+    s = prs(spark, sf).groupBy("agent_group").agg(F.count("*").alias("total"), F.count_if(_merged()).alias("merged"), F.sum("additions").alias("additions"))
+    path = files.fresh_folder(spark, "summary")
+    files.write_json(s, path)
+    return spark.read.schema(s.schema).json(path)
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS name, '{t}' AS type, count(*) AS rows, count({c}) AS filled FROM pages" for c, t in _PROBED.items()), prs=False)
-def schema_probe(spark, sf):
-    return files.probe(tables.parquet(spark, sf, "pages").select(*_PROBED))
 
-
-@query("SELECT '| ' || agent_group || ' | ' || count(*) || ' |' AS line FROM p GROUP BY agent_group")
+@query("SELECT '| agent_group | n | merged |' AS line UNION ALL SELECT '|---|---|---|' UNION ALL SELECT '| ' || agent_group || ' | ' || count(*) || ' | ' || count(*) FILTER (WHERE status = 'merged') || ' |' FROM p GROUP BY agent_group")
 def sink_md(spark, sf):
-    r = prs(spark, sf).groupBy("agent_group").agg(F.count("*").alias("n"))
-    return r.select(files.report(r).alias("line"))
-
-
-# Selecting and labelling
+    """A table as one Markdown file, and its lines."""
+    r = prs(spark, sf).groupBy("agent_group").agg(F.count("*").alias("n"), F.count_if(_merged()).alias("merged"))
+    path = files.fresh_folder(spark, "report")
+    files.write_markdown(r, path, ["agent_group"])
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-def _any_sql(patterns: list[str], x: str = "t", flags: str = "(?i)") -> str:
-    return "(" + " OR ".join(f"regexp_matches({x}, {_quoted(flags + p)})" for p in patterns) + ")"
-
-
-_LINE_HIT = f"len(list_filter(string_split(t, chr(10)), lambda x: {_any_sql(C.PATCH_PATTERNS, 'trim(x)', '')})) > 0"
-
-
-def _line_hit() -> Column:
-    return F.exists(P.lines(F.col("t")), lambda x: P.any_match(F.trim(x), C.PATCH_PATTERNS))
-
-
-@query(f"SELECT page_id, {_any_sql(C.FALSE_POSITIVES)} AS fp FROM {_ASCII}", prs=False)
-def has_fp(spark, sf):
-    return _ascii_pages(spark, sf).select("page_id", P.any_match(F.col("t"), C.FALSE_POSITIVES, True).alias("fp"))
-
-
-@query(f"SELECT page_id, {_any_sql(C.TYPE_KEYWORDS)} AS keyword FROM {_ASCII}", prs=False)
-def has_type_keywords(spark, sf):
-    return _ascii_pages(spark, sf).select("page_id", P.any_match(F.col("t"), C.TYPE_KEYWORDS, True).alias("keyword"))
+@query("SELECT page_id FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages s WHERE s.page_id % 2 = 0 AND s.url = p.url)", prs=False)
+def resume_dedup(spark, sf):
+    pages = tables.parquet(spark, sf, "pages")
+    return tables.not_seen(pages, pages.where("page_id % 2 = 0"), "url").select("page_id")
 
 
-@query(f"SELECT page_id, {_LINE_HIT} AS hit FROM {_ASCII}", prs=False)
-def has_patch_type_patterns(spark, sf):
-    return _ascii_pages(spark, sf).select("page_id", _line_hit().alias("hit"))
+_PROBED = {"page_id": "bigint", "url": "string", "html": "string"}
 
 
-def _type_query(name: str, patterns: list[str], need_count: bool) -> None:
-    counts = [f"coalesce(len(regexp_extract_all(t, {_quoted('(?i)' + p)})), 0) > 0" for p in patterns]
-    hit, counted = f"({_any_sql(C.TYPE_KEYWORDS)} OR {_LINE_HIT})", "(" + " OR ".join(counts) + ")"
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, '{t}' AS type, count(*) AS rows, count({c}) AS filled FROM pages" for c, t in _PROBED.items()), prs=False)
+def schema_probe(spark, sf):
+    return files.probe(tables.parquet(spark, sf, "pages").select(*_PROBED))
 
-    def run(spark: SparkSession, sf: str):
-        n = [P.occurrences(F.col("t"), p, True) for p in patterns]
-        fp, keyword = P.any_match(F.col("t"), C.FALSE_POSITIVES, True), P.any_match(F.col("t"), C.TYPE_KEYWORDS, True)
-        return _ascii_pages(spark, sf).where(O.type_related(F.length("t"), fp, n, keyword, _line_hit(), need_count)).select("page_id")
 
-    run.__name__ = name
-    query(f"SELECT page_id FROM {_ASCII} WHERE length(t) > 0 AND NOT {_any_sql(C.FALSE_POSITIVES)} AND ({counted} {'AND' if need_count else 'OR'} {hit})", prs=False)(run)
+# Selecting and labelling
 
 
-_type_query("filter_type_prs_ts", [C.ANY_PATTERN], True)
-_type_query("filter_type_prs_cs", [C.DYNAMIC_PATTERN], False)
-_type_query("filter_type_prs_rs", [C.UNSAFE_PATTERN, C.UNWRAP_PATTERN, C.AS_CAST_PATTERN], False)
+def _any_sql(patterns: list[str], x: str = "t", flags: str = "(?i)") -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, {_quoted(flags + p)})" for p in patterns) + ")"
 
 
 #: By language, the extractor's keywords, patch patterns, false positives and features.
@@ -201,11 +187,6 @@ def quality_score(spark, sf):
     return prs(spark, sf).select("id", F.round(O.quality_score(f > 3, d > 10, d > 20, a > 150, a > 100, _merged(), f.cast("double") / 10), 6).alias("score"))
 
 
-@query("SELECT id, round(CASE WHEN changes > 0 THEN 100.0::DOUBLE * files / changes ELSE 0 END, 6) AS density FROM p")
-def feature_density(spark, sf):
-    return prs(spark, sf).select("id", F.round(O.ratio(100 * F.col("files"), F.col("changes")), 6).alias("density"))
-
-
 _HOURS = "epoch_us(merged_at - created_at) / 3.6e9"
 
 
@@ -309,36 +290,6 @@ def patch_concat(spark, sf):
     return O.joined_text(rows.withColumn("at", F.col("text")), "conv_id", ["turn", "at"], F.col("text"), "\n")
 
 
-_SCORE = "(" + " + ".join(f"CASE WHEN regexp_matches(lower(t), {_quoted(p)}) THEN {s} ELSE 0 END" for p, s in zip(C.TYPE_KEYWORDS, C.TYPE_KEYWORD_SCORES)) + ")::BIGINT"
-_LINE_SCORE = "coalesce(list_sum(list_transform(string_split(t, chr(10)), lambda x: CASE " + " ".join(f"WHEN regexp_matches(x, {_quoted(p)}) THEN {s}" for p, s in zip(C.PATCH_PATTERNS, C.PATCH_SCORES)) + " ELSE 0 END)), 0)::BIGINT"
-
-
-def _scores() -> tuple[Column, Column]:
-    return P.score_text(F.col("t"), C.TYPE_KEYWORDS, C.TYPE_KEYWORD_SCORES), P.score_lines(P.lines(F.col("t")), C.PATCH_PATTERNS, C.PATCH_SCORES)
-
-
-@query(f"SELECT page_id, {_SCORE} AS score FROM {_ASCII}", prs=False)
-def score_text(spark, sf):
-    return _ascii_pages(spark, sf).select("page_id", _scores()[0].alias("score"))
-
-
-@query(f"SELECT page_id, {_LINE_SCORE} AS score FROM {_ASCII}", prs=False)
-def score_patch(spark, sf):
-    return _ascii_pages(spark, sf).select("page_id", _scores()[1].alias("score"))
-
-
-@query(f"SELECT page_id, {_SCORE} + {_LINE_SCORE} + 2 AS total FROM {_ASCII}", prs=False)
-def total_score(spark, sf):
-    """Of text and patch, and 2 for each file (a page is one)."""
-    text, patch = _scores()
-    return _ascii_pages(spark, sf).select("page_id", (text + patch + F.lit(2)).alias("total"))
-
-
-@query(f"SELECT page_id % 10 AS pr, max({_SCORE}) AS best FROM {_ASCII} GROUP BY 1", prs=False)
-def max_commit_score(spark, sf):
-    return _ascii_pages(spark, sf).select((F.col("page_id") % 10).alias("pr"), _scores()[0].alias("s")).groupBy("pr").agg(F.max("s").alias("best"))
-
-
 def _by(name: str, key: str, sql: str, make) -> None:
     def run(spark: SparkSession, sf: str):
         return prs(spark, sf).groupBy(key).agg(*make())
@@ -351,16 +302,6 @@ for _suffix, _key in (("agent", "agent"), ("group", "agent_group")):
     _by(f"feature_density_by_{_suffix}", _key, "round(sum(additions)::DOUBLE / count(*), 4) AS additions, round(sum(files)::DOUBLE / count(*), 4) AS files", lambda: [F.round(F.sum(c).cast("double") / F.count("*"), 4).alias(c) for c in ("additions", "files")])
     _by(f"any_stats_by_{_suffix}", _key, "sum(additions)::BIGINT AS adds, sum(deletions)::BIGINT AS rems, sum(least(additions, deletions))::BIGINT AS reps", lambda: [F.sum("additions").alias("adds"), F.sum("deletions").alias("rems"), F.sum(F.least("additions", "deletions")).alias("reps")])
 _by("feature_stats_by_group", "agent_group", "count(*) AS n, sum(additions)::BIGINT AS total, round(avg(additions), 4) AS mean", lambda: [F.count("*").alias("n"), F.sum("additions").alias("total"), F.round(F.avg("additions"), 4).alias("mean")])
-_by("feature_means", "agent_group", "round(avg(additions), 6) AS additions, round(avg(deletions), 6) AS deletions, round(avg(files), 6) AS files", lambda: [F.round(F.avg(c), 6).alias(c) for c in ("additions", "deletions", "files")])
-_by("safety_adoption", "agent_group", "round(100.0::DOUBLE * avg((additions > 100)::INT), 6) AS adds, round(100.0::DOUBLE * avg((files > 4)::INT), 6) AS wide", lambda: [F.round(100 * F.avg((F.col(c) > n).cast("double")), 6).alias(a) for c, n, a in (("additions", 100, "adds"), ("files", 4, "wide"))])
-_by("modern_vs_legacy", "agent_group", "round(avg(additions) + avg(files), 6) AS modern, round(avg(deletions), 6) AS legacy", lambda: [F.round(F.avg("additions") + F.avg("files"), 6).alias("modern"), F.round(F.avg("deletions"), 6).alias("legacy")])
-_by("sophistication", "agent", "round(avg(additions) * 1.0::DOUBLE + avg(deletions) * 2.0::DOUBLE + avg(files) * 3.0::DOUBLE, 6) AS weighted", lambda: [F.round(F.avg("additions") * 1.0 + F.avg("deletions") * 2.0 + F.avg("files") * 3.0, 6).alias("weighted")])
-
-
-@query("SELECT CASE WHEN agent_group = 'AI' THEN agent ELSE 'Human' END AS name, round(avg(files), 6) AS mean, round(stddev_samp(files), 6) AS std FROM p GROUP BY 1")
-def diversity_by_agent(spark, sf):
-    name = F.when(F.col("agent_group") == "AI", F.col("agent")).otherwise("Human").alias("name")
-    return prs(spark, sf).groupBy(name).agg(F.round(F.avg("files"), 6).alias("mean"), F.round(F.stddev_samp("files"), 6).alias("std"))
 
 
 # Kernels over lines: lines of documents that begin with E stand for added, with T for removed ones
@@ -393,48 +334,9 @@ def _line_counts(name: str, p: str, ignore_case: bool) -> None:
     query(f"SELECT *, added - removed AS net, added + removed AS total, least(added, removed) AS replaced FROM (SELECT page_id, {a} AS added, {r} AS removed FROM {_ASCII})", prs=False)(run)
 
 
-_line_counts("any_occurrences", C.ANY_PATTERN, False)
-_line_counts("dynamic_occurrences", C.DYNAMIC_PATTERN, True)
-_line_counts("unsafe_occurrences", C.UNSAFE_PATTERN, False)
 _line_counts("tag_occurrences", "<[a-z]+", False)
 
 
-@query(_LINES + "SELECT doc_id, len(list_filter(range(1, len(l)), lambda i: regexp_matches(l[i], '^T.*[.]$') AND regexp_matches(l[i + 1], '^E.*, [a-z]')))::BIGINT AS n FROM t", prs=False)
-def any_replacements(spark, sf):
-    second = lambda x: F.regexp_like(x, P.pattern("^E.*, [a-z]"))
-    return _documents(spark, sf).select("doc_id", P.followed_by(F.col("text"), lambda x: F.regexp_like(x, P.pattern(r"^T.*[.]$")), second).alias("n"))
-
-
-@query(_LINES + "SELECT doc_id, len(list_filter(range(1, len(l)), lambda i: starts_with(l[i], 'T') AND contains(l[i], ',') AND NOT contains(l[i], 'any') AND starts_with(l[i + 1], 'E') AND regexp_matches(l[i + 1], ', [a-z]')))::BIGINT AS n FROM t", prs=False)
-def type_to_any_conversions(spark, sf):
-    first = lambda x: x.startswith("T") & x.contains(",") & ~x.contains("any")
-    return _documents(spark, sf).select("doc_id", P.followed_by(F.col("text"), first, lambda x: x.startswith("E") & F.regexp_like(x, P.pattern(", [a-z]"))).alias("n"))
-
-
-_HEADS = ", h AS (SELECT pr_id, string_agg('=== src/' || filename || CASE WHEN filename % 3 = 0 THEN '.TS' ELSE '.md' END || ' (+' || additions || '/-' || deletions || ') ===', chr(10) ORDER BY line, filename) AS t FROM d GROUP BY pr_id) "
-
-
-def _headed(spark, sf):
-    name = F.concat(F.lit("src/"), F.col("filename").cast("string"), F.when(F.col("filename") % 3 == 0, ".TS").otherwise(".md"))
-    head = F.format_string("=== %s (+%s/-%s) ===", name, F.col("additions").cast("string"), F.col("deletions").cast("string"))
-    return O.joined_text(details(spark, sf), "pr_id", ["line", "filename"], head, "\n")
-
-
-@query(_HEADS + "SELECT pr_id, array_to_string(regexp_extract_all(t, '=== ([^ ]+) [(]', 1), ',') AS names FROM h")
-def header_filenames(spark, sf):
-    return _headed(spark, sf).select("pr_id", F.array_join(P.header_names(F.col("text")), ",").alias("names"))
-
-
-@query(_HEADS + "SELECT pr_id, contains(t, '.TS (') AS there FROM h")
-def patch_has_lang_file(spark, sf):
-    return _headed(spark, sf).select("pr_id", P.names_file(F.col("text"), [".ts", ".tsx"]).alias("there"))
-
-
-@query("SELECT pr_id, count(DISTINCT filename) AS n FROM d GROUP BY pr_id")
-def patch_file_count(spark, sf):
-    return _headed(spark, sf).select("pr_id", F.size(F.array_distinct(P.header_names(F.col("text")))).cast("bigint").alias("n"))
-
-
 @query("SELECT id, additions + deletions + files AS total, (additions > 0)::BIGINT + (deletions > 0)::BIGINT + (files > 0)::BIGINT AS features FROM p")
 def feature_totals(spark, sf):
     total, unique = P.total_and_unique(["additions", "deletions", "files"])
@@ -524,13 +426,6 @@ def token_estimate(spark, sf):
     return _documents(spark, sf).select("doc_id", F.floor(F.length(F.coalesce("text", F.lit(""))) / 4).alias("tokens"))
 
 
-@query("SELECT doc_id, toxic = 0 AND quality = 1 AS final, CASE WHEN toxic = 1 THEN 'ERROR' WHEN quality = 1 THEN 'APPROVED' ELSE 'REJECTED' END AS validation FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL", prs=False)
-def error_row(spark, sf):
-    rows = tables.parquet(spark, sf, "labels").where("quality is not null and toxic is not null")
-    final, validation = O.judged(F.col("quality") == 1, F.when(F.col("quality") == 1, "APPROVED").otherwise("REJECTED"), F.col("toxic") == 1)
-    return rows.select("doc_id", final.alias("final"), validation.alias("validation"))
-
-
 @query("SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS fp, count(*) FILTER (WHERE quality <> 1 AND toxic <> 1) AS tn, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS fn FROM labels", prs=False)
 def confusion_matrix(spark, sf):
     return O.confusion(tables.parquet(spark, sf, "labels"), F.col("quality") == 1, F.col("toxic") == 1).select("tp", "fp", "tn", "fn")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patchlight.functions import patch as P
-from patchlight.functions import patterns as C
 from patchlight.functions import statistics as S
 from patchlight.operators import changes as O
 from patchlight.sources import tables
@@ -54,15 +53,19 @@ def details(spark: SparkSession, sf: str) -> DataFrame:
     return tables.parquet(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pr_id"), F.col("l_partkey").alias("filename"), F.col("l_linenumber").alias("line"), added.alias("additions"), deleted.alias("deletions"), (added + deleted).alias("changes"), F.col("l_shipdate").alias("shipped_at"))
 
 
-def prs(spark: SparkSession, sf: str) -> DataFrame:
-    d = details(spark, sf)
-    stats = O.commit_stats(d)
-    shipped = d.groupBy("pr_id").agg(F.min("shipped_at").alias("shipped"))
-    o = tables.parquet(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("pr_id"), F.col("o_custkey").alias("repo_id"), F.col("o_orderpriority").alias("agent"), O.group_of(F.col("o_orderpriority"), AGENTS).alias("agent_group"),
+def orders(spark: SparkSession, sf: str) -> DataFrame:
+    """What orders alone tell of changes."""
+    agent = F.col("o_orderpriority")
+    return tables.parquet(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("repo_id"), agent.alias("agent"), O.group_of(agent, AGENTS).alias("agent_group"),
         F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"), F.col("o_orderdate").alias("created_at"))
-    o = O.left_with_zeros(o, stats, "pr_id").join(shipped, "pr_id", "left")
-    o = o.withColumn("merged_at", F.when(F.col("shipped") > F.col("created_at"), F.col("shipped"))).drop("shipped").withColumnRenamed("pr_id", "id")
+
+
+def prs(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes with the sums of their details, from which the time of merging comes, too: one aggregation, one join."""
+    stats = O.commit_stats(details(spark, sf), F.min("shipped_at").alias("shipped")).withColumnRenamed("pr_id", "id")
+    o = orders(spark, sf).join(stats, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("additions", "deletions", "changes", "files")})
+    o = o.withColumn("merged_at", F.when(F.col("shipped") > F.col("created_at"), F.col("shipped"))).drop("shipped")
     return o.withColumns({"status": O.status(F.col("merged_at"), F.col("state")), "size": O.size_bucket(F.col("changes"))})
 
 
@@ -103,40 +106,17 @@ def resume_checkpoint(spark, sf):
     return tables.not_seen(tables.parquet(spark, sf, "orders"), done, "o_orderkey").agg(F.count("*").alias("left_over"), F.min("o_orderkey").alias("first"))
 
 
-@query("SELECT agent_group, count(*) AS total, json_extract_string(json('{}'), '$.x') AS note FROM p GROUP BY agent_group")
-def sink_json_summary(spark, sf):
-    s = prs(spark, sf).groupBy("agent_group").agg(F.count("*").alias("total"))
-    text = s.select(F.to_json(F.struct("agent_group", "total")).alias("j"))
-    back = text.select(F.from_json("j", "agent_group string, total bigint, note string").alias("r"))
-    return back.select("r.*")
-
-
 # Selecting and labelling
 
 
-@query("SELECT c_custkey FROM customer WHERE contains(lower(c_mktsegment), 'build')", prs=False)
-def filter_repo_lang(spark, sf):
-    return tables.parquet(spark, sf, "customer").where(O.contains_word(F.col("c_mktsegment"), "Build")).select("c_custkey")
-
-
-@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'", prs=False)
-def filter_repo_lang_exact(spark, sf):
-    return tables.parquet(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-
-
 @query("SELECT id, agent_group FROM p")
 def classify_group(spark, sf):
-    return prs(spark, sf).select("id", "agent_group")
+    return orders(spark, sf).select("id", "agent_group")
 
 
 @query("SELECT id, agent FROM p WHERE agent_group = 'AI'")
 def filter_ai_agents(spark, sf):
-    return prs(spark, sf).where(F.col("agent").isin(AGENTS)).select("id", "agent")
-
-
-@query("SELECT page_id, regexp_matches(string_split(url, '/')[-1], '(?i)^.+[.]html$') AND NOT ends_with(url, '5.html') AS good FROM pages", prs=False)
-def is_valid_file(spark, sf):
-    return tables.parquet(spark, sf, "pages").select("page_id", P.has_suffix(F.col("url"), [".html"], ["5.html"]).alias("good"))
+    return orders(spark, sf).where(F.col("agent").isin(AGENTS)).select("id", "agent")
 
 
 @query("SELECT id, status, size FROM p")
@@ -144,14 +124,28 @@ def pr_status_and_size(spark, sf):
     return prs(spark, sf).select("id", "status", "size")
 
 
-@query("SELECT id, CASE WHEN files <= 0 THEN 'None' WHEN files <= 2 THEN 'Low' WHEN files <= 5 THEN 'Medium' ELSE 'High' END AS bucket FROM p")
-def complexity_bucket(spark, sf):
-    return prs(spark, sf).select("id", O.complexity_bucket(F.col("files")).alias("bucket"))
+_RATIO = "CASE WHEN additions > 0 THEN deletions::DOUBLE / additions ELSE 0 END"
 
 
-@query("SELECT id, round(CASE WHEN additions > 0 THEN deletions::DOUBLE / additions ELSE 0 END, 6) AS ratio, round(CASE WHEN changes > 0 THEN 100.0 * files / changes ELSE 0 END, 6) AS density FROM p")
+@query(f"SELECT id, round(ratio, 6) AS ratio, CASE WHEN abs(ratio - 1) < 0.5 THEN 'Balanced Changes' WHEN ratio < 0.5 THEN 'More Additions' WHEN ratio > 1.5 THEN 'More Deletions' END AS pattern FROM (SELECT id, {_RATIO} AS ratio FROM p)")
 def change_ratio(spark, sf):
-    return prs(spark, sf).select("id", F.round(O.ratio(F.col("deletions"), F.col("additions")), 6).alias("ratio"), F.round(O.ratio(100 * F.col("files"), F.col("changes")), 6).alias("density"))
+    r = O.ratio(F.col("deletions"), F.col("additions"))
+    return prs(spark, sf).select("id", F.round(r, 6).alias("ratio"), O.change_pattern(r).alias("pattern"))
+
+
+@query("SELECT c_custkey FROM customer WHERE contains(lower(c_mktsegment), 'build')", prs=False)
+def filter_repo_lang(spark, sf):
+    return tables.parquet(spark, sf, "customer").where(O.contains_word(F.col("c_mktsegment"), "Build")).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'", prs=False)
+def filter_repo_lang_exact(spark, sf):
+    return tables.parquet(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+
+
+@query("SELECT id, CASE WHEN files <= 0 THEN 'None' WHEN files <= 2 THEN 'Low' WHEN files <= 5 THEN 'Medium' ELSE 'High' END AS bucket FROM p")
+def complexity_bucket(spark, sf):
+    return prs(spark, sf).select("id", O.complexity_bucket(F.col("files")).alias("bucket"))
 
 
 @query("SELECT id, round((deletions - additions)::DOUBLE / (additions + deletions), 6) AS safety FROM p WHERE additions + deletions > 0")
@@ -160,12 +154,6 @@ def safety_ratio(spark, sf):
     return prs(spark, sf).where(total > 0).select("id", F.round((F.col("deletions") - F.col("additions")).cast("double") / total, 6).alias("safety"))
 
 
-@query("SELECT id, concat_ws('|', CASE WHEN additions > 100 THEN 'large' END, CASE WHEN deletions > 20 THEN 'removal' END, CASE WHEN files > 4 THEN 'wide' END) AS method FROM p")
-def detection_method(spark, sf):
-    flags = {"large": F.col("additions") > 100, "removal": F.col("deletions") > 20, "wide": F.col("files") > 4}
-    return prs(spark, sf).select("id", F.concat_ws("|", *[F.when(c, F.lit(n)) for n, c in flags.items()]).alias("method"))
-
-
 @query("SELECT id, CASE WHEN additions > 0 AND deletions > 0 THEN 'Both' WHEN additions > 0 THEN 'Only Adds' WHEN deletions > 0 THEN 'Only Removes' END AS behaviour, CASE WHEN deletions > additions THEN 'Improves' WHEN deletions < additions THEN 'Reduces' ELSE 'Neutral' END AS resolution, additions - deletions AS net, least(additions, deletions) AS replaced FROM p")
 def net_operations(spark, sf):
     a, d = F.col("additions"), F.col("deletions")
@@ -179,15 +167,13 @@ def clip_text(spark, sf):
     return tables.parquet(spark, sf, "documents").select("doc_id", F.when(F.length(t) > 80, F.concat(F.substring(t, 1, 80), F.lit(" [cut]"))).otherwise(t).alias("clipped"), F.coalesce(F.nullif(F.left(t, F.lit(20)), F.lit("")), F.lit("none")).alias("head"))
 
 
-@query("SELECT page_id, contains(lower(html), 'nav') AS has_nav, contains(html, 'Copyright') AS has_right, (CASE WHEN contains(lower(html), 'nav') THEN 2 ELSE 0 END - CASE WHEN contains(lower(html), 'script') THEN 1 ELSE 0 END - CASE WHEN contains(html, 'style') THEN 2 ELSE 0 END)::BIGINT AS score FROM pages", prs=False)
-def quality_flags(spark, sf):
-    low = F.lower("html")
-    nav, script, style = low.contains("nav"), low.contains("script"), F.col("html").contains("style")
-    score = F.when(nav, 2).otherwise(0) - F.when(script, 1).otherwise(0) - F.when(style, 2).otherwise(0)
-    return tables.parquet(spark, sf, "pages").select("page_id", nav.alias("has_nav"), F.col("html").contains("Copyright").alias("has_right"), score.cast("bigint").alias("score"))
+# Joins
 
 
-# Joins
+@query("SELECT doc_id, CASE WHEN l.quality = 1 THEN 'type_related' ELSE 'not_type_related' END AS label FROM documents LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY quality, toxic) AS r FROM labels) WHERE r = 1) l USING (doc_id)", prs=False)
+def left_join_labels(spark, sf):
+    labels = O.first_rows(tables.parquet(spark, sf, "labels"), ["doc_id"], [F.col("quality").asc_nulls_last(), F.col("toxic").asc_nulls_last()])
+    return tables.parquet(spark, sf, "documents").join(labels, "doc_id", "left").select("doc_id", F.when(F.col("quality") == 1, "type_related").otherwise("not_type_related").alias("label"))
 
 
 @query("SELECT id FROM p WHERE repo_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -207,12 +193,6 @@ def left_join_stats(spark, sf):
     return prs(spark, sf).select("id", "additions", "deletions", "changes", "files")
 
 
-@query("SELECT doc_id, CASE WHEN l.quality = 1 THEN 'type_related' ELSE 'not_type_related' END AS label FROM documents LEFT JOIN labels l USING (doc_id)", prs=False)
-def left_join_labels(spark, sf):
-    labels = tables.parquet(spark, sf, "labels").dropDuplicates(["doc_id"])
-    return tables.parquet(spark, sf, "documents").join(labels, "doc_id", "left").select("doc_id", F.when(F.col("quality") == 1, "type_related").otherwise("not_type_related").alias("label"))
-
-
 @query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r <= 5 GROUP BY conv_id", prs=False)
 def lookup_first_k(spark, sf):
     return O.joined_text(tables.parquet(spark, sf, "conversations"), "conv_id", ["turn"], F.col("text"), "\n", 5)
@@ -221,6 +201,25 @@ def lookup_first_k(spark, sf):
 # Summing up
 
 
+_SHARE = "round(100.0::DOUBLE * {} / greatest(1, (SELECT count(*) FROM orders)), 6)"
+
+
+@query(f"SELECT count(DISTINCT pr_id) AS covered, {_SHARE.format('count(DISTINCT pr_id)')} AS share, count(DISTINCT pr_id) FILTER (WHERE filename % 4 = 2) AS rust, {_SHARE.format('count(DISTINCT pr_id) FILTER (WHERE filename % 4 = 2)')} AS rust_share FROM d")
+def coverage(spark, sf):
+    """Changes with details, and those with files of one kind: counted by change first, so no distinct keys are gathered."""
+    has = details(spark, sf).groupBy("pr_id").agg(F.max((F.col("filename") % 4 == 2).cast("int")).alias("rust")).agg(F.count("*").alias("covered"), F.coalesce(F.sum("rust"), F.lit(0)).alias("rust"))
+    n = tables.parquet(spark, sf, "orders").agg(F.count("*").alias("n"))
+    share = lambda c: F.round(F.lit(100.0) * F.col(c) / F.greatest("n", F.lit(1)), 6)
+    return has.join(n).select("covered", share("covered").alias("share"), "rust", share("rust").alias("rust_share"))
+
+
+@query("SELECT name, round(100.0::DOUBLE * count(*) FILTER (WHERE status = 'merged') / count(*), 6) AS rate FROM (SELECT CASE WHEN agent_group = 'AI' THEN agent ELSE 'Human' END AS name, status FROM p) GROUP BY name")
+def acceptance_by_agent(spark, sf):
+    name = F.when(F.col("agent_group") == "AI", F.col("agent")).otherwise("Human")
+    rates = prs(spark, sf).groupBy(name.alias("name")).agg(F.round(F.lit(100.0) * F.count_if(_merged()) / F.count("*"), 6).alias("rate"))
+    return rates.orderBy(F.col("name") == "Human", F.desc("rate"))
+
+
 @query("SELECT pr_id, additions, deletions, changes, files FROM st")
 def commit_stats(spark, sf):
     return O.commit_stats(details(spark, sf))
@@ -242,13 +241,6 @@ def top_languages(spark, sf):
     return tables.parquet(spark, sf, "part").groupBy(F.coalesce("p_brand", F.lit("Unknown")).alias("brand")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "brand").limit(20)
 
 
-@query("SELECT count(DISTINCT pr_id) AS covered, round(100.0 * count(DISTINCT pr_id) / greatest(1, (SELECT count(*) FROM orders)), 6) AS share FROM d")
-def coverage(spark, sf):
-    n = tables.parquet(spark, sf, "orders").agg(F.count("*").alias("n"))
-    c = details(spark, sf).agg(F.countDistinct("pr_id").alias("covered"))
-    return c.join(n).select("covered", F.round(F.lit(100.0) * F.col("covered") / F.greatest("n", F.lit(1)), 6).alias("share"))
-
-
 @query("SELECT agent, count(*) AS n, sum(additions)::BIGINT AS additions, round(sum(additions)::DOUBLE / count(*), 4) AS mean_additions, count(*) FILTER (WHERE files > 4) AS wide FROM p GROUP BY agent")
 def feature_stats_by_agent(spark, sf):
     return prs(spark, sf).groupBy("agent").agg(F.count("*").alias("n"), F.sum("additions").alias("additions"), F.round(F.sum("additions").cast("double") / F.count("*"), 4).alias("mean_additions"), F.count_if(F.col("files") > 4).alias("wide"))
@@ -260,14 +252,6 @@ def acceptance_metrics(spark, sf):
     return O.acceptance(prs(spark, sf), "agent_group")
 
 
-@query("SELECT name, round(100.0::DOUBLE * count(*) FILTER (WHERE status = 'merged') / count(*), 6) AS rate FROM (SELECT CASE WHEN agent_group = 'AI' THEN agent ELSE 'Human' END AS name, status FROM p WHERE repo_id IN (SELECT c_custkey FROM customer WHERE contains(lower(c_mktsegment), 'build'))) GROUP BY name")
-def acceptance_by_agent(spark, sf):
-    repos = tables.parquet(spark, sf, "customer").where(O.contains_word(F.col("c_mktsegment"), "build")).select(F.col("c_custkey").alias("repo_id"))
-    name = F.when(F.col("agent_group") == "AI", F.col("agent")).otherwise("Human")
-    rates = prs(spark, sf).join(repos, "repo_id", "left_semi").groupBy(name.alias("name")).agg(F.round(F.lit(100.0) * F.count_if(_merged()) / F.count("*"), 6).alias("rate"))
-    return rates.orderBy(F.col("name") == "Human", F.desc("rate"))
-
-
 @query("SELECT s.size, coalesce(round(100.0::DOUBLE * count(*) FILTER (WHERE status = 'merged') / nullif(count(id), 0), 6), 0) AS rate FROM (VALUES ('Small'), ('Medium'), ('Large'), ('Very Large')) s(size) LEFT JOIN p ON p.size = s.size GROUP BY s.size")
 def acceptance_by_size(spark, sf):
     every = spark.sql("SELECT * FROM VALUES ('Small'), ('Medium'), ('Large'), ('Very Large') AS t(size)")
@@ -286,34 +270,19 @@ def mean_std_sem_ci(spark, sf):
     return prs(spark, sf).groupBy("agent").agg(*[F.round(c, 6).alias(n) for n, c in O.spread(F.col("changes").cast("double")).items()])
 
 
-@query("""SELECT feature, round(100.0::DOUBLE * avg((x > 0)::INT) FILTER (WHERE agent_group = 'AI'), 6) AS ai, round(100.0::DOUBLE * avg((x > 0)::INT) FILTER (WHERE agent_group = 'Human'), 6) AS human, round(avg(x), 6) AS mean
-  FROM (SELECT agent_group, unnest(['additions', 'deletions', 'files']) AS feature, unnest([additions, deletions, files]) AS x FROM p) GROUP BY feature""")
-def adoption_rate(spark, sf):
-    long = prs(spark, sf).unpivot("agent_group", ["additions", "deletions", "files"], "feature", "x")
-    share = lambda g: F.round(100 * F.avg(F.when(F.col("agent_group") == g, (F.col("x") > 0).cast("double"))), 6)
-    return long.groupBy("feature").agg(share("AI").alias("ai"), share("Human").alias("human"), F.round(F.avg("x"), 6).alias("mean"))
-
-
-@query("SELECT agent, round(avg(additions) FILTER (WHERE size = 'Small'), 6) AS small, round(avg(additions) FILTER (WHERE size = 'Medium'), 6) AS medium, round(avg(additions) FILTER (WHERE size = 'Large'), 6) AS large FROM p GROUP BY agent")
-def agent_feature_matrix(spark, sf):
-    m = prs(spark, sf).groupBy("agent").pivot("size", ["Small", "Medium", "Large"]).agg(F.round(F.avg("additions"), 6))
-    return m.toDF("agent", "small", "medium", "large")
-
-
-@query("SELECT tier, round(sum(m * w), 6) AS weighted FROM (SELECT unnest(['basic', 'basic', 'advanced']) AS tier, unnest([1.0, 2.0, 3.0]::DOUBLE[]) AS w, unnest([avg(additions), avg(deletions), avg(files)]) AS m FROM p) GROUP BY tier")
-def tier_usage(spark, sf):
-    weights = spark.sql("SELECT * FROM VALUES ('additions', 'basic', 1.0D), ('deletions', 'basic', 2.0D), ('files', 'advanced', 3.0D) AS t(feature, tier, w)")
-    means = prs(spark, sf).unpivot([], ["additions", "deletions", "files"], "feature", "x").groupBy("feature").agg(F.avg("x").alias("m"))
-    return means.join(weights, "feature").groupBy("tier").agg(F.round(F.sum(F.col("m") * F.col("w")), 6).alias("weighted"))
-
-
 # Windows, distributions, samples, sets
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '2591999999999 microseconds' PRECEDING AND CURRENT ROW), 6) AS rolling FROM events", prs=False)
+@query("SELECT id, round(100.0::DOUBLE * avg((status = 'merged')::INT) OVER (PARTITION BY agent_group ORDER BY created_at RANGE BETWEEN INTERVAL '2591999999999 microseconds' PRECEDING AND CURRENT ROW), 6) AS rolling FROM p")
 def rolling_rate_30d(spark, sf):
-    e = tables.parquet(spark, sf, "events")
-    return O.rolling_mean(e, ["event_type"], "ts", F.col("value")).select("event_id", F.round("rolling", 6).alias("rolling"))
+    r = O.rolling_mean(prs(spark, sf).select("id", "agent_group", "created_at", "status"), ["agent_group"], "created_at", _merged().cast("int"))
+    return r.select("id", F.round(100 * F.col("rolling"), 6).alias("rolling"))
+
+
+@query("SELECT agent_group, count(*) AS n, round(avg(changes), 6) AS mean, round(quantile_cont(changes, 0.25), 6) AS q1, round(quantile_cont(changes, 0.5), 6) AS q2, round(quantile_cont(changes, 0.75), 6) AS q3 FROM p WHERE changes > 0 GROUP BY agent_group")
+def box_stats(spark, sf):
+    q = lambda p: F.round(F.percentile("changes", F.lit(p)), 6)
+    return prs(spark, sf).where("changes > 0").groupBy("agent_group").agg(F.count("*").alias("n"), F.round(F.avg("changes"), 6).alias("mean"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
 
 
 @query("SELECT agent, changes, round(max(r)::DOUBLE / any_value(n), 6) AS share FROM (SELECT agent, changes, row_number() OVER (PARTITION BY agent ORDER BY changes) AS r, count(*) OVER (PARTITION BY agent) AS n FROM p) GROUP BY agent, changes")
@@ -328,18 +297,6 @@ def average_rank(spark, sf):
     return S.midranks(prs(spark, sf).select("id", "agent", "changes"), "changes", ["agent"]).select("id", "rank")
 
 
-@query("SELECT agent_group, least(changes // 20, 20) AS bin, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY agent_group), 6) AS density FROM p GROUP BY 1, 2")
-def histogram(spark, sf):
-    h = prs(spark, sf).groupBy("agent_group", F.least(F.floor(F.col("changes") / 20), F.lit(20)).alias("bin")).agg(F.count("*").alias("n"))
-    return h.withColumn("density", F.round(F.col("n").cast("double") / F.sum("n").over(Window.partitionBy("agent_group")), 6))
-
-
-@query("SELECT agent_group, round(quantile_cont(changes, 0.25), 6) AS q1, round(quantile_cont(changes, 0.5), 6) AS q2, round(quantile_cont(changes, 0.75), 6) AS q3 FROM p WHERE changes > 0 GROUP BY agent_group")
-def box_stats(spark, sf):
-    q = lambda p: F.round(F.percentile("changes", F.lit(p)), 6)
-    return prs(spark, sf).where("changes > 0").groupBy("agent_group").agg(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
-
-
 @query("SELECT quality, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5('42/' || doc_id), doc_id) AS r FROM labels) WHERE r <= 25", prs=False)
 def stratified_sample(spark, sf):
     return O.sampled(tables.parquet(spark, sf, "labels"), "quality", "doc_id", 25).select("quality", "doc_id")
@@ -365,21 +322,23 @@ def index_intersection(spark, sf):
 # Time
 
 
-@query("SELECT m AS month, count(o_orderkey) AS n FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders) LEFT JOIN orders ON date_trunc('month', o_orderdate) = m GROUP BY m", prs=False)
+@query("SELECT last_day(m) AS month, count(o_orderkey) AS n FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), date_trunc('month', max(o_orderdate)), INTERVAL 1 MONTH)) AS m FROM orders) LEFT JOIN orders ON date_trunc('month', o_orderdate) = m GROUP BY m", prs=False)
 def monthly_volume(spark, sf):
-    return O.calendar(tables.parquet(spark, sf, "orders"), "o_orderdate")
+    """By the last day of each month; months without any are there, too."""
+    return O.calendar(tables.parquet(spark, sf, "orders"), "o_orderdate").select(F.last_day("month").alias("month"), "n")
 
 
-@query("SELECT isodow(ts) - 1 AS weekday, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1", prs=False)
+@query("SELECT w.weekday, count(event_id) AS n, round(100.0::DOUBLE * count(event_id) / nullif((SELECT count(*) FROM events), 0), 6) AS share FROM (SELECT unnest(generate_series(0, 6)) AS weekday) w LEFT JOIN events ON isodow(ts) - 1 = w.weekday GROUP BY w.weekday", prs=False)
 def weekday_dist(spark, sf):
-    d = tables.parquet(spark, sf, "events").groupBy(F.weekday("ts").cast("bigint").alias("weekday")).agg(F.count("*").alias("n"))
-    return d.withColumn("share", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    return O.weekdays(tables.parquet(spark, sf, "events"), "ts")
 
 
-@query("SELECT date_trunc('month', created_at) AS month, round(median(epoch_us(merged_at - created_at) / 3.6e9), 4) AS median FROM p WHERE merged_at > created_at GROUP BY 1")
+@query("SELECT last_day(m) AS month, round(h, 4) AS median FROM (SELECT unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS m FROM (SELECT date_trunc('month', created_at) AS m FROM p WHERE merged_at > created_at)) LEFT JOIN (SELECT date_trunc('month', created_at) AS m, median(epoch_us(merged_at - created_at) / 3.6e9) AS h FROM p WHERE merged_at > created_at GROUP BY 1) USING (m)")
 def monthly_median_ttm(spark, sf):
+    """Months without a merged change have a row, but no median."""
     h = O.hours_between(F.col("created_at"), F.col("merged_at"))
-    return prs(spark, sf).where(_merged()).groupBy(O.unit_of("month", F.col("created_at")).alias("month")).agg(F.round(F.median(h), 4).alias("median"))
+    m = prs(spark, sf).where(_merged()).groupBy(O.unit_of("month", F.col("created_at")).alias("month")).agg(F.round(F.median(h), 4).alias("median"))
+    return O.units(m, "month").join(m, "month", "left").select(F.last_day("month").alias("month"), "median")
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2", prs=False)
@@ -402,16 +361,6 @@ def adjacent_lines(spark, sf):
     return tables.parquet(spark, sf, "documents").select("doc_id", P.followed_by(F.col("text"), lambda x: x.startswith("T"), lambda x: x.startswith("E")).alias("n"))
 
 
-_PATCH = "p2 AS (SELECT pr_id, string_agg('=== ' || filename || ' (+' || additions || '/-' || deletions || ') ===', chr(10) ORDER BY line, filename) AS t FROM d GROUP BY pr_id)"
-
-
-@query(", " + _PATCH + " SELECT pr_id, list_sum(list_transform(regexp_extract_all(t, '[(][+]([0-9]+)/-', 1), lambda x: x::BIGINT))::BIGINT AS additions, list_sum(list_transform(regexp_extract_all(t, '/-([0-9]+)[)]', 1), lambda x: x::BIGINT))::BIGINT AS deletions, len(list_distinct(regexp_extract_all(t, '=== ([0-9]+) [(]', 1)))::BIGINT AS files FROM p2")
-def patch_additions_deletions(spark, sf):
-    plus, minus, files = P.header_sums(F.col("text"))
-    head = F.format_string("=== %s (+%s/-%s) ===", F.col("filename").cast("string"), F.col("additions").cast("string"), F.col("deletions").cast("string"))
-    return O.joined_text(details(spark, sf), "pr_id", ["line", "filename"], head, "\n").select("pr_id", plus.alias("additions"), minus.alias("deletions"), files.alias("files"))
-
-
 def _quoted(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
@@ -423,52 +372,11 @@ def _ascii_pages(spark, sf):
     return tables.parquet(spark, sf, "pages").select("page_id", F.regexp_replace("html", r"[^\x00-\x7F]", " ").alias("t"))
 
 
-def _features(name: str, catalogue: dict[str, str], sql: bool = True) -> None:
-    n = [f"coalesce(len(regexp_extract_all(t, {_quoted('(?i)' + p)})), 0)" for p in catalogue.values()]
-    total, unique = " + ".join(n), " + ".join(f"({x} > 0)::INT" for x in n)
-
-    def run(spark, sf):
-        t, u = P.total_and_unique(list(catalogue))
-        counts = _ascii_pages(spark, sf).select("page_id", *[c.alias(k) for k, c in P.catalogue_counts(F.col("t"), catalogue).items()])
-        return counts.select("page_id", t.alias("total"), u.alias("features"))
-
-    run.__name__ = name
-    query(f"SELECT page_id, ({total})::BIGINT AS total, ({unique})::BIGINT AS features FROM {_ASCII}" if sql else None, prs=False)(run)
-
-
-_features("feature_counts_ts", C.TS_FEATURES)
-_features("feature_counts_csharp", C.CSHARP_FEATURES, sql=False)
-_features("feature_counts_csharp_no_lookahead", {k: p for k, p in C.CSHARP_FEATURES.items() if "(?!" not in p})
-_features("feature_counts_rust", C.RUST_FEATURES)
-_features("escape_hatches", {"any": C.ANY_PATTERN, "dynamic": C.DYNAMIC_PATTERN, "unsafe": C.UNSAFE_PATTERN, "unwrap": C.UNWRAP_PATTERN, "as_cast": C.AS_CAST_PATTERN})
-
-
-@query("SELECT page_id, " + " OR ".join(f"regexp_matches(t, {_quoted('(?i)' + p)})" for p in C.FALSE_POSITIVES) + " AS fp, " + " OR ".join(f"regexp_matches(t, {_quoted('(?i)' + p)})" for p in C.TYPE_KEYWORDS) + f" AS keyword FROM {_ASCII}", prs=False)
-def has_fp_and_keywords(spark, sf):
-    return _ascii_pages(spark, sf).select("page_id", P.any_match(F.col("t"), C.FALSE_POSITIVES, True).alias("fp"), P.any_match(F.col("t"), C.TYPE_KEYWORDS, True).alias("keyword"))
-
-
-@query("SELECT page_id, (" + " + ".join(f"CASE WHEN regexp_matches(lower(t), {_quoted(p)}) THEN {s} ELSE 0 END" for p, s in zip(C.TYPE_KEYWORDS, C.TYPE_KEYWORD_SCORES)) + ")::BIGINT AS score, coalesce(list_sum(list_transform(string_split(t, chr(10)), lambda x: CASE " + " ".join(f"WHEN regexp_matches(x, {_quoted(p)}) THEN {s}" for p, s in zip(C.PATCH_PATTERNS, C.PATCH_SCORES)) + f" ELSE 0 END)), 0)::BIGINT AS line_score FROM {_ASCII}", prs=False)
-def score_text_and_patch(spark, sf):
-    return _ascii_pages(spark, sf).select("page_id", P.score_text(F.col("t"), C.TYPE_KEYWORDS, C.TYPE_KEYWORD_SCORES).alias("score"), P.score_lines(P.lines(F.col("t")), C.PATCH_PATTERNS, C.PATCH_SCORES).alias("line_score"))
-
-
 # Statistics
 
 _Z = "greatest((abs(u1 - n1 * n2 / 2.0::DOUBLE) - 0.5) / sqrt(n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 0) / sqrt(2.0::DOUBLE)"
 
 
-@query(f"""SELECT feature, n1::BIGINT AS n1, n2::BIGINT AS n2, u1, round(least(1, {S.erfc_sql('z')}), 6) AS p, round(2 * u1 / (n1 * n2) - 1, 6) AS rank_biserial FROM (SELECT *, {_Z} AS z FROM (
-  SELECT feature, n1, n2, r1 - n1 * (n1 + 1) / 2 AS u1, ties FROM (
-    SELECT feature, (count(*) FILTER (WHERE g))::DOUBLE AS n1, (count(*) FILTER (WHERE NOT g))::DOUBLE AS n2, sum(r) FILTER (WHERE g) AS r1, sum(c * c - 1)::DOUBLE AS ties FROM (
-      SELECT feature, g, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY feature, x) AS c
-      FROM (SELECT agent_group = 'AI' AS g, unnest(['additions', 'deletions', 'files']) AS feature, unnest([additions, deletions, files]) AS x FROM p)) GROUP BY feature)))""")
-def per_feature_tests(spark, sf):
-    long = prs(spark, sf).unpivot("agent_group", ["additions", "deletions", "files"], "feature", "x")
-    t = S.mann_whitney(long, "x", F.col("agent_group") == "AI", ["feature"])
-    return t.select("feature", "n1", "n2", "u1", F.round("p", 6).alias("p"), F.round("rank_biserial", 6).alias("rank_biserial"))
-
-
 @query("SELECT round((ma - mh) / sqrt(((na - 1) * va + (nh - 1) * vh) / (na + nh - 2)), 6) AS d FROM (SELECT avg(changes) FILTER (WHERE agent_group = 'AI') AS ma, avg(changes) FILTER (WHERE agent_group <> 'AI') AS mh, var_samp(changes) FILTER (WHERE agent_group = 'AI') AS va, var_samp(changes) FILTER (WHERE agent_group <> 'AI') AS vh, (count(*) FILTER (WHERE agent_group = 'AI'))::DOUBLE AS na, (count(*) FILTER (WHERE agent_group <> 'AI'))::DOUBLE AS nh FROM p)")
 def cohens_d_pooled(spark, sf):
     return prs(spark, sf).agg(F.round(S.cohens_d(F.col("changes").cast("double"), F.col("agent_group") == "AI"), 6).alias("d"))
@@ -500,7 +408,7 @@ def corr_matrix(spark, sf):
     return prs(spark, sf).agg(*[F.round(F.corr(a, b), 6).alias(a[0] + b[0]) for a, b in (("additions", "deletions"), ("additions", "files"), ("deletions", "files"))])
 
 
-@query()
+@query()  # signs of components are free: tested against numpy
 def standardize_pca(spark, sf):
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -513,18 +421,6 @@ def standardize_pca(spark, sf):
 # Labelling
 
 
-@query("SELECT doc_id, 'Title: ' || left(coalesce(text, ''), 50) || chr(10) || 'Lang: ' || coalesce(lang, 'none') AS prompt, length(coalesce(text, '')) // 4 AS tokens FROM documents", prs=False)
-def build_prompt(spark, sf):
-    t = F.coalesce("text", F.lit(""))
-    return tables.parquet(spark, sf, "documents").select("doc_id", F.concat(F.lit("Title: "), F.left(t, F.lit(50)), F.lit("\nLang: "), F.coalesce("lang", F.lit("none"))).alias("prompt"), F.floor(F.length(t) / 4).alias("tokens"))
-
-
-@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(json_extract_string(props, '$.reasoning'), '') AS reasoning FROM events", prs=False)
-def parse_llm_json(spark, sf):
-    j = F.from_json("props", "k bigint, reasoning string")
-    return tables.parquet(spark, sf, "events").select("event_id", F.coalesce(j["k"], F.lit(0)).alias("k"), F.coalesce(j["reasoning"], F.lit("")).alias("reasoning"))
-
-
 _CM = "count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE NOT p AND NOT t) AS tn, count(*) FILTER (WHERE NOT p AND t) AS fn"
 
 
@@ -533,12 +429,6 @@ def eval_metrics(spark, sf):
     return O.confusion(tables.parquet(spark, sf, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
 
 
-@query("SELECT round(100.0::DOUBLE * avg((quality = toxic)::INT), 6) AS agreement, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL", prs=False)
-def inter_rater(spark, sf):
-    both = tables.parquet(spark, sf, "labels").where("quality is not null and toxic is not null")
-    return both.agg(F.round(100 * F.avg((F.col("quality") == F.col("toxic")).cast("double")), 6).alias("agreement"), F.count("*").alias("n"))
-
-
 # More of the same
 
 
@@ -553,17 +443,6 @@ def filter_type_prs(spark, sf):
     return prs(spark, sf).where((F.col("files") > 0) & (F.col("state") != "open") & ((F.col("additions") > 50) | (F.col("deletions") > 20))).select("id")
 
 
-@query("SELECT id, additions + 2 * files AS total_score FROM p WHERE files > 0 AND (additions >= 10 OR deletions >= 18) AND additions + 2 * files >= 28")
-def filter_scored(spark, sf):
-    total = F.col("additions") + 2 * F.col("files")
-    return prs(spark, sf).where((F.col("files") > 0) & ((F.col("additions") >= 10) | (F.col("deletions") >= 18)) & (total >= 28)).select("id", total.alias("total_score"))
-
-
-@query("SELECT pr_id, max(additions) AS best, sum(deletions)::BIGINT AS removed FROM d GROUP BY pr_id")
-def max_patch_score(spark, sf):
-    return details(spark, sf).groupBy("pr_id").agg(F.max("additions").alias("best"), F.sum("deletions").alias("removed"))
-
-
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE additions > 0) AS adding, sum(CASE WHEN agent_group = 'AI' THEN additions ELSE 0 END)::BIGINT AS ai_additions, sum(deletions)::BIGINT AS deletions FROM p")
 def group_totals(spark, sf):
     return prs(spark, sf).agg(F.count("*").alias("n"), F.count_if(F.col("additions") > 0).alias("adding"), F.sum(F.when(F.col("agent_group") == "AI", F.col("additions")).otherwise(0)).alias("ai_additions"), F.sum("deletions").alias("deletions"))
@@ -603,15 +482,9 @@ def nonzero_filtered_stats(spark, sf):
     return prs(spark, sf).where("changes > 0").groupBy("agent_group").agg(F.count("*").alias("n"), F.round(F.avg("changes"), 6).alias("mean"), F.round(F.median("changes"), 6).alias("median"))
 
 
-@query("SELECT agent_group, round(avg(coalesce(TRY_CAST(substr(agent, 1, 1) AS DOUBLE), 0)), 6) AS mean FROM p GROUP BY agent_group")
-def secondary_escape_means(spark, sf):
-    n = F.coalesce(F.expr("try_cast(substr(agent, 1, 1) AS double)"), F.lit(0.0))
-    return prs(spark, sf).groupBy("agent_group").agg(F.round(F.avg(n), 6).alias("mean"))
-
-
-@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders WHERE o_orderstatus = 'P'", prs=False)
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders", prs=False)
 def batch_slices(spark, sf):
-    return _batches(tables.parquet(spark, sf, "orders").where("o_orderstatus = 'P'"))
+    return _batches(tables.parquet(spark, sf, "orders"))
 
 
 def _batches(orders: DataFrame) -> DataFrame:
@@ -635,39 +508,3 @@ def final_decision(spark, sf):
     return j.select("doc_id", ((F.col("quality") == 1) & (F.col("lang") == "en")).alias("final"), F.when(F.col("quality").isNull(), "ERROR").when(F.col("toxic") == 1, "REJECTED").otherwise("APPROVED").alias("validation"))
 
 
-@query("SELECT CASE WHEN quality = 1 THEN 'type_related' ELSE 'not_type_related' END AS label, count(*) AS n, sum(toxic)::BIGINT AS rejected, round(avg(toxic), 6) AS share FROM labels GROUP BY 1", prs=False)
-def llm_summary(spark, sf):
-    label = F.when(F.col("quality") == 1, "type_related").otherwise("not_type_related")
-    return tables.parquet(spark, sf, "labels").groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.sum("toxic").alias("rejected"), F.round(F.avg("toxic"), 6).alias("share"))
-
-
-@query("SELECT 'documents' AS source, lang AS name, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'orders', o_orderpriority, count(*) FROM orders GROUP BY 2", prs=False)
-def dataset_overview(spark, sf):
-    a = tables.parquet(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("lang").alias("name"))
-    b = tables.parquet(spark, sf, "orders").select(F.lit("orders").alias("source"), F.col("o_orderpriority").alias("name"))
-    return a.unionByName(b).groupBy("source", "name").agg(F.count("*").alias("n"))
-
-
-@query(_LINES + "SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(x, '^E.*, [a-z]')))::BIGINT AS adds, len(list_filter(range(1, len(l)), lambda i: regexp_matches(l[i], '^T.*[.]$') AND regexp_matches(l[i + 1], '^E.*, [a-z]')))::BIGINT AS replaced FROM t", prs=False)
-def any_adds_and_replacements(spark, sf):
-    t = F.coalesce("text", F.lit(""))
-    replaced = P.followed_by(F.col("text"), lambda x: F.regexp_like(x, P.pattern(r"^T.*[.]$")), lambda x: F.regexp_like(x, P.pattern("^E.*, [a-z]")))
-    return tables.parquet(spark, sf, "documents").select("doc_id", P.occurrences(t, "^E.*, [a-z]", lines=True).alias("adds"), replaced.alias("replaced"))
-
-
-@query("SELECT rq, metric, ai, human, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS sig FROM (SELECT 'RQ3' AS rq, 'acceptance' AS metric, round(100.0::DOUBLE * a / (a + b), 4) AS ai, round(100.0::DOUBLE * c / (c + d), 4) AS human, " + S.erfc_sql("sqrt(chi2 / 2.0)") + """ AS p FROM (
-  SELECT *, (a + b + c + d) * pow(greatest(abs(a * d - b * c)::DOUBLE - (a + b + c + d) / 2.0::DOUBLE, 0), 2) / ((a + b)::DOUBLE * (c + d) * (a + c) * (b + d)) AS chi2 FROM (
-    SELECT count(*) FILTER (WHERE agent_group = 'AI' AND status = 'merged') AS a, count(*) FILTER (WHERE agent_group = 'AI' AND status <> 'merged') AS b, count(*) FILTER (WHERE agent_group <> 'AI' AND status = 'merged') AS c, count(*) FILTER (WHERE agent_group <> 'AI' AND status <> 'merged') AS d FROM p))
-  UNION ALL SELECT 'RQ2', 'diversity', ma, mh, """ + S.erfc_sql("z") + f""" FROM (SELECT *, {_Z} AS z FROM (SELECT ma, mh, n1, n2, r1 - n1 * (n1 + 1) / 2 AS u1, ties FROM (
-    SELECT round(avg(x) FILTER (WHERE g), 4) AS ma, round(avg(x) FILTER (WHERE NOT g), 4) AS mh, (count(*) FILTER (WHERE g))::DOUBLE AS n1, (count(*) FILTER (WHERE NOT g))::DOUBLE AS n2, sum(r) FILTER (WHERE g) AS r1, sum(c * c - 1)::DOUBLE AS ties FROM (
-      SELECT agent_group = 'AI' AS g, files AS x, rank() OVER (ORDER BY files) + (count(*) OVER (PARTITION BY files) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY files) AS c FROM p)))))""")
-def language_report(spark, sf):
-    """One row for each question and metric: the two groups' figures, the test's p and its stars."""
-    base = prs(spark, sf).withColumn("one", F.lit(1))
-    rate = lambda a, b: F.round(F.lit(100.0) * F.col(a) / (F.col(a) + F.col(b)), 4)
-    accepted = _tables_2x2(base, "one").select(F.lit("RQ3").alias("rq"), F.lit("acceptance").alias("metric"), rate("a", "b").alias("ai"), rate("c", "d").alias("human"), S.chi2_p(S.chi2_yates(*map(F.col, "abcd"))).alias("p"))
-    mean = lambda g: F.round(F.avg(F.when(F.col("agent_group") == g, F.col("files"))), 4)
-    means = base.groupBy("one").agg(mean("AI").alias("ai"), mean("Human").alias("human"))
-    diverse = S.mann_whitney(base, "files", F.col("agent_group") == "AI", ["one"]).join(means, "one").select(F.lit("RQ2").alias("rq"), F.lit("diversity").alias("metric"), "ai", "human", "p")
-    both = accepted.unionByName(diverse)
-    return both.select("rq", "metric", "ai", "human", F.round("p", 6).alias("p"), S.stars(F.col("p")).alias("sig"))

@@ -49,3 +49,16 @@ def probe(df: DataFrame) -> DataFrame:
 def report(df: DataFrame) -> Column:
     """A row of df as a row of a Markdown table."""
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A line of JSON for each row, nulls included."""
+    df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+def write_markdown(df: DataFrame, path: str, order: list[str]) -> None:
+    """A report's few rows, in order, as one file with a table of Markdown."""
+    head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    rows = df.select(F.struct(F.lit(1).alias("part"), *order).alias("at"), report(df).alias("value"))
+    one = rows.agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("rows"))
+    one.select(F.explode(F.concat(F.array(*map(F.lit, head)), F.transform("rows", lambda r: r["value"]))).alias("value")).write.text(path)

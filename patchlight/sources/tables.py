@@ -11,9 +11,9 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with a header and quoted fields that may span lines; empty fields are null."""
-    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("nullValue", "").schema(schema).csv(path)
+def csv(spark: SparkSession, path: str, schema: str | T.StructType, lines: bool = False) -> DataFrame:
+    """CSV with a header and quoted fields that may span lines (if lines, they don't: then large files are read in splits); empty fields are null."""
+    return spark.read.option("header", True).option("multiLine", not lines).option("quote", '"').option("escape", '"').option("nullValue", "").schema(schema).csv(path)
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None, synonyms: dict[str, list[str]] | None = None) -> DataFrame:

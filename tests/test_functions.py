@@ -1,6 +1,9 @@
 """Kernels and statistics against values worked out by hand or published."""
 
+import bisect
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +13,9 @@ from patchlight.functions import patch as P
 from patchlight.functions import patterns as C
 from patchlight.functions import statistics as S
 from patchlight.operators import changes as O
+from patchlight.operators import extractors as E
+from patchlight.operators import labelling as L
+from patchlight.plans import queries as plans
 from patchlight.sources import tables
 
 PATCH = "--- a/x.ts\n+++ b/x.ts\n-let a: Foo;\n+let a: any;\n+let b = c as any;\n ctx: any"
@@ -141,3 +147,190 @@ def test_batches_cover_all_orders(spark):
     r = queries.QUERIES["batch_slices_all"](spark, "/root/testdata/sf0.001").collect()
     n = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
     assert sorted(x.batch for x in r) == [k // 100 for k in range(n)]
+
+
+# Scores, lines and Unicode
+
+
+def test_only_added_lines_score(spark):
+    lines = {"+ // the type foo": 0, " context interface X": 0, "+interface Shape {": 25, "-interface Old {": 0, "+++ b/interface X": 0, "+let a: any;": 15, "+  let b = c as Row": 12, "+plain": 0, "+let a: Foo;\n+type X = 1": 40}
+    df = spark.createDataFrame([*lines.items(), (None, 0)], "t string, n int")
+    assert all(r.s == r.n for r in df.select("n", P.score_patch(F.col("t"), C.SCORED_LINES).alias("s")).collect())
+    assert one(spark, P.score_patch(F.lit("+ // the type foo"), C.SCORED_STRIPPED_LINES, P.stripped))[0] == 25
+
+
+def test_texts_score_in_either_case(spark):
+    assert one(spark, *[P.score_text(F.lit(t), C.SCORED_KEYWORDS) for t in ("Type Id = 1", "NOIMPLICITANY", "a: Foo;", "plain")])[:] == (12, 11, 10, 0)
+
+
+def test_words_are_unicode(spark):
+    df = spark.createDataFrame([("as caf\u00e9", "\u00e9type x = 1", "a\u00a0as\u00a0B")], "a string, b string, c string")
+    r = df.select(P.occurrences(F.col("a"), r"\bas\s+\w+\b"), P.occurrences(F.col("b"), r"\btype\s+"), P.occurrences(F.col("c"), r"\s+as\s+[A-Z]")).first()
+    assert tuple(r) == (1, 0, 1)
+
+
+def test_every_kind_of_line_break(spark):
+    t = F.lit("+a\r\n+b\x0b+c\u2028+d\x85-e\n+f")
+    assert one(spark, P.marked_text(t, every_break=True), P.marked_text(t, "-", every_break=True), F.size(P.marked(t)))[:] == ("a\nb\nc\nd\nf", "e", 3)
+
+
+def test_any_lines_and_conversions(spark):
+    r = one(spark, *E.any_lines(F.lit(PATCH)).values(), P.type_to_any(F.lit(PATCH), C.ANY_PATTERN))
+    assert tuple(r) == (1, 0, 1, 1)
+
+
+def test_file_counts_and_names(spark):
+    texts = ["=== a/x.rs (+1/-0) ===\n=== b/build.rs (+1/-0) ===\n=== a/x.rs (+2/-2) ===", "diff --git a/bin/y.rs b/bin/y.rs\ndiff --git a/z.pb.rs b/z.pb.rs\ndiff --git", "diff --git a/x.ts b/x.ts", "+++ b/x.d.ts", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    rs, ts = E.RUST, E.TYPESCRIPT
+    got = [tuple(r) for r in df.orderBy("id").select(P.file_count(F.col("t"), rs.suffixes, rs.generated, True), P.file_count(F.col("t"), rs.suffixes, rs.generated), P.names_file(F.col("t"), ts.suffixes, ts.generated), P.names_file(F.col("t"), rs.suffixes, rs.generated, 200)).collect()]
+    assert got == [(1, 1, False, True), (1, 0, False, True), (0, 0, True, False), (0, 0, False, False), (0, 0, False, False)]
+
+
+def test_quality_flags_and_patterns(spark):
+    r = one(spark, *O.quality_flags(F.lit("+ TODO: a SPEC // ESLINT-disable @TS-IGNORE x: any")).values(), *O.quality_flags(F.lit(None).cast("string")).values(), *[O.change_pattern(F.lit(x)) for x in (0.2, 0.5, 1.0, 1.5, 1.6)])
+    assert tuple(r) == (True, True, True, False, True) + (False,) * 5 + ("More Additions", None, "Balanced Changes", None, "More Deletions")
+
+
+# Extractors
+
+
+def test_extractors_choose_changes(spark):
+    changes = spark.createDataFrame([
+        (1, "interface Row", None, "Devin", 1), (2, "input type", "interface Row", "Devin", 1), (3, None, "plain", None, 1), (4, "plain", "plain", "x", 1), (5, "interface Row", "", "x", 2), (6, "interface Row", "", "x", 1), (7, "typed", None, "x", 3), (8, "x", "// SAFETY: fine", "x", 3), (9, "x", "y\n// SAFETY: fine", "x", 3),
+    ], "id long, title string, body string, agent string, repo_id long")
+    repos = spark.createDataFrame([(1, "My TypeScript"), (2, None), (3, "Rust")], "id long, language string")
+    details = spark.createDataFrame([
+        (1, "a.ts", "+x: any\n-y: any", 1), (2, "a.ts", "+x: any", 1), (3, "b.TSX", "-a: Foo;\n+a: any;", 2), (3, "b.tsx", None, 1), (4, "a.d.ts", "+x: any", 1), (4, "a.ts", "+plain", 2), (5, "a.ts", "+x: any", 1), (6, "a.md", "+x: any", 1), (7, "lib.rs", "-unsafe { }\n+plain", 1), (8, "lib.rs", "+unsafe { }", 1), (9, "lib.rs", "+unsafe { }", 1),
+    ], "pr_id long, filename string, patch string, line int")
+    ts = {r.id: r for r in E.extract(changes, repos, details, E.TYPESCRIPT, ["line"]).collect()}
+    assert set(ts) == {1, 3}
+    assert (ts[1].detection_method, ts[3].detection_method, ts[3].files) == ("any_add|any_rem|type_keywords|patch_patterns", "any_add|any_rep|patch_patterns", 2)
+    rs = {r.id: r for r in E.extract(changes, repos, details, E.RUST, ["line"]).collect()}
+    assert set(rs) == {7} and (rs[7].detection_method, rs[7].unsafe_removals, rs[7].unsafe_additions) == ("unsafe", 1, 0)
+    assert E.extract(changes, repos, details.where("false"), E.CSHARP, ["line"]).collect() == []
+
+
+def test_scored_extractor(spark):
+    changes = spark.createDataFrame([(1, "interface Row", None), (2, "plain", "plain"), (3, "console.log of a type", None), (4, "interface Row", "type X = 1")], "id long, title string, body string")
+    details = spark.createDataFrame([(1, "a.ts", "+interface X\n+plain"), (1, "b.ts", "+let a: Foo;"), (2, "a.ts", "+interface X\n+type Y = 1"), (3, "a.ts", "+interface X"), (4, "a.md", "+interface X")], "pr_id long, filename string, patch string")
+    commits = spark.createDataFrame([(1, "wip"), (1, "noImplicitAny"), (2, None)], "pr_id long, message string")
+    s = {r.id: r for r in E.scores(changes, details, commits).collect()}
+    assert [(s[i].text_score, s[i].commit_score, s[i].patch_score, s[i].files, s[i].total_score) for i in (1, 2, 4)] == [(12, 11, 25, 2, 52), (0, 0, 50, 1, 52), (24, 0, 0, 0, 24)]
+    got = {r.id: r.detection_method for r in E.extract_scored(changes, details, commits).collect()}
+    assert got == {1: "text|patch", 2: "patch"}
+    assert {r.id: r.total_score for r in E.extract_scored(changes, details, None).collect()} == {1: 41, 2: 52}
+
+
+# Statistics against brute force
+
+
+def test_small_samples_have_exact_p(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for k, (n1, n2) in enumerate([(1, 1), (2, 3), (3, 3), (4, 6), (8, 3), (1, 9), (5, 9)]):
+        x = rng.sample(range(1000), n1 + n2)
+        rows += [(k, v, i < n1) for i, v in enumerate(x)]
+        u = lambda a, b: sum(p > q for p in a for q in b)
+        seen = u(x[:n1], x[n1:])
+        seen = max(seen, n1 * n2 - seen)
+        every = [u([x[i] for i in c], [x[i] for i in range(n1 + n2) if i not in c]) for c in itertools.combinations(range(n1 + n2), n1)]
+        want[k] = min(1, 2 * sum(v >= seen for v in every) / len(every))
+    got = S.mann_whitney(spark.createDataFrame(rows, "k int, x int, g boolean"), "x", F.col("g"), ["k"]).collect()
+    assert {r.k: r.p for r in got} == pytest.approx(want)
+
+
+def test_ranks_over_many_stretches(spark):
+    rng = random.Random(5)
+    x = [rng.choice([rng.randrange(40), rng.random() * 40]) for _ in range(3000)]
+    df = spark.createDataFrame([(float(v), i % 3, 1) for i, v in enumerate(x)], "x double, g int, one int")
+    order = sorted(x)
+    got = {r.x: r["rank"] for r in S.midranks(df, "x", ["one"]).collect()}
+    assert all(got[v] == (bisect.bisect_left(order, v) + 1 + bisect.bisect_right(order, v)) / 2 for v in x)
+
+
+def test_features_that_never_occur_have_no_test(spark):
+    df = spark.createDataFrame([("a", 0, 1), ("a", 0, 2), ("b", 0, 3), ("b", 0, 4)], "g string, no int, yes int")
+    r = {x.feature: x for x in S.per_feature_tests(df, ["no", "yes"], F.col("g") == "a").collect()}
+    assert (r["no"].u1, r["no"].p, r["no"].rank_biserial) == (None, None, None) and r["yes"].u1 == 0 and r["yes"].p == pytest.approx(1 / 3)
+
+
+def test_fisher_of_large_tables(spark):
+    def brute(a, b, c, d):
+        lg = math.lgamma
+        chance = lambda x: math.exp(lg(a + b + 1) + lg(c + d + 1) + lg(a + c + 1) + lg(b + d + 1) - lg(a + b + c + d + 1) - lg(x + 1) - lg(a + b - x + 1) - lg(a + c - x + 1) - lg(d - a + x + 1))
+        every = [chance(x) for x in range(max(0, a - d), min(a + b, a + c) + 1)]
+        return min(1, sum(p for p in every if p <= chance(a) * (1 + 1e-7)))
+
+    tables_ = [(3, 20000, 9, 30000), (4, 900000, 2, 100000), (5000, 7000, 5100, 6900), (0, 5, 5, 0), (0, 0, 3, 4), (1, 40, 20000, 900)]
+    got = spark.createDataFrame(tables_, "a long, b long, c long, d long").select(*"abcd", S.fisher_p(*map(F.col, "abcd")).alias("p")).collect()
+    assert all(r.p == pytest.approx(brute(*r[:4]), rel=1e-5, abs=1e-12) for r in got)
+
+
+def test_rolling_mean_against_brute_force(spark):
+    rng, day = random.Random(6), 86_400_000_000
+    rows = [(k, rng.choice("ab"), rng.randrange(100) * day + rng.choice([0, 1, day - 1]), float(rng.randrange(5))) for k in range(300)] + [(900, "a", None, 1.0)]
+    df = spark.createDataFrame(rows, "id int, g string, us long, x double").withColumn("at", F.timestamp_micros("us"))
+    got = {r.id: r.rolling for r in O.rolling_mean(df, ["g"], "at", F.col("x")).collect()}
+    for i, g, t, _ in rows:
+        near = [x for _, h, u, x in rows if h == g and t is not None and u is not None and t - 30 * day < u <= t]
+        assert got[i] == (pytest.approx(sum(near) / len(near)) if near else None)
+    assert len(got) == 301
+
+
+def test_gaps_are_filled(spark):
+    df = spark.sql("SELECT timestamp(a) AS at FROM VALUES ('2024-01-06'), ('2024-01-08'), ('2024-01-08'), (null) AS t(a)")
+    assert [(r.weekday, r.n) for r in O.weekdays(df, "at").orderBy("weekday").collect()] == [(0, 2), (1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 0)]
+    assert [r.share for r in O.weekdays(df.where("false"), "at").collect()] == [None] * 7
+
+
+def test_histogram_bins(spark):
+    rows = [("a", x) for x in (0, 1, 1, 5, 6, 7)] + [("b", x) for x in (2, 5, 5)]
+    r = O.histogram(spark.createDataFrame(rows, "g string, x int"), "g", "x", 20)
+    assert {(x.g, x.bin): x.n for x in r.collect() if x.n} == {("a", 0): 1, ("a", 1): 2, ("a", 5): 2, ("b", 2): 1, ("b", 5): 2}
+    assert r.count() == 12 and {round(x[1], 4) for x in r.groupBy("g").agg(F.sum("density")).collect()} == {1.0}
+
+
+def test_components_of_standardised_vectors(spark):
+    import numpy as np
+
+    df = plans.QUERIES["standardize_pca"](spark, "/root/testdata/sf0.001").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("embedding is not null").orderBy("vec_id").collect()], float)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    values, vectors = np.linalg.eigh(np.cov(z.T))
+    for k, name in ((-1, "c1"), (-2, "c2")):
+        want, got = z @ vectors[:, k], np.array([r[name] for r in df])
+        assert min(np.abs(want - got).max(), np.abs(want + got).max()) < 1e-4
+
+
+# Labelling and files
+
+
+def test_records_of_answers(spark):
+    yes = '{"is_type_related": true, "confidence": 0.9, "evidence": ["a"], "detected_in": {"title": true}}'
+    ok = '{"validation_result": "APPROVED", "agreed_classification": true}'
+    rows = [(1, yes, ok, "ok"), (2, yes, ok, "error"), (3, yes, ok, "timeout"), (4, "broken", None, "ok"), (5, yes, "{}", None)]
+    r = {x.id: x for x in L.records(spark.createDataFrame(rows, "id int, answer string, review string, outcome string")).collect()}
+    assert [r[i].final_is_type_related for i in range(1, 6)] == [True, False, False, False, False]
+    assert [r[i].validation_result for i in range(1, 6)] == ["APPROVED", "ERROR", "APPROVED", "UNCERTAIN", "UNCERTAIN"]
+    assert (r[3].classifier_reasoning, r[2].validator_reasoning, r[1].classifier_evidence, r[4].classifier_evidence, r[1].detected_in_title) == ("Timeout after 30 seconds", "Classifier API error", '["a"]', "[]", True)
+
+
+def test_prompts_clip_and_fill(spark):
+    df = spark.createDataFrame([("t" * 600, None, "", "p" * 3000, 1, None, 2)], "title string, body string, commit_messages string, patch_text string, additions int, deletions int, files int")
+    p = df.select(L.classifier_prompt("Rust")).first()[0]
+    assert "t" * 500 in p and "t" * 501 not in p and "p" * 2000 in p and "p" * 2001 not in p and "No description" in p and "No commit messages" in p and "+1/-0; Rust files: 2" in p
+
+
+def test_agreement_of_raters(spark):
+    df = spark.createDataFrame([("y", "Y"), ("n", "y"), ("", "y"), (None, "n"), ("N", None)], "a string, b string")
+    assert df.agg(L.agreement(F.col("a"), F.col("b"))).first()[0] == pytest.approx(100 / 3)
+
+
+def test_markdown_and_json_files(spark):
+    from patchlight.sources import files
+
+    df = spark.createDataFrame([("b", 2), ("a", None)], "k string, n int")
+    files.write_markdown(df, (at := files.fresh_folder(spark, "md")), ["k"])
+    assert [r.value for r in spark.read.text(at).collect()] == ["| k | n |", "|---|---|", "| a |  |", "| b | 2 |"]
+    files.write_json(df, (at := files.fresh_folder(spark, "json")))
+    assert sorted(r.value for r in spark.read.text(at).collect()) == ['{"k":"a","n":null}', '{"k":"b","n":2}']
