@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,30 +16,47 @@ from patchlight.llm.common import components, least_reached, materialise, sorted
 from patchlight.llm.tokens import mix
 
 SIMILAR = 0.98
-#: Two vectors of cosine 0.98 (0.2 apart) share one projection's stretch of WIDTH with probability 0.9, all PROJECTIONS of a
-#: table with 0.35, and one of the TABLES with 0.9998; unrelated ones share a table's with 0.0001.
-TABLES, PROJECTIONS, WIDTH = 20, 10, 1.6
+#: Length of a projection's stretches. Vectors of cosine 0.98 (0.2 apart) share one with probability 0.9, unrelated ones with 0.42, about.
+WIDTH, UNRELATED = 1.6, 0.42
+#: So many unrelated vectors of its label, at most, share a table's bucket with a vector, on the mean: sets the number of projections.
+STRANGERS = 0.02
+#: What part of the pairs of cosine 0.98 no table finds, at most (nearer ones: fewer): sets the number of tables.
+MISSED = 2e-4
 #: Buckets are compared in blocks of two chunks of about so many vectors.
 CHUNK = 512
 SALTS = 64
 
 
+def near_share() -> float:
+    """The probability that two vectors of cosine SIMILAR share a projection's stretch."""
+    c = math.sqrt(2 - 2 * SIMILAR)
+    tail = 0.5 * math.erfc(WIDTH / c / math.sqrt(2))
+    return 1 - 2 * tail - 2 * c / (math.sqrt(2 * math.pi) * WIDTH) * (1 - math.exp(-(WIDTH**2) / (2 * c * c)))
+
+
+def shape_for(n: int) -> tuple[int, int]:
+    """Tables and projections for labels of n vectors at most: projections grow with the logarithm of n, and tables so that as few pairs are missed: as n to the power of 0.12."""
+    projections = max(4, math.ceil(math.log(max(n, 1) / STRANGERS) / -math.log(UNRELATED)))
+    return math.ceil(math.log(MISSED) / math.log(1 - near_share() ** projections)), projections
+
+
 @lru_cache(maxsize=8)
-def _projections(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    r = np.random.default_rng([size, TABLES, PROJECTIONS])
-    return r.standard_normal((size, TABLES * PROJECTIONS)), r.uniform(0, WIDTH, TABLES * PROJECTIONS), mix(np.arange(1, PROJECTIONS + 1, dtype=np.uint64)) | np.uint64(1)
+def _projections(size: int, tables: int, projections: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    r = np.random.default_rng([size, tables, projections])
+    return r.standard_normal((size, tables * projections)), r.uniform(0, WIDTH, tables * projections), mix(np.arange(1, projections + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one size, in double precision, at length 1."""
+    """Vectors of one size, in double precision, at length 1; brought to a like size by powers of two first, so that no square is too large or small."""
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def keys(x: np.ndarray) -> np.ndarray:
-    """The buckets (rows by TABLES) of vectors of length 1."""
-    p, at, mult = _projections(x.shape[1])
-    cell = np.floor((x @ p + at) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(x), TABLES, PROJECTIONS)
+def keys(x: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """The buckets (rows by tables) of vectors of length 1."""
+    p, at, mult = _projections(x.shape[1], *shape)
+    cell = np.floor((x @ p + at) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(x), *shape)
     return mix((cell * mult).sum(2)).astype(np.int64)
 
 
@@ -57,17 +75,20 @@ def block_links(x: np.ndarray, k: np.ndarray, copies: np.ndarray, table: int, ch
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in sorted_runs(batches, ["group", "size", "table", "key", "i", "j"]):
-        if len(t) < 2:
-            continue
-        x, k = _matrix(t.column("vec").combine_chunks()), t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-        found = block_links(x, k, t.column("copies").to_numpy(), t.column("table")[0].as_py(), t.column("chunk").to_numpy(), (t.column("i")[0].as_py(), t.column("j")[0].as_py()))
-        if found is None:
-            continue
-        degree, root = found
-        some = np.flatnonzero((degree > 0) | (root != np.arange(len(t))))
-        nodes = t.column("node").combine_chunks()
-        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(some)), nodes.take(pa.array(root[some])), pa.array(degree[some])], ["node", "root", "degree"])
+    for run in sorted_runs(batches, ["cell", "i", "j"]):
+        kinds = np.stack([run.column(n).to_numpy() for n in ("size", "group", "table")], 1)
+        for kind in np.unique(kinds, axis=0):  # more than one only if hashes collide
+            t = run.filter(pa.array((kinds == kind).all(1)))
+            if len(t) < 2:
+                continue
+            x, k = _matrix(t.column("vec").combine_chunks()), t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+            found = block_links(x, k, t.column("copies").to_numpy(), int(kind[2]), t.column("chunk").to_numpy(), (t.column("i")[0].as_py(), t.column("j")[0].as_py()))
+            if found is None:
+                continue
+            degree, root = found
+            some = np.flatnonzero((degree > 0) | (root != np.arange(len(t))))
+            nodes = t.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]]), pa.array(degree[some])], ["node", "root", "degree"])
 
 
 def links(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -79,15 +100,21 @@ def links(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label
     each other. Repeated rows are vectors of their own. A null key is nobody's least key; other columns don't matter.
 
     Equal vectors of a label are joined first and counted as copies. A pair that several tables find counts in the first.
-    Buckets of n vectors are compared in (n / CHUNK)**2 / 2 blocks, none larger than two chunks; of a block only sums go on.
+    The largest label's number of rows sets how many tables and projections there are (see shape_for), so unrelated vectors
+    share few buckets however many there are. Buckets of n vectors are compared in (n / CHUNK)**2 / 2 blocks, none larger
+    than two chunks; of a block only sums go on.
     """
     e = F.col(vector).cast("array<double>")
     fine = F.col(vector).isNotNull() & F.col(label).isNotNull() & F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False))
-    rows = rows.select(F.col(key).alias("id"), F.col(label).alias("label"), F.when(fine, e).alias("vec"))
-    rows = rows.withColumn("node", F.unhex(F.md5(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.col("vec").cast("array<string>"), ",")))))
-    rows = rows.withColumn("node", F.when(F.col("vec").isNotNull(), F.col("node")))
-    reps = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    reps = reps.withColumn("size", F.size("vec")).withColumn("group", F.xxhash64(F.col("label").cast("string")))
+    largest = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    shape = shape_for(largest)
+    # vectors go as they came, in single precision if they came so
+    kept = F.col(vector) if dict(rows.dtypes)[vector] in ("array<float>", "array<double>") else e
+    rows = rows.select(F.col(key).alias("id"), F.col(label).alias("label"), F.when(fine, kept).alias("vec"))
+    same = F.unhex(F.md5(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.col("vec").cast("array<string>"), ","))))
+    rows = rows.withColumn("same", F.when(F.col("vec").isNotNull(), same))
+    reps = rows.where("same is not null").groupBy("same").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    reps = reps.select("same", "id", "copies", F.xxhash64(F.col("label").cast("string")).alias("group"), F.size("vec").alias("size"), "vec")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,33 +123,33 @@ def links(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label
             sizes = b.column("size").to_numpy()
             for n in np.unique(sizes):
                 part = b.take(pa.array(np.flatnonzero(sizes == n)))
-                k = keys(_matrix(part.column("vec")))
-                made = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, TABLES, dtype=np.int32)), pa.array(k.ravel()))
+                k = keys(_matrix(part.column("vec")), shape)
+                made = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, shape[0], dtype=np.int32)), pa.array(k.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "keys"])
 
-    shape = T.StructType([*reps.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))])
-    reps = materialise(reps.mapInArrow(hashed, shape), "vectors-hashed")
-    place = ["group", "size", "table", "key"]
-    cells = reps.select("node", "group", "size", F.posexplode("keys").alias("table", "key"))
-    sizes = cells.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1")
-    placed = cells.join(sizes, place).withColumn("chunks", F.ceil(F.col("n") / CHUNK))
+    made = T.StructType([*reps.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))])
+    # nodes get their numbers as they are written, once
+    reps = materialise(reps.mapInArrow(hashed, made).withColumn("node", F.monotonically_increasing_id()), "vectors-hashed")
+    cells = reps.select("node", "group", "size", F.posexplode("keys").alias("table", "key")).select("node", "table", F.xxhash64("group", "size", "table", "key").alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    placed = cells.join(sizes, "cell").withColumn("chunks", F.ceil(F.col("n") / CHUNK))
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node", "table"), F.col("chunks")))
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    placed = placed.select("node", *place, "chunk", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
-    blocks = placed.join(reps.select("node", "copies", "vec", "keys"), "node")
-    order = [*place, "i", "j"]
+    placed = placed.select("node", "table", "cell", "chunk", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
+    blocks = placed.join(reps.select("node", "group", "size", "copies", "vec", "keys"), "node")
+    order = ["cell", "i", "j"]
     blocks = blocks.repartition(*order).sortWithinPartitions(*order)
-    found = materialise(blocks.mapInArrow(_compare, "node binary, root binary, degree bigint"), "vectors-found")
+    found = materialise(blocks.mapInArrow(_compare, "node bigint, root bigint, degree bigint"), "vectors-found")
     degrees = found.groupBy("node").agg(F.sum("degree").alias("degree"))
     of = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), "vectors-links")
-    known = reps.select("node", "id", "copies").join(degrees, "node", "left").join(of, "node", "left")
-    known = known.select("node", "id", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    known = reps.select("node", "same", "id", "copies").join(degrees, "node", "left").join(of, "node", "left")
+    known = known.select("node", "same", "id", (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     # the members of a large class are split over SALTS places, to each of which the least key goes
     known = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     least = known.groupBy("root", "salt").agg(F.min("id").alias("id")).groupBy("root").agg(F.min("id").alias("component_id"), F.collect_list("salt").alias("salts"))
-    known = known.join(least.select("root", "component_id", F.explode("salts").alias("salt")), ["root", "salt"]).select("node", "n_links", "component_id")
-    out = rows.select("id", "node").join(known, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    known = known.join(least.select("root", "component_id", F.explode("salts").alias("salt")), ["root", "salt"]).select("same", "n_links", "component_id")
+    out = rows.select("id", "same").join(known, "same", "left")
+    component = F.when(F.col("same").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 

@@ -200,6 +200,30 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert vectors.links(df.where("false")).collect() == []
 
 
+def test_vectors_odd_rows(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 1), (1, v, 1), (None, v, 1), (2, [2e300, 4e300, 6e300], 1), (3, [1e-300, 2e-300, 3e-300], 1), (4, [float("inf"), 1.0, 1.0], 1), (5, v, None), (6, [-x for x in v], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"node": F.lit("mine"), "cell": F.lit(1), "kept": F.lit(2)})
+    got = Counter(tuple(r) for r in vectors.links(df).collect())
+    assert got == Counter({(1, 4, 1, True): 2, (None, 4, 1, False): 1, (2, 4, 1, False): 1, (3, 4, 1, False): 1, (4, 0, 4, True): 1, (5, 0, 5, True): 1, (6, 0, 6, True): 1})
+
+
+def test_vectors_recall_and_strangers():
+    """At each size nearly all pairs of cosine 0.98 share a bucket, and few unrelated ones."""
+    rng = np.random.default_rng(1)
+    for n in (10, 5000, 10**7):
+        tables, projections = shape = vectors.shape_for(n)
+        x = rng.normal(size=(1500, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.normal(size=(1500, 64))
+        y -= (x * y).sum(1, keepdims=True) * x
+        y = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        a, b = vectors.keys(x, shape), vectors.keys(y, shape)
+        assert (a == b).any(1).mean() >= 0.998
+        assert (a == np.roll(a, 1, 0)).mean() * n <= 0.2
+    assert vectors.shape_for(10**9)[0] < 4 * vectors.shape_for(10**5)[0]
+
+
 # 6
 
 
