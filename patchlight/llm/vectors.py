@@ -69,9 +69,11 @@ def block_links(x: np.ndarray, k: np.ndarray, copies: np.ndarray, table: int, ch
     a, b = np.nonzero(linked)
     if not len(a):
         return None
-    new = ~(k[a, :table] == k[b, :table]).any(1) if table else np.ones(len(a), bool)
-    degree = np.bincount(a[new], copies[b[new]], len(x)).astype(np.int64)
-    return degree, least_reached(a, b, len(x))
+    reached = least_reached(a, b, len(x))
+    for t in range(table):  # near vectors share many tables: few links are left soon
+        new = k[a, t] != k[b, t]
+        a, b = a[new], b[new]
+    return np.bincount(a, copies[b], len(x)).astype(np.int64), reached
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
