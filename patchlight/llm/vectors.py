@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlight.llm.common import components, least_reached, materialise, sorted_runs
+from patchlight.llm.common import components, least_reached, materialise
 from patchlight.llm.tokens import mix
 
 SIMILAR = 0.98
@@ -24,6 +24,8 @@ STRANGERS = 0.02
 MISSED = 2e-4
 #: Buckets are compared in blocks of two chunks of about so many vectors.
 CHUNK = 512
+#: Runs of so many vectors at most are compared together, pair by pair.
+SHORT = 24
 SALTS = 64
 
 
@@ -76,21 +78,77 @@ def block_links(x: np.ndarray, k: np.ndarray, copies: np.ndarray, table: int, ch
     return np.bincount(a, copies[b], len(x)).astype(np.int64), reached
 
 
+def pair_links(x: np.ndarray, k: np.ndarray, table: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The linked pairs (a, b) of rows that stand in one run, and whether no table before the run's has them; runs are sorted and short."""
+    found = []
+    for d in range(1, int(np.bincount(run - run.min()).max())):
+        a = np.flatnonzero(run[d:] == run[:-d])
+        for at in range(0, len(a), 1 << 15):
+            part = a[at : at + (1 << 15)]
+            found.append(part[np.einsum("ij,ij->i", x[part], x[part + d]) >= SIMILAR].astype(np.int64) + (d << 32))
+    pairs = np.concatenate(found) if found else np.empty(0, np.int64)
+    a = pairs & 0xFFFFFFFF
+    b = a + (pairs >> 32)
+    new = np.ones(len(a), bool)
+    for t in range(int(table.max(initial=0))):
+        new &= (table[a] <= t) | (k[a, t] != k[b, t])
+    return a, b, new
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run in sorted_runs(batches, ["cell", "i", "j"]):
+    """Links within runs of (cell, i, j): of short runs all at once, of longer ones each by a product of matrices."""
+    names = ["node", "root", "degree"]
+
+    def arrays(t: pa.Table) -> tuple[np.ndarray, ...]:
+        return tuple(t.column(n).to_numpy() for n in ("node", "copies", "table", "group"))
+
+    def short(t: pa.Table, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes = t.column("size").to_numpy()
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            part = t.take(pa.array(at))
+            node, copies, table, group = arrays(part)
+            k = part.column("keys").combine_chunks().flatten().to_numpy().reshape(len(part), -1)
+            a, b, new = pair_links(_matrix(part.column("vec").combine_chunks()), k, table, run[at])
+            same = group[a] == group[b]  # other groups share a cell only if hashes collide
+            a, b, new = a[same], b[same], new[same]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(node[np.r_[a, b]]), pa.array(node[np.r_[b, a]]), pa.array(np.r_[copies[b] * new, copies[a] * new])], names)
+
+    def long(run: pa.Table) -> Iterator[pa.RecordBatch]:
         kinds = np.stack([run.column(n).to_numpy() for n in ("size", "group", "table")], 1)
-        for kind in np.unique(kinds, axis=0):  # more than one only if hashes collide
+        for kind in np.unique(kinds, axis=0):
             t = run.filter(pa.array((kinds == kind).all(1)))
-            if len(t) < 2:
-                continue
             x, k = _matrix(t.column("vec").combine_chunks()), t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
             found = block_links(x, k, t.column("copies").to_numpy(), int(kind[2]), t.column("chunk").to_numpy(), (t.column("i")[0].as_py(), t.column("j")[0].as_py()))
-            if found is None:
-                continue
-            degree, root = found
-            some = np.flatnonzero((degree > 0) | (root != np.arange(len(t))))
-            nodes = t.column("node").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]]), pa.array(degree[some])], ["node", "root", "degree"])
+            if found is not None:
+                degree, root = found
+                some, node = np.flatnonzero((degree > 0) | (root != np.arange(len(t)))), t.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]]), pa.array(degree[some])], names)
+
+    def whole(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lengths = np.diff(np.r_[starts, len(t)])
+        run = np.repeat(np.arange(len(starts)), lengths)
+        few = (lengths <= SHORT) & (t.column("i").to_numpy()[starts] == t.column("j").to_numpy()[starts])
+        at = np.flatnonzero(few[run])
+        if len(at):
+            yield from short(t.take(pa.array(at)), run[at])
+        for r in np.flatnonzero(~few):
+            yield from long(t.slice(starts[r], lengths[r]))
+
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if held is not None:
+            t = pa.concat_tables([held, t])
+        if not len(t):
+            continue
+        c = np.stack([t.column(n).to_numpy() for n in ("cell", "i", "j")], 1)
+        starts = np.r_[0, np.flatnonzero((c[1:] != c[:-1]).any(1)) + 1]
+        yield from whole(t.slice(0, starts[-1]), starts[:-1]) if len(starts) > 1 else ()
+        held = t.slice(starts[-1])
+    if held is not None and len(held):
+        yield from whole(held, np.array([0]))
 
 
 def links(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:

@@ -183,8 +183,10 @@ def test_components(spark):
 # 5
 
 
-def test_vectors_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "CHUNK", 8)
+@pytest.mark.parametrize("chunk, short", [(8, 4), (512, 24)])
+def test_vectors_against_all_pairs(spark, monkeypatch, chunk, short):
+    monkeypatch.setattr(vectors, "CHUNK", chunk)
+    monkeypatch.setattr(vectors, "SHORT", short)
     rng = np.random.default_rng(2)
     rows = []
     for c in range(6):
