@@ -12,13 +12,24 @@ from patchlight.llm.common import ASCII_LOWER, ASCII_UPPER
 
 #: rule (host and path prefix), verdict
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: The small labelled table: each host under each of its list's paths.
-BLOCK_HOSTS = ["casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x", "poker-night", "slots-bonus", "bet-now", "win-prizes", "pills-online", "adult-chat", "track-clicks", "ads-serve", "spam-links", "free-casino", "xxx-video", "viagra-shop", "lottery-win", "crypto-double"]
-ALLOW_HOSTS = ["library", "university", "weather", "museum", "docs", "gardening", "recipes", "history", "council", "newsroom", "thehouse", "thering", "nation", "therein", "station", "tions", "other", "thanks", "onlyread", "thread", "wanderer", "theatre", "handed", "ordered", "another"]
-BLOCK_PATHS = ["/en/12", "/fr/345.html", "/win/bonus", "/click?id=9", "/"]
-ALLOW_PATHS = ["/en/12", "/fr/345.html", "/de/678/", "/es/90", "/"]
-DOMAINS = ["example.com", "example.org", "example.net"]
-FEATURES, GRAMS = 2**14, (3, 4, 5)
+#: Of the small labelled table: words of hosts to block and to allow, what joins two of them, ends of hosts, paths.
+BLOCK_WORDS = """adult ads affiliate babes bet betting bingo bitcoin blackjack bonus cams cash casino cheap clickbait coupon credit crypto dating deals debt diet discount double doubler earn escort fake farm
+forex free gamble gambling getrich hookup jackpot keno lose loan loans lottery lotto lucky millionaire money nude offers payday pharma pills poker porn prize prizes promo quick replica rich roulette sex
+sexy singles slot slots spam spin sportsbet sweepstakes tabs track tracker traffic tube viagra wager warez weightloss win winner wins xxx""".split()
+ALLOW_WORDS = """academy archive atlas bakery beach bicycle biology birds books bread bridge castle chemistry children choir church cinema city climate coast college community council courses daily dance
+department design dictionary docs earth education energy engineering family film forest forum foundation garden gazette geography guide harbour health herald heritage history home hospital institute
+island journal kitchen lake language law learn library literature local magazine maps market maths medicine memory meteo mountain museum music nation nature news newspaper observatory ocean open
+orchestra other park people philosophy physics plants poetry post press project radio railway recipes research review river road school science society space sport station stories studio teachers
+theatre their theory thread times together tourism town trail train travel university valley village voice volunteer walking water weather wiki wind winter women world writers zeitung""".split()
+JOINS, STEPS = ("-", "", "-", "."), (1, 5, 11)
+ENDS = ("com", "org", "net", "info", "co.uk", "de", "fr", "io", "example.com", "example.org", "example.net", "es")
+BLOCK_ENDS = (*ENDS, "xyz", "biz", "click", "top")
+PREFIXES = ("", "www.", "m.", "blog.", "shop.", "")
+BLOCK_PATHS = ("/", "", "/win/bonus", "/signup?ref=77", "/en/12", "/offer/50-percent-off", "/fr/345.html", "/go?id=9")
+ALLOW_PATHS = ("/", "", "/en/12", "/fr/345.html", "/de/678/", "/es/90?page=2", "/about#team", "/2021/03/a-day-out")
+FEATURES, GRAMS = 2**15, (3, 4, 5)
+#: Least probability that blocks. Words that the table lacks score by the pieces that they share with its words, up to 0.85 or so.
+THRESHOLD = 0.9
 
 
 def host(url: Column) -> Column:
@@ -54,21 +65,32 @@ def features(df: DataFrame, host: str = "host", path: str = "path") -> DataFrame
     return HashingTF(numFeatures=FEATURES, binary=True, inputCol="__grams", outputCol="__features").transform(df.withColumn("__grams", grams(F.col(host), F.col(path))))
 
 
+def _hosts(words: list[str], ends: tuple[str, ...]) -> list[str]:
+    """Each word alone and with some that follow it, below the ends by turns."""
+    n, out = len(words), []
+    for i, w in enumerate(words):
+        names = [w, *(w + JOINS[(i + k) % len(JOINS)] + words[(i + step) % n] for k, step in enumerate(STEPS))]
+        out += [f"{PREFIXES[(i + k) % len(PREFIXES)]}{name}.{ends[(i * 4 + k * 3) % len(ends)]}" for k, name in enumerate(names)]
+    return out
+
+
 def labelled(spark: SparkSession) -> DataFrame:
-    """The small labelled table: host, path, label (1: block)."""
-    rows = [(f"{h}.{d}", p, 1.0) for h in BLOCK_HOSTS for d in DOMAINS for p in BLOCK_PATHS] + [(f"{s}{h}.{d}", p, 0.0) for k, h in enumerate(ALLOW_HOSTS) for s in ("", ("www.", "blog.", "m.")[k % 3]) for d in DOMAINS for p in ALLOW_PATHS]
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', {y}D)" for h, p, y in rows) + " AS t(host, path, label)")
+    """The small labelled table: url, label (1: block)."""
+    rows = [(f"https://{h}{paths[k % len(paths)]}", y) for hosts, paths, y in ((_hosts(BLOCK_WORDS, BLOCK_ENDS), BLOCK_PATHS, 1.0), (_hosts(ALLOW_WORDS, ENDS), ALLOW_PATHS, 0.0)) for k, h in enumerate(hosts)]
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y}D)" for u, y in rows) + " AS t(url, label)")
 
 
 def train(spark: SparkSession) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol="__features", labelCol="label", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y", regParam=0.01, maxIter=50).fit(features(labelled(spark)).coalesce(1))
+    rows = labelled(spark).select(host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "label")
+    return LogisticRegression(featuresCol="__features", labelCol="label", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__y", regParam=0.003, maxIter=60).fit(features(rows).coalesce(1))
 
 
-def judge(pages: DataFrame, rules: dict[str, str] = RULES, threshold: float = 0.5, key: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str] = RULES, threshold: float = THRESHOLD, key: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score (the model's probability of block) of every row of pages.
 
     verdict: the rule's, else block where score >= threshold. Null urls and urls without :// have empty hosts and paths,
-    which no rule fits and the model judges like any other. Repeated rows are judged alike; other columns don't matter.
+    which no rule fits and the model judges like any other. Urls are judged whole, however long. Repeated rows are judged
+    alike, and so are all of a host and path; null keys stay; other columns don't matter; an empty table stays empty.
     """
     rows = pages.select(F.col(key).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     scored = train(pages.sparkSession).transform(features(rows)).withColumn("score", vector_to_array("__p")[1])
