@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,8 +14,8 @@ from patchlight.llm.common import materialise
 from patchlight.llm.language import held_out
 from patchlight.llm.tokens import word_hashes
 
-#: Rows that the model is fitted on, about (all, if there are fewer): trusted positives, trusted negatives (for the class prior and calibration only), unlabelled texts.
-POSITIVES, NEGATIVES, UNLABELLED = 4000, 2000, 8000
+#: Rows that the model is fitted on, about (all, if there are fewer): trusted positives and unlabelled texts. Rows labelled otherwise are unlabelled ones.
+POSITIVES, UNLABELLED = 4000, 8000
 #: Each feature is cut at so many quantiles of the unlabelled texts.
 BINS = 16
 STEPS, RATE, RIDGE = 400, 0.05, 1e-3
@@ -60,41 +60,59 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def class_prior(p: np.ndarray, u: np.ndarray, n_pos: int, n_neg: int) -> float:
-    """The share of positives: among the labelled rows, if both kinds are there; else the least ratio of densities, unlabelled to positive, over the stretches of all features."""
-    if n_pos and n_neg:
-        return n_pos / (n_pos + n_neg)
-    a, b = p.mean(0), u.mean(0)
-    common = a > 0.05
-    return float(np.clip((b[common] / a[common]).min(initial=1.0), 0.05, 0.95))
-
-
-def fit(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
-    """Weights under logistic loss: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), by Adam; where the second part falls below 0, the step raises it."""
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+def _descend(size: int, gradient: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Where STEPS steps by Adam lead from 0."""
+    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for t in range(1, STEPS + 1):
-        zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        down = u.T @ _sigmoid(zu) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
-        up = -prior * (p.T @ _sigmoid(-zp)) / len(p)
-        g = (up + down if negative >= 0 else -down) + RIDGE * w
+        g = gradient(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale (at least 0.05) and shift of the scores under which the labels are likeliest, by Newton steps."""
-    a, b = 1.0, 0.0
-    if len(set(y.tolist())) < 2:
-        return a, b
-    for _ in range(30):
-        q = _sigmoid(a * z + b)
-        s = q * (1 - q) + 1e-6
-        g = np.array([((q - y) * z).sum() + 1e-2 * (a - 1), (q - y).sum() + 1e-2 * b])
-        h = np.array([[(s * z * z).sum() + 1e-2, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-2]])
-        a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -2, 2)
-    return max(float(a), 0.05), float(b)
+def class_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from trusted positives p and unlabelled u alone, by the best bin of scores.
+
+    A linear model that tells p from u is fitted on one half of each and scores the other. Above a threshold there are as
+    many of the unlabelled ones, of those of the positives, as positives among them, and more if negatives score so high:
+    the least such ratio, with a margin for chance, is the estimate.
+    """
+    def fitted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _descend(a.shape[1], lambda w: (b.T @ _sigmoid(b @ w) / len(b) - a.T @ _sigmoid(-(a @ w)) / len(a)) / 2 + RIDGE * w)
+
+    found = []
+    for k in (0, 1):
+        if len(p) < 4 or len(u) < 4:
+            return 0.5
+        w = fitted(p[k::2], u[k::2])
+        zp, zu = np.sort(p[1 - k :: 2] @ w), np.sort(u[1 - k :: 2] @ w)
+        cuts = np.unique(zp)
+        above_p, above_u = 1 - np.searchsorted(zp, cuts) / len(zp), 1 - np.searchsorted(zu, cuts) / len(zu)
+        chance = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(zp)) + 1 / np.sqrt(len(zu)))
+        best = np.argmin((above_u + 1.01 * chance) / above_p)
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), 0.02, 0.98))
+
+
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) under logistic loss, and the ridge."""
+    zp, zu = p @ w, u @ w
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return prior * np.logaddexp(0, -zp).mean() + max(0.0, negative) + RIDGE * (w @ w) / 2
+
+
+def slope(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient of the risk; where its second part is below 0, the step that raises that part instead."""
+    zp, zu = p @ w, u @ w
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    down = u.T @ _sigmoid(zu) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
+    up = -prior * (p.T @ _sigmoid(-zp)) / len(p)
+    return (up + down if negative >= 0 else -down) + RIDGE * w
+
+
+def fit(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Weights of least non-negative risk. Their logistic function is the probability of a positive, as far as the prior is right."""
+    return _descend(p.shape[1], lambda w: slope(w, p, u, prior))
 
 
 def _draw(key: Column, salt: str) -> Column:
@@ -102,19 +120,18 @@ def _draw(key: Column, salt: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Broadcast | None:
-    """The model, from docs and their labels (1 or 0; ids with null or contradictory labels have none); None without positives or texts.
+    """The model, from docs and their positive labels (1; ids with contradictory labels have none); None without positives or texts.
 
-    Labels are drawn by the hash of their keys, about POSITIVES and NEGATIVES rows, so few enough to be sent to all tasks.
+    Other labels are used for nothing but to tell contradictory ones. Positives are drawn by the hash of their keys, about
+    POSITIVES rows, so few enough to be sent to all tasks; so are UNLABELLED rows of all docs.
     """
     spark = docs.sparkSession
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    trusted = labels.where(F.col(label).isin(0, 1)).groupBy(k.alias("k")).agg(F.min(label).alias("y"), F.max(label).alias("y1")).where("y = y1").select("k", "y")
-    sizes = {r["y"]: r["n"] for r in trusted.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n_docs = docs.count()
-    if not sizes.get(1) or not n_docs:
+    trusted = labels.where(F.col(label).isNotNull()).groupBy(k.alias("k")).agg(F.min(label).alias("y0"), F.max(label).alias("y1")).where("y0 = 1 and y1 = 1").select("k", F.lit(1).alias("y"))
+    n_pos, n_docs = trusted.count(), docs.count()
+    if not n_pos or not n_docs:
         return None
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, POSITIVES / sizes[1]))).otherwise(F.lit(min(1.0, NEGATIVES / max(sizes.get(0, 1), 1))))
-    some = F.broadcast(trusted.where(_draw(F.col("k"), "label/") < share))
+    some = F.broadcast(trusted.where(_draw(F.col("k"), "label/") < min(1.0, POSITIVES / n_pos)))
     sample = docs.select(k.alias("k"), F.col(text).alias("t")).join(some, "k", "left").withColumn("u", _draw(F.col("k"), "plain/") < min(1.0, UNLABELLED / n_docs)).where("u or y is not null")
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,25 +143,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         x, y = np.stack(rows["x"].to_list()), rows["y"].to_numpy()
         base = x[rows["u"].to_numpy(bool)] if rows["u"].any() else x
         cuts = [np.unique(np.quantile(base[:, j], np.arange(1, BINS) / BINS)) for j in range(FEATURES)]
-        d, u = _design(x, cuts), _design(base, cuts)
         if not (y == 1).any():
             return
-        p = d[y == 1]
-        w = fit(p, u, class_prior(p, u, sizes[1], sizes.get(0, 0)))
-        known = y >= 0
-        # weights put back the shares that drawing changed
-        times = np.where(y[known] == 1, 1 / min(1.0, POSITIVES / sizes[1]), 1 / min(1.0, NEGATIVES / max(sizes.get(0, 1), 1)))
-        again = np.repeat(np.arange(known.sum()), np.maximum(1, np.round(times / times.min() * 2)).astype(int))
-        a, b = calibrate((d[known] @ w)[again], y[known][again])
-        yield pd.DataFrame({"w": [w.tobytes()], "cuts": [[c.tolist() for c in cuts]], "a": [a], "b": [b]})
+        p, u = _design(x[y == 1], cuts), _design(base, cuts)
+        prior = class_prior(p, u)
+        yield pd.DataFrame({"w": [fit(p, u, prior).tobytes()], "cuts": [[c.tolist() for c in cuts]], "prior": [prior]})
 
     found = materialise(sample.select("k", "t", "y", "u").mapInPandas(encoded, "k string, y int, u boolean, x array<double>"), "quality-sample")
-    found = found.coalesce(1).mapInPandas(learn, "w binary, cuts array<array<double>>, a double, b double").first()
-    return found and spark.sparkContext.broadcast((np.frombuffer(found["w"]).copy(), [np.array(c) for c in found["cuts"]], found["a"], found["b"]))
+    found = found.coalesce(1).mapInPandas(learn, "w binary, cuts array<array<double>>, prior double").first()
+    return found and spark.sparkContext.broadcast((np.frombuffer(found["w"]).copy(), [np.array(c) for c in found["cuts"]], found["prior"]))
 
 
 def score(docs: DataFrame, model: Broadcast | None, text: str = "text") -> DataFrame:
-    """docs, and columns score (0 to 1, the calibrated probability of good quality) and predicted (1 if score >= THRESHOLD, else 0).
+    """docs, and columns score (0 to 1, the probability of good quality) and predicted (1 if score >= THRESHOLD, else 0).
 
     Null texts score as empty ones, equal texts alike; without a model all score 0.5. Existing columns of these names are replaced.
     """
@@ -154,10 +165,10 @@ def score(docs: DataFrame, model: Broadcast | None, text: str = "text") -> DataF
     else:
         @F.pandas_udf("double")
         def rate(texts: pd.Series) -> pd.Series:
-            w, cuts, a, b = model.value
+            w, cuts, _ = model.value
             if not len(texts):
                 return pd.Series([], dtype=float)
-            return pd.Series(_sigmoid(a * (_design(np.stack([features(t) for t in texts]), cuts) @ w) + b))
+            return pd.Series(_sigmoid(_design(np.stack([features(t) for t in texts]), cuts) @ w))
 
         s = rate(F.col(text))
     return docs.withColumn("score", s).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
