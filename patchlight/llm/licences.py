@@ -16,6 +16,7 @@ from patchlight.llm.common import ASCII_LOWER, ASCII_UPPER, materialise
 UNKNOWN = "unknown"
 #: Notices by family, in usual words.
 TEMPLATES = {
+    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-or-later"],
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file", "SPDX-License-Identifier: BSD-3-Clause"],
     "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -23,15 +24,20 @@ TEMPLATES = {
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc0": ["Released under CC0 1.0.", "To the extent possible under law, the author has dedicated all copyright and related rights to the public domain worldwide."],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
     "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the GNU Lesser General Public License, version 3."],
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction", "SPDX-License-Identifier: MIT", "Licensed under the MIT License."],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "reserved": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."],
 }
+#: Families whose notices hold much of each other's: where another one's template is met better, a family isn't confirmed.
+RIVALS = [["agpl", "gpl", "lgpl"], ["cc-by", "cc-by-nc", "cc-by-sa"], ["isc", "mit"]]
+#: Runs of two words by which a line says that it is no notice.
+DENIED = ["not licensed", "not released", "not under", "not distributed", "not available", "never licensed", "never released", "isn t", "longer licensed", "longer under"]
 #: What may stand around a notice.
 AROUND = [("", ""), ("Copyright (c) 2021 The Authors. ", ""), ("", " See the file for details."), ("Notice: ", " The authors."), ("This project and its documents: ", " Thank you for reading."), ("// ", " //")]
 #: Paragraphs that speak of like things and are no notices.
-OTHERS = ["The museum opens at nine and closes at five in all weathers.", "He got a driving license in May.", "She studied at MIT before she moved to the coast.", "The general public was free to visit the garden.", "Please read the terms of the meeting before you vote.", "The foundation published a free guide to birds.", "An Apache helicopter flew over the village.", "This work was done by hand in the winter months.", "The following conditions were hard for all of them.", "Version 2 of the map shows the new road.", "The source of the river lies in the hills.", "All of the rights and wrongs were told again.", "Permission to enter was given by the owner.", "It is released in spring and sold in autumn.", "The file was found under a pile of papers.", "You may not use the lift when there is a fire.", "The library lends books under these rules.", "A copy of the letter is in the archive."]
+OTHERS = ["The museum opens at nine and closes at five in all weathers.", "He got a driving license in May.", "She studied at MIT before she moved to the coast.", "The general public was free to visit the garden.", "Please read the terms of the meeting before you vote.", "The foundation published a free guide to birds.", "An Apache helicopter flew over the village.", "This work was done by hand in the winter months.", "The following conditions were hard for all of them.", "Version 2 of the map shows the new road.", "The source of the river lies in the hills.", "All of the rights and wrongs were told again.", "Permission to enter was given by the owner.", "It is released in spring and sold in autumn.", "The file was found under a pile of papers.", "You may not use the lift when there is a fire.", "The library lends books under these rules.", "A copy of the letter is in the archive.", "This text is not licensed under the MIT License.", "It was never released under the GNU General Public License.", "The map is not available under the Apache License."]
 #: The paragraphs of half of so many documents, about, teach the unknown class.
 SAMPLE_DOCS = 600
 #: Least share of a template's runs of two words that a paragraph must hold to confirm its family.
@@ -134,12 +140,18 @@ def speaks_of_any(w: Column) -> Column:
 
 
 def confirmed(w: Column, family: Column) -> Column:
-    """Whether the words hold CONFIRMED of the runs of two of one of the family's templates."""
-    def held(t: str) -> Column:
-        r = runs(t)
-        return F.size(F.array_intersect(pairs(w), F.array(*map(F.lit, r)))) >= CONFIRMED * len(r)
-
-    return reduce(lambda x, f: F.when(family == f, reduce(lambda a, b: a | b, map(held, TEMPLATES[f]))).otherwise(x), TEMPLATES, F.lit(False))
+    """Whether the words hold CONFIRMED of the runs of two of one of the family's templates, no less of them than of a rival's, and deny nothing."""
+    def held(f: str) -> Column:
+        shares = [F.size(F.array_intersect(pairs(w), F.array(*map(F.lit, runs(t))))) / F.lit(float(len(runs(t)))) for t in TEMPLATES[f]]
+        return F.greatest(*shares, F.lit(0.0))
+
+    def sure(f: str) -> Column:
+        rivals = [r for group in RIVALS if f in group for r in group if r != f]
+        enough = held(f) >= CONFIRMED
+        return enough & (held(f) >= F.greatest(*map(held, rivals), F.lit(0.0))) if rivals else enough
+
+    denied = F.arrays_overlap(pairs(w), F.array(*map(F.lit, DENIED)))
+    return ~denied & reduce(lambda x, f: F.when(family == f, sure(f)).otherwise(x), TEMPLATES, F.lit(False))
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> PipelineModel:
