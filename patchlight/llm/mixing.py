@@ -105,14 +105,30 @@ def digest(mixed: Mix) -> DataFrame:
     return mixed.documents.select("doc_id", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
 
 
-def apply(docs: DataFrame) -> DataFrame:
-    """docs as the mix has them: each as many times as its words are taken on the mean, rounded (so from 0 to 3 times)."""
-    taken = digest(mix(docs)).select("doc_id", "size", "taken").where("taken > 0")
-    times = taken.groupBy("doc_id", "size").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("__all"), F.count("*").alias("__rows"))
-    sized = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
-    times = times.select(F.col("doc_id").alias("__id"), F.col("size").alias("__n"), F.floor(F.col("__all") / F.col("__rows") + 0.5).cast("int").alias("__times")).where("__times > 0")
-    joined = sized.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(c) for c in docs.columns])
+def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """docs as the mix has them: each as often as its blocks take it whole, and once more cut off after the words that they take besides.
+
+    So each source has its quota of words, exactly. Quotas end within one document a source; only that one is cut (and its
+    column chars, if there is one, set anew). Rows that share a key and a size, equal ones too, share what is taken of them
+    evenly, to the word. Documents without words, with null texts too, are in no block and go. Null keys and sources count
+    as any others; other columns stay, whatever their names; an empty table stays empty. The order of slots isn't kept.
+    """
+    columns = docs.columns
+    n = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    source = [F.col("`source`")] if "source" in columns else [F.lit(None).cast("string")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("d"), F.col(f"`{key}`").alias("id"), n.alias("n"), F.col(f"`{text}`").alias("t"), source[0].alias("s"))
+    mixed = mix(docs)
+    taken = mixed.documents.where("taken > 0").join(mixed.sources.select("source_no", "source"), "source_no")
+    shares = taken.groupBy(F.col("doc_id").alias("k"), F.col("size").alias("z"), F.col("source").alias("o")).agg(F.sum("taken").alias("words"), F.count("*").alias("rows"))
+    j = rows.join(shares, F.col("id").eqNullSafe(F.col("k")) & (F.col("n") == F.col("z")) & F.col("s").eqNullSafe(F.col("o")))
+    # mean whole copies and words over of a row; what doesn't come out even goes to the cut
+    words = F.floor(F.col("words") / F.col("rows"))
+    j = j.select("d", "n", "t", F.floor(words / F.col("n")).cast("int").alias("whole"), (words % F.col("n")).cast("int").alias("over"))
+    j = j.withColumn("cut", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("whole")), F.when(F.col("over") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
+    first = F.array_join(F.slice(F.regexp_extract_all("t", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("over")), "")
+    j = j.withColumn("t", F.when(F.col("cut"), first).otherwise(F.col("t")))
+    made = {text: F.col("t")} | ({chars: F.when(F.col("cut"), F.length("t")).otherwise(F.col(f"d.`{chars}`"))} if chars in columns else {})
+    return j.select(*[(made[c].cast(docs.schema[c].dataType) if c in made else F.col(f"d.`{c}`")).alias(c) for c in columns])
 
 
 #: The same mix in closed form: a document's words stand at [at, at + size) of its source, which is read quota words far.
