@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,43 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts the lineage and outlives executors."""
+#: By open scratch(): the folders that it deletes.
+_scratches: list[list[str]] = []
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: cuts the lineage and outlives executors.
+
+    Within a scratch() the folder lasts as long as that, unless keep; else the caller's cluster clears it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _scratches and not keep:
+        _scratches[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialised within is deleted at the end, but for what is to be kept: no later result may read it."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(name: str, *dfs: DataFrame) -> str:
+    """name, with as many lines before it as it takes to be no column's, in any case."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does the same on text that is all ASCII, and faster."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, ASCII_UPPER, ASCII_LOWER))

@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlight.llm.common import materialise
+from patchlight.llm.common import materialise, unused
 
 #: n-grams of 1 to 3 characters fall into so many buckets.
 BUCKETS = 1 << 14
@@ -135,10 +135,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return spark.sparkContext.broadcast((idf, weights, langs, found["t"] if found else 1.0))
 
 
-def _judged(docs: DataFrame, model: Broadcast | None, text: str) -> DataFrame:
-    """docs, and a column __j of lang_pred and score."""
+def _judged(docs: DataFrame, model: Broadcast | None, text: str) -> tuple[DataFrame, str]:
+    """docs with one more column, whose name follows, of lang_pred and score."""
+    name = unused("judged", docs)
     if model is None:
-        return docs.withColumn("__j", F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")))
+        return docs.withColumn(name, F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))), name
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
@@ -153,7 +154,7 @@ def _judged(docs: DataFrame, model: Broadcast | None, text: str) -> DataFrame:
             out.append((langs[int(p.argmax())], float(p.max())))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("__j", judge(F.when(F.col(text).rlike(r"\p{L}"), F.col(text))))
+    return docs.withColumn(name, judge(F.when(F.col(text).rlike(r"\p{L}"), F.col(text)))), name
 
 
 def predict(docs: DataFrame, model: Broadcast | None, text: str = "text") -> DataFrame:
@@ -163,7 +164,8 @@ def predict(docs: DataFrame, model: Broadcast | None, text: str = "text") -> Dat
     equal results; ties go to the first language by code point. Existing columns of these names are replaced.
     """
     docs = docs.drop("lang_pred", "score")
-    return _judged(docs, model, text).select(*[F.col(f"`{c}`") for c in docs.columns], "__j.lang_pred", "__j.score")
+    judged, name = _judged(docs, model, text)
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], f"{name}.lang_pred", f"{name}.score")
 
 
 def held_out(docs: DataFrame, key: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
@@ -182,6 +184,11 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """Rows of docs whose language could be told: not 'und', and a score of LEAST_SCORE at least."""
-    ok = (F.col("__j.lang_pred") != "und") & (F.col("__j.score") >= LEAST_SCORE)
-    return _judged(docs, train(docs.where(~held_out(docs))), "text").where(ok).drop("__j")
+    """Rows of docs whose language could be told: not 'und', and a score of LEAST_SCORE at least.
+
+    So rows with null texts or texts without a letter go, empty ones among them; repeated rows stay or go together. All
+    other columns stay as they are, null keys, languages and sources too; an empty table stays empty.
+    """
+    judged, name = _judged(docs, train(docs.where(~held_out(docs))), "text")
+    ok = (F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_SCORE)
+    return judged.where(ok).drop(name)

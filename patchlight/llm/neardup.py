@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patchlight.llm.common import components, least_reached, materialise, sorted_runs
+from patchlight.llm.common import components, least_reached, materialise, scratch, sorted_runs, unused
 from patchlight.llm.tokens import mix, shingles
 
 #: Words of a shingle; least similarity of a link.
@@ -28,6 +28,7 @@ COUNTERS, BLOCK = 1 << 20, 1 << 12
 CHUNK, CHARS = 256, 1 << 24
 #: What rounding may do to a distance.
 SLACK = 1e-9
+SALTS = 64
 _CHUNK, _SLAB = 512, 4096
 
 
@@ -269,28 +270,39 @@ def _linked(nodes: DataFrame, texts: DataFrame, idf: Broadcast) -> DataFrame | N
     return components(links.unionByName(second.select(F.col("node").alias("a"), F.col("root").alias("b"))), "neardup-links")
 
 
-def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """docs with columns __id and __node (the MD5 of the text), and (id, node, class_id, first) for each pair of them."""
-    spark = docs.sparkSession
-    docs = docs.withColumns({"__id": F.col(key), "__node": F.unhex(F.md5(F.col(text)))})
-    rows = docs.select(F.col("__id").alias("id"), F.col("__node").alias("node"), F.col(text).alias("t")).where("t is not null")
-    idf = spark.sparkContext.broadcast(idf_of(*frequencies(docs, text)))
-    signed = materialise(_bands(rows, idf), "neardup-bands")
-    order = F.struct(F.col("id").isNull().alias("no"), "id")  # null keys last
-    nodes = materialise(signed.groupBy("node").agg(F.min(order)["id"].alias("id"), F.first("bands").alias("bands"), F.first("chars").alias("chars")), "neardup-nodes")
-    cells = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = cells.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    near = materialise(cells.join(shared, ["band", "key"], "left_semi").select("node").distinct(), "neardup-near")
-    picked = nodes.join(near, "node", "left_semi")
-    # by key and text: copies of a text don't meet in one task
-    texts = rows.join(picked.select(F.col("node").alias("pn"), F.col("id").alias("pi")), (F.col("node") == F.col("pn")) & F.col("id").eqNullSafe(F.col("pi"))).select("node", "id", "t").dropDuplicates(["node", "id"])
-    roots = _linked(picked.select("node", "bands", "chars"), materialise(texts.select("node", "t"), "neardup-texts"), idf)
-    label = nodes.select("node", "id")
-    label = label.withColumn("root", F.col("node")) if roots is None else label.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    least = label.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "node")).alias("least"))
-    of = label.join(least, "root").select("node", F.col("least.id").alias("class_id"), F.col("least.node").alias("kept_node"))
-    pairs = signed.select("id", "node").distinct().join(of, "node")
-    return docs, materialise(pairs.select("id", "node", "class_id", ((F.col("node") == F.col("kept_node")) & F.col("id").eqNullSafe(F.col("class_id"))).alias("first")), "neardup-classes")
+def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, str, str]:
+    """docs with two more columns, whose names follow, of the key and of the MD5 of the text; and (id, node, class_id, first) for each pair of them."""
+    spark, k, n = docs.sparkSession, unused("key", docs), unused("node", docs)
+    docs = docs.withColumns({k: F.col(f"`{key}`"), n: F.unhex(F.md5(F.col(f"`{text}`")))})
+    rows = docs.select(F.col(k).alias("id"), F.col(n).alias("node"), F.col(f"`{text}`").alias("t")).where("t is not null")
+    with scratch(spark):
+        idf = spark.sparkContext.broadcast(idf_of(*frequencies(docs, text)))
+        signed = materialise(_bands(rows, idf), "neardup-bands")
+        order = F.struct(F.col("id").isNull().alias("no"), "id")  # null keys last
+        nodes = materialise(signed.groupBy("node").agg(F.min(order)["id"].alias("id"), F.first("bands").alias("bands"), F.first("chars").alias("chars")), "neardup-nodes")
+        cells = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+        shared = cells.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+        near = materialise(cells.join(shared, ["band", "key"], "left_semi").select("node").distinct(), "neardup-near")
+        picked = nodes.join(near, "node", "left_semi")
+        # by key and text: copies of a text don't meet in one task
+        texts = rows.join(picked.select(F.col("node").alias("pn"), F.col("id").alias("pi")), (F.col("node") == F.col("pn")) & F.col("id").eqNullSafe(F.col("pi"))).select("node", "id", "t").dropDuplicates(["node", "id"])
+        roots = _linked(picked.select("node", "bands", "chars"), materialise(texts.select("node", "t"), "neardup-texts"), idf)
+        label = nodes.select("node", "id")
+        label = label.withColumn("root", F.col("node")) if roots is None else label.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+        # the members of a large class are split over SALTS places, to each of which the least key goes
+        label = label.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+        member = F.struct(F.col("id").isNull().alias("no"), "id", "node")
+        least = label.groupBy("root", "salt").agg(F.min(member).alias("least")).groupBy("root").agg(F.min("least").alias("least"), F.collect_list("salt").alias("salts"))
+        least = least.select("root", "least", F.explode("salts").alias("salt"))
+        of = label.join(least, ["root", "salt"]).select("node", F.col("least.id").alias("class_id"), F.col("least.node").alias("kept_node"))
+        pairs = signed.select("id", "node").distinct().join(of, "node")
+        first = (F.col("node") == F.col("kept_node")) & F.col("id").eqNullSafe(F.col("class_id"))
+        return docs, materialise(pairs.select("id", "node", "class_id", first.alias("first")), "neardup-classes", keep=True), k, n
+
+
+def _one_each(docs: DataFrame, k: str, n: str, name: str) -> DataFrame:
+    """docs, and whether a row is the first one of its key and text."""
+    return docs.withColumn(name, F.row_number().over(Window.partitionBy(n, k).orderBy(k)) == 1)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,18 +315,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     null class_id. Existing columns of these names are replaced; an empty table stays empty.
     """
     names = [c for c in docs.columns if c not in ("class_id", "kept")]
-    docs, of = _classes(docs.select(*[F.col(f"`{c}`") for c in names]), key, text)
-    j = docs.join(of, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("id")), "left")
-    one = F.row_number().over(Window.partitionBy("__node", "__id").orderBy("__id")) == 1
-    none = F.col("__node").isNull()
-    return j.withColumn("__one", one).select(*[docs[f"`{c}`"] for c in names], F.when(none, F.col("__id")).otherwise(F.col("class_id")).alias("class_id"), (none | (F.col("first") & F.col("__one"))).alias("kept"))
+    docs, of, k, n = _classes(docs.select(*[F.col(f"`{c}`") for c in names]), key, text)
+    one = unused("one", docs)
+    docs, of = _one_each(docs, k, n, one).alias("d"), of.alias("o")
+    j = docs.join(of, (F.col(f"d.{n}") == F.col("o.node")) & F.col(f"d.{k}").eqNullSafe(F.col("o.id")), "left")
+    none = F.col(f"d.{n}").isNull()
+    return j.select(*[F.col(f"d.`{c}`") for c in names], F.when(none, F.col(f"d.{k}")).otherwise(F.col("o.class_id")).alias("class_id"), (none | (F.col("o.first") & F.col(f"d.{one}"))).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that classes() keeps."""
     names = docs.columns
-    docs, of = _classes(docs, key, text)
-    firsts = of.where("first").select("node", "id")
-    kept = docs.join(firsts, (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("id")))
-    kept = kept.withColumn("__one", F.row_number().over(Window.partitionBy("__node", "__id").orderBy("__id"))).where("__one = 1")
-    return kept.select(*[docs[f"`{c}`"] for c in names]).unionByName(docs.where("__node is null").select(*[f"`{c}`" for c in names]))
+    docs, of, k, n = _classes(docs, key, text)
+    firsts, one = of.where("first").select(F.col("node").alias(n), F.col("id").alias(k)).alias("o"), unused("one", docs)
+    kept = docs.alias("d").join(firsts, (F.col(f"d.{n}") == F.col(f"o.{n}")) & F.col(f"d.{k}").eqNullSafe(F.col(f"o.{k}")), "left_semi")
+    kept = _one_each(kept, k, n, one).where(f"`{one}`")
+    return kept.unionByName(docs.where(f"`{n}` is null").withColumn(one, F.lit(True))).select(*[F.col(f"`{c}`") for c in names])

@@ -275,6 +275,16 @@ def test_licences_wrapped_over_lines(spark):
     assert all(got[k].n_notices == bool(f) and got[k].n_paragraphs == sum(x.strip() != "" for x in t.split("\n")) for k, t, f in rows)
 
 
+def test_licences_told_apart(spark):
+    rows = [
+        ("agpl", "This program is licensed under the GNU Affero General Public License, version 3."), ("gpl", "This work is licensed under the GNU General Public License, version 3."), ("lgpl", "Licensed under the GNU Lesser General Public License, version 3."),
+        ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or\nwithout fee is hereby granted, provided that the above copyright notice and this\npermission notice appear in all copies."),
+        ("", "Not licensed under the MIT License."), ("", "It was never released under the GNU General Public License, version 2."), ("mit", "Released under the MIT License."), ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at"),
+    ]
+    got = {x.doc_id: x.families for x in licences.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert got == {k: f for k, (f, _) in enumerate(rows)}
+
+
 def test_licences_threshold_covers_all_documents(spark, monkeypatch):
     walk = [(k, f"A walk of {k} miles by the river was open to all of them.") for k in range(900)]
     second = [k for k in range(2000, 2100) if int(hashlib.md5(f"licence/{k}".encode()).hexdigest()[:8], 16) >= 1 << 31]
@@ -303,6 +313,39 @@ def test_url_rules(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+SPAM = "gambling-hub.com mega-jackpot.io getrichquick.biz porn-tube.xyz roulette-king.co hot-singles.com bestloans.biz cryptobonus.io superslots.net casinolux.de viagra-24.info xxx-cams.org lotterywinner.fr fakewatches-discount.com sexydates.co.uk".split()
+PLAIN = "shop.bbc.co.uk spiegel.de stadtbibliothek.de nytimes.com wikipedia.org oxford-press.org www.lemonde.fr monde-diplomatique.fr elpais.com windsor.co.uk moneta.fr gov.uk botany.io quarterly-review.org allotment.info parliament.uk kitchenware.de railways.co.uk".split()
+
+
+def test_urls_of_hosts_never_seen(spark):
+    known = {r.h for r in urls.labelled(spark).select(urls.host(F.col("url")).alias("h")).collect()}
+    pages = {urls_ for (urls_,) in duckdb.sql("SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) FROM '/root/testdata/sf0.1/pages.parquet'").fetchall()}
+    assert not known & {*SPAM, *PLAIN} and not known & pages
+    r = urls.judge(spark.createDataFrame([(i, f"https://{h}/en/{i}") for i, h in enumerate(SPAM + PLAIN)], "page_id long, url string"), {}).collect()
+    right = [(x.verdict == "block") == (x.page_id < len(SPAM)) for x in r]
+    assert sum(right) / len(right) >= 0.9, [(x.host, round(x.score, 2)) for x in r if (x.verdict == "block") != (x.page_id < len(SPAM))]
+    assert {x.host: x.verdict for x in r if x.host in SPAM[:5]} == dict.fromkeys(SPAM[:5], "block")
+
+
+def test_url_scores_against_brute_force(spark):
+    import math
+
+    from pyspark.ml.feature import HashingTF
+
+    rows = ["https://Casino-Lux.example.com/win?x", "http://a.b/", "x", None, "https://" + "long." * 3000 + "org/" + "p" * 20000, "http://a.b/", "http:///only/path"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(rows)] + [(None, rows[0])], "page_id long, url string").withColumns({"host": F.lit(1), "score": F.lit("s"), "rule": F.lit("r")})
+    model, index = urls.train(spark), HashingTF(numFeatures=urls.FEATURES)
+    got = urls.judge(df).collect()
+    assert len(got) == len(rows) + 1
+    for x in got:
+        found = set()
+        for mark, t in (("h", x.host), ("p", x.path)):
+            framed = f"{mark}^{t}$"
+            found |= {mark + framed[i : i + n] for n in urls.GRAMS if len(framed) > n for i in range(1, len(framed) - n + 1)}
+        z = model.intercept + sum(float(model.coefficients[i]) for i in {index.indexOf(g) for g in found})
+        assert x.score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 # 9
 
 
@@ -345,6 +388,70 @@ def test_quality_odd_rows(spark):
     assert quality.classify(spark.createDataFrame([], EMPTY), labels).collect() == []
 
 
+def test_class_prior_of_planted_shares():
+    rng = np.random.default_rng(8)
+
+    def drawn(n, good):
+        x = rng.normal(1.2 if good else -1.2, 1, (n, 4))
+        return quality._design(x, [np.linspace(-2, 2, 9)] * 4)
+
+    for share in (0.2, 0.5, 0.8):
+        n = int(4000 * share)
+        u = np.concatenate([drawn(n, True), drawn(4000 - n, False)])
+        assert abs(quality.class_prior(drawn(2000, True), rng.permutation(u)) - share) < 0.07
+
+
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(9)
+    p, u = rng.normal(0.5, 1, (40, 3)), rng.normal(0, 1, (60, 3))
+    for w, prior in ((np.zeros(3), 0.4), (rng.normal(size=3), 0.3), (np.array([4.0, 4, 4]), 0.95)):
+        plain = np.mean([np.log1p(np.exp(x @ w)) for x in u]) - prior * np.mean([np.log1p(np.exp(x @ w)) for x in p])
+        want = prior * np.mean([np.log1p(np.exp(-(x @ w))) for x in p]) + max(0, plain) + quality.RIDGE * sum(w * w) / 2
+        assert quality.risk(w, p, u, prior) == pytest.approx(want)
+        step = 1e-6 * np.eye(3)
+        if plain > 0:
+            assert quality.slope(w, p, u, prior) == pytest.approx([(quality.risk(w + s, p, u, prior) - quality.risk(w - s, p, u, prior)) / 2e-6 for s in step], abs=1e-5)
+        else:  # the step raises what has fallen below 0
+            negative = lambda v: np.logaddexp(0, u @ v).mean() - prior * np.logaddexp(0, p @ v).mean()
+            assert negative(w - 1e-3 * (quality.slope(w, p, u, prior) - quality.RIDGE * w)) > plain
+    assert plain < 0
+
+
+def test_negative_labels_teach_nothing(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 40, ["fine", "words", "here", "and", "there"] if i % 3 else ["BUY", "!!!", "NOW", "9999"]))) for i in range(300)], "doc_id long, text string")
+    some = [(i, 1) for i in range(0, 120) if i % 3]
+    scores = [{r.doc_id: r.score for r in quality.classify(docs, spark.createDataFrame(some + more, "doc_id long, quality int")).collect()} for more in ([], [(i, 0) for i in range(120, 200)])]
+    assert scores[0] == scores[1] and np.mean([scores[0][i] > scores[0][j] for i in range(150, 300) if i % 3 for j in range(150, 300, 3)]) > 0.95
+    both = spark.createDataFrame([*some, (1, 0), (1, None)], "doc_id long, quality int")  # contradictory labels are none
+    assert len(quality.classify(docs, both).collect()) == 300
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(2)
+    rows = [(np.sort(rng.choice(6, 3, replace=False)), rng.random(3), int(rng.integers(3))) for _ in range(12)]
+    z, n = np.zeros((language.BUCKETS + 1, 3)), np.zeros((language.BUCKETS + 1, 3))
+
+    def weight(i, c):
+        if abs(z[i, c]) <= language.L1:
+            return 0.0
+        return -(z[i, c] - np.sign(z[i, c]) * language.L1) / ((language.BETA + n[i, c] ** 0.5) / language.ALPHA + language.L2)
+
+    for epoch in range(language.EPOCHS):
+        for r in np.random.default_rng(epoch).permutation(len(rows)):
+            at, x, y = rows[r]
+            w = [[weight(i, c) for c in range(3)] for i in at]
+            e = [np.exp(sum(v * w[j][c] for j, v in enumerate(x))) for c in range(3)]
+            for j, (i, v) in enumerate(zip(at, x)):
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    s = ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / language.ALPHA
+                    z[i, c] += g - s * w[j][c]
+                    n[i, c] += g * g
+    want = np.array([[weight(i, c) for c in range(3)] for i in range(6)])
+    assert language.ftrl(rows, 3)[:6] == pytest.approx(want)
+
+
 # Queries with SQL, and words
 
 
