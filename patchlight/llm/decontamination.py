@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlight.llm.common import lower_ascii, materialise
+from patchlight.llm.common import lower_ascii, materialise, unused
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window; of a k-gram. Every window has SPAN - K + 1 k-grams, and the least of their hashes is its fingerprint.
@@ -94,9 +94,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     added = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, s: F.struct(
         (a["n"] + F.greatest(s["start"] + s["length"] - F.greatest(s["start"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], s["start"] + s["length"]).alias("end")))
     per_doc = per_doc.select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.col("n_words").cast("bigint").alias("n_words"), added["n"].cast("bigint").alias("n_hit"), F.size("ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
-    marked = docs.withColumn("__text_hash", F.xxhash64(text))
-    out = marked.join(per_doc, (F.col("__text_hash") == F.col("__hash")) & marked[key].eqNullSafe(F.col("__key")), "left")
-    return out.select(*[marked[f"`{c}`"] for c in docs.columns], "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    name = unused("text_hash", docs)
+    marked, per_doc = docs.withColumn(name, F.xxhash64(text)).alias("d"), per_doc.alias("p")
+    out = marked.join(per_doc, (F.col(f"d.{name}") == F.col("p.__hash")) & F.col(f"d.`{key}`").eqNullSafe(F.col("p.__key")), "left")
+    n_hit, n_words = F.col("p.n_hit"), F.col("p.n_words")
+    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], n_words, n_hit, "p.n_items", "p.items_sha256", ((n_hit > 0) & (share * n_hit >= n_words)).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that aren't contaminated, with the columns that they had, whatever their names; null and empty texts stay."""
+    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    own = {c: unused(f"own_{c}", docs) for c in docs.columns if c in made}
+    judged = contamination(docs.withColumnsRenamed(own), benchmark).where("not contaminated")
+    return judged.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def digest(judged: DataFrame) -> DataFrame:

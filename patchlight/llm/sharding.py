@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchlight.llm.common import md5_bits
+from patchlight.llm.common import md5_bits, unused
 
 #: Each shard's rows are numbered within so many parts, so that no task has to hold a shard.
 PARTS = 4096
+BROADCAST_ROWS = 1_000_000
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
@@ -31,19 +32,20 @@ def shard(docs: DataFrame, n_shards: int = 8, weights: list[float] | None = None
     """
     weights = list(weights or [1.0] * n_shards)
     grown = [*weights, sum(weights) / len(weights)]
-    placed = {"shard": rendezvous(F.col(key), weights), "__part": md5_bits(F.coalesce(F.col(key).cast("string"), F.lit("")), 14, 3)}
     docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    # at most n_shards * PARTS rows, however many documents: small enough to send to every task
-    firsts = docs.select(key).withColumns(placed).groupBy("shard", "__part").agg(F.count("*").alias("__n"))
-    firsts = firsts.withColumn("__first", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    part, n, first, at = (unused(x, docs) for x in ("part", "n", "first", "at"))
+    placed = {"shard": rendezvous(F.col(key), weights), part: md5_bits(F.coalesce(F.col(key).cast("string"), F.lit("")), 14, 3)}
+    # at most n_shards * PARTS rows, however many documents: sent to every task up to BROADCAST_ROWS
+    firsts = docs.select(key).withColumns(placed).groupBy("shard", part).agg(F.count("*").alias(n))
+    firsts = firsts.withColumn(first, F.coalesce(F.sum(n).over(Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(n)
     rows = docs.withColumns(placed | {
         "size": F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1,
         "text_crc32": F.crc32(F.coalesce(F.col(text), F.lit(""))),
         "law": F.lit("key"),
         "grown_shard": rendezvous(F.col(key), grown),
     })
-    rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy("shard", "__part").orderBy(key, "text_crc32", "size")))
-    return rows.join(F.broadcast(firsts), ["shard", "__part"], "left").withColumn("slot", F.col("__first") + F.col("__at") - 1).drop("__part", "__at", "__first")
+    rows = rows.withColumn(at, F.row_number().over(Window.partitionBy("shard", part).orderBy(key, "text_crc32", "size")))
+    return rows.join(F.broadcast(firsts) if len(weights) * PARTS <= BROADCAST_ROWS else firsts, ["shard", part], "left").withColumn("slot", F.col(first) + F.col(at) - 1).drop(part, at, first)
 
 
 def digest(sharded: DataFrame) -> DataFrame:
