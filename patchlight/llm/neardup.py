@@ -24,6 +24,9 @@ BANDS, ROWS = 12, 4
 #: Document frequencies are kept in a count-min sketch of so many counters in each of two rows, whatever the corpus: 8 MB.
 #: It counts all documents; frequencies are over-estimated by at most what falls into a shingle's two counters.
 COUNTERS, BLOCK = 1 << 20, 1 << 12
+#: Shingles that at most this part of the texts has are equally rare. It lies above the sketch's error, which is a part of the
+#: texts as well: a text's shingles by COUNTERS, 0.0003 for 300 of them, however many texts there are.
+RARE = 2.0**-10
 #: Texts, about, and characters of a chunk: what is compared at once.
 CHUNK, CHARS = 256, 1 << 24
 #: What rounding may do to a distance.
@@ -87,12 +90,14 @@ def frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
 
 
 def idf_of(sketch: np.ndarray, n: int) -> np.ndarray:
-    """1 plus half the logarithm of n / frequency as a part of that of n: from 1 (in all texts) to 1.5 (in one).
+    """1 plus half the logarithm of the part of the n texts that has a shingle, by that of RARE: from 1 (all) to 1.5 (RARE or less).
 
-    So damped, what many copies share counts for nearly as much as what sets one of them apart.
+    It follows from parts alone, so a corpus of a thousand times the texts weighs a shingle alike. Counters count less what
+    one holds on average, which is what other shingles add. So damped, what many copies share counts for nearly as much
+    as what sets one of them apart.
     """
-    full = np.log(max(n, 2))
-    return (1 + (full - np.log(np.clip(sketch, 1, max(n, 2)))) / full / 2).astype(np.float32)
+    part = (sketch - sketch.mean(1, keepdims=True)) / max(n, 1)
+    return (1 + np.log(np.clip(part, RARE, 1)) / np.log(RARE) / 2).astype(np.float32)
 
 
 def weigh(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -150,6 +150,19 @@ def test_neardup_odd_rows(spark):
     assert neardup.classes(spark.createDataFrame([], EMPTY)).collect() == []
 
 
+def test_neardup_weights_follow_from_parts_of_the_texts():
+    rng = np.random.default_rng(4)
+    found = []
+    for n in (50_000, 50_000_000):  # texts of 300 shingles
+        sketch = rng.poisson(300 * n / neardup.COUNTERS, (2, neardup.COUNTERS))
+        sketch[:, :4] += np.array([n, n // 3, n // 50, 1])
+        idf = neardup.idf_of(sketch, n)
+        assert (idf[:, 3:] == 1.5).all() and (np.diff(idf[:, :4], axis=1) > 0.05).all()
+        found.append(idf[:, :4])
+    assert np.allclose(found[0], found[1], atol=0.002)
+    assert (neardup.idf_of(np.zeros((2, neardup.COUNTERS), np.int64), 0) == 1.5).all()
+
+
 def test_samples_agree_as_often_as_the_similarity():
     rng = np.random.default_rng(3)
     same = n = 0
