@@ -113,6 +113,21 @@ def units(df: DataFrame, unit: str) -> DataFrame:
     return df.agg(F.min(unit).alias("a"), F.max(unit).alias("b")).select(F.explode(F.sequence("a", "b", F.expr(f"interval 1 {unit}"))).alias(unit))
 
 
+def places(df: DataFrame, key: str, bits: int = 12) -> DataFrame:
+    """df and each row's place, from 0, by a whole-number key; rows without a key go, equal keys follow each other in any order.
+
+    Rows are numbered within stretches of 2^bits keys, after those of the stretches before, which are summed up within
+    regions of as many stretches: no task holds more rows than a stretch or a region has, but one, that sums up the regions.
+    """
+    df = df.where(F.col(key).isNotNull()).withColumn("__part", F.shiftright(F.col(key).cast("bigint"), bits)).withColumn("__region", F.shiftright("__part", bits))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = df.groupBy("__region", "__part").agg(F.count("*").alias("__n"))
+    regions = counts.groupBy("__region").agg(F.sum("__n").alias("__n")).select("__region", before(Window.orderBy("__region")).alias("__far"))
+    firsts = counts.select("__region", "__part", before(Window.partitionBy("__region").orderBy("__part")).alias("__near")).join(regions, "__region").drop("__region")
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
+    return df.drop("__region").withColumn("__at", at).join(firsts, "__part").withColumn("place", F.col("__far") + F.col("__near") + F.col("__at")).drop("__part", "__far", "__near", "__at")
+
+
 def calendar(df: DataFrame, at: str, unit: str = "month") -> DataFrame:
     """Counts for each unit of time from the first to the last, gaps as 0."""
     counts = df.where(F.col(at).isNotNull()).groupBy(unit_of(unit, F.col(at)).alias(unit)).agg(F.count("*").alias("n"))

@@ -179,7 +179,7 @@ def left_join_labels(spark, sf):
 @query("SELECT id FROM p WHERE repo_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def semi_join_repo(spark, sf):
     repos = tables.parquet(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("repo_id"))
-    return prs(spark, sf).join(repos, "repo_id", "left_semi").select("id")
+    return orders(spark, sf).join(repos, "repo_id", "left_semi").select("id")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", prs=False)
@@ -233,7 +233,7 @@ def collect_patches(spark, sf):
 
 @query("SELECT agent, count(*) AS n FROM p GROUP BY agent ORDER BY n DESC")
 def value_counts(spark, sf):
-    return prs(spark, sf).groupBy("agent").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+    return orders(spark, sf).groupBy("agent").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
 
 
 @query("SELECT coalesce(p_brand, 'Unknown') AS brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, brand LIMIT 20", prs=False)
@@ -488,12 +488,8 @@ def batch_slices(spark, sf):
 
 
 def _batches(orders: DataFrame) -> DataFrame:
-    """Batches of 100 keys in order; each part's rows are numbered on their own, after the sizes of the parts before."""
-    o = orders.select("o_orderkey", F.floor(F.col("o_orderkey") / 4096).alias("part"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = o.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
-    at = F.row_number().over(Window.partitionBy("part").orderBy("o_orderkey")) - 1
-    return o.withColumn("at", at).join(parts, "part").select("o_orderkey", F.floor((F.col("at") + F.col("before")) / 100).alias("batch"))
+    """Batches of 100 keys in order."""
+    return O.places(orders.select("o_orderkey"), "o_orderkey").select("o_orderkey", F.floor(F.col("place") / 100).alias("batch"))
 
 
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders", prs=False)

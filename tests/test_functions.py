@@ -334,3 +334,11 @@ def test_markdown_and_json_files(spark):
     assert [r.value for r in spark.read.text(at).collect()] == ["| k | n |", "|---|---|", "| a |  |", "| b | 2 |"]
     files.write_json(df, (at := files.fresh_folder(spark, "json")))
     assert sorted(r.value for r in spark.read.text(at).collect()) == ['{"k":"a","n":null}', '{"k":"b","n":2}']
+
+
+def test_places_across_stretches_and_regions(spark):
+    keys = [-70, -1, 0, 1, 3, 4, 15, 16, 17, 63, 64, 1000, 5000]
+    df = spark.createDataFrame([(k, k * 2) for k in keys] + [(None, 1)], "k long, v long")
+    r = O.places(df, "k", bits=2).orderBy("place").collect()
+    assert [(x.k, x.v, x.place) for x in r] == [(k, k * 2, i) for i, k in enumerate(keys)]
+    assert O.places(df.where("false"), "k").collect() == []
