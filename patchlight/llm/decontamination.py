@@ -45,8 +45,12 @@ def fingerprints(hashed: DataFrame) -> DataFrame:
 
 
 def _windows(ctx: Column, at: Column) -> Column:
-    """An array of (start, window) for each window of SPAN words within ctx, whose first word is word number at."""
-    return F.transform(F.sequence(F.lit(0), F.size(ctx) - SPAN), lambda j: F.struct((at + j).alias("start"), F.xxhash64(F.slice(ctx, j + 1, SPAN)).alias("window")))
+    """An array of (start, window, check) for each window of SPAN words within ctx, whose first word is word number at: two hashes, 128 bits in all."""
+    def window(j: Column) -> Column:
+        w = F.slice(ctx, j + 1, SPAN)
+        return F.struct((at + j).alias("start"), F.xxhash64(w).alias("window"), F.xxhash64(F.lit(1), w).alias("check"))
+
+    return F.transform(F.sequence(F.lit(0), F.size(ctx) - SPAN), window)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
@@ -54,21 +58,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
     Documents without any have a row with a null start. Windows are SPAN consecutive words of an item, or a shorter
     item's words as a whole. A window that a document shares with an item has the same fingerprint in both, so the join on
-    fingerprints misses none; the windows around each fingerprint that matches are then compared by hashes of their
-    words. text_hash tells apart rows that share a key. Documents are read and split once, and once more if there are
+    fingerprints misses none; the windows around each fingerprint that matches are then compared by 128 bits of
+    hashes of their words (shorter items by 64). text_hash tells apart rows that share a key. Documents are read and split once, and once more if there are
     shorter items.
     """
     d = _hashed(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t")), "t").withColumn("n_words", F.size("w"))
     b = materialise(_hashed(benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("t")), "t"), "benchmark-words")
     long_items = b.where(F.size("w") >= SPAN)
-    items = long_items.select("item_id", F.explode(_windows(F.col("w"), F.lit(1))).alias("x")).select("item_id", "x.window").distinct()
+    items = long_items.select("item_id", F.explode(_windows(F.col("w"), F.lit(1))).alias("x")).select("item_id", "x.window", "x.check").distinct()
     prints = fingerprints(long_items).select("fp", F.lit(True).alias("near")).distinct()
     sizes = b.select(F.sum(F.size("w")).alias("n"), F.array_sort(F.collect_set(F.when(F.size("w").between(1, SPAN - 1), F.size("w")))).alias("short")).first()
     sent = F.broadcast if (sizes["n"] or 0) <= BROADCAST_ROWS else (lambda x: x)
     found = fingerprints(d).join(sent(prints), "fp", "left").where("near or coalesce(nth, 0) = 0")
     names = ["key", "text_hash", "n_words", "item_id", "start", "length"]
-    found = found.select("key", "text_hash", "n_words", F.explode_outer(F.when(F.col("near"), _windows(F.col("ctx"), F.col("at")))).alias("x")).select("key", "text_hash", "n_words", "x.start", "x.window")
-    out = found.join(sent(items.withColumn("same", F.lit(True))), "window", "left").withColumn("start", F.when(F.col("same"), F.col("start"))).withColumn("length", F.when(F.col("same"), F.lit(SPAN))).select(*names)
+    found = found.select("key", "text_hash", "n_words", F.explode_outer(F.when(F.col("near"), _windows(F.col("ctx"), F.col("at")))).alias("x")).select("key", "text_hash", "n_words", "x.start", "x.window", "x.check")
+    out = found.join(sent(items.withColumn("same", F.lit(True))), ["window", "check"], "left").withColumn("start", F.when(F.col("same"), F.col("start"))).withColumn("length", F.when(F.col("same"), F.lit(SPAN))).select(*names)
     if sizes["short"]:  # at most SPAN - 1 lengths
         whole = b.where(F.size("w").between(1, SPAN - 1)).select("item_id", F.xxhash64("w").alias("window"), F.size("w").alias("length"))
         runs = F.flatten(F.transform(F.array(*map(F.lit, sizes["short"])), lambda m: F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.struct(i.alias("start"), m.alias("length"), F.xxhash64(F.slice("w", i, m)).alias("window")))).otherwise(F.array())))

@@ -18,6 +18,9 @@ BUCKETS = 1 << 14
 FIT_ROWS = 1500
 #: Of those, one in so many calibrates the temperature instead.
 CALIBRATE = 5
+#: Languages that are learnt at most, those with the most labelled rows, and rows that the weights are fitted on in all: bounds of the
+#: fit, so that dirty labels neither widen the weights nor fill the fitting task.
+LANGUAGES, FIT_TOTAL = 256, 24_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 0.02, 0.01
 #: Below this calibrated probability the language counts as rejected.
 LEAST_SCORE = 0.35
@@ -89,15 +92,20 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Broadcast | None:
     """idf, weights, languages and temperature as a broadcast, from the rows with text and language; None if there are none.
 
-    Two passes: document frequencies over all labelled rows, and the fit on about FIT_ROWS of each language, chosen by the
-    hash of their keys. The driver gets only the frequencies and the weights, whose size BUCKETS and the languages fix.
+    Two passes: document frequencies over all labelled rows, and the fit on about FIT_ROWS of each language (fewer beyond
+    FIT_TOTAL in all), chosen by the hash of their keys. Of more than LANGUAGES labels, the rarest teach nothing; of equally
+    rare ones the last by code point. The driver gets only frequencies and weights, whose size BUCKETS and LANGUAGES bound.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES + 1).collect()
+    sizes = {r["l"]: r["n"] for r in most[:LANGUAGES]}
     if not sizes:
         return None
     langs = sorted(sizes)
+    if len(most) > LANGUAGES:
+        rows = rows.where(F.col("l").isin(langs))
+    each = min(FIT_ROWS, FIT_TOTAL / len(langs))
 
     def frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(BUCKETS, np.int64)
@@ -112,7 +120,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         df[r["bucket"]] = r["n"]
     idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
 
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, FIT_ROWS / n))]), F.col("l"))
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))]), F.col("l"))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("fit/"), "k")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     sample = rows.where(draw < share).withColumn("c", F.pmod(F.crc32(F.concat(F.lit("cal/"), "k")), F.lit(CALIBRATE)) == 0)
 

@@ -48,6 +48,16 @@ def test_language_odd_rows(spark):
     assert {x.doc_id for x in language.accepted(odd(spark)).collect()} <= {None, 5, 6, 7, 8}
 
 
+def test_language_of_dirty_labels(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    monkeypatch.setattr(language, "FIT_TOTAL", 60)
+    rows = [(i, ("der hund und die katze " if i % 2 else "the dog and the cat ") * 3, "de" if i % 2 else "en", None, 0) for i in range(200)]
+    rows += [(1000 + i, "the dog und die cat", f"typo{i}", None, 0) for i in range(40)]
+    r = language.identify(spark.createDataFrame(rows, EMPTY)).collect()
+    assert len(r) == len(rows) and {x.lang_pred for x in r} == {"de", "en"}
+    assert all(x.lang_pred == x.lang for x in r if x.doc_id < 1000)
+
+
 def test_temperature_prefers_the_likelier():
     rng = np.random.default_rng(0)
     z = rng.normal(size=(4000, 3))
@@ -362,6 +372,15 @@ def test_url_scores_against_brute_force(spark):
 # 9
 
 
+def test_decontamination_takes_both_hashes_of_a_window(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "before " + item + " after"), (2, item.replace("w10", "other"))], "doc_id long, text string")
+    b = spark.createDataFrame([("a", item)], "item_id string, text string")
+    w = decontamination._hashed(b.withColumnRenamed("text", "t"), "t").select(F.explode(decontamination._windows(F.col("w"), F.lit(1))).alias("x")).select("x.*").collect()
+    assert [x.start for x in w] == list(range(1, 9)) and len({x.window for x in w} | {x.check for x in w}) == 16
+    assert {(r.doc_id, r.n_hit) for r in decontamination.contamination(docs, b).collect()} == {(1, 20), (2, 0)}
+
+
 def test_decontamination_odd_rows_against_sql(spark):
     run = " ".join(f"x{i}" for i in range(1, 16))
     docs = [(1, "a b c " + run + " d e", 1), (2, None, 1), (3, "", 1), (4, "Short ITEM here, yes short item", 1), (None, "short item", 1), (1, "other words short item", 1), (5, run[3:] + " " + run[3:], 1), (5, run[3:] + " " + run[3:], 1)]
