@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,33 +36,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-#: By open scratch(): the folders that it deletes.
-_scratches: list[list[str]] = []
+#: The folders that the innermost open scratch() deletes; each thread, and so each query, has its own.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts the lineage and outlives executors.
+def scratch_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder. Within a scratch() it lasts as long as that, unless keep; else the caller's cluster clears it."""
+    path, held = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", _scratch.get()
+    if held is not None and not keep:
+        held.append(path)
+    return path
 
-    Within a scratch() the folder lasts as long as that, unless keep; else the caller's cluster clears it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _scratches and not keep:
-        _scratches[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def materialise(df: DataFrame, name: str, keep: bool = False, compression: str | None = None) -> DataFrame:
+    """df, written as Parquet to a scratch_folder() and read again: cuts the lineage and outlives executors."""
+    path = scratch_folder(df.sparkSession, name, keep)
+    df.write.parquet(path, compression=compression)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is materialised within is deleted at the end, but for what is to be kept: no later result may read it."""
-    _scratches.append([])
+    held = _scratch.set([])
     try:
         yield
     finally:
-        for path in _scratches.pop():
+        for path in _scratch.get():
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _scratch.reset(held)
 
 
 def unused(name: str, *dfs: DataFrame) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlight.llm import chat, decontamination, language, licences, mixing, neardup, quality, sharding, urls, vectors
+from patchlight.llm import chat, decontamination, language, licences, mixing, neardup, quality, sharding, token_files, urls, vectors
 from patchlight.llm.common import table
 
 
@@ -51,8 +51,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_chunks=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_mixing, op4_minhash_neardup, op5_embedding_neardup, op6_sharding, op7_licence_scans, op8_url_filters, op9_decontamination, op10_quality)
+    f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_mixing, op4_minhash_neardup, op5_embedding_neardup, op6_sharding, op7_licence_scans, op8_url_filters, op9_decontamination, op10_quality, op11_token_files)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE_SQL,
