@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patchlight.llm import chat, decontamination, language, licences, mixing, neardup, quality, sharding, token_files, urls, vectors
+from patchlight.llm import chat, codebooks, decontamination, language, licences, mixing, neardup, quality, repair, sharding, token_files, urls, vectors
 from patchlight.llm.common import table
 
 
@@ -57,8 +57,16 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_chunks=True)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_mixing, op4_minhash_neardup, op5_embedding_neardup, op6_sharding, op7_licence_scans, op8_url_filters, op9_decontamination, op10_quality, op11_token_files)
+    f.__name__: f for f in (op1_language_id, op2_chat_formatting, op3_mixing, op4_minhash_neardup, op5_embedding_neardup, op6_sharding, op7_licence_scans, op8_url_filters, op9_decontamination, op10_quality, op11_token_files, op12_vector_codes, op13_conversation_repair)
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE_SQL,
@@ -66,4 +74,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_neardup": vectors.ORACLE_SQL,
     "op6_sharding": sharding.ORACLE_SQL,
     "op9_decontamination": decontamination.ORACLE_SQL,
+    "op12_vector_codes": codebooks.ORACLE_SQL,
+    "op13_conversation_repair": repair.ORACLE_SQL,
 }
