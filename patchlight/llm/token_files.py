@@ -10,6 +10,7 @@ states and the place in `words`, every CHECKPOINT rounds): decoding can begin at
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ BITS = 20
 LOW = np.uint64(1 << 31)
 #: Chunks of texts whose ids a task remembers, at most; beyond, it starts anew.
 REMEMBERED = 400_000
+#: Bytes of texts that are cut into chunks at a time, about (a longer text is one slice).
+SLICE = 1 << 24
 _U32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
@@ -127,7 +130,7 @@ def crc32_joined(pieces: list[tuple[int, int]]) -> int:
     return crc
 
 
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
+_tokenizers: dict[str, tuple[object, object, dict[str, bytes]]] = {}
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[[10, 32]] = 1
 _KINDS[[33, 44, 46, 58, 59, 63]] = 2
@@ -137,7 +140,7 @@ _KINDS[65:91] = _KINDS[97:123] = 3
 def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Texts cut at spaces and line feeds (which are left out) and between a letter A-Z and one of !,.:;? after it; and how many chunks each text has.
 
-    A tokenizer that drops white space and parts words from punctuation gives a text's ids chunk by chunk.
+    A tokenizer of the kind that tokens() calls by_chunks gives a text's ids chunk by chunk.
     """
     first, n = texts.offset, len(texts)
     at = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[first : first + n + 1].astype(np.int64)
@@ -152,8 +155,8 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     places = np.flatnonzero(cut)
     # an empty text has no chunk of its own
     each = np.searchsorted(places, at[1:]) - np.searchsorted(places, at[:-1])
-    kept = np.r_[0, np.cumsum(~gap, dtype=np.int64)][places]
-    return pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(kept), pa.py_buffer(np.ascontiguousarray(data[~gap]))), each
+    kept = places - np.searchsorted(np.flatnonzero(gap), places)
+    return pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(kept), pa.py_buffer(data[~gap])), each
 
 
 def _ids(texts: pa.Array, path: str, whole: bool, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -161,27 +164,36 @@ def _ids(texts: pa.Array, path: str, whole: bool, dtype: np.dtype) -> tuple[np.n
     from tokenizers import Tokenizer
 
     if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _tokenizers[path]
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = bare.pre_tokenizer = None
+        _tokenizers[path] = Tokenizer.from_file(path), bare, {}
+    tokenizer, bare, known = _tokenizers[path]
     if whole:
         found = [np.array(e.ids, dtype) for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         return np.concatenate(found) if found else np.empty(0, dtype), np.array([len(x) for x in found], np.int64)
     parts, each = chunks(texts)
     held = parts.dictionary_encode()
-    words = held.dictionary.to_pylist()
-    if len(known) > REMEMBERED:
-        known.clear()
+    words, which = held.dictionary.to_pylist(), held.indices.to_numpy()
+    del parts, held
     new = [w for w in words if w not in known]
-    for i in range(0, len(new), 4096):
-        for w, e in zip(new[i : i + 4096], tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype).tobytes()
+    if len(known) + len(new) > REMEMBERED:
+        kept = {w: known[w] for w in words if w in known}
+        known.clear()
+        known.update(kept)
+    letters = [w for w in new if w.isascii() and w.isalpha()]
+    others = [w for w in new if not (w.isascii() and w.isalpha())]
+    for by, some, given in ((bare, letters, [w.lower() for w in letters]), (tokenizer, others, others)):
+        for i in range(0, len(some), 4096):
+            for w, e in zip(some[i : i + 4096], by.encode_batch_fast(given[i : i + 4096], add_special_tokens=False)):
+                known[w] = array(dtype.char, e.ids).tobytes()
     codes = [known[w] for w in words]
-    sizes = np.array([len(c) for c in codes], np.int64) // dtype.itemsize
-    flat, begins = np.frombuffer(b"".join(codes), dtype), np.cumsum(sizes) - sizes
-    which = held.indices.to_numpy()
+    sizes = np.array([len(c) for c in codes], np.int32) // dtype.itemsize
+    flat, begins = np.frombuffer(b"".join(codes), dtype), np.cumsum(sizes, dtype=np.int32) - sizes
     n = sizes[which]
-    ends = np.cumsum(n)
-    out = flat[np.repeat(begins[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+    ends = np.cumsum(n, dtype=np.int32)
+    at = np.repeat(begins[which] - ends + n, n)
+    at += np.arange(len(at), dtype=np.int32)
+    out = flat[at]
     ends, last = np.r_[0, ends], np.cumsum(each)
     return out, ends[last] - ends[last - each]
 
@@ -189,7 +201,7 @@ def _ids(texts: pa.Array, path: str, whole: bool, dtype: np.dtype) -> tuple[np.n
 def tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int | None = 2, by_chunks: bool = False) -> tuple[DataFrame, int]:
     """((key, ids), bytes an id) of all texts: ids as little-endian numbers of 2 or 4 bytes, with the end id after each text. A null text is an empty one.
 
-    by_chunks: the tokenizer drops white space and parts words from punctuation, so equal chunks of texts need encoding only once.
+    by_chunks: the tokenizer drops white space, parts words from punctuation and lowers A-Z, so equal chunks of texts need encoding only once.
     """
     from tokenizers import Tokenizer
 
@@ -198,7 +210,7 @@ def tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = max(1, len(b) * (1 << 25) // max(b.nbytes, 1))  # some 32 MB of texts at a time
+            rows = max(1, len(b) * SLICE // max(b.nbytes, 1))
             for lo in range(0, len(b), rows):
                 part = b.slice(lo, rows)
                 ids, n = _ids(part.column("text"), path, not by_chunks, dtype)
