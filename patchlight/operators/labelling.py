@@ -71,7 +71,7 @@ def reviewed(review: Column) -> dict[str, Column]:
     }
 
 
-def records(df: DataFrame, seconds: int = 30) -> DataFrame:
+def records(df: DataFrame, seconds: float = 30) -> DataFrame:
     """df (answer, review, outcome: ok, timeout or error) with the record of each change in place of these.
 
     An error of the first reviewer gives an ERROR record that is false throughout. A timeout is no error: the first answer
@@ -80,7 +80,7 @@ def records(df: DataFrame, seconds: int = 30) -> DataFrame:
     failed, late = F.coalesce(F.col("outcome") == "error", F.lit(False)), F.coalesce(F.col("outcome") == "timeout", F.lit(False))
     first, second = parsed(F.when(~failed & ~late, F.col("answer"))), reviewed(F.when(~failed, F.col("review")))
     message = F.lit("Classifier API error")
-    first["reasoning"] = F.when(failed, message).when(late, F.lit(f"Timeout after {seconds} seconds")).otherwise(first["reasoning"])
+    first["reasoning"] = F.when(failed, message).when(late, F.lit(f"Timeout after {seconds:g} seconds")).otherwise(first["reasoning"])
     second["validation_result"] = F.when(failed, "ERROR").otherwise(second["validation_result"])
     second["validator_reasoning"] = F.when(failed, message).otherwise(second["validator_reasoning"])
     out = df.select(*[F.col(c) for c in df.columns if c not in ("answer", "review", "outcome")], *[c.alias(f"classifier_{n}" if not n.startswith("detected") else n) for n, c in first.items()], *[c.alias(n) for n, c in second.items()], failed.alias("error"))

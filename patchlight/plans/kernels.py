@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,38 +29,6 @@ def sink_csv(spark, sf):
     return tables.csv(spark, path, "o_orderkey bigint, o_orderstatus string")
 
 
-@query("SELECT page_id, url, length(url) AS n FROM pages", prs=False)
-def src_csv_chunked(spark, sf):
-    """Fields without line breaks: files are split, and read in chunks of some bytes."""
-    path = files.fresh_folder(spark, "pages-lines")
-    files.write_csv(tables.parquet(spark, sf, "pages").select("page_id", "url"), path)
-    return tables.csv(spark, path, "page_id bigint, url string", lines=True).select("page_id", "url", F.length("url").cast("bigint").alias("n"))
-
-
-_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-
-
-@query("SELECT c_custkey, c_name FROM customer", prs=False)
-def incremental_save(spark, sf):
-    """Each batch (a segment, and at last what belongs to none) is appended to what earlier ones stored."""
-    path, c = files.fresh_folder(spark, "saved"), tables.parquet(spark, sf, "customer")
-    known = F.coalesce(F.col("c_mktsegment").isin(_SEGMENTS), F.lit(False))
-    for batch in [F.col("c_mktsegment") == s for s in _SEGMENTS] + [~known]:
-        files.write_csv(c.where(batch).select("c_custkey", "c_name"), path, "append")
-    return tables.csv(spark, path, "c_custkey bigint, c_name string")
-
-
-@query("SELECT turn::BIGINT AS number, text AS title, 'c/' || conv_id AS html_url, role AS user_login FROM conversations", prs=False)
-def src_rest_search(spark, sf):
-    """Stored answers to searches (files of JSON, 30 hits a line at most) as rows."""
-    user = F.struct(F.col("role").alias("login"))
-    item = F.struct(F.col("turn").cast("bigint").alias("number"), F.col("text").alias("title"), F.concat(F.lit("c/"), F.col("conv_id").cast("string")).alias("html_url"), user.alias("user"))
-    pages = tables.parquet(spark, sf, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 30)).agg(F.to_json(F.struct(F.count("*").alias("total_count"), F.collect_list(item).alias("items"))).alias("value"))
-    path = files.fresh_folder(spark, "searches")
-    pages.select("value").write.text(path)
-    return files.search_hits(spark.read.text(path), "value")
-
-
 @query("SELECT agent_group, count(*) AS total, count(*) FILTER (WHERE status = 'merged') AS merged, sum(additions)::BIGINT AS additions FROM p GROUP BY agent_group")
 def sink_json_summary(spark, sf):
     """A summary written as a line of JSON for each group, and read back."""
@@ -429,24 +394,3 @@ def token_estimate(spark, sf):
 @query("SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS tp, count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS fp, count(*) FILTER (WHERE quality <> 1 AND toxic <> 1) AS tn, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS fn FROM labels", prs=False)
 def confusion_matrix(spark, sf):
     return O.confusion(tables.parquet(spark, sf, "labels"), F.col("quality") == 1, F.col("toxic") == 1).select("tp", "fp", "tn", "fn")
-
-
-def labelled(prompts, client=None):
-    """prompts (doc_id, prompt), and what client (a function of a list of prompts) answers as JSON; tasks ask in batches. Without one, whether the prompt has a question mark."""
-    def ask(texts: list[str]) -> list[str]:
-        return ['{"is_type_related": %s, "confidence": 1.0}' % str("?" in t).lower() for t in texts]
-
-    chosen = client or ask
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "answer": chosen(f["prompt"].tolist())})
-
-    return prompts.select("doc_id", "prompt").mapInPandas(run, "doc_id bigint, answer string")
-
-
-@query("SELECT doc_id, contains(coalesce(text, ''), '?') AS related, 1.0::DOUBLE AS confidence FROM documents", prs=False)
-def llm_call(spark, sf):
-    answers = labelled(_documents(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("prompt")))
-    a = F.from_json("answer", "is_type_related boolean, confidence double")
-    return answers.select("doc_id", a["is_type_related"].alias("related"), a["confidence"].alias("confidence"))

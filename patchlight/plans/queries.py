@@ -100,12 +100,6 @@ def url_split(spark, sf):
     return tables.parquet(spark, sf, "pages").select("page_id", F.split(bare, "/")[0].alias("first"), F.element_at(F.split("url", "/"), -1).alias("last"))
 
 
-@query("SELECT count(*) AS left_over, min(o_orderkey) AS first FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')", prs=False)
-def resume_checkpoint(spark, sf):
-    done = tables.parquet(spark, sf, "lineitem").where("l_returnflag = 'R'").withColumnRenamed("l_orderkey", "o_orderkey")
-    return tables.not_seen(tables.parquet(spark, sf, "orders"), done, "o_orderkey").agg(F.count("*").alias("left_over"), F.min("o_orderkey").alias("first"))
-
-
 # Selecting and labelling
 
 
