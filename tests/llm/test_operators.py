@@ -350,6 +350,32 @@ def test_urls_of_hosts_never_seen(spark):
     assert {x.host: x.verdict for x in r if x.host in SPAM[:5]} == dict.fromkeys(SPAM[:5], "block")
 
 
+def test_urls_of_sites_held_out(spark):
+    """Each third of the registered names, judged by a model of the other two: over 100 sites in each that training names nowhere."""
+    table = urls.labelled(spark).withColumn("fold", F.crc32("name") % 3).cache()
+    blocked, right, due, names = 0, 0, 0, 0
+    for fold in range(3):
+        held = table.where(F.col("fold") == fold)
+        names += held.select("name").distinct().count()
+        assert held.select("name").distinct().count() > 100
+        model = urls.train(table.where(F.col("fold") != fold))
+        for r in urls.judge(held.withColumn("page_id", F.col("label")), {}, model=model).collect():
+            blocked, due = blocked + (r.verdict == "block"), due + (r.page_id == 1)
+            right += r.verdict == "block" and r.page_id == 1
+    assert names == len(urls.BLOCK) + len(urls.ALLOW) and right / blocked >= 0.9 and right / due >= 0.9
+
+
+def test_url_table_is_not_the_pages(spark):
+    """No word of the odd hosts of the given table, no host of it, and none of its shapes of paths."""
+    import re
+
+    pages = [u for (u,) in duckdb.sql("SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) FROM '/root/testdata/sf0.1/pages.parquet'").fetchall()]
+    words = {w for r in urls.labelled(spark).collect() for w in re.split("[^a-z0-9]+", r.url)}
+    assert not words & {"ads", "track", "adult", "casino", "win", "cheap", "pills", "free", "bets", "spam", "farm", "example"}
+    assert not {r.name for r in urls.labelled(spark).collect()} & set(pages)
+    assert not any(re.search(r"/(en|de|fr|es)/[0-9]", r.url) for r in urls.labelled(spark).collect())
+
+
 def test_url_scores_against_brute_force(spark):
     import math
 
@@ -357,7 +383,7 @@ def test_url_scores_against_brute_force(spark):
 
     rows = ["https://Casino-Lux.example.com/win?x", "http://a.b/", "x", None, "https://" + "long." * 3000 + "org/" + "p" * 20000, "http://a.b/", "http:///only/path"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(rows)] + [(None, rows[0])], "page_id long, url string").withColumns({"host": F.lit(1), "score": F.lit("s"), "rule": F.lit("r")})
-    model, index = urls.train(spark), HashingTF(numFeatures=urls.FEATURES)
+    model, index = urls.train(urls.labelled(spark)), HashingTF(numFeatures=urls.FEATURES)
     got = urls.judge(df).collect()
     assert len(got) == len(rows) + 1
     for x in got:
