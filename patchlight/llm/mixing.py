@@ -22,7 +22,7 @@ CELLS = 4096
 class Mix(NamedTuple):
     sources: DataFrame  #: source, source_no, weight, source_size, target, quota (words to take), blocks, slots
     slots: DataFrame  #: source_no, slot (order in the mix), block, words (of the block's first words that are taken)
-    documents: DataFrame  #: the input's rows: doc_id, size, source_no, start (in the source's shuffled words), taken
+    documents: DataFrame  #: the input's rows: doc_id, size, source_no, start (in the source's shuffled words), taken, slots (in which its words begin: one for each time that it is taken)
 
 
 def targets(per_source: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -94,24 +94,29 @@ def mix(docs: DataFrame, block_words: int = 512, cycle: tuple[int, ...] = (1, 2,
     laid = laid.select("doc_id", "size", "source_no", "source_size", "target", (F.col("at") + F.col("first")).alias("start"))
     pieces = laid.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
     pieces = pieces.withColumn("from", F.greatest(F.col("start") - F.col("block") * b, F.lit(0))).withColumn("to", F.least(F.col("start") + F.col("size") - F.col("block") * b, F.lit(b)))
-    per_block = slots.groupBy("source_no", "block", "words").agg(F.count("*").alias("times"))
+    # a block has a slot each time that its source begins again: MOST_REPEATS at most
+    per_block = slots.groupBy("source_no", "block", "words").agg(F.count("*").alias("times"), F.collect_list("slot").alias("of"))
     overlap = F.greatest(F.least("to", "words") - F.col("from"), F.lit(0)) * F.col("times")
     whole = ["doc_id", "size", "source_no", "source_size", "target", "start"]
-    taken = pieces.join(per_block, ["source_no", "block"], "left").groupBy(*whole).agg(F.coalesce(F.sum(overlap), F.lit(0)).alias("taken"))
-    return Mix(s, slots, taken.unionByName(laid.where("size = 0").withColumn("taken", F.lit(0).cast("bigint"))))
+    begins = F.when((F.col("start") >= F.col("block") * b) & (overlap > 0), F.col("of"))
+    taken = pieces.join(per_block, ["source_no", "block"], "left").groupBy(*whole).agg(F.coalesce(F.sum(overlap), F.lit(0)).alias("taken"), F.array_sort(F.flatten(F.collect_list(begins))).alias("slots"))
+    return Mix(s, slots, taken.unionByName(laid.where("size = 0").withColumns({"taken": F.lit(0).cast("bigint"), "slots": F.array().cast("array<bigint>")})))
 
 
 def digest(mixed: Mix) -> DataFrame:
-    return mixed.documents.select("doc_id", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
+    """slots: the places of the schedule in which the document's words begin, comma-joined; none if it isn't taken."""
+    return mixed.documents.select("doc_id", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"), F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots"))
 
 
 def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """docs as the mix has them: each as often as its blocks take it whole, and once more cut off after the words that they take besides.
+    """docs as the mix has them, in the order of its slots: each as often as its blocks take it whole, and once more cut off after the words that they take besides.
 
     So each source has its quota of words, exactly. Quotas end within one document a source; only that one is cut (and its
     column chars, if there is one, set anew). Rows that share a key and a size, equal ones too, share what is taken of them
     evenly, to the word. Documents without words, with null texts too, are in no block and go. Null keys and sources count
-    as any others; other columns stay, whatever their names; an empty table stays empty. The order of slots isn't kept.
+    as any others; other columns stay, whatever their names; an empty table stays empty. A document's turn comes with the
+    slot in which its words begin, each time that it is taken: partitions hold ranges of slots, and their rows are in order,
+    so every stretch of the corpus as it is written has its sources near their weights.
     """
     columns = docs.columns
     n = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -119,12 +124,15 @@ def apply(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str =
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("d"), F.col(f"`{key}`").alias("id"), n.alias("n"), F.col(f"`{text}`").alias("t"), source[0].alias("s"))
     mixed = mix(docs)
     taken = mixed.documents.where("taken > 0").join(mixed.sources.select("source_no", "source"), "source_no")
-    shares = taken.groupBy(F.col("doc_id").alias("k"), F.col("size").alias("z"), F.col("source").alias("o")).agg(F.sum("taken").alias("words"), F.count("*").alias("rows"))
+    shares = taken.groupBy(F.col("doc_id").alias("k"), F.col("size").alias("z"), F.col("source").alias("o")).agg(F.sum("taken").alias("words"), F.count("*").alias("rows"), *[F.min(F.get("slots", F.lit(i))).alias(f"slot{i}") for i in range(MOST_REPEATS)])
     j = rows.join(shares, F.col("id").eqNullSafe(F.col("k")) & (F.col("n") == F.col("z")) & F.col("s").eqNullSafe(F.col("o")))
     # mean whole copies and words over of a row; what doesn't come out even goes to the cut
     words = F.floor(F.col("words") / F.col("rows"))
-    j = j.select("d", "n", "t", F.floor(words / F.col("n")).cast("int").alias("whole"), (words % F.col("n")).cast("int").alias("over"))
-    j = j.withColumn("cut", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("whole")), F.when(F.col("over") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
+    j = j.select("d", "n", "t", F.array(*[f"slot{i}" for i in range(MOST_REPEATS)]).alias("slots"), F.floor(words / F.col("n")).cast("int").alias("whole"), (words % F.col("n")).cast("int").alias("over"))
+    j = j.select("*", F.posexplode(F.concat(F.array_repeat(F.lit(False), F.col("whole")), F.when(F.col("over") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))).alias("nth", "cut"))
+    # rows that share what is taken of them may be taken once more than a slot is theirs: they follow the last one
+    j = j.withColumn("slot", F.coalesce(F.get("slots", F.col("nth")), F.array_max("slots")))
+    j = j.repartitionByRange("slot", F.xxhash64("id", "nth")).sortWithinPartitions("slot", F.xxhash64("id", "nth"), "nth")
     first = F.array_join(F.slice(F.regexp_extract_all("t", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("over")), "")
     j = j.withColumn("t", F.when(F.col("cut"), first).otherwise(F.col("t")))
     made = {text: F.col("t")} | ({chars: F.when(F.col("cut"), F.length("t")).otherwise(F.col(f"d.`{chars}`"))} if chars in columns else {})
@@ -144,10 +152,18 @@ WITH d AS (
   FROM r WINDOW b AS (ORDER BY r, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
   SELECT *, CASE WHEN r > f THEN f * w ELSE (3 * n)::DOUBLE END AS target FROM (SELECT *, (SELECT arg_min(lam, r) FROM l WHERE r > lam) AS f FROM l)
+), k AS (SELECT *, CASE WHEN n > 0 THEN (q // n) * blocks + ceil((q % n) / 512.0)::BIGINT ELSE 0 END AS slots FROM (SELECT *, floor(target + 0.5)::BIGINT AS q, ceil(n / 512.0)::BIGINT AS blocks FROM t)
+), c AS (SELECT no, slots, (sum(slots) OVER (ORDER BY no))::BIGINT AS hi, (sum(slots) OVER ())::BIGINT AS total FROM k
+), u AS (SELECT slot, x - floor(x) AS u FROM (SELECT slot, (slot + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE AS x FROM range((SELECT coalesce(max(total), 0) FROM c)) g(slot))
+), w AS (SELECT no, slots, total, slot, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS r FROM u JOIN c ON u >= (hi - slots)::DOUBLE / total::DOUBLE AND u < hi::DOUBLE / total::DOUBLE
+), z AS (
+  SELECT no, slot, r FROM w WHERE r < slots
+  UNION ALL SELECT no, total, g.r FROM (SELECT no, slots, total, (SELECT count(*) FROM w WHERE w.no = c.no) AS had FROM c) m, LATERAL (SELECT unnest(range(had, slots)) AS r) g
 ), p AS (
-  SELECT d.*, t.n, t.target, floor(t.target + 0.5)::BIGINT AS q, (sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.*, t.n, t.target, t.no, t.blocks, t.q, (sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS a
+  FROM d JOIN k t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, n AS source_size, target,
-  (greatest(0, least(a + size, q) - a) + greatest(0, least(a + size, q - n) - a) + greatest(0, least(a + size, q - 2 * n) - a))::BIGINT AS taken FROM p
+  (greatest(0, least(a + size, q) - a) + greatest(0, least(a + size, q - n) - a) + greatest(0, least(a + size, q - 2 * n) - a))::BIGINT AS taken,
+  coalesce((SELECT string_agg(z.slot, ',' ORDER BY z.slot, z.r) FROM z WHERE z.no = p.no AND z.r % p.blocks = a // 512 AND size > 0 AND z.r // p.blocks * n + a < q), '') AS slots FROM p
 """

@@ -1,8 +1,10 @@
 """The pipeline's stages on odd rows and against brute force, and the whole of it on the smallest tables."""
 
+import os
 import re
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,38 @@ def test_scratch_deletes_what_it_made(spark, tmp_path):
         path = gone.inputFiles()[0].removeprefix("file://")
         assert os.path.exists(path)
     assert not os.path.exists(path) and stays.count() == 4
+
+
+def unevenness(spark, docs, path):
+    """How far the parts of words that sources have, in the corpus as it is written, are from the whole's, at any eighth of it."""
+    mixing.apply(docs).write.parquet(path)
+    files = sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet"))
+    rows = [(r["source"], len(re.findall(mixing.WORD, r["text"]))) for f in files for r in pq.read_table(f, columns=["source", "text"]).to_pylist()]
+    total = Counter()
+    for s, n in rows:
+        total[s] += n
+    words, seen, at, worst = sum(total.values()), Counter(), 0, 0.0
+    for s, n in rows:
+        seen[s] += n
+        at += n
+        if at >= words / 8:
+            worst = max(worst, *(abs(seen[k] / at - total[k] / words) for k in total))
+    return worst
+
+
+def test_every_prefix_of_the_corpus_is_mixed(spark, tmp_path, monkeypatch):
+    rows = [(i, f"word{i} " * (5 + i % 40), "en", "abcd"[min(3, i % 7)], 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, SHAPE)
+    assert unevenness(spark, docs, str(tmp_path / "golden")) < 0.08  # an eighth has some 9000 words, a block 512
+    monkeypatch.setattr(mixing, "GOLDEN", 0.0)
+    assert unevenness(spark, docs, str(tmp_path / "none")) > 0.15
+
+
+def test_slots_of_documents(spark):
+    """A document's slots are those whose blocks hold its first word, each time that its source begins again."""
+    rows = [(i, " ".join(f"w{i}" for _ in range(i * 7 % 23)), None, "abc"[i % 3] if i % 5 else "abc"[0], 0) for i in range(90)]
+    mixed = mixing.mix(spark.createDataFrame(rows, SHAPE), block_words=16)
+    slots = mixed.slots.collect()
+    for d in mixed.documents.collect():
+        want = sorted(s.slot for s in slots if d.size and s.source_no == d.source_no and s.block == d.start // 16 and s.block * 16 + s.words > d.start)
+        assert d.slots == want and (not d.taken or d.slots)
