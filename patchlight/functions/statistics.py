@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A published fit of the complementary error function (relative error below 1.2e-7), highest power first.
 ERFC = [0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368]
@@ -112,32 +118,58 @@ def midranks(df: DataFrame, x: str, by: list[str], out: str = "rank") -> DataFra
     return df.join(values.drop("__n", "upto"), [*by, x])
 
 
-def exact_u_p(u: Column, n1: Column, n2: Column) -> Column:
-    """Two-sided p of U among n1 and n2 values without ties, one of the counts 8 at most: twice the part of all orders whose U is as far out.
+#: The exact p is taken where one side has so many values at most and none is tied.
+SMALL = 8
 
-    The number of orders with each U grows by one row at a time: with i rows it is the sum, over the places that the i-th
-    one takes, of the numbers with i - 1 rows.
-    """
-    m, n = F.least(n1, n2).cast("int"), F.greatest(n1, n2).cast("int")
-    top = m * n
-    far = F.greatest(u, n1 * n2 - u).cast("int")
-    start = F.transform(F.sequence(F.lit(0), top), lambda j: F.when(j == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
 
-    def more(ways: Column, step: Column) -> Column:
-        # with i rows, first times 1 - q^(n + i), then by 1 - q^i: steps 2i and 2i + 1
-        i = F.shiftright(step, 1)
-        longer = F.transform(ways, lambda w, j: w - F.coalesce(F.get(ways, j - n - i), F.lit(0.0)))
-        summed = F.transform(ways, lambda w, j: F.aggregate(F.sequence(j % i, j, i), F.lit(0.0), lambda s, k: s + F.coalesce(F.get(ways, k), F.lit(0.0))))
-        return F.when(step % 2 == 0, longer).otherwise(summed)
+@lru_cache(maxsize=SMALL)
+def _orders_up_to(m: int) -> list[list[int]]:
+    """For each remainder of u by L = lcm(1..m): the differences by which the number of ways to write some t <= u as a sum of parts from 1..m goes on from u to u + L.
+
+    That number is a polynomial of degree m in u along each remainder, so m + 1 values give all.
+    """
+    period = math.lcm(*range(1, m + 1))
+    ways = [1] * (period * (m + 1))  # with the part 1 twice: the sum up to u
+    for part in range(1, m + 1):
+        for u in range(part, len(ways)):
+            ways[u] += ways[u - part]
+    out = []
+    for r in range(period):
+        row, differences = ways[r::period], []
+        while row:
+            differences.append(row[0])
+            row = [b - a for a, b in zip(row, row[1:])]
+        out.append(differences)
+    return out
+
+
+def orders_with_u_up_to(u: int, m: int, n: int) -> int:
+    """In how many orders of m and n values (m is SMALL at most) U is u or less, exactly, however large n is.
+
+    U is a sum of m parts of n at most. Without that bound the number is known by polynomials; of the sums with
+    parts above n, those with one of n + 1, ..., n + m in the generating function are taken off, those with two put back.
+    """
+    total, tables = 0, _orders_up_to(m)
+    for chosen in range(1 << m):
+        over = [n + i + 1 for i in range(m) if chosen >> i & 1]
+        left = u - sum(over)
+        if left >= 0:
+            k, r = divmod(left, len(tables))
+            total += (-1) ** len(over) * sum(d * math.comb(k, j) for j, d in enumerate(tables[r]))
+    return total
 
-    ways = F.aggregate(F.sequence(F.lit(2), 2 * m + 1), start, more)
-    sums = F.aggregate(ways, F.struct(F.lit(0.0).alias("tail"), F.lit(0.0).alias("all"), F.lit(0).alias("at")), lambda s, w: F.struct(
-        (s["tail"] + F.when(s["at"] >= far, w).otherwise(0.0)).alias("tail"), (s["all"] + w).alias("all"), (s["at"] + 1).alias("at")))
-    return F.aggregate(F.array(sums), F.lit(0.0), lambda x, r: F.least(F.lit(1.0), 2 * r["tail"] / r["all"]))
 
+@F.pandas_udf(T.DoubleType())
+def exact_u_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """Two-sided p of U among n1 and n2 values without ties, one of the counts SMALL at most: twice the part of all orders whose U is as far out. A row a test comes here, no data."""
+    def p(u: float, n1: float, n2: float) -> float | None:
+        if pd.isna(u) or not 0 < min(n1, n2) <= SMALL:
+            return None
+        m, n, u = int(min(n1, n2)), int(max(n1, n2)), int(round(u))
+        tail = orders_with_u_up_to(min(u, m * n - u), m, n)
+        return min(1.0, float(Fraction(2 * tail, math.comb(m + n, m))))
 
-#: The exact p is taken where one side has so many values at most, none is tied, and the sides' product is below EXACT_UP_TO.
-SMALL, EXACT_UP_TO = 8, 1024
+    return pd.Series([p(*x) for x in zip(u, n1, n2)], dtype="float64")
 
 
 def mann_whitney(df: DataFrame, x: str, first: Column, by: list[str]) -> DataFrame:
@@ -156,8 +188,8 @@ def mann_whitney(df: DataFrame, x: str, first: Column, by: list[str]) -> DataFra
     s = s.withColumn("u1", F.col("r1") - n1 * (n1 + 1) / 2)
     sd = F.sqrt(n1 * n2 / 12 * (total + 1 - F.try_divide(F.col("ties"), total * (total - 1))))
     z = F.greatest(F.try_divide(F.abs(F.col("u1") - n1 * n2 / 2) - F.lit(0.5), sd), F.lit(0.0))
-    few = (F.col("ties") == 0) & (F.least(n1, n2) <= SMALL) & (F.least(n1, n2) > 0) & (n1 * n2 < EXACT_UP_TO)
-    p = F.when(few, exact_u_p(F.col("u1"), F.col("n1"), F.col("n2"))).otherwise(F.least(F.lit(1.0), erfc(z / F.sqrt(F.lit(2.0)))))
+    few = (F.col("ties") == 0) & (F.least(n1, n2) <= SMALL) & (F.least(n1, n2) > 0)
+    p = F.when(few, exact_u_p("u1", n1, n2)).otherwise(F.least(F.lit(1.0), erfc(z / F.sqrt(F.lit(2.0)))))
     return s.select(*by, "n1", "n2", "u1", p.alias("p"), F.coalesce(F.try_divide(2 * F.col("u1"), n1 * n2) - 1, F.lit(0.0)).alias("rank_biserial"), "greatest")
 
 

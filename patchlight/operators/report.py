@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchlight.functions import distributions as D
 from patchlight.functions import statistics as S
 
 #: Question and metric by column of the frame: shares of changes, and counts a change.
@@ -36,8 +37,11 @@ def language_report(frame: DataFrame) -> DataFrame:
 
     long = frame.select("language", "ai", *[F.col(c).cast("double").alias(c) for c in COUNTS]).unpivot(["language", "ai"], list(COUNTS), "metric", "x").where("metric <> 'escape' or x > 0")
     u = S.mann_whitney(long, "x", F.col("ai"), ["language", "metric"]).drop("greatest")
-    of = lambda f, g: f(F.when(F.col("ai") == g, F.col("x")))
-    means = long.groupBy("language", "metric").agg(of(F.avg, True).alias("mean1"), of(F.avg, False).alias("mean2"), of(F.median, True).alias("median1"), of(F.median, False).alias("median2"), S.cohens_d(F.col("x"), F.col("ai")).alias("effect"))
+    of = lambda f, g, x="x": f(F.when(F.col("ai") == g, F.col(x)))
+    means = long.groupBy("language", "metric").agg(of(F.avg, True).alias("mean1"), of(F.avg, False).alias("mean2"), S.cohens_d(F.col("x"), F.col("ai")).alias("effect"))
+    q = D.quantiles(long.where("metric = 'escape'"), ["language", "metric", "ai"], F.col("x"), {"q": 0.5})
+    medians = q.groupBy("language", "metric").agg(of(F.max, True, "q").alias("median1"), of(F.max, False, "q").alias("median2"))  # two rows a language
+    means = means.join(medians, ["language", "metric"], "left")
     shown = lambda i: F.round(F.when(F.col("metric") == "escape", F.col(f"median{i}")).otherwise(F.col(f"mean{i}")), 6)
     counts = u.where("n1 > 0 and n2 > 0").join(means, ["language", "metric"]).select(
         "language", _named(COUNTS, 0).alias("rq"), _named(COUNTS, 1).alias("metric"), F.lit("Mann-Whitney U").alias("test"), shown(1).alias("ai"), shown(2).alias("human"), "p", F.lit("d").alias("effect_name"), "effect", F.col("rank_biserial").alias("r"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchlight.functions import distributions as D
 from patchlight.functions import patch as P
 from patchlight.functions import patterns as C
 from patchlight.functions import statistics as S
@@ -61,6 +62,21 @@ def schema_probe(spark, sf):
     return files.probe(tables.parquet(spark, sf, "pages").select(*_PROBED))
 
 
+_COUNTED = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "pages": ["page_id", "url", "html"]}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS tab, '{c}' AS name, cast({c} AS VARCHAR) AS value, count(*) AS n FROM {t} GROUP BY {c} HAVING count(*) > 0.001 * (SELECT count(*) FROM {t})" for t, cs in _COUNTED.items() for c in cs if c not in ("o_totalprice", "o_orderdate", "page_id", "html", "url", "o_orderkey"))
+       + " UNION ALL " + " UNION ALL ".join(f"SELECT '{t}', '{c}', cast({c} AS VARCHAR), count(*) FROM {t} GROUP BY {c} HAVING count(*) > greatest(0.001 * (SELECT count(*) FROM {t}), 1)" for t, c in (("pages", "url"), ("pages", "html"), ("orders", "o_orderkey")))
+       + " UNION ALL SELECT 'orders', 'o_orderdate', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), count(*) FROM orders GROUP BY o_orderdate HAVING count(*) > greatest(0.001 * (SELECT count(*) FROM orders), 1)", prs=False)
+def frequent_values(spark, sf):
+    """Of every column of two tables the values that more than a thousandth of the rows, and more than one, have: all columns of a table in one plan."""
+    out = None
+    for t, columns in _COUNTED.items():
+        f = D.frequent_values(tables.parquet(spark, sf, t).select(*columns), 0.001).where("n > 1 or name in ('o_orderstatus', 'o_orderpriority', 'o_custkey')").withColumn("tab", F.lit(t))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
 # Selecting and labelling
 
 
@@ -318,9 +334,14 @@ def _compared(spark, sf):
     return S.mann_whitney(prs(spark, sf).withColumn("one", F.lit(1)), "changes", F.col("agent_group") == "AI", ["one"])
 
 
-@query(f"SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, u1, round(least(1, {S.erfc_sql('z')}), 6) AS p FROM (SELECT *, {_Z} AS z FROM {_U})")
+@query(f"""SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, u1, round(least(1, {S.erfc_sql('z')}), 6) AS p, m.* FROM (SELECT *, {_Z} AS z FROM {_U}), (
+  SELECT median(changes) FILTER (WHERE agent_group = 'AI') AS median1, median(changes) FILTER (WHERE agent_group <> 'AI') AS median2, round(avg(changes) FILTER (WHERE agent_group = 'AI'), 6) AS mean1, round(avg(changes) FILTER (WHERE agent_group <> 'AI'), 6) AS mean2 FROM p) m""")
 def mann_whitney_u(spark, sf):
-    return _compared(spark, sf).select("n1", "n2", "u1", F.round("p", 6).alias("p"))
+    """Both groups' numbers, medians and means, U and p."""
+    of = prs(spark, sf).select((F.col("agent_group") == "AI").alias("ai"), "changes")
+    q = D.quantiles(of, ["ai"], F.col("changes"), {"q": 0.5}).agg(F.max(F.when(F.col("ai"), F.col("q"))).alias("median1"), F.max(F.when(~F.col("ai"), F.col("q"))).alias("median2"))  # one row
+    m = of.agg(*[F.round(F.avg(F.when(c, F.col("changes"))), 6).alias(f"mean{i}") for i, c in ((1, F.col("ai")), (2, ~F.col("ai")))])
+    return _compared(spark, sf).select("n1", "n2", "u1", F.round("p", 6).alias("p")).crossJoin(q).crossJoin(m)
 
 
 @query(f"SELECT round(2 * u1 / (n1 * n2) - 1, 6) AS r FROM {_U}")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from patchlight.functions import distributions as D
 from patchlight.functions import patch as P
 from patchlight.functions import statistics as S
 from patchlight.operators import changes as O
@@ -256,7 +257,8 @@ def acceptance_by_size(spark, sf):
 @query("SELECT agent_group, round(median(h), 4) AS median, round(avg(h), 4) AS mean, round(stddev_samp(h), 4) AS std FROM (SELECT agent_group, epoch_us(merged_at - created_at) / 3.6e9 AS h FROM p WHERE merged_at IS NOT NULL) WHERE h > 0 GROUP BY agent_group")
 def time_to_merge_stats(spark, sf):
     h = prs(spark, sf).where(_merged()).select("agent_group", O.hours_between(F.col("created_at"), F.col("merged_at")).alias("h")).where("h > 0")
-    return h.groupBy("agent_group").agg(F.round(F.median("h"), 4).alias("median"), F.round(F.avg("h"), 4).alias("mean"), F.round(F.stddev_samp("h"), 4).alias("std"))
+    m = D.quantiles(h, ["agent_group"], F.col("h"), {"median": 0.5}).withColumn("median", F.round("median", 4))
+    return h.groupBy("agent_group").agg(F.round(F.avg("h"), 4).alias("mean"), F.round(F.stddev_samp("h"), 4).alias("std")).join(m, "agent_group")
 
 
 @query("SELECT agent, round(avg(changes), 6) AS mean, round(stddev_samp(changes), 6) AS std, round(stddev_samp(changes) / sqrt(count(*)), 6) AS sem, round(1.96::DOUBLE * stddev_samp(changes) / sqrt(count(*)), 6) AS ci FROM p GROUP BY agent")
@@ -275,8 +277,19 @@ def rolling_rate_30d(spark, sf):
 
 @query("SELECT agent_group, count(*) AS n, round(avg(changes), 6) AS mean, round(quantile_cont(changes, 0.25), 6) AS q1, round(quantile_cont(changes, 0.5), 6) AS q2, round(quantile_cont(changes, 0.75), 6) AS q3 FROM p WHERE changes > 0 GROUP BY agent_group")
 def box_stats(spark, sf):
-    q = lambda p: F.round(F.percentile("changes", F.lit(p)), 6)
-    return prs(spark, sf).where("changes > 0").groupBy("agent_group").agg(F.count("*").alias("n"), F.round(F.avg("changes"), 6).alias("mean"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"))
+    p = prs(spark, sf).where("changes > 0").select("agent_group", "changes")
+    q = D.quantiles(p, ["agent_group"], F.col("changes"), {"q1": 0.25, "q2": 0.5, "q3": 0.75}).withColumns({c: F.round(c, 6) for c in ("q1", "q2", "q3")})
+    return p.groupBy("agent_group").agg(F.count("*").alias("n"), F.round(F.avg("changes"), 6).alias("mean")).join(q, "agent_group")
+
+
+@query("""SELECT agent_group, i AS place, round(lo + i * step, 6) AS at, round(d, 6) AS density FROM (
+  SELECT agent_group, i, any_value(lo) AS lo, any_value(step) AS step, CASE WHEN any_value(h) > 0 THEN sum(exp(-0.5::DOUBLE * pow((lo + i * step - changes) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) ELSE 1 END AS d FROM (
+    SELECT agent_group, changes, min(changes) OVER g AS lo, (max(changes) OVER g - min(changes) OVER g) / 99.0::DOUBLE AS step, count(*) OVER g AS n, stddev_samp(changes) OVER g * pow(count(*) OVER g, -0.2::DOUBLE) AS h FROM p WHERE changes > 0 WINDOW g AS (PARTITION BY agent_group))
+  , (SELECT unnest(range(100))::INT AS i) GROUP BY agent_group, i)""")
+def violin_data(spark, sf):
+    """What a violin of each group's changed lines shows: the density at 100 places. SQL sums the curves of all rows."""
+    d = D.kernel_density(prs(spark, sf).where("changes > 0"), ["agent_group"], F.col("changes"))
+    return d.select("agent_group", "place", F.round("at", 6).alias("at"), F.round("density", 6).alias("density"))
 
 
 @query("SELECT agent, changes, round(max(r)::DOUBLE / any_value(n), 6) AS share FROM (SELECT agent, changes, row_number() OVER (PARTITION BY agent ORDER BY changes) AS r, count(*) OVER (PARTITION BY agent) AS n FROM p) GROUP BY agent, changes")
@@ -331,7 +344,7 @@ def weekday_dist(spark, sf):
 def monthly_median_ttm(spark, sf):
     """Months without a merged change have a row, but no median."""
     h = O.hours_between(F.col("created_at"), F.col("merged_at"))
-    m = prs(spark, sf).where(_merged()).groupBy(O.unit_of("month", F.col("created_at")).alias("month")).agg(F.round(F.median(h), 4).alias("median"))
+    m = D.quantiles(prs(spark, sf).where(_merged()).withColumn("month", O.unit_of("month", F.col("created_at"))), ["month"], h, {"median": 0.5}).withColumn("median", F.round("median", 4))
     return O.units(m, "month").join(m, "month", "left").select(F.last_day("month").alias("month"), "median")
 
 
@@ -402,14 +415,28 @@ def corr_matrix(spark, sf):
     return prs(spark, sf).agg(*[F.round(F.corr(a, b), 6).alias(a[0] + b[0]) for a, b in (("additions", "deletions"), ("additions", "files"), ("deletions", "files"))])
 
 
-@query()  # signs of components are free: tested against numpy
-def standardize_pca(spark, sf):
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+_SQUARINGS = 14
+
 
-    v = tables.parquet(spark, sf, "embeddings").where("embedding is not null").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    z = StandardScaler(inputCol="v", outputCol="z", withMean=True).fit(v).transform(v)
-    return PCA(k=2, inputCol="z", outputCol="c").fit(z).transform(z).select("vec_id", F.round(vector_to_array("c")[0], 6).alias("c1"), F.round(vector_to_array("c")[1], 6).alias("c2"))
+def _component_sql(i: int, of: str) -> str:
+    """The first component of a table (i, j, x): a column of its square's square's ... square, by which others vanish, at length 1, its greatest loading positive."""
+    steps = "".join(f""", q{i}{k} AS MATERIALIZED (SELECT i, j, x / sum(CASE WHEN i = j THEN x END) OVER () AS x FROM (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM {of if k == 0 else f"q{i}{k - 1}"} a JOIN {of if k == 0 else f"q{i}{k - 1}"} b ON a.j = b.i GROUP BY a.i, b.j))""" for k in range(_SQUARINGS))
+    return steps + f""", v{i} AS MATERIALIZED (SELECT i, x / sqrt(sum(x * x) OVER ()) * sign(first_value(x) OVER (ORDER BY round(abs(x / sqrt((SELECT sum(x * x) FROM q{i}{_SQUARINGS - 1} WHERE j = (SELECT arg_max(i, x) FROM q{i}{_SQUARINGS - 1} WHERE i = j)))), 12) DESC, i)) AS w FROM q{i}{_SQUARINGS - 1} WHERE j = (SELECT arg_max(i, x) FROM q{i}{_SQUARINGS - 1} WHERE i = j)
+), l{i} AS (SELECT sum(a.w * c.x * b.w) AS l FROM {of} c JOIN v{i} a ON a.i = c.i JOIN v{i} b ON b.i = c.j)"""
+
+
+@query(f"""WITH e AS MATERIALIZED (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS i) WHERE embedding IS NOT NULL
+), s AS MATERIALIZED (SELECT vec_id, i, (x - avg(x) OVER c) / nullif(stddev_pop(x) OVER c, 0) AS z FROM e WINDOW c AS (PARTITION BY i)
+), c AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.z * b.z) / (SELECT count(DISTINCT vec_id) FROM s) AS x FROM s a JOIN s b USING (vec_id) GROUP BY a.i, b.i){_component_sql(1, "c")}
+, c2 AS MATERIALIZED (SELECT c.i, c.j, c.x - (SELECT l FROM l1) * a.w * b.w AS x FROM c JOIN v1 a ON a.i = c.i JOIN v1 b ON b.i = c.j){_component_sql(2, "c2")}
+SELECT vec_id, round(sum(z * v1.w), 6) AS c1, round(sum(z * v2.w), 6) AS c2, round((SELECT l FROM l1) / (SELECT sum(x) FROM c WHERE i = j), 6) AS ratio1, round((SELECT l FROM l2) / (SELECT sum(x) FROM c WHERE i = j), 6) AS ratio2
+FROM s JOIN v1 USING (i) JOIN v2 USING (i) GROUP BY vec_id""", prs=False)
+def standardize_pca(spark, sf):
+    """Two components of standardised embeddings with the part of the variance that each explains. SQL squares the matrix of correlations until one is left."""
+    v = tables.parquet(spark, sf, "embeddings").where("embedding is not null")
+    of = D.principal_components(v, "embedding", 2)
+    c1, c2 = D.scores(v, "embedding", of)
+    return v.select("vec_id", F.round(c1, 6).alias("c1"), F.round(c2, 6).alias("c2"), *[F.round(F.lit(float(r)), 6).alias(f"ratio{i + 1}") for i, r in enumerate(of.ratio)])
 
 
 # Labelling
@@ -473,7 +500,9 @@ def diversity_hist(spark, sf):
 
 @query("SELECT agent_group, count(*) AS n, round(avg(changes), 6) AS mean, round(median(changes), 6) AS median FROM p WHERE changes > 0 GROUP BY agent_group")
 def nonzero_filtered_stats(spark, sf):
-    return prs(spark, sf).where("changes > 0").groupBy("agent_group").agg(F.count("*").alias("n"), F.round(F.avg("changes"), 6).alias("mean"), F.round(F.median("changes"), 6).alias("median"))
+    p = prs(spark, sf).where("changes > 0").select("agent_group", "changes")
+    m = D.quantiles(p, ["agent_group"], F.col("changes"), {"median": 0.5}).withColumn("median", F.round("median", 6))
+    return p.groupBy("agent_group").agg(F.count("*").alias("n"), F.round(F.avg("changes"), 6).alias("mean")).join(m, "agent_group")
 
 
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS batch FROM orders", prs=False)
