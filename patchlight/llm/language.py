@@ -93,7 +93,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """idf, weights, languages and temperature as a broadcast, from the rows with text and language; None if there are none.
 
     Two passes: document frequencies over all labelled rows, and the fit on about FIT_ROWS of each language (fewer beyond
-    FIT_TOTAL in all), chosen by the hash of their keys. Of more than LANGUAGES labels, the rarest teach nothing; of equally
+    FIT_TOTAL in all), chosen by the hash of their keys and texts, equal rows once. Of more than LANGUAGES labels, the rarest teach nothing; of equally
     rare ones the last by code point. The driver gets only frequencies and weights, whose size BUCKETS and LANGUAGES bound.
     """
     spark = docs.sparkSession
@@ -121,8 +121,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     idf = np.log((1 + sum(sizes.values())) / (1 + df)) + 1
 
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))]), F.col("l"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("fit/"), "k")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    sample = rows.where(draw < share).withColumn("c", F.pmod(F.crc32(F.concat(F.lit("cal/"), "k")), F.lit(CALIBRATE)) == 0)
+    # drawn by key and text, so rows of one key, or without one, don't come together; equal rows count once
+    row = F.concat("k", F.lit("/"), F.xxhash64("t").cast("string"))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("fit/"), row)), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    sample = rows.where(draw < share).distinct().select("k", "l", "t", (F.pmod(F.crc32(F.concat(F.lit("cal/"), row)), F.lit(CALIBRATE)) == 0).alias("c"))
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -25,11 +25,36 @@ TEMPLATES = {
     "cc0": ["Released under CC0 1.0.", "To the extent possible under law, the author has dedicated all copyright and related rights to the public domain worldwide."],
     "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the GNU Lesser General Public License, version 3."],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "This library is licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under the GNU Lesser General Public License, version 3."],
     "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction", "SPDX-License-Identifier: MIT", "Licensed under the MIT License."],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "reserved": ["All rights reserved.", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."],
 }
+#: Other wordings of notices by family, for training only: in them names stand as people write them.
+NOTICES = {
+    "agpl": ["Licensed under AGPLv3.", "License: AGPL-3.0", "Distributed under the terms of the AGPL.", "This server is available under the GNU AGPL v3.", "Released under the Affero GPL, version 3 or later.", "Code is covered by the GNU Affero GPL."],
+    "apache-2.0": ["Available under the Apache 2.0 license.", "License: Apache-2.0", "This library is distributed under the Apache License v2.", "Released under the Apache 2 licence.", "Apache License 2.0, see LICENSE.", "Published under the terms of the Apache Software License 2.0."],
+    "bsd": ["Licensed under the 3-clause BSD license.", "License: BSD-2-Clause", "Distributed under a modified BSD licence.", "Code is available under the New BSD License.", "Released under the simplified BSD license.", "This module is provided under BSD terms."],
+    "cc-by": ["Text is available under CC-BY 4.0.", "License: CC-BY-4.0", "Published under the Creative Commons Attribution licence.", "Shared under a Creative Commons Attribution 3.0 licence.", "This article is distributed under CC BY 3.0.", "Content licensed as CC BY."],
+    "cc-by-nc": ["Text is available under CC-BY-NC.", "License: CC-BY-NC-4.0", "Published under the Creative Commons Attribution Non-Commercial licence.", "Shared under CC BY-NC 3.0.", "These slides are distributed under a Creative Commons Attribution-NonCommercial 3.0 licence.", "Photographs licensed as CC BY-NC."],
+    "cc-by-sa": ["Text is available under the Creative Commons Attribution-ShareAlike licence.", "License: CC-BY-SA-4.0", "Content is available under CC BY-SA 3.0 unless otherwise noted.", "Published under the Creative Commons Attribution Share-Alike 3.0 licence.", "Shared under CC-BY-SA.", "These maps are licensed as CC BY-SA."],
+    "cc0": ["License: CC0-1.0", "Available under CC0.", "This data set is published under the Creative Commons Zero licence.", "Distributed under Creative Commons CC0.", "Shared as CC0 1.0 Universal.", "The files are offered under CC0."],
+    "gpl": ["Licensed under GPLv2 or later.", "License: GPL-3.0-or-later", "Distributed under the terms of the GPL.", "This tool is released under the GNU GPL v3.", "Code is available under the General Public License of GNU, version 2.", "Covered by the GNU GPL, version 2 only.", "Our tools are GPLv3 software.", "GPLv2, see COPYING."],
+    "isc": ["License: ISC", "Available under the ISC licence.", "This package is distributed under the ISC license.", "Licensed under the terms of the ISC license.", "Code is provided under ISC.", "Published under the ISC License, see below."],
+    "lgpl": ["Licensed under LGPLv3.", "License: LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-3.0-only", "Distributed under the terms of the LGPL.", "This library is available under the GNU LGPL v2.1.", "Released under the Lesser GPL, version 3.", "These modules are LGPLv2 code."],
+    "mit": ["License: MIT (see file)", "Code is available under the MIT licence.", "Distributed under the terms of the MIT license.", "This project is MIT licensed.", "Licensed under MIT.", "Published under the MIT/X11 license."],
+    "mpl-2.0": ["Licensed under MPL 2.0.", "License: MPL-2.0", "Distributed under the Mozilla Public License, version 2.", "Code is available under the terms of the MPLv2.", "Released under the Mozilla Public Licence 2.0.", "This add-on is covered by the MPL 2."],
+}
+#: How a family's name is spelt, as words in lower case (the names of families that go on from it are told apart by what follows).
+NAMES = {
+    "agpl": r"(?:gnu )?(?:agpl|affero)(?:v?[0-9])?\b", "apache-2.0": r"(?:apache|asl)(?: software)?(?: license| licence)?(?: version)?(?: v)? ?v?2\b", "bsd": r"(?:[0-9a-z]+ clause |new |modified |simplified |revised |original )?bsd\b",
+    "cc-by": r"(?:cc by|creative commons attribution)(?! (?:nc|sa|nd|non|noncommercial|share|sharealike|no|noderiv\w*)\b)", "cc-by-nc": r"(?:cc by nc|creative commons attribution non ?commercial)(?! (?:sa|nd|share|sharealike|no|noderiv\w*)\b)",
+    "cc-by-sa": r"(?:cc by sa|creative commons attribution share ?alike)\b", "cc0": r"(?:creative commons )?(?:cc0|creative commons zero)\b", "gpl": r"(?:gnu )?(?:gplv?[123]?\b|general public licen[cs]e\b)", "isc": r"isc\b",
+    "lgpl": r"(?:gnu )?(?:lgplv?[23]?\b|(?:lesser|library) (?:gpl|general public licen[cs]e)\b)", "mit": r"(?:mit|expat)\b", "mpl-2.0": r"(?:mozilla public licen[cs]e|mpl)(?: version)?(?: v)? ?v?2\b",
+}
+_FILL = r"(?: (?:the|a|an|both|either|terms|conditions|provisions|version|of|and|its|own|standard|permissive|open|source|free))*"
+#: What makes a name a notice: words of licensing before it, or "license" at the paragraph's beginning, or "... licensed" after it.
+SAID = (r" (?:licen[cs]ed|released|distributed|redistributed|published|provided|available|offered|shared|covered|governed|issued|licensing) (?:under|by|as|with)" + _FILL + " ", r"\A licen[cs]e(?: type| is)?(?: the)? ", r" spdx license identifier ")
 #: Families whose notices hold much of each other's: where another one's template is met better, a family isn't confirmed.
 RIVALS = [["agpl", "gpl", "lgpl"], ["cc-by", "cc-by-nc", "cc-by-sa"], ["isc", "mit"]]
 #: Runs of two words by which a line says that it is no notice.
@@ -48,6 +73,8 @@ MARKS = ["bsd", "cc", "cc0", "creative", "gnu", "hereby", "license", "licensed",
 #: So large a part of all unknown paragraphs has to stay below the threshold.
 STRICT = 0.9995
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words that stand in any text.
+COMMON = {"a", "all", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"}
 #: A line feed, lines without words, and a line feed: what lies between blocks of lines.
 BREAK = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"
 #: Words of a span of a block, and from one span to the next: runs of SPAN - STEP + 1 words, more than any template has, lie in one span.
@@ -79,6 +106,13 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("w", F.coalesce(words(F.col("paragraph")), F.array().cast("array<string>")))
 
 
+def _trimmed(span: Column) -> Column:
+    """A span from the first to the last run of two words, not both common ones, that a template has, so that what stands around a notice doesn't count."""
+    every = F.array(*map(F.lit, sorted({x for ts in TEMPLATES.values() for t in ts for x in runs(t) if not set(x.split()) <= COMMON})))
+    at = F.filter(F.transform(pairs(span), lambda p, i: F.when(F.array_contains(every, p), i + 1)), lambda i: i.isNotNull())
+    return F.when(F.size(at) > 0, F.slice(span, F.array_min(at), F.array_max(at) - F.array_min(at) + 2)).otherwise(F.array().cast("array<string>"))
+
+
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows (block, line, w) of a text, which goes: each line (line is true) and the spans of blocks that may hold a notice wrapped over lines.
 
@@ -88,7 +122,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs.select("*", F.posexplode_outer(F.split(F.col(text), BREAK)).alias("block", "b")).drop(text)
     out = out.withColumns({"lines": lines(F.col("b")), "bw": words(F.col("b"))})
     starts = F.sequence(F.lit(1), F.greatest(F.size("bw") - SPAN + STEP, F.lit(1)), F.lit(STEP))
-    spans = F.when((F.size("lines") > 1) & holds_any(F.col("bw")), F.transform(starts, lambda i: F.slice(F.col("bw"), i, SPAN)))
+    spans = F.when((F.size("lines") > 1) & holds_any(F.col("bw")), F.transform(starts, lambda i: _trimmed(F.slice(F.col("bw"), i, SPAN))))
     none = F.array().cast("array<struct<line:boolean,w:array<string>>>")
     rows = F.concat(
         F.coalesce(F.transform("lines", lambda p: F.struct(F.lit(True).alias("line"), words(p).alias("w"))), none),
@@ -99,7 +133,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _table(spark: SparkSession) -> DataFrame:
-    rows = [(a + t + b, f) for f, ts in TEMPLATES.items() for t in ts for a, b in AROUND] + [(a + t + b, UNKNOWN) for t in OTHERS for a, b in AROUND]
+    rows = [(a + t + b, f) for f, ts in TEMPLATES.items() for t in ts for a, b in AROUND] + [(a + t + b, f) for f, ts in NOTICES.items() for t in ts for a, b in AROUND[:3]] + [(a + t + b, UNKNOWN) for t in OTHERS for a, b in AROUND]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{p}', '{f}')" for p, f in rows) + " AS t(paragraph, family)").withColumn("w", words(F.col("paragraph")))
 
 
@@ -140,7 +174,7 @@ def speaks_of_any(w: Column) -> Column:
 
 
 def confirmed(w: Column, family: Column) -> Column:
-    """Whether the words hold CONFIRMED of the runs of two of one of the family's templates, no less of them than of a rival's, and deny nothing."""
+    """Whether the words name the family's licence as theirs, or hold CONFIRMED of the runs of two of one of its templates and no less of them than of a rival's; and deny nothing."""
     def held(f: str) -> Column:
         shares = [F.size(F.array_intersect(pairs(w), F.array(*map(F.lit, runs(t))))) / F.lit(float(len(runs(t)))) for t in TEMPLATES[f]]
         return F.greatest(*shares, F.lit(0.0))
@@ -151,24 +185,42 @@ def confirmed(w: Column, family: Column) -> Column:
         return enough & (held(f) >= F.greatest(*map(held, rivals), F.lit(0.0))) if rivals else enough
 
     denied = F.arrays_overlap(pairs(w), F.array(*map(F.lit, DENIED)))
-    return ~denied & reduce(lambda x, f: F.when(family == f, sure(f)).otherwise(x), TEMPLATES, F.lit(False))
+    return ~denied & (named(w, family) | reduce(lambda x, f: F.when(family == f, sure(f)).otherwise(x), TEMPLATES, F.lit(False)))
+
+
+def _padded(w: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+
+
+def named(w: Column, family: Column | None = None) -> Column:
+    """Whether the words say that something is under the family's licence, by its name (of any family, without one)."""
+    before = "(?:" + "|".join(SAID) + ")"
+    if family is None:
+        return _padded(w).rlike(before + "(?:" + "|".join(NAMES.values()) + ")")
+    found = F.lit(False)
+    for f, name in NAMES.items():
+        after = r"| (?:" + name + r") licen[cs]ed " if f in ("mit", "bsd", "isc") else ""
+        found = F.when(family == f, _padded(w).rlike(before + "(?:" + name + ")" + after)).otherwise(found)
+    return found
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> PipelineModel:
-    """The model: fitted on the templates in several surroundings, on other paragraphs, and on those of a sample of documents.
+    """The model: fitted on the templates and other notices in several surroundings, on other paragraphs, and on those of a sample of documents.
 
-    The sample is chosen by the hash of the keys; paragraphs that speak of licences as templates do aren't taken for unknown ones.
+    The sample is chosen by the hash of keys and texts; paragraphs that speak of licences as templates do aren't taken for unknown ones.
     """
     spark, n = docs.sparkSession, docs.count()
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("licence/"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    # by key and text: rows of one key, or without one, don't come together
+    row = F.concat(F.lit("licence/"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("/"), F.coalesce(F.xxhash64(F.col(text)).cast("string"), F.lit("")))
+    draw = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     rate = min(1.0, SAMPLE_DOCS / max(n, 1))
     sample = paragraphs(docs.select(draw.alias("d"), F.col(text).alias("t")).where(F.col("d") < rate / 2), "t")
-    sample = sample.where((F.size("w") > 0) & ~speaks_of_any(F.col("w"))).select("w").distinct()
+    sample = sample.where((F.size("w") > 0) & ~speaks_of_any(F.col("w")) & ~named(F.col("w"))).select("w").distinct()
     classes = F.array(*map(F.lit, _classes()))
     rows = _table(spark).select("w", "family").unionByName(sample.select("w", F.lit(UNKNOWN).alias("family")))
     rows = rows.select(grams(F.col("w")).alias("g"), (F.array_position(classes, F.col("family")) - 1).cast("double").alias("y"))
     vocabulary = CountVectorizer(inputCol="g", outputCol="x", binary=True, minDF=1, vocabSize=1 << 14).fit(_table(spark).select(grams(F.col("w")).alias("g")))
-    lr = LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="p", rawPredictionCol="raw", predictionCol="best", family="multinomial", regParam=2e-4, elasticNetParam=0.5, maxIter=60)
+    lr = LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="p", rawPredictionCol="raw", predictionCol="best", family="multinomial", regParam=2e-5, elasticNetParam=0.5, maxIter=60)
     return PipelineModel([vocabulary, lr.fit(vocabulary.transform(rows).coalesce(4))])
 
 
@@ -181,8 +233,8 @@ def threshold(judged: DataFrame) -> float:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each of docs: its key, n_paragraphs, n_notices, n_unsure, families.
 
-    A paragraph is a line that isn't blank. Its family is the likeliest, if that isn't 'unknown', all families together
-    reach the threshold that all documents' unknown paragraphs set, and a template confirms it: then it is a notice. Spans of lines (see candidates) are
+    A paragraph is a line that isn't blank. Its family is the likeliest one, if all families together are likelier than 'unknown',
+    reach the threshold that all documents' unknown paragraphs set, and a template or the licence's name confirms it: then it is a notice. Spans of lines (see candidates) are
     judged alike: a block of lines has one notice for each family that its spans and none of its lines give. n_unsure
     counts lines of a family that no template confirms and that their block has no notice of. families: those of the
     notices, sorted, joined by commas; '' for none. Null and blank texts have no paragraphs; repeated rows get a row
@@ -193,12 +245,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), n.alias("n"), F.col(text).alias("t"))
     judged = model.transform(candidates(rows, "t").withColumn("g", grams(F.col("w"))))
     unknown = _classes().index(UNKNOWN)
-    family = F.element_at(F.array(*map(F.lit, _classes())), (F.col("best") + 1).cast("int"))
+    families = F.zip_with(vector_to_array("p"), F.array(*map(F.lit, _classes())), lambda p, f: F.struct(p.alias("p"), f.alias("f")))
+    family = F.array_max(F.filter(families, lambda x: x["f"] != UNKNOWN))["f"]
     some = F.size("w") > 0
-    judged = judged.select("id", "row", "n", "block", "line", "w", (1 - vector_to_array("p")[unknown]).alias("s"), F.when((F.col("best") != unknown) & some, family).alias("family"))
+    judged = judged.select("id", "row", "n", "block", "line", "w", (1 - vector_to_array("p")[unknown]).alias("s"), F.when((vector_to_array("p")[unknown] < 0.5) & some, family).alias("family"))
     judged = judged.withColumns({
         "sure": F.when(F.col("family").isNotNull(), confirmed(F.col("w"), F.col("family"))),
-        "h": F.when(F.col("line") & some & ~speaks_of_any(F.col("w")), F.xxhash64("w")),
+        "h": F.when(F.col("line") & some & ~speaks_of_any(F.col("w")) & ~named(F.col("w")), F.xxhash64("w")),
     })
     judged = materialise(judged.drop("w"), "licences-judged")
     judged = judged.withColumn("sure", F.when(F.col("s") >= threshold(judged), F.col("sure")))

@@ -122,8 +122,9 @@ def _draw(key: Column, salt: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Broadcast | None:
     """The model, from docs and their positive labels (1; ids with contradictory labels have none); None without positives or texts.
 
-    Other labels are used for nothing but to tell contradictory ones. Positives are drawn by the hash of their keys, about
-    POSITIVES rows, so few enough to be sent to all tasks; so are UNLABELLED rows of all docs.
+    Other labels are used for nothing but to tell contradictory ones. Keys with positive labels are drawn by their hash, about
+    POSITIVES, so few enough to be sent to all tasks. Of their rows, and of all docs, about POSITIVES and UNLABELLED rows are
+    drawn by the hash of key and text, however many rows a key has; equal rows count once.
     """
     spark = docs.sparkSession
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
@@ -132,7 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not n_pos or not n_docs:
         return None
     some = F.broadcast(trusted.where(_draw(F.col("k"), "label/") < min(1.0, POSITIVES / n_pos)))
-    sample = docs.select(k.alias("k"), F.col(text).alias("t")).join(some, "k", "left").withColumn("u", _draw(F.col("k"), "plain/") < min(1.0, UNLABELLED / n_docs)).where("u or y is not null")
+    n_rows = docs.select(k.alias("k")).join(some, "k").count()
+    row = F.concat("k", F.lit("/"), F.coalesce(F.xxhash64("t").cast("string"), F.lit("")))
+    sample = docs.select(k.alias("k"), F.col(text).alias("t")).join(some, "k", "left").withColumns({
+        "u": _draw(row, "plain/") < min(1.0, UNLABELLED / n_docs), "y": F.when(_draw(row, "row/") < min(1.0, POSITIVES / max(n_rows, 1)), F.col("y")),
+    }).where("u or y is not null").distinct()
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
