@@ -1 +1 @@
-from patchlight.plans import extraction, ingest, kernels, labelling, queries  # noqa: F401  (all register their queries)
+from patchlight.plans import extraction, ingest, kernels, labelling, queries, summaries  # noqa: F401  (all register their queries)

@@ -95,18 +95,22 @@ def _of_frame(ex: E.Extractor) -> str:
 ), a AS (SELECT *, {_marked('text', keep=ex.keep_mark)} AS added, {_marked('text', '-')} AS removed FROM g)"""
 
 
-def _extractor(name: str, ex: E.Extractor) -> None:
+def extracting(ex: E.Extractor) -> tuple[dict[str, str], dict[str, str], dict[str, str], str]:
+    """SQL over _of_frame's a of an extractor: counts of features, of tokens and lines, the signs by name, and which changes are chosen."""
     counts = {n: _n(p, "added") for n, p in ex.features.items()}
     more = {f"{n}_{side}": _n(p, t) for n, p in ex.tokens.items() for side, t in (("additions", "added"), ("removals", "removed"))}
     if ex.any_lines:
         more |= {n: _n(p, "text", lines=True) for n, p in _ANY_LINES.items()}
-    if ex.any_lines:
         signs = {"any_add": "any_additions > 0", "any_rem": "any_removals > 0", "any_rep": "any_replacements > 0"}
         chosen = "(any_additions > 0 OR any_removals > 0 OR any_replacements > 0) AND (kw OR hit)"
     else:
         signs = {"features": "total_features > 0"} | ({"unsafe": "(unsafe_additions > 0 OR unsafe_removals > 0)"} if ex.tokens else {})
         chosen = " OR ".join([*signs.values(), "kw", "hit"])
-    signs |= {"type_keywords": "kw", "patch_patterns": "hit"}
+    return counts, more, signs | {"type_keywords": "kw", "patch_patterns": "hit"}, chosen
+
+
+def _extractor(name: str, ex: E.Extractor) -> None:
+    counts, more, signs, chosen = extracting(ex)
     kept = ["id", "files", "total_features", *more, "detection_method"]
 
     def run(spark: SparkSession, sf: str) -> DataFrame:

@@ -30,15 +30,6 @@ def sink_csv(spark, sf):
     return tables.csv(spark, path, "o_orderkey bigint, o_orderstatus string")
 
 
-@query("SELECT agent_group, count(*) AS total, count(*) FILTER (WHERE status = 'merged') AS merged, sum(additions)::BIGINT AS additions FROM p GROUP BY agent_group")
-def sink_json_summary(spark, sf):
-    """A summary written as a line of JSON for each group, and read back."""
-    s = prs(spark, sf).groupBy("agent_group").agg(F.count("*").alias("total"), F.count_if(_merged()).alias("merged"), F.sum("additions").alias("additions"))
-    path = files.fresh_folder(spark, "summary")
-    files.write_json(s, path)
-    return spark.read.schema(s.schema).json(path)
-
-
 @query("SELECT '| agent_group | n | merged |' AS line UNION ALL SELECT '|---|---|---|' UNION ALL SELECT '| ' || agent_group || ' | ' || count(*) || ' | ' || count(*) FILTER (WHERE status = 'merged') || ' |' FROM p GROUP BY agent_group")
 def sink_md(spark, sf):
     """A table as one Markdown file, and its lines."""
@@ -161,20 +152,13 @@ def resolution_class(spark, sf):
     return prs(spark, sf).select("id", O.resolution(F.col("additions"), F.col("deletions")).alias("resolution"))
 
 
-@query("""SELECT id, round((CASE WHEN files > 3 THEN 2 ELSE 0 END - CASE WHEN deletions > 10 THEN 1 ELSE 0 END - CASE WHEN deletions > 20 THEN 2 ELSE 0 END - CASE WHEN additions > 150 THEN 3 ELSE 0 END
-  - CASE WHEN additions > 100 THEN 2 ELSE 0 END + CASE WHEN status = 'merged' THEN 1 ELSE 0 END)::DOUBLE + files / 10.0::DOUBLE, 6) AS score FROM p""")
-def quality_score(spark, sf):
-    a, d, f = F.col("additions"), F.col("deletions"), F.col("files")
-    return prs(spark, sf).select("id", F.round(O.quality_score(f > 3, d > 10, d > 20, a > 150, a > 100, _merged(), f.cast("double") / 10), 6).alias("score"))
-
-
 _HOURS = "epoch_us(merged_at - created_at) / 3.6e9"
 
 
-@query(f"SELECT id, round({_HOURS}, 6) AS hours FROM p WHERE {_HOURS} > 0 AND {_HOURS} < 1000")
+@query(f"SELECT id, round({_HOURS}, 6) AS hours FROM p WHERE {_HOURS} > 0 AND {_HOURS} < 10000")
 def drop_invalid_durations(spark, sf):
     h = prs(spark, sf).select("id", O.hours_between(F.col("created_at"), F.col("merged_at")).alias("hours"))
-    return h.where("hours > 0 and hours < 1000").withColumn("hours", F.round("hours", 6))
+    return h.where("hours > 0 and hours < 10000").withColumn("hours", F.round("hours", 6))
 
 
 @query(f"SELECT id, round({_HOURS}, 6) AS hours FROM p")
@@ -271,20 +255,6 @@ def patch_concat(spark, sf):
     return O.joined_text(rows.withColumn("at", F.col("text")), "conv_id", ["turn", "at"], F.col("text"), "\n")
 
 
-def _by(name: str, key: str, sql: str, make) -> None:
-    def run(spark: SparkSession, sf: str):
-        return prs(spark, sf).groupBy(key).agg(*make())
-
-    run.__name__ = name
-    query(f"SELECT {key}, {sql} FROM p GROUP BY {key}")(run)
-
-
-for _suffix, _key in (("agent", "agent"), ("group", "agent_group")):
-    _by(f"feature_density_by_{_suffix}", _key, "round(sum(additions)::DOUBLE / count(*), 4) AS additions, round(sum(files)::DOUBLE / count(*), 4) AS files", lambda: [F.round(F.sum(c).cast("double") / F.count("*"), 4).alias(c) for c in ("additions", "files")])
-    _by(f"any_stats_by_{_suffix}", _key, "sum(additions)::BIGINT AS adds, sum(deletions)::BIGINT AS rems, sum(least(additions, deletions))::BIGINT AS reps", lambda: [F.sum("additions").alias("adds"), F.sum("deletions").alias("rems"), F.sum(F.least("additions", "deletions")).alias("reps")])
-_by("feature_stats_by_group", "agent_group", "count(*) AS n, sum(additions)::BIGINT AS total, round(avg(additions), 4) AS mean", lambda: [F.count("*").alias("n"), F.sum("additions").alias("total"), F.round(F.avg("additions"), 4).alias("mean")])
-
-
 # Kernels over lines: lines of documents that begin with E stand for added, with T for removed ones
 
 

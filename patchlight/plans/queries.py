@@ -236,11 +236,6 @@ def top_languages(spark, sf):
     return tables.parquet(spark, sf, "part").groupBy(F.coalesce("p_brand", F.lit("Unknown")).alias("brand")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "brand").limit(20)
 
 
-@query("SELECT agent, count(*) AS n, sum(additions)::BIGINT AS additions, round(sum(additions)::DOUBLE / count(*), 4) AS mean_additions, count(*) FILTER (WHERE files > 4) AS wide FROM p GROUP BY agent")
-def feature_stats_by_agent(spark, sf):
-    return prs(spark, sf).groupBy("agent").agg(F.count("*").alias("n"), F.sum("additions").alias("additions"), F.round(F.sum("additions").cast("double") / F.count("*"), 4).alias("mean_additions"), F.count_if(F.col("files") > 4).alias("wide"))
-
-
 @query("""SELECT agent_group, count(*) AS total, count(*) FILTER (WHERE status = 'merged') AS merged, count(*) FILTER (WHERE status = 'closed') AS closed, count(*) FILTER (WHERE status = 'open') AS "open",
   round(100.0::DOUBLE * count(*) FILTER (WHERE status = 'merged') / count(*), 6) AS merge_rate, round(100.0::DOUBLE * count(*) FILTER (WHERE status = 'closed') / count(*), 6) AS close_rate, round(100.0::DOUBLE * count(*) FILTER (WHERE status = 'open') / count(*), 6) AS open_rate FROM p GROUP BY agent_group""")
 def acceptance_metrics(spark, sf):
@@ -469,29 +464,6 @@ def group_totals(spark, sf):
     return prs(spark, sf).agg(F.count("*").alias("n"), F.count_if(F.col("additions") > 0).alias("adding"), F.sum(F.when(F.col("agent_group") == "AI", F.col("additions")).otherwise(0)).alias("ai_additions"), F.sum("deletions").alias("deletions"))
 
 
-@query("SELECT agent AS name, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions FROM p WHERE agent_group = 'AI' GROUP BY agent UNION ALL SELECT 'Human', sum(additions)::BIGINT, sum(deletions)::BIGINT FROM p WHERE agent_group = 'Human'")
-def agent_breakdown(spark, sf):
-    sums = [F.sum(c).alias(c) for c in ("additions", "deletions")]
-    all_prs = prs(spark, sf)
-    return all_prs.where("agent_group = 'AI'").groupBy(F.col("agent").alias("name")).agg(*sums).unionByName(all_prs.where("agent_group = 'Human'").agg(*sums).select(F.lit("Human").alias("name"), "additions", "deletions"))
-
-
-@query("SELECT status, round(100.0::DOUBLE * avg((files > 3)::INT), 6) AS agreement FROM p GROUP BY status")
-def agreement_by_status(spark, sf):
-    return prs(spark, sf).groupBy("status").agg(F.round(100 * F.avg((F.col("files") > 3).cast("double")), 6).alias("agreement"))
-
-
-@query("SELECT factor, held, round(100.0::DOUBLE * avg((status = 'merged')::INT), 6) AS rate FROM (SELECT status, unnest(['wide', 'removal']) AS factor, unnest([files > 4, deletions > 20]) AS held FROM p) GROUP BY factor, held")
-def acceptance_by_factor(spark, sf):
-    flags = prs(spark, sf).select("status", (F.col("files") > 4).alias("wide"), (F.col("deletions") > 20).alias("removal"))
-    return flags.unpivot("status", ["wide", "removal"], "factor", "held").groupBy("factor", "held").agg(F.round(100 * F.avg(_merged().cast("double")), 6).alias("rate"))
-
-
-@query("SELECT round(100.0::DOUBLE * avg((files > 4)::INT), 6) AS wide, round(100.0::DOUBLE * avg((deletions > 20)::INT), 6) AS removal FROM p")
-def indicator_rates(spark, sf):
-    return prs(spark, sf).agg(F.round(100 * F.avg((F.col("files") > 4).cast("double")), 6).alias("wide"), F.round(100 * F.avg((F.col("deletions") > 20).cast("double")), 6).alias("removal"))
-
-
 @query("SELECT v.unique AS features, count(id) AS n FROM (SELECT unnest(generate_series(0, 15)) AS unique) v LEFT JOIN p ON p.files = v.unique GROUP BY 1", prs=True)
 def diversity_hist(spark, sf):
     n = prs(spark, sf).groupBy(F.col("files").alias("features")).agg(F.count("*").alias("n"))
@@ -519,11 +491,3 @@ def _batches(orders: DataFrame) -> DataFrame:
 def batch_slices_all(spark, sf):
     """batch_slices of all orders."""
     return _batches(tables.parquet(spark, sf, "orders"))
-
-
-@query("SELECT doc_id, l.quality = 1 AND d.lang = 'en' AS final, CASE WHEN l.quality IS NULL THEN 'ERROR' WHEN l.toxic = 1 THEN 'REJECTED' ELSE 'APPROVED' END AS validation FROM documents d LEFT JOIN labels l USING (doc_id)", prs=False)
-def final_decision(spark, sf):
-    j = tables.parquet(spark, sf, "documents").join(tables.parquet(spark, sf, "labels"), "doc_id", "left")
-    return j.select("doc_id", ((F.col("quality") == 1) & (F.col("lang") == "en")).alias("final"), F.when(F.col("quality").isNull(), "ERROR").when(F.col("toxic") == 1, "REJECTED").otherwise("APPROVED").alias("validation"))
-
-

@@ -8,10 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: One recorded page of a search for changes.
-SEARCH_PAGE = "total_count bigint, items array<struct<number: bigint, title: string, html_url: string, user: struct<login: string>>>"
-
-
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder spark.checkpoint.dir; where it is unset (local tests), in a temporary one."""
     sc = spark.sparkContext
@@ -23,6 +19,25 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a fresh_folder() and read again: for what a plan reads more than once."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def nested(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row: of each part with columns k and v a map, of others (one row each) a struct. For summaries: parts have few rows."""
+    out = None
+    for name, df in parts.items():
+        if df.columns == ["k", "v"]:
+            one = df.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias(name))
+        else:
+            one = df.select(F.struct(*df.columns).alias(name))
+        out = one if out is None else out.crossJoin(one)
+    return out
+
+
 def existing(df: DataFrame, names: list[str]) -> DataFrame:
     """Those of the named columns that df has."""
     return df.select(*[F.col(f"`{n}`") for n in names if n in df.columns])
@@ -33,12 +48,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def search_hits(pages: DataFrame, payload: str) -> DataFrame:
-    """The changes that recorded search pages (JSON in column payload) list, one row each; broken pages list none."""
-    p = pages.select(F.from_json(payload, SEARCH_PAGE).alias("p")).select(F.explode("p.items").alias("i"))
-    return p.select("i.number", "i.title", "i.html_url", F.col("i.user.login").alias("user_login"))
-
-
 def probe(df: DataFrame) -> DataFrame:
     """One row for each column of df: its type, the number of rows and of non-null values."""
     counts = df.agg(F.count("*").alias("__rows"), *[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])

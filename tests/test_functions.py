@@ -127,8 +127,6 @@ def test_files_keep_lines_quotes_and_spaces(spark):
     files.write_csv(spark.createDataFrame(rows, "id int, t string"), path)
     back = {r.id: r.t for r in tables.csv(spark, path, "id int, t string").collect()}
     assert back == {1: rows[0][1], 2: rows[1][1], 3: None, 4: None}
-    hits = files.search_hits(spark.createDataFrame([('{"items": [{"number": 7, "user": {"login": "u"}}]}',), ("broken",), (None,)], "p string"), "p").collect()
-    assert [(h.number, h.title, h.user_login) for h in hits] == [(7, None, "u")]
 
 
 def test_extractors_use_their_own_catalogues(spark):
