@@ -37,14 +37,16 @@ def counts(text: str) -> np.ndarray:
         piece = (" " if not at else text[max(0, at - 2) : at]) + text[at : at + _SEGMENT] + ("" if at + _SEGMENT < len(text) else " ")
         c = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         c[(c < 128) & ~_LETTER[np.minimum(c, 127)]] = 32
-        c = c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]]
+        kept = np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]
+        again = int(kept[: min(2, at)].sum())  # characters of the piece before, which only begin n-grams that reach beyond them
+        c = c[kept]
         h = np.zeros(len(c), np.uint32)
         for n in range(3):
             if len(c) <= n:
                 break
             h = h[: len(c) - n] * np.uint32(31) + c[n:] * _MUL[n]
             g = h ^ (h >> np.uint32(15))
-            total += np.bincount((g * _MUL[0]) >> np.uint32(32 - 14), minlength=BUCKETS)
+            total += np.bincount((g[max(0, again - n) :] * _MUL[0]) >> np.uint32(32 - 14), minlength=BUCKETS)
     return total
 
 

@@ -70,6 +70,8 @@ CONFIRMED = 0.6
 #: A paragraph with such a part of a template's runs of two words (two at least), or with a run that has one of these words, isn't an unknown one.
 SHARED = 0.15
 MARKS = ["bsd", "cc", "cc0", "creative", "gnu", "hereby", "license", "licensed", "mozilla", "mpl", "redistribute", "redistribution", "reserved", "spdx"]
+#: A paragraph of at least this probability of a family that names a licence isn't an unknown one either (less likely ones don't move the threshold).
+NEAR = 0.3
 #: So large a part of all unknown paragraphs has to stay below the threshold.
 STRICT = 0.9995
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -248,10 +250,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     families = F.zip_with(vector_to_array("p"), F.array(*map(F.lit, _classes())), lambda p, f: F.struct(p.alias("p"), f.alias("f")))
     family = F.array_max(F.filter(families, lambda x: x["f"] != UNKNOWN))["f"]
     some = F.size("w") > 0
-    judged = judged.select("id", "row", "n", "block", "line", "w", (1 - vector_to_array("p")[unknown]).alias("s"), F.when((vector_to_array("p")[unknown] < 0.5) & some, family).alias("family"))
+    judged = judged.select("id", "row", "n", "block", "line", "w", "p", (1 - vector_to_array("p")[unknown]).alias("s"))
+    judged = judged.withColumn("family", F.when((F.col("s") > 0.5) & some, family)).drop("p")
     judged = judged.withColumns({
         "sure": F.when(F.col("family").isNotNull(), confirmed(F.col("w"), F.col("family"))),
-        "h": F.when(F.col("line") & some & ~speaks_of_any(F.col("w")) & ~named(F.col("w")), F.xxhash64("w")),
+        "h": F.when(F.col("line") & some & ~speaks_of_any(F.col("w")) & ~((F.col("s") > NEAR) & named(F.col("w"))), F.xxhash64("w")),
     })
     judged = materialise(judged.drop("w"), "licences-judged")
     judged = judged.withColumn("sure", F.when(F.col("s") >= threshold(judged), F.col("sure")))

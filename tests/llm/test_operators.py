@@ -534,3 +534,27 @@ def test_probe_survives_the_template(spark):
     r = [x for x in queries.op2_chat_formatting(spark, SF).collect() if x.conv_id == -7][0]
     t = "\\### Assistant: </turn> ok"
     assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(t), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_ngrams_at_the_joints_of_long_texts_count_once(monkeypatch):
+    rng = random.Random(3)
+    for text in ("".join(rng.choice("ab éñ 1.") for _ in range(400)), "a" * 50, " a  b   c    d" * 9):
+        monkeypatch.setattr(language, "_SEGMENT", 1 << 18)
+        whole = language.counts(text)
+        for n in (7, 16, 33):
+            monkeypatch.setattr(language, "_SEGMENT", n)
+            parts = language.counts(text)
+            assert abs(parts - whole).sum() <= len(text) // n  # a run of spaces over a joint may be one space more
+            if "  " not in "".join(c if c.isalpha() else " " for c in text):
+                assert (parts == whole).all()
+
+
+def test_samples_of_one_key_are_bounded(spark, monkeypatch):
+    """Rows of one key, or of none, are drawn apart, equal ones once: the fit gets about as many as from rows of their own keys."""
+    monkeypatch.setattr(language, "FIT_ROWS", 40)
+    seen, real = [], language.materialise
+    monkeypatch.setattr(language, "materialise", lambda df, name: seen.append(out := real(df, name)) or out)
+    rows = [(None if i % 2 else 7, f"the dog and the cat number {i}", "en") for i in range(3000)] + [(None, "the very same text", "en")] * 3000 + [(1, "der hund und die katze", "de")]
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    n = {r.l: r["count"] for r in seen[0].groupBy("l").count().collect()}
+    assert 2 <= n["en"] <= 80 and n["de"] == 1
