@@ -53,8 +53,14 @@ def _windows(ctx: Column, at: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(ctx) - SPAN), window)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """(key, text_hash, n_words, item_id, start, length): each occurrence in a document of a window of an item, from word start (1 and up).
+def _listed(windows: DataFrame, of: list[str]) -> DataFrame:
+    """Of windows of items (item_id, and the columns of): each window once, with the sorted texts of the ids that have it (null ids aside) and a hash of that list."""
+    lists = windows.groupBy(*of).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
+    return lists.withColumn("list", F.unhex(F.md5(F.array_join(F.transform("item_ids", lambda i: F.concat(F.length(i).cast("string"), F.lit(":"), i)), ","))))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """(key, text_hash, n_words, list, start, length): each occurrence in a document of a window of any item, from word start (1 and up), once however many items have it; and (list, item_ids), these as sorted texts.
 
     Documents without any have a row with a null start. Windows are SPAN consecutive words of an item, or a shorter
     item's words as a whole. A window that a document shares with an item has the same fingerprint in both, so the join on
@@ -65,20 +71,23 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     d = _hashed(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("t")), "t").withColumn("n_words", F.size("w"))
     b = materialise(_hashed(benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("t")), "t"), "benchmark-words")
     long_items = b.where(F.size("w") >= SPAN)
-    items = long_items.select("item_id", F.explode(_windows(F.col("w"), F.lit(1))).alias("x")).select("item_id", "x.window", "x.check").distinct()
+    items = _listed(long_items.select("item_id", F.explode(_windows(F.col("w"), F.lit(1))).alias("x")).select("item_id", "x.window", "x.check"), ["window", "check"])
     prints = fingerprints(long_items).select("fp", F.lit(True).alias("near")).distinct()
     sizes = b.select(F.sum(F.size("w")).alias("n"), F.array_sort(F.collect_set(F.when(F.size("w").between(1, SPAN - 1), F.size("w")))).alias("short")).first()
     sent = F.broadcast if (sizes["n"] or 0) <= BROADCAST_ROWS else (lambda x: x)
     found = fingerprints(d).join(sent(prints), "fp", "left").where("near or coalesce(nth, 0) = 0")
-    names = ["key", "text_hash", "n_words", "item_id", "start", "length"]
+    lists = items.select("list", "item_ids")
+    items = items.drop("item_ids")
+    names = ["key", "text_hash", "n_words", "list", "start", "length"]
     found = found.select("key", "text_hash", "n_words", F.explode_outer(F.when(F.col("near"), _windows(F.col("ctx"), F.col("at")))).alias("x")).select("key", "text_hash", "n_words", "x.start", "x.window", "x.check")
     out = found.join(sent(items.withColumn("same", F.lit(True))), ["window", "check"], "left").withColumn("start", F.when(F.col("same"), F.col("start"))).withColumn("length", F.when(F.col("same"), F.lit(SPAN))).select(*names)
     if sizes["short"]:  # at most SPAN - 1 lengths
-        whole = b.where(F.size("w").between(1, SPAN - 1)).select("item_id", F.xxhash64("w").alias("window"), F.size("w").alias("length"))
+        whole = _listed(b.where(F.size("w").between(1, SPAN - 1)).select("item_id", F.xxhash64("w").alias("window"), F.size("w").alias("length")), ["window", "length"])
         runs = F.flatten(F.transform(F.array(*map(F.lit, sizes["short"])), lambda m: F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.struct(i.alias("start"), m.alias("length"), F.xxhash64(F.slice("w", i, m)).alias("window")))).otherwise(F.array())))
         grams = d.select("key", "text_hash", "n_words", F.explode(runs).alias("x")).select("key", "text_hash", "n_words", "x.*")
-        out = out.unionByName(grams.join(sent(whole), ["window", "length"]).select(*names))
-    return out
+        out = out.unionByName(grams.join(sent(whole.drop("item_ids")), ["window", "length"]).select(*names))
+        lists = lists.unionByName(whole.select("list", "item_ids"))
+    return out, sent(lists.dropDuplicates(["list"]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", share: int = 20) -> DataFrame:
@@ -90,10 +99,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     one, those with null ids not at all, but their words are hit. Existing columns of the new names are replaced.
     """
     docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    # of a document at most a few spans for each of its words, and the ids of the items that it holds
-    per_doc = hits(docs, benchmark, key, text, item).groupBy("key", "text_hash").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "length")))).alias("spans"),
-        F.array_sort(F.collect_set(F.when(F.col("start").isNotNull(), F.col("item_id").cast("string")))).alias("ids"),
+    # of a document at most a few spans for each of its words, each different list of items once, and then their members; grouped alike, so dealt out once
+    found, lists = hits(docs, benchmark, key, text, item)
+    held = F.col("start").isNotNull()
+    per_doc = found.groupBy("key", "text_hash").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.when(held, F.struct("start", "length")))).alias("spans"), F.collect_set(F.when(held, F.col("list"))).alias("lists"),
+    )
+    per_doc = per_doc.select("key", "text_hash", "n_words", "spans", F.explode_outer("lists").alias("list")).join(lists, "list", "left").groupBy("key", "text_hash").agg(
+        F.first("n_words").alias("n_words"), F.first("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("ids"),
     )
     added = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, s: F.struct(
         (a["n"] + F.greatest(s["start"] + s["length"] - F.greatest(s["start"], a["end"]), F.lit(0))).alias("n"), F.greatest(a["end"], s["start"] + s["length"]).alias("end")))
