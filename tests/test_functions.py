@@ -293,7 +293,7 @@ def test_components_of_standardised_vectors(spark):
 
     df = plans.QUERIES["standardize_pca"](spark, "/root/testdata/sf0.001").orderBy("vec_id").collect()
     x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("embedding is not null").orderBy("vec_id").collect()], float)
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    z = (x - x.mean(0)) / x.std(0)  # the deviation of the population, as scalers take it
     values, vectors = np.linalg.eigh(np.cov(z.T))
     for k, name in ((-1, "c1"), (-2, "c2")):
         want, got = z @ vectors[:, k], np.array([r[name] for r in df])
