@@ -109,10 +109,11 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _trimmed(span: Column) -> Column:
-    """A span from the first to the last run of two words, not both common ones, that a template has, so that what stands around a notice doesn't count."""
-    every = F.array(*map(F.lit, sorted({x for ts in TEMPLATES.values() for t in ts for x in runs(t) if not set(x.split()) <= COMMON})))
-    at = F.filter(F.transform(pairs(span), lambda p, i: F.when(F.array_contains(every, p), i + 1)), lambda i: i.isNotNull())
-    return F.when(F.size(at) > 0, F.slice(span, F.array_min(at), F.array_max(at) - F.array_min(at) + 2)).otherwise(F.array().cast("array<string>"))
+    """A span from two words before (which may deny it) the first to the last run of two words, not both common ones, that a template has, so that what stands around a notice doesn't count."""
+    every = sorted({x for ts in TEMPLATES.values() for t in ts for x in runs(t) if not set(x.split()) <= COMMON})
+    at = F.filter(F.transform(pairs(span), lambda p, i: F.when(p.isin(every), i + 1)), lambda i: i.isNotNull())
+    first = F.greatest(F.array_min(at) - 2, F.lit(1))
+    return F.when(F.size(at) > 0, F.slice(span, first, F.array_max(at) - first + 2)).otherwise(F.array().cast("array<string>"))
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -152,7 +153,8 @@ def runs(t: str) -> list[str]:
 def _in_templates(w: Column, test) -> Column:
     """Whether, of the runs of two words that the words share with templates, test(runs, those of a template) is true for one."""
     every = [runs(t) for ts in TEMPLATES.values() for t in ts]
-    found = F.array_intersect(pairs(w), F.array(*map(F.lit, sorted({x for r in every for x in r}))))
+    known = sorted({x for r in every for x in r})
+    found = F.filter(pairs(w), lambda p: p.isin(known))  # looked up in a set that is made once, not for each row
     return F.exists(F.array(found), lambda f: (F.size(f) > 0) & reduce(lambda a, b: a | b, [test(f, r) for r in every]))
 
 
@@ -247,10 +249,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("row"), n.alias("n"), F.col(text).alias("t"))
     judged = model.transform(candidates(rows, "t").withColumn("g", grams(F.col("w"))))
     unknown = _classes().index(UNKNOWN)
-    families = F.zip_with(vector_to_array("p"), F.array(*map(F.lit, _classes())), lambda p, f: F.struct(p.alias("p"), f.alias("f")))
+    families = F.zip_with("p", F.array(*map(F.lit, _classes())), lambda p, f: F.struct(p.alias("p"), f.alias("f")))
     family = F.array_max(F.filter(families, lambda x: x["f"] != UNKNOWN))["f"]
     some = F.size("w") > 0
-    judged = judged.select("id", "row", "n", "block", "line", "w", "p", (1 - vector_to_array("p")[unknown]).alias("s"))
+    # exploded, so that the model's functions run once a row, however many columns use what they give
+    judged = judged.select("id", "row", "n", "block", "line", "w", F.explode(F.array(vector_to_array("p"))).alias("p")).withColumn("s", 1 - F.get("p", F.lit(unknown)))
     judged = judged.withColumn("family", F.when((F.col("s") > 0.5) & some, family)).drop("p")
     judged = judged.withColumns({
         "sure": F.when(F.col("family").isNotNull(), confirmed(F.col("w"), F.col("family"))),
