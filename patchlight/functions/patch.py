@@ -5,14 +5,18 @@ Patterns see words, blanks and cases as Unicode has them, and only line feeds en
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
+from re import _constants as _re
+from re import _parser
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What ends a line where lines are split at every kind of break; what is cut off at the ends of a line.
 BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+RARE_BREAKS = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
@@ -20,20 +24,76 @@ def pattern(p: str, ignore_case: bool = False, lines: bool = False) -> Column:
     return F.lit("(?dU" + "i" * ignore_case + "m" * lines + ")" + p)
 
 
-def search(p: str, ignore_case: bool = False) -> Column:
+def anywhere(p: str) -> str:
     """A pattern that is looked for anywhere in a line: what may stand before it needn't be tried."""
-    return pattern(p.removeprefix(".*"), ignore_case)
+    return p.removeprefix(".*")
+
+
+def _words(parsed) -> list[str]:
+    """Of a parsed pattern: words of which every match holds one; the longest that are told, four at most if possible."""
+    found, run = [], ""
+    for op, of in [*parsed, (None, None)]:
+        if op is _re.LITERAL:
+            run += chr(of)
+            continue
+        found, run = [*found, [run]] if run else found, ""
+        if op is _re.SUBPATTERN and not of[1] and not of[2]:
+            found.append(_words(of[3]))
+        elif op is _re.BRANCH:
+            each = [_words(x) for x in of[1]]
+            ws = dict.fromkeys(sum(each, [])) if all(each) else {}
+            found.append([w for w in ws if not any(v != w and v in w for v in ws)])
+        elif op in (_re.MAX_REPEAT, _re.MIN_REPEAT) and of[0] > 0:
+            found.append(_words(of[2]))
+    return max(filter(None, reversed(found)), key=lambda ws: (len(ws) <= 4, min(map(len, ws)), -len(ws)), default=[])
+
+
+@lru_cache(maxsize=None)
+def needed(p: str) -> list[str]:
+    """Words of which every match of the pattern holds one; none where no such words are told."""
+    try:
+        parsed = _parser.parse(p)
+    except re.error:  # not all patterns are Python's, too
+        return []
+    words = _words(parsed)
+    return [] if parsed.state.flags & (re.IGNORECASE | re.VERBOSE) or not all(map(str.isascii, words)) else words
+
+
+def lacks(text: Column, p: str, ignore_case: bool = False) -> Column | None:
+    """Whether the text lacks what every match of the pattern needs: cheaper to tell than that there's no match. None if that isn't known of the pattern.
+
+    In either case only plain ASCII texts are judged, as some other letters have ASCII ones as their other case.
+    """
+    words = needed(p)
+    if not words:
+        return None
+    if not ignore_case:
+        return ~reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    low = F.lower(text)
+    return ~reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in words]) & (F.octet_length(text) == F.char_length(text))
+
+
+def matches(text: Column, p: str, ignore_case: bool = False, lines: bool = False) -> Column:
+    """Whether the pattern is found; null in a null text."""
+    found, no = F.regexp_like(text, pattern(p, ignore_case, lines)), lacks(text, p, ignore_case)
+    return found if no is None else F.when(no, F.lit(False)).otherwise(found)
 
 
 def lines(patch: Column, every_break: bool = False) -> Column:
     """The lines of a text, split at line feeds, or at every kind of line break."""
-    return F.split(F.coalesce(patch, F.lit("")), BREAKS if every_break else "\n", -1)
+    text = F.coalesce(patch, F.lit(""))
+    plain = F.split(text, "\n", -1)
+    return F.when(F.regexp_like(text, F.lit(RARE_BREAKS)), F.split(text, BREAKS, -1)).otherwise(plain) if every_break else plain
+
+
+def is_marked(line: Column, mark: str = "+") -> Column:
+    """Whether a line starts with mark, but not three times."""
+    return line.startswith(mark) & ~line.startswith(mark * 3)
 
 
 def marked(patch: Column, mark: str = "+", headers: bool = False, every_break: bool = False) -> Column:
     """Lines that start with mark; file headers, where it stands three times, only if asked for."""
-    starts = lambda x: x.startswith(mark) if headers else x.startswith(mark) & ~x.startswith(mark * 3)
-    return F.filter(lines(patch, every_break), starts)
+    return F.filter(lines(patch, every_break), lambda x: x.startswith(mark) if headers else is_marked(x, mark))
 
 
 def unmarked(found: Column, mark: str = "+") -> Column:
@@ -48,11 +108,13 @@ def marked_text(patch: Column, mark: str = "+", keep_mark: bool = False, headers
 
 def stripped(line: Column) -> Column:
     """A marked line without its mark and without blanks at its ends."""
-    return F.btrim(F.substr(line, F.lit(2)), F.lit(BLANKS))
+    x, blanks = F.substr(line, F.lit(2)), F.lit(BLANKS)
+    return F.when(F.contains(blanks, F.left(x, F.lit(1))) | F.contains(blanks, F.right(x, F.lit(1))), F.btrim(x, blanks)).otherwise(x)
 
 
 def occurrences(text: Column, p: str, ignore_case: bool = False, lines: bool = False) -> Column:
-    return F.coalesce(F.regexp_count(text, pattern(p, ignore_case, lines)), F.lit(0)).cast("bigint")
+    n, no = F.coalesce(F.regexp_count(text, pattern(p, ignore_case, lines)), F.lit(0)).cast("bigint"), lacks(text, p, ignore_case)
+    return n if no is None else F.when(no, F.lit(0).cast("bigint")).otherwise(n)
 
 
 def catalogue_counts(text: Column, catalogue: dict[str, str], ignore_case: bool = True) -> dict[str, Column]:
@@ -66,26 +128,27 @@ def total_and_unique(names: list[str]) -> tuple[Column, Column]:
 
 def any_match(text: Column, patterns: list[str], ignore_case: bool = False, lines: bool = False) -> Column:
     """Whether one of the patterns is found; in a null text none is. lines: ^ and $ stand at the ends of lines, too."""
-    made = [pattern(p, ignore_case, True) if lines else search(p, ignore_case) for p in patterns]
-    return reduce(lambda a, b: a | b, [F.coalesce(F.regexp_like(text, p), F.lit(False)) for p in made])
+    made = [p if lines else anywhere(p) for p in patterns]
+    return reduce(lambda a, b: a | b, [F.coalesce(matches(text, p, ignore_case, lines), F.lit(False)) for p in made])
 
 
 def any_line_match(patch: Column, patterns: list[str]) -> Column:
     """Whether an added line of the patch, without mark and outer blanks, holds one of the patterns."""
-    return F.exists(marked(patch, every_break=True), lambda x: any_match(stripped(x), patterns))
+    return F.exists(F.transform(marked(patch, every_break=True), stripped), lambda x: any_match(x, patterns))
 
 
 def score_text(text: Column, scored: list[tuple[str, int]]) -> Column:
     """The sum of the scores of the patterns that the text matches in either case; a null text scores 0."""
-    return reduce(lambda a, b: a + b, [F.when(F.regexp_like(text, pattern(p, True)), n).otherwise(0) for p, n in scored]).cast("bigint")
+    return reduce(lambda a, b: a + b, [F.when(matches(text, p, True), n).otherwise(0) for p, n in scored]).cast("bigint")
 
 
-def score_patch(patch: Column, scored: list[tuple[str, int]], line: Callable[[Column], Column] = lambda x: x) -> Column:
+def score_patch(patch: Column, scored: list[tuple[str, int]], line: Callable[[Column], Column] | None = None) -> Column:
     """The sum, over added lines (as line() gives them), of the score of the first pattern that each matches."""
     def first(x: Column) -> Column:
-        return reduce(lambda rest, ps: F.when(F.regexp_like(x, search(ps[0])), F.lit(ps[1])).otherwise(rest), reversed(scored), F.lit(0))
+        return reduce(lambda rest, ps: F.when(matches(x, anywhere(ps[0])), F.lit(ps[1])).otherwise(rest), reversed(scored), F.lit(0))
 
-    return F.aggregate(marked(patch, every_break=True), F.lit(0).cast("bigint"), lambda a, x: a + first(line(x)))
+    found = marked(patch, every_break=True)
+    return F.aggregate(F.transform(found, line) if line else found, F.lit(0).cast("bigint"), lambda a, x: a + first(x))
 
 
 def followed_by(patch: Column, first, second) -> Column:
@@ -101,17 +164,19 @@ def type_to_any(patch: Column, any_pattern: str) -> Column:
     return followed_by(patch, typed, lambda x: x.startswith("+") & F.regexp_like(x, pattern(any_pattern)))
 
 
-def header_sums(patch: Column) -> tuple[Column, Column, Column]:
-    """Additions and deletions that headers '=== name (+a/-d) ===' state (or, if these add up to none, the marked lines), and the number of names."""
-    heads = F.filter(lines(patch), lambda x: x.startswith("===") & x.endswith("==="))
+def header_sums(patch: Column, read: tuple[Column, Column] | None = None) -> tuple[Column, Column, Column]:
+    """Additions and deletions that headers '=== name (+a/-d) ===' state (or, if these add up to none, the marked lines), and the number of names. read: as names_file()."""
+    rows, named = read or (lines(patch), header_names(patch))
+    heads = F.filter(rows, is_header)
 
     def numbers(i: int) -> Column:
         return F.aggregate(heads, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(F.nullif(F.regexp_extract(x, r"\(\+(\d+)/-(\d+)\)", i), F.lit("")).cast("bigint"), F.lit(0)))
 
     plus, minus = numbers(1), numbers(2)
     stated = (plus + minus) > 0
-    names = F.array_distinct(F.filter(header_names(patch), lambda x: x != ""))
-    return F.when(stated, plus).otherwise(F.size(marked(patch, "+")).cast("bigint")), F.when(stated, minus).otherwise(F.size(marked(patch, "-")).cast("bigint")), F.size(names).cast("bigint")
+    names = F.array_distinct(F.filter(named, lambda x: x != ""))
+    count = lambda mark: F.size(F.filter(rows, lambda x: is_marked(x, mark))).cast("bigint")
+    return F.when(stated, plus).otherwise(count("+")), F.when(stated, minus).otherwise(count("-")), F.size(names).cast("bigint")
 
 
 def has_suffix(name: Column, suffixes: list[str], generated: list[str] = ()) -> Column:
@@ -119,9 +184,9 @@ def has_suffix(name: Column, suffixes: list[str], generated: list[str] = ()) ->
 
     generated: endings (they begin with a dot) and whole names, in just that case.
     """
-    base = F.element_at(F.split(name, "/"), -1)
-    good = reduce(lambda a, b: a | b, [F.lower(base).endswith(s) & (F.length(base) > len(s)) for s in suffixes])
-    bad = reduce(lambda a, b: a | b, [base.endswith(g) if g.startswith(".") else base == g for g in generated], F.lit(False))
+    base, low = F.substring_index(name, "/", -1), F.lower(name)
+    good = reduce(lambda a, b: a | b, [low.endswith(s) & (F.length(base) > len(s)) for s in suffixes])
+    bad = reduce(lambda a, b: a | b, [name.endswith(g) if g.startswith(".") else base == g for g in generated], F.lit(False))
     return F.coalesce(good & ~bad, F.lit(False))
 
 
@@ -130,26 +195,40 @@ def count_in_lines(found: Column, p: str, ignore_case: bool = False) -> Column:
     return F.aggregate(found, F.lit(0).cast("bigint"), lambda n, x: n + occurrences(x, p, ignore_case))
 
 
-def header_names(patch: Column) -> Column:
-    """What stands in lines '=== name (...) ===', in order, as often as it does."""
-    heads = F.filter(lines(patch), lambda x: x.startswith("===") & x.endswith("==="))
-    return F.transform(heads, lambda x: F.btrim(F.split(F.coalesce(F.get(F.split(x, "===", -1), F.lit(1)), F.lit("")), r"\(", -1)[0], F.lit(BLANKS)))
+def is_header(line: Column) -> Column:
+    return line.startswith("===") & line.endswith("===")
+
 
+def header_names(patch: Column, rows: Column | None = None) -> Column:
+    """What stands in lines '=== name (...) ===', in order, as often as it does. rows: the patch's lines, where these are a column."""
+    heads = F.filter(lines(patch) if rows is None else rows, is_header)
+    return F.transform(heads, lambda x: F.btrim(F.substring_index(F.coalesce(F.get(F.split(x, "===", -1), F.lit(1)), F.lit("")), "(", 1), F.lit(BLANKS)))
 
-def names_file(patch: Column, suffixes: list[str], generated: list[str] = (), first: int = 50) -> Column:
-    """Whether a header names a file of these suffixes, or else one of the first lines that name files holds a suffix and nothing generated."""
+
+def with_lines(df: DataFrame, patch: str) -> DataFrame:
+    """df with a patch's lines as rows and its header_names as names, so that what asks for them several times splits the patch once."""
+    return df.withColumn("rows", lines(F.col(patch))).withColumn("names", header_names(F.col(patch), F.col("rows")))
+
+
+def names_file(patch: Column, suffixes: list[str], generated: list[str] = (), first: int = 50, read: tuple[Column, Column] | None = None) -> Column:
+    """Whether a header names a file of these suffixes, or else one of the first lines that name files holds a suffix and nothing generated.
+
+    read: the patch's lines and header_names, where these are columns.
+    """
+    rows, named = read or (lines(patch), header_names(patch))
     holds = lambda x, parts: reduce(lambda a, b: a | b, [x.contains(s) for s in parts], F.lit(False))
     names = lambda x: x.startswith("diff --git") | x.startswith("---") | x.startswith("+++")
-    told = F.exists(F.slice(lines(patch), 1, first), lambda x: names(x) & holds(x, suffixes) & ~holds(x, generated))
-    return F.exists(header_names(patch), lambda x: has_suffix(x, suffixes, generated)) | told
+    told = F.exists(F.slice(rows, 1, first), lambda x: holds(x, suffixes) & names(x) & ~holds(x, generated))
+    return F.exists(named, lambda x: has_suffix(x, suffixes, generated)) | told
 
 
-def file_count(patch: Column, suffixes: list[str], generated: list[str] = (), from_diffs: bool = False) -> Column:
-    """How many different files of these suffixes headers name; where they name none and from_diffs, lines 'diff --git a/x b/x'."""
+def file_count(patch: Column, suffixes: list[str], generated: list[str] = (), from_diffs: bool = False, read: tuple[Column, Column] | None = None) -> Column:
+    """How many different files of these suffixes headers name; where they name none and from_diffs, lines 'diff --git a/x b/x'. read: as names_file()."""
+    rows, names = read or (lines(patch), header_names(patch))
     valid = lambda x: has_suffix(x, suffixes, generated)
-    named = F.size(F.array_distinct(F.filter(header_names(patch), valid))).cast("bigint")
+    named = F.size(F.array_distinct(F.filter(names, valid))).cast("bigint")
     if not from_diffs:
         return named
-    parts = F.transform(F.filter(lines(patch), lambda x: x.startswith("diff --git")), lambda x: F.get(F.split(F.btrim(x, F.lit(BLANKS)), r"\s+"), F.lit(3)))
+    parts = F.transform(F.filter(rows, lambda x: x.startswith("diff --git")), lambda x: F.get(F.split(F.btrim(x, F.lit(BLANKS)), r"\s+"), F.lit(3)))
     told = F.transform(F.filter(parts, lambda x: x.isNotNull()), lambda x: F.when(x.startswith("b/"), F.substr(x, F.lit(3))).otherwise(x))
     return F.when(named > 0, named).otherwise(F.size(F.array_distinct(F.filter(told, valid))).cast("bigint"))

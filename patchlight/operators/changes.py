@@ -78,15 +78,17 @@ def joined_text(df: DataFrame, key: str, order: list[str], piece: Column, separa
     if first:
         df = df.withColumn("__piece", piece)
         df, piece = first_rows(df, [key], [F.col(c) for c in [*order, "__piece"]], first), F.col("__piece")
-    rows = F.array_sort(F.collect_list(F.struct(*order, piece.alias("__piece"))))
+    rows = F.sort_array(F.collect_list(F.struct(*order, piece.alias("__piece"))))
     return df.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["__piece"]), separator).alias("text"))
 
 
 def collected_patches(details: DataFrame, order: list[str]) -> DataFrame:
     """Each pr_id's patches that aren't blank, in order, each under a header '=== filename (+additions/-deletions) ==='."""
     d = details.where(F.btrim(F.col("patch"), F.lit(" \t\n\r")) != "")
-    head = F.format_string("=== %s (+%s/-%s) ===\n", F.col("filename"), F.col("additions").cast("string"), F.col("deletions").cast("string"))
-    return joined_text(d, "pr_id", [*order, "patch", "additions", "deletions"], F.concat(head, F.col("patch")), "\n\n")
+    kept = dict.fromkeys([*order, "patch", "additions", "deletions", "filename"])
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    piece = lambda r: F.concat(F.lit("=== "), shown(r["filename"]), F.lit(" (+"), shown(r["additions"]), F.lit("/-"), shown(r["deletions"]), F.lit(") ===\n"), r["patch"])
+    return d.groupBy("pr_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*kept))), piece), "\n\n").alias("text"))
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:

@@ -73,7 +73,7 @@ def valid_details(details: DataFrame, ex: Extractor) -> DataFrame:
 def patch_counts(details: DataFrame, ex: Extractor, order: list[str] = ("filename",)) -> DataFrame:
     """For each pr_id with valid files: files (rows), patch_patterns, and the counts of features, tokens and lines over its patches, joined in the given order."""
     d = valid_details(details, ex).withColumn("hit", P.any_line_match(F.col("patch"), ex.patch_patterns))
-    rows = F.array_sort(F.collect_list(F.when(F.col("patch").isNotNull(), F.struct(*order, F.col("patch")))))
+    rows = F.sort_array(F.collect_list(F.when(F.col("patch").isNotNull(), F.struct(*order, F.col("patch")))))
     g = d.groupBy("pr_id").agg(F.count("*").alias("files"), F.max("hit").alias("patch_patterns"), F.array_join(F.transform(rows, lambda r: r["patch"]), "\n").alias("text"))
     g = g.withColumns({"added": P.marked_text(F.col("text"), "+", ex.keep_mark, every_break=True), "removed": P.marked_text(F.col("text"), "-", every_break=True)})
     counts = P.catalogue_counts(F.col("added"), ex.features, False) | token_counts(F.col("added"), F.col("removed"), ex.tokens)
