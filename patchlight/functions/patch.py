@@ -59,23 +59,27 @@ def needed(p: str) -> list[str]:
     return [] if parsed.state.flags & (re.IGNORECASE | re.VERBOSE) or not all(map(str.isascii, words)) else words
 
 
-def lacks(text: Column, p: str, ignore_case: bool = False) -> Column | None:
-    """Whether the text lacks what every match of the pattern needs: cheaper to tell than that there's no match. None if that isn't known of the pattern.
+def lowered(text: Column) -> Column:
+    """A plain ASCII text in lower case; null for others, as some other letters have ASCII ones as their other case."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text))
 
-    In either case only plain ASCII texts are judged, as some other letters have ASCII ones as their other case.
+
+def lacks(text: Column, p: str, ignore_case: bool = False, low: Column | None = None) -> Column | None:
+    """Whether the text is known to lack what every match of the pattern needs: cheaper to tell than that there's no match. None if the pattern tells no such words.
+
+    low: lowered(text), where it is a column.
     """
     words = needed(p)
     if not words:
         return None
-    if not ignore_case:
-        return ~reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
-    low = F.lower(text)
-    return ~reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in words]) & (F.octet_length(text) == F.char_length(text))
+    if ignore_case:
+        text, words = lowered(text) if low is None else low, [w.lower() for w in words]
+    return ~reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
-def matches(text: Column, p: str, ignore_case: bool = False, lines: bool = False) -> Column:
+def matches(text: Column, p: str, ignore_case: bool = False, lines: bool = False, low: Column | None = None) -> Column:
     """Whether the pattern is found; null in a null text."""
-    found, no = F.regexp_like(text, pattern(p, ignore_case, lines)), lacks(text, p, ignore_case)
+    found, no = F.regexp_like(text, pattern(p, ignore_case, lines)), lacks(text, p, ignore_case, low)
     return found if no is None else F.when(no, F.lit(False)).otherwise(found)
 
 
@@ -112,8 +116,8 @@ def stripped(line: Column) -> Column:
     return F.when(F.contains(blanks, F.left(x, F.lit(1))) | F.contains(blanks, F.right(x, F.lit(1))), F.btrim(x, blanks)).otherwise(x)
 
 
-def occurrences(text: Column, p: str, ignore_case: bool = False, lines: bool = False) -> Column:
-    n, no = F.coalesce(F.regexp_count(text, pattern(p, ignore_case, lines)), F.lit(0)).cast("bigint"), lacks(text, p, ignore_case)
+def occurrences(text: Column, p: str, ignore_case: bool = False, lines: bool = False, low: Column | None = None) -> Column:
+    n, no = F.coalesce(F.regexp_count(text, pattern(p, ignore_case, lines)), F.lit(0)).cast("bigint"), lacks(text, p, ignore_case, low)
     return n if no is None else F.when(no, F.lit(0).cast("bigint")).otherwise(n)
 
 
@@ -121,15 +125,29 @@ def catalogue_counts(text: Column, catalogue: dict[str, str], ignore_case: bool
     return {name: occurrences(text, p, ignore_case) for name, p in catalogue.items()}
 
 
+def each_text(*texts: Column) -> Column:
+    """For each text a struct of it (t) and lowered() of it (low).
+
+    Long lists of patterns are evaluated in lambdas over these: written out in a plan, their generated method grows past
+    what the JVM compiles (8000 bytes), and is interpreted for each row.
+    """
+    return F.array(*[F.struct(t.alias("t"), lowered(t).alias("low")) for t in texts])
+
+
+def counted(text: Column, catalogue: dict[str, str], ignore_case: bool = True) -> Column:
+    """catalogue_counts as one struct: to be a column of its own before its fields are taken."""
+    return F.transform(each_text(text), lambda x: F.struct(*[occurrences(x["t"], p, ignore_case, low=x["low"]).alias(n) for n, p in catalogue.items()]))[0]
+
+
 def total_and_unique(names: list[str]) -> tuple[Column, Column]:
     """Of counted features the sum, and how many occur at all."""
     return reduce(lambda a, b: a + b, map(F.col, names)), reduce(lambda a, b: a + b, [(F.col(n) > 0).cast("bigint") for n in names])
 
 
-def any_match(text: Column, patterns: list[str], ignore_case: bool = False, lines: bool = False) -> Column:
+def any_match(text: Column, patterns: list[str], ignore_case: bool = False, lines: bool = False, low: Column | None = None) -> Column:
     """Whether one of the patterns is found; in a null text none is. lines: ^ and $ stand at the ends of lines, too."""
     made = [p if lines else anywhere(p) for p in patterns]
-    return reduce(lambda a, b: a | b, [F.coalesce(matches(text, p, ignore_case, lines), F.lit(False)) for p in made])
+    return reduce(lambda a, b: a | b, [F.coalesce(matches(text, p, ignore_case, lines, low), F.lit(False)) for p in made])
 
 
 def any_line_match(patch: Column, patterns: list[str]) -> Column:
@@ -139,7 +157,8 @@ def any_line_match(patch: Column, patterns: list[str]) -> Column:
 
 def score_text(text: Column, scored: list[tuple[str, int]]) -> Column:
     """The sum of the scores of the patterns that the text matches in either case; a null text scores 0."""
-    return reduce(lambda a, b: a + b, [F.when(matches(text, p, True), n).otherwise(0) for p, n in scored]).cast("bigint")
+    each = lambda x: reduce(lambda a, b: a + b, [F.when(matches(x["t"], p, True, low=x["low"]), n).otherwise(0) for p, n in scored])
+    return F.transform(each_text(text), each)[0].cast("bigint")
 
 
 def score_patch(patch: Column, scored: list[tuple[str, int]], line: Callable[[Column], Column] | None = None) -> Column:

@@ -45,7 +45,7 @@ def of_language(changes: DataFrame, repositories: DataFrame, language: str) -> D
 
 def told(patterns: list[str], lines: bool = False) -> Column:
     """Whether title or body holds one of the patterns."""
-    return P.any_match(F.col("title"), patterns, True, lines) | P.any_match(F.col("body"), patterns, True, lines)
+    return F.exists(P.each_text(F.col("title"), F.col("body")), lambda x: P.any_match(x["t"], patterns, True, lines, x["low"]))
 
 
 def any_lines(patch: Column) -> dict[str, Column]:
@@ -76,7 +76,8 @@ def patch_counts(details: DataFrame, ex: Extractor, order: list[str] = ("filenam
     rows = F.sort_array(F.collect_list(F.when(F.col("patch").isNotNull(), F.struct(*order, F.col("patch")))))
     g = d.groupBy("pr_id").agg(F.count("*").alias("files"), F.max("hit").alias("patch_patterns"), F.array_join(F.transform(rows, lambda r: r["patch"]), "\n").alias("text"))
     g = g.withColumns({"added": P.marked_text(F.col("text"), "+", ex.keep_mark, every_break=True), "removed": P.marked_text(F.col("text"), "-", every_break=True)})
-    counts = P.catalogue_counts(F.col("added"), ex.features, False) | token_counts(F.col("added"), F.col("removed"), ex.tokens)
+    g = g.withColumn("features", P.counted(F.col("added"), ex.features, False))
+    counts = {n: F.col("features")[n] for n in ex.features} | token_counts(F.col("added"), F.col("removed"), ex.tokens)
     if ex.any_lines:
         counts |= any_lines(F.col("text"))
     return g.select("pr_id", "files", "patch_patterns", *[c.alias(n) for n, c in counts.items()])
@@ -136,7 +137,3 @@ def extract_scored(changes: DataFrame, details: DataFrame, commits: DataFrame |
     s = scores(changes.where(~told(ex.false_positives, ex.whole_lines)), details, commits, ex)
     text, lines = F.col("text_score") >= C.LEAST_TEXT, F.col("patch_score") >= C.LEAST_PATCH
     return s.where((F.col("files") > 0) & (text | lines) & (F.col("total_score") >= C.LEAST_TOTAL)).withColumn("detection_method", method({"text": text, "patch": lines}))
-
-
-def per_feature(text: Column, catalogue: dict[str, str], ignore_case: bool, prefix: str = "") -> list[Column]:
-    return [c.alias(prefix + n) for n, c in P.catalogue_counts(text, catalogue, ignore_case).items()]

@@ -278,7 +278,8 @@ def features(spark: SparkSession, sf: str, name: str) -> DataFrame:
     rows = F.sort_array(F.collect_list(F.when(F.col("patch").isNotNull(), F.struct(*corpus.ORDER, "patch"))))
     d = d.groupBy(F.col("pr_id").alias("id")).agg(F.min("shipped_at").alias("shipped"), F.countDistinct("filename").alias("files"), F.sum("changes").alias("changes"), F.array_join(F.transform(rows, lambda r: r["patch"]), "\n").alias("text"))
     d = d.withColumn("added_text", P.marked_text(F.col("text"), "+", keep, headers))
-    return c.join(d.select("id", "shipped", "files", "changes", "added_text", *E.per_feature(F.col("added_text"), catalogue, ignore_case)), "id")
+    d = d.withColumn("counts", P.counted(F.col("added_text"), catalogue, ignore_case))
+    return c.join(d.select("id", "shipped", "files", "changes", "added_text", "counts.*"), "id")
 
 
 def _features_sql(name: str) -> str:
@@ -446,8 +447,9 @@ _FIRST = {"ts": 50, "cs": 50, "rs": 200}
 _BARE = corpus.COLLECTED_SQL + ", b AS (SELECT pr_id, CASE WHEN pr_id % 2 = 0 THEN text ELSE replace(regexp_replace(text, '=== [^=]* ===', 'index', 'g'), '--- a/', 'diff --git a/x b/') END AS text FROM t) "
 
 
-#: What P.with_lines() makes.
-_READ = F.col("rows"), F.col("names")
+def _read() -> tuple[Column, Column]:
+    """What P.with_lines() makes."""
+    return F.col("rows"), F.col("names")
 
 
 def _bare(spark, sf):
@@ -457,7 +459,7 @@ def _bare(spark, sf):
 
 @asks(_BARE + "SELECT pr_id, " + ", ".join(f"{_names_file(ex, _FIRST[n])} AS {n}" for n, ex in EXTRACTORS.items()) + " FROM b")
 def patch_has_lang_file(spark, sf):
-    return P.with_lines(_bare(spark, sf), "text").select("pr_id", *[P.names_file(F.col("text"), ex.suffixes, ex.generated, _FIRST[n], _READ).alias(n) for n, ex in EXTRACTORS.items()])
+    return P.with_lines(_bare(spark, sf), "text").select("pr_id", *[P.names_file(F.col("text"), ex.suffixes, ex.generated, _FIRST[n], _read()).alias(n) for n, ex in EXTRACTORS.items()])
 
 
 _FILES = {n: f"len(list_distinct(list_filter({_heads()}, lambda z: {_valid(ex, 'z')})))" for n, ex in EXTRACTORS.items()}
@@ -466,7 +468,7 @@ _DIFFS = f"len(list_distinct(list_filter(list_transform(list_filter(string_split
 
 @asks(_BARE + f"SELECT pr_id, {_FILES['ts']}::BIGINT AS ts, {_FILES['cs']}::BIGINT AS cs, (CASE WHEN {_FILES['rs']} > 0 THEN {_FILES['rs']} ELSE {_DIFFS} END)::BIGINT AS rs FROM b")
 def patch_file_count(spark, sf):
-    return P.with_lines(_bare(spark, sf), "text").select("pr_id", *[P.file_count(F.col("text"), ex.suffixes, ex.generated, n == "rs", _READ).alias(n) for n, ex in EXTRACTORS.items()])
+    return P.with_lines(_bare(spark, sf), "text").select("pr_id", *[P.file_count(F.col("text"), ex.suffixes, ex.generated, n == "rs", _read()).alias(n) for n, ex in EXTRACTORS.items()])
 
 
 _STATED = "len(list_filter({}, lambda z: z <> '')) > 0"
@@ -475,7 +477,7 @@ _SUM = "coalesce(list_sum(list_transform(list_filter(string_split(text, chr(10))
 
 @asks(_BARE + f", s AS (SELECT pr_id, text, {_SUM.format(1)} AS p, {_SUM.format(2)} AS q, len(list_distinct(list_filter({_heads()}, lambda z: z <> '')))::BIGINT AS files FROM b) SELECT pr_id, (CASE WHEN p + q > 0 THEN p ELSE len({_lines('text')}) END)::BIGINT AS additions, (CASE WHEN p + q > 0 THEN q ELSE len({_lines('text', '-')}) END)::BIGINT AS deletions, files FROM s")
 def patch_additions_deletions(spark, sf):
-    plus, minus, files = P.header_sums(F.col("text"), _READ)
+    plus, minus, files = P.header_sums(F.col("text"), _read())
     return P.with_lines(_bare(spark, sf), "text").select("pr_id", plus.alias("additions"), minus.alias("deletions"), files.alias("files"))
 
 
