@@ -38,7 +38,7 @@ _SHOWN = corpus.COLLECTED_SQL + f""", s AS (SELECT pr_id, sum(additions)::BIGINT
 def shown(spark: SparkSession, sf: str) -> DataFrame:
     """id and what a prompt shows of each change; of its messages the first five, in order of their texts."""
     c = corpus.changes(spark, sf).select("id", "title", "body")
-    stats = O.commit_stats(corpus.details(spark, sf)).select(F.col("pr_id").alias("id"), "additions", "deletions", "files")
+    stats = O.commit_stats(corpus.details(spark, sf, True)).select(F.col("pr_id").alias("id"), "additions", "deletions", "files")
     messages = O.joined_text(corpus.commits(spark, sf).where("message is not null"), "pr_id", ["message"], F.col("message"), "\n", 5).select(F.col("pr_id").alias("id"), F.col("text").alias("commit_messages"))
     patches = corpus.collected(spark, sf).select(F.col("pr_id").alias("id"), F.col("text").alias("patch_text"))
     return O.left_with_zeros(c, stats, "id").join(messages, "id", "left").join(patches, "id", "left")
