@@ -123,9 +123,9 @@ _FLAGGED_SQL = corpus.SQL + corpus.COLLECTED_SQL + f""", s0 AS (SELECT pr_id, mi
 
 def flagged(spark: SparkSession, sf: str) -> DataFrame:
     """id, status, flags of the patches, validator_agreed and validator_confidence (null without a review)."""
-    c, d = corpus.changes(spark, sf), corpus.details(spark, sf)
-    shipped = d.groupBy(F.col("pr_id").alias("id")).agg(F.min("shipped_at").alias("shipped"))
-    text = O.collected_patches(d, corpus.ORDER).select(F.col("pr_id").alias("id"), *[x.alias(n) for n, x in O.quality_flags(F.col("text")).items()])
+    c = corpus.changes(spark, sf)
+    shipped = corpus.details(spark, sf).groupBy(F.col("pr_id").alias("id")).agg(F.min("shipped_at").alias("shipped"))
+    text = corpus.collected(spark, sf).select(F.col("pr_id").alias("id"), *[x.alias(n) for n, x in O.quality_flags(F.col("text")).items()])
     reviews = L.records(labelling.answers(spark, sf)).select(F.col("doc_id").alias("id"), "validator_agreed", "validator_confidence")
     j = c.join(shipped, "id", "left").join(text, "id", "left").join(reviews, "id", "left")
     status = F.when(F.col("shipped") > F.col("created_at"), "merged").otherwise(F.col("state"))

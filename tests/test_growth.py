@@ -72,7 +72,7 @@ def test_collected_patches_keep_null_names(spark):
     assert [tuple(r) for r in O.collected_patches(d, ["line"]).collect()] == [(1, "=== null (+3/-4) ===\n+y\n\n=== b (+null/-1) ===\n+x")]
 
 
-@pytest.mark.parametrize("name", ["collected_patches", "patch_has_lang_file", "patch_file_count", "patch_additions_deletions", "build_prompt"])
+@pytest.mark.parametrize("name", ["collected_patches", "patch_has_lang_file", "patch_file_count", "patch_additions_deletions", "build_prompt", "acceptance_by_factor", "quality_score"])
 def test_texts_of_patches_arent_shuffled(spark, name):
     """What groups patches by change shuffles keys and numbers of line items: no lists of texts."""
     text = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
