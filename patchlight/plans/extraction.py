@@ -179,15 +179,16 @@ _STRIPPED = "trim(z[2:], ' ' || chr(9))"
 
 @asks(f"SELECT pr_id, line, filename, {_patch_score('patch', C.SCORED_LINES)} AS score, {_patch_score('patch', C.SCORED_STRIPPED_LINES, _STRIPPED)} AS stripped_score FROM x")
 def score_patch(spark, sf):
-    t = F.col("patch")
-    return corpus.details(spark, sf).select("pr_id", "line", "filename", P.score_patch(t, C.SCORED_LINES).alias("score"), P.score_patch(t, C.SCORED_STRIPPED_LINES, P.stripped).alias("stripped_score"))
+    t, added = F.col("patch"), F.col("added")
+    d = corpus.details(spark, sf).withColumn("added", P.marked(t, every_break=True))
+    return d.select("pr_id", "line", "filename", P.score_patch(t, C.SCORED_LINES, found=added).alias("score"), P.score_patch(t, C.SCORED_STRIPPED_LINES, P.stripped, added).alias("stripped_score"))
 
 
 @asks(f", t2 AS (SELECT pr_id, string_agg(patch, chr(10) ORDER BY line, filename, patch) AS text FROM x GROUP BY pr_id) SELECT id, {_TEXT} AS score, {_patch_score('text', C.SCORED_LINES)} AS line_score FROM c LEFT JOIN t2 ON t2.pr_id = id")
 def score_text_and_patch(spark, sf):
     """Both scores of a change, its patches taken as one."""
     c = corpus.changes(spark, sf).select("id", *[F.coalesce(P.score_text(F.col(x), C.SCORED_KEYWORDS), F.lit(0)).alias(x) for x in ("title", "body")])
-    text = O.joined_text(corpus.details(spark, sf).where("patch is not null"), "pr_id", corpus.ORDER, F.col("patch"), "\n").withColumnRenamed("pr_id", "id")
+    text = O.joined_text(corpus.details(spark, sf, True).where("patch is not null"), "pr_id", corpus.ORDER, F.col("patch"), "\n").withColumnRenamed("pr_id", "id")
     return c.join(text, "id", "left").select("id", (F.col("title") + F.col("body")).alias("score"), P.score_patch(F.col("text"), C.SCORED_LINES).alias("line_score"))
 
 

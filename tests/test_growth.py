@@ -72,7 +72,7 @@ def test_collected_patches_keep_null_names(spark):
     assert [tuple(r) for r in O.collected_patches(d, ["line"]).collect()] == [(1, "=== null (+3/-4) ===\n+y\n\n=== b (+null/-1) ===\n+x")]
 
 
-@pytest.mark.parametrize("name", ["collected_patches", "patch_has_lang_file", "patch_file_count", "patch_additions_deletions", "build_prompt", "acceptance_by_factor", "quality_score"])
+@pytest.mark.parametrize("name", ["collected_patches", "patch_has_lang_file", "patch_file_count", "patch_additions_deletions", "build_prompt", "acceptance_by_factor", "quality_score", "score_text_and_patch"])
 def test_texts_of_patches_arent_shuffled(spark, name):
     """What groups patches by change shuffles keys and numbers of line items: no lists of texts."""
     text = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -81,3 +81,14 @@ def test_texts_of_patches_arent_shuffled(spark, name):
     for i in lists:
         above = next(x for x in reversed(text.split("\n")[:i]) if "HashAggregate" in x or "Exchange" in x)
         assert "Exchange" not in above
+
+
+def test_score_patch_splits_a_patch_once(spark):
+    text = optimised(plans.QUERIES["score_patch"](spark, SF))
+    assert text.count("split(") == 2  # at line feeds, or at every break
+
+
+@pytest.mark.parametrize("text,n", [("+a\n+b", 2), ("+a\r\n+b\r+c", 3), ("+ä\u2028+b\x85+c", 3), ("+a\u2029+b", 2), ("+ä\n+…", 2), ("+a\x1c+b\x1d+c\x1e+d\x0b+e\x0c+f", 6)])
+def test_every_kind_of_break_ends_a_line(spark, text, n):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(F.size(P.marked(F.col("t"), every_break=True))).collect()[0][0] == n
