@@ -9,6 +9,7 @@ states and the place in `words`, every CHECKPOINT rounds): decoding can begin at
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,6 +33,10 @@ LOW = np.uint64(1 << 31)
 REMEMBERED = 400_000
 #: Bytes of texts that are cut into chunks at a time, about (a longer text is one slice).
 SLICE = 1 << 24
+#: So many words are encoded as one text, with this between them: an encoding costs more than a word's ids.
+JOINED, _BETWEEN = 256, "\x01"
+#: Words of these letters are one each to a tokenizer by chunks: no other letters come or go when they are normalised.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _U32, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
@@ -130,15 +135,15 @@ def crc32_joined(pieces: list[tuple[int, int]]) -> int:
     return crc
 
 
-_tokenizers: dict[str, tuple[object, object, dict[str, bytes]]] = {}
+_tokenizers: dict[str, tuple[object, object, object, dict[str, bytes]]] = {}
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[[10, 32]] = 1
-_KINDS[[33, 44, 46, 58, 59, 63]] = 2
+_KINDS[list(b"!,.:;?#$%&*")] = 2
 _KINDS[65:91] = _KINDS[97:123] = 3
 
 
 def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Texts cut at spaces and line feeds (which are left out) and between a letter A-Z and one of !,.:;? after it; and how many chunks each text has.
+    """Texts cut at spaces and line feeds (which are left out) and between a letter (A-Z, À-ÿ) and one of !,.:;?#$%&* after it; and how many chunks each text has.
 
     A tokenizer of the kind that tokens() calls by_chunks gives a text's ids chunk by chunk.
     """
@@ -150,7 +155,10 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     gap = kind == 1
     cut = np.zeros(len(data) + 1, bool)
     cut[1:] = gap
-    cut[1:-1] |= (kind[1:] == 2) & (kind[:-1] == 3)
+    mark = np.flatnonzero(kind[1:] == 2) + 1
+    before = data[mark - 1]
+    far = (data[np.maximum(mark, 2) - 2] == 0xC3) & (before & 0xC0 == 0x80) & (before & 0xDF != 0x97)  # À-ÿ in UTF-8, without the signs of times and division
+    cut[mark[(kind[mark - 1] == 3) | far]] = True
     cut[at] = True
     places = np.flatnonzero(cut)
     # an empty text has no chunk of its own
@@ -159,33 +167,62 @@ def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(kept), pa.py_buffer(data[~gap])), each
 
 
+def _joining(path: str, lower: bool) -> object:
+    """A tokenizer for words with _BETWEEN between them. lower: they are A-Z in lower case, which nothing else changes."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    made, between = Tokenizer.from_file(path), pre_tokenizers.CharDelimiterSplit(_BETWEEN)
+    made.no_truncation()
+    made.no_padding()
+    if lower:
+        made.normalizer, made.pre_tokenizer = None, between
+    else:
+        made.pre_tokenizer = pre_tokenizers.Sequence([between, made.pre_tokenizer] if made.pre_tokenizer else [between])
+    return made
+
+
+def _encode_joined(by, words: list[str], given: list[str], dtype: np.dtype, known: dict[str, bytes]) -> list[str]:
+    """Adds words' ids to known, as by, a _joining() tokenizer, tells them of what is given for each. Returns words that it didn't take as one each."""
+    left = []
+    for i in range(0, len(words), JOINED):
+        some = words[i : i + JOINED]
+        e = by.encode(_BETWEEN.join(given[i : i + JOINED]), add_special_tokens=False)
+        n = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
+        if len(n) != len(some) or not n.all():
+            left += some
+            continue
+        ids, ends = np.array(e.ids, dtype).tobytes(), np.cumsum(n) * dtype.itemsize
+        at = [0, *ends.tolist()]
+        known.update(zip(some, [ids[lo:hi] for lo, hi in zip(at, at[1:])]))
+    return left
+
+
 def _ids(texts: pa.Array, path: str, whole: bool, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids, and how many each has. Each different chunk is encoded once."""
     from tokenizers import Tokenizer
 
     if path not in _tokenizers:
-        bare = Tokenizer.from_file(path)
-        bare.normalizer = bare.pre_tokenizer = None
-        _tokenizers[path] = Tokenizer.from_file(path), bare, {}
-    tokenizer, bare, known = _tokenizers[path]
+        _tokenizers[path] = Tokenizer.from_file(path), _joining(path, True), _joining(path, False), {}
+    tokenizer, lower, any_case, known = _tokenizers[path]
     if whole:
         found = [np.array(e.ids, dtype) for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         return np.concatenate(found) if found else np.empty(0, dtype), np.array([len(x) for x in found], np.int64)
     parts, each = chunks(texts)
     held = parts.dictionary_encode()
-    words, which = held.dictionary.to_pylist(), held.indices.to_numpy()
+    words, which = held.dictionary.to_numpy(zero_copy_only=False).tolist(), held.indices.to_numpy()
     del parts, held
     new = [w for w in words if w not in known]
     if len(known) + len(new) > REMEMBERED:
         kept = {w: known[w] for w in words if w in known}
         known.clear()
         known.update(kept)
-    letters = [w for w in new if w.isascii() and w.isalpha()]
-    others = [w for w in new if not (w.isascii() and w.isalpha())]
-    for by, some, given in ((bare, letters, [w.lower() for w in letters]), (tokenizer, others, others)):
-        for i in range(0, len(some), 4096):
-            for w, e in zip(some[i : i + 4096], by.encode_batch_fast(given[i : i + 4096], add_special_tokens=False)):
-                known[w] = array(dtype.char, e.ids).tobytes()
+    plain, letters, others = [], [], []
+    for w in new:
+        (others if not _LETTERS.fullmatch(w) else plain if w.isascii() else letters).append(w)
+    others += _encode_joined(lower, plain, [w.lower() for w in plain], dtype, known) + _encode_joined(any_case, letters, letters, dtype, known)
+    for i in range(0, len(others), 4096):
+        for w, e in zip(others[i : i + 4096], tokenizer.encode_batch_fast(others[i : i + 4096], add_special_tokens=False)):
+            known[w] = array(dtype.char, e.ids).tobytes()
     codes = [known[w] for w in words]
     sizes = np.array([len(c) for c in codes], np.int32) // dtype.itemsize
     flat, begins = np.frombuffer(b"".join(codes), dtype), np.cumsum(sizes, dtype=np.int32) - sizes

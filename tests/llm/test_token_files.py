@@ -76,6 +76,26 @@ def test_chunks_give_the_ids_of_whole_texts(texts):
     assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == want
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("aZéßÀÿ×÷ñ.!#$%&*+'-\x01\u0301\u0338ªµÐþĀſ 9|<")), max_size=30) | st.sampled_from(["été&&& Straße###", "3×! a÷. b×& Ñ%<|endoftext|>%", "L'été*'s"]), max_size=8))
+def test_marks_after_letters_of_latin_1_part_chunks(texts):
+    ids, n = token_files._ids(pa.array(texts, pa.string()), PATH, False, np.dtype("<u2"))
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    ends = np.cumsum(n)
+    assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == want
+
+
+def test_words_are_encoded_many_at_a_time():
+    """A word with other marks after it is the word that is known; words of letters are joined, and what isn't one word to the tokenizer is left."""
+    parts, each = token_files.chunks(pa.array(["été&&& a### 3×!", "a$ b÷."], pa.string()))
+    assert parts.to_pylist() == ["été", "&&&", "a", "###", "3×!", "a", "$", "b÷."] and each.tolist() == [5, 3]
+    t, known = Tokenizer.from_file(PATH), {}
+    words = ["Ämter", "été", "ÿ"] * 200
+    assert token_files._encode_joined(token_files._joining(PATH, False), words, words, np.dtype("<u2"), known) == []
+    assert {w: np.frombuffer(x, "<u2").tolist() for w, x in known.items()} == {w: t.encode(w, add_special_tokens=False).ids for w in words[:3]}
+    assert token_files._encode_joined(token_files._joining(PATH, False), ["a&b"], ["a&b"], np.dtype("<u2"), known) == ["a&b"]
+
+
 @pytest.mark.parametrize("block_size", [1, 7, 300, token_files.BLOCK])
 def test_round_trip_of_odd_rows(spark, block_size):
     long = "word " * 3000 + "tail"
