@@ -154,9 +154,9 @@ def any_match(text: Column, patterns: list[str], ignore_case: bool = False, line
     return reduce(lambda a, b: a | b, [F.coalesce(matches(text, p, ignore_case, lines, low), F.lit(False)) for p in made])
 
 
-def any_line_match(patch: Column, patterns: list[str]) -> Column:
-    """Whether an added line of the patch, without mark and outer blanks, holds one of the patterns."""
-    return F.exists(F.transform(marked(patch, every_break=True), stripped), lambda x: any_match(x, patterns))
+def any_line_match(patch: Column, patterns: list[str], found: Column | None = None) -> Column:
+    """Whether an added line of the patch, without mark and outer blanks, holds one of the patterns. found: the added lines, where these are a column."""
+    return F.exists(F.transform(marked(patch, every_break=True) if found is None else found, stripped), lambda x: any_match(x, patterns))
 
 
 def score_text(text: Column, scored: list[tuple[str, int]]) -> Column:

@@ -84,11 +84,24 @@ def joined_text(df: DataFrame, key: str, order: list[str], piece: Column, separa
 
 def collected_patches(details: DataFrame, order: list[str]) -> DataFrame:
     """Each pr_id's patches that aren't blank, in order, each under a header '=== filename (+additions/-deletions) ==='."""
-    d = details.where(F.btrim(F.col("patch"), F.lit(" \t\n\r")) != "")
-    kept = dict.fromkeys([*order, "patch", "additions", "deletions", "filename"])
+    d = details.where(~is_blank(F.col("patch")))
+    return d.groupBy("pr_id").agg(under_headers(F.sort_array(F.collect_list(F.struct(*collectable(order))))).alias("text"))
+
+
+def is_blank(patch: Column) -> Column:
+    return F.btrim(patch, F.lit(" \t\n\r")) == ""
+
+
+def collectable(order: list[str]) -> list[str]:
+    """The columns of details that under_headers() takes, in the order that sorts them."""
+    return list(dict.fromkeys([*order, "patch", "additions", "deletions", "filename"]))
+
+
+def under_headers(rows: Column) -> Column:
+    """The patches of an array of details as one text, each under its header."""
     shown = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
     piece = lambda r: F.concat(F.lit("=== "), shown(r["filename"]), F.lit(" (+"), shown(r["additions"]), F.lit("/-"), shown(r["deletions"]), F.lit(") ===\n"), r["patch"])
-    return d.groupBy("pr_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*kept))), piece), "\n\n").alias("text"))
+    return F.array_join(F.transform(rows, piece), "\n\n")
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:

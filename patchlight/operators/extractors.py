@@ -72,15 +72,26 @@ def valid_details(details: DataFrame, ex: Extractor) -> DataFrame:
 
 def patch_counts(details: DataFrame, ex: Extractor, order: list[str] = ("filename",)) -> DataFrame:
     """For each pr_id with valid files: files (rows), patch_patterns, and the counts of features, tokens and lines over its patches, joined in the given order."""
-    d = valid_details(details, ex).withColumn("hit", P.any_line_match(F.col("patch"), ex.patch_patterns))
     rows = F.sort_array(F.collect_list(F.when(F.col("patch").isNotNull(), F.struct(*order, F.col("patch")))))
-    g = d.groupBy("pr_id").agg(F.count("*").alias("files"), F.max("hit").alias("patch_patterns"), F.array_join(F.transform(rows, lambda r: r["patch"]), "\n").alias("text"))
-    g = g.withColumns({"added": P.marked_text(F.col("text"), "+", ex.keep_mark, every_break=True), "removed": P.marked_text(F.col("text"), "-", every_break=True)})
+    g = valid_details(details, ex).groupBy("pr_id").agg(F.count("*").alias("files"), F.array_join(F.transform(rows, lambda r: r["patch"]), "\n").alias("text"))
+    return _counted(g, ex)
+
+
+def _counted(g: DataFrame, ex: Extractor) -> DataFrame:
+    """g with patch_patterns and counts in place of text, its patches joined by line feeds: so a line of one is a line of the text."""
+    g = g.withColumn("plus", P.marked(F.col("text"), "+", every_break=True)).withColumn("patch_patterns", P.any_line_match(F.col("text"), ex.patch_patterns, F.col("plus")))
+    g = g.withColumns({"added": F.array_join(F.col("plus") if ex.keep_mark else P.unmarked(F.col("plus")), "\n"), "removed": P.marked_text(F.col("text"), "-", every_break=True)})
     g = g.withColumn("features", P.counted(F.col("added"), ex.features, False))
     counts = {n: F.col("features")[n] for n in ex.features} | token_counts(F.col("added"), F.col("removed"), ex.tokens)
     if ex.any_lines:
         counts |= any_lines(F.col("text"))
-    return g.select("pr_id", "files", "patch_patterns", *[c.alias(n) for n, c in counts.items()])
+    others = [c for c in g.columns if c not in ("text", "plus", "added", "removed", "features")]
+    return g.select(*others, *[c.alias(n) for n, c in counts.items()])
+
+
+def candidates(changes: DataFrame, repositories: DataFrame, ex: Extractor) -> DataFrame:
+    """The changes of an extractor's language with type_keywords and false_positive. To be stored where several steps read it: titles and bodies are looked through once, and only those of the language."""
+    return of_language(changes, repositories, ex.language).withColumns({"false_positive": told(ex.false_positives, ex.whole_lines), "type_keywords": told(ex.keywords)})
 
 
 def extract(changes: DataFrame, repositories: DataFrame, details: DataFrame, ex: Extractor, order: list[str] = ("filename",)) -> DataFrame:
@@ -91,9 +102,33 @@ def extract(changes: DataFrame, repositories: DataFrame, details: DataFrame, ex:
     line that says any and, besides, a keyword or a pattern. Null titles, bodies and patches show none. Details are
     grouped only for changes that may still be chosen.
     """
-    c = of_language(changes, repositories, ex.language).where(~told(ex.false_positives, ex.whole_lines)).withColumn("type_keywords", told(ex.keywords))
+    return extract_from(candidates(changes, repositories, ex), details, ex, order)
+
+
+def extract_from(candidates: DataFrame, details: DataFrame, ex: Extractor, order: list[str] = ("filename",)) -> DataFrame:
+    """extract(), of candidates()."""
+    c = candidates.where(~F.col("false_positive")).drop("false_positive")
     d = details.join(c.select(F.col("id").alias("pr_id")), "pr_id", "left_semi")
-    j = c.join(patch_counts(d, ex, order).withColumnRenamed("pr_id", "id"), "id")
+    return _chosen(c.join(patch_counts(d, ex, order).withColumnRenamed("pr_id", "id"), "id"), ex)
+
+
+def extract_with_details(candidates: DataFrame, details: DataFrame, ex: Extractor, order: list[str], *more: Column) -> DataFrame:
+    """extract_from(), with what all details of each change sum up to: additions, deletions, changes, files_changed (different names), patch_text (as collected_patches(); null without any) and more aggregates.
+
+    Details are read and grouped once. A candidate that stands twice is two changes.
+    """
+    c = candidates.where(~F.col("false_positive")).drop("false_positive")
+    d = details.join(c.select(F.col("id").alias("pr_id")), "pr_id", "left_semi").withColumn("valid", P.has_suffix(F.col("filename"), ex.suffixes, ex.generated))
+    rows = F.sort_array(F.collect_list(F.when(F.col("patch").isNotNull(), F.struct(*O.collectable(order), F.col("valid")))))
+    g = d.groupBy(F.col("pr_id").alias("id")).agg(
+        F.count_if("valid").alias("files"), rows.alias("rows"), *[F.sum(n).alias(n) for n in ("additions", "deletions", "changes")], F.size(F.collect_set("filename")).cast("bigint").alias("files_changed"), *more)
+    g = g.where("files > 0").withColumn("text", F.array_join(F.transform(F.filter("rows", lambda r: r["valid"]), lambda r: r["patch"]), "\n"))
+    g = _counted(g, ex).withColumn("patch_text", F.nullif(O.under_headers(F.filter("rows", lambda r: ~O.is_blank(r["patch"]))), F.lit(""))).drop("rows")
+    return _chosen(c.join(g, "id"), ex)
+
+
+def _chosen(j: DataFrame, ex: Extractor) -> DataFrame:
+    """Of candidates with counts those about types, with total_features and detection_method."""
     j = j.withColumn("total_features", P.total_and_unique(list(ex.features))[0])
     hit = F.col("type_keywords") | F.col("patch_patterns")
     if ex.any_lines:

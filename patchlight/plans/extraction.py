@@ -110,12 +110,18 @@ def extracting(ex: E.Extractor) -> tuple[dict[str, str], dict[str, str], dict[st
     return counts, more, signs | {"type_keywords": "kw", "patch_patterns": "hit"}, chosen
 
 
+def candidates(spark: SparkSession, sf: str, name: str, known: list[str] = ("id",)) -> DataFrame:
+    """An extractor's candidates with what is known of them. Stored, as it is read twice: for the keys that details are filtered by, and for the changes."""
+    c = E.candidates(corpus.changes(spark, sf), corpus.repositories(spark, sf), EXTRACTORS[name])
+    return files.stored(c.select(*known, "false_positive", "type_keywords"), f"candidates-{name}")
+
+
 def _extractor(name: str, ex: E.Extractor) -> None:
     counts, more, signs, chosen = extracting(ex)
     kept = ["id", "files", "total_features", *more, "detection_method"]
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return E.extract(corpus.changes(spark, sf), corpus.repositories(spark, sf), corpus.details(spark, sf), ex, corpus.ORDER).select(*kept)
+        return E.extract_from(candidates(spark, sf, name), corpus.details(spark, sf), ex, corpus.ORDER).select(*kept)
 
     run.__name__ = f"filter_type_prs_{name}"
     asks(_of_frame(ex) + f""", k AS (SELECT pr_id, files, hit, ({' + '.join(counts.values())})::BIGINT AS total_features{''.join(f', {s} AS {n}' for n, s in more.items())} FROM a)

@@ -9,7 +9,7 @@ from patchlight.operators import changes as O
 from patchlight.operators import extractors as E
 from patchlight.operators import labelling as L
 from patchlight.plans import corpus, labelling
-from patchlight.plans.extraction import EXTRACTORS, _of_frame, _signs_sql, asks, extracting
+from patchlight.plans.extraction import EXTRACTORS, _of_frame, _signs_sql, asks, candidates, extracting
 from patchlight.plans.queries import query
 from patchlight.sources import files, tables
 
@@ -22,16 +22,11 @@ def _counts(ex: E.Extractor) -> list[str]:
 
 
 def export(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """The changes about types of an extractor's language: what is known of each, all its counts, its details' sums, files_changed, merged, detection_method, patch_text."""
+    """found(), and of each change its details' sums, files_changed, patch_text, merged: line items are read and grouped once."""
     ex = EXTRACTORS[name]
-    d = corpus.details(spark, sf)
-    found = E.extract(corpus.changes(spark, sf), corpus.repositories(spark, sf), d, ex, corpus.ORDER).select(*_TOLD, *_counts(ex), F.col("files").alias("files_in_language"), "detection_method")
-    found = files.stored(found, f"type-changes-{name}")
-    d = d.join(found.select(F.col("id").alias("pr_id")), "pr_id", "left_semi")
-    stats = O.commit_stats(d, F.min("shipped_at").alias("shipped")).withColumnsRenamed({"pr_id": "id", "files": "files_changed"})
-    text = O.collected_patches(d, corpus.ORDER).select(F.col("pr_id").alias("id"), F.col("text").alias("patch_text"))
-    out = found.join(stats, "id", "left").join(text, "id", "left")
-    return out.withColumn("merged", F.coalesce(F.col("shipped") > F.col("created_at"), F.lit(False))).drop("shipped")
+    out = E.extract_with_details(candidates(spark, sf, name, _TOLD), corpus.details(spark, sf), ex, corpus.ORDER, F.min("shipped_at").alias("shipped"))
+    merged = F.coalesce(F.col("shipped") > F.col("created_at"), F.lit(False)).alias("merged")
+    return out.select(*_TOLD, *_counts(ex), F.col("files").alias("files_in_language"), "detection_method", "additions", "deletions", "changes", "files_changed", "patch_text", merged)
 
 
 def export_sql(name: str) -> str:
@@ -57,7 +52,7 @@ for _name in EXTRACTORS:
 
 
 def _summed(name: str, of: str, key: str, sql: str, make) -> None:
-    """A query that sums the export of a language up by a key; rows without one are left out."""
+    """A query that sums what the export of a language tells of each change up by a key; rows without one are left out."""
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return export(spark, sf, of).where(F.col(key).isNotNull()).groupBy(key).agg(*make())
 
