@@ -21,6 +21,13 @@ def _counts(ex: E.Extractor) -> list[str]:
     return [*counts, "total_features", *more]
 
 
+def found(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """The changes about types of an extractor's language: what is known of each, all its counts and detection_method. What isn't asked for isn't counted."""
+    ex = EXTRACTORS[name]
+    of = E.extract_from(candidates(spark, sf, name, _TOLD), corpus.details(spark, sf), ex, corpus.ORDER)
+    return of.select(*_TOLD, *_counts(ex), F.col("files").alias("files_in_language"), "detection_method")
+
+
 def export(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """found(), and of each change its details' sums, files_changed, patch_text, merged: line items are read and grouped once."""
     ex = EXTRACTORS[name]
@@ -54,7 +61,7 @@ for _name in EXTRACTORS:
 def _summed(name: str, of: str, key: str, sql: str, make) -> None:
     """A query that sums what the export of a language tells of each change up by a key; rows without one are left out."""
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return export(spark, sf, of).where(F.col(key).isNotNull()).groupBy(key).agg(*make())
+        return found(spark, sf, of).where(F.col(key).isNotNull()).groupBy(key).agg(*make())
 
     run.__name__ = name
     asks(export_sql(of) + f"SELECT {key}, {sql} FROM tp WHERE {key} IS NOT NULL GROUP BY {key}")(run)
@@ -71,7 +78,7 @@ for _suffix, _key in (("agent", "agent"), ("group", "agent_group")):
 @asks(export_sql("ts") + "SELECT agent AS name, sum(any_additions)::BIGINT AS additions, sum(any_removals)::BIGINT AS removals FROM tp WHERE agent_group = 'AI' GROUP BY agent UNION ALL SELECT 'Human', sum(any_additions)::BIGINT, sum(any_removals)::BIGINT FROM tp WHERE agent_group = 'Human'")
 def agent_breakdown(spark, sf):
     """Lines that add and remove an any by agent, and a row for all people."""
-    sums, tp = [F.sum("any_additions").alias("additions"), F.sum("any_removals").alias("removals")], export(spark, sf, "ts").select("agent", "agent_group", "any_additions", "any_removals")
+    sums, tp = [F.sum("any_additions").alias("additions"), F.sum("any_removals").alias("removals")], found(spark, sf, "ts").select("agent", "agent_group", "any_additions", "any_removals")
     tp = files.stored(tp, "any-lines")
     return tp.where("agent_group = 'AI'").groupBy(F.col("agent").alias("name")).agg(*sums).unionByName(tp.where("agent_group = 'Human'").agg(*sums).select(F.lit("Human").alias("name"), "additions", "removals"))
 
@@ -84,7 +91,7 @@ _PARTS = {"by_agent": "coalesce(agent, 'none')", "by_group": "agent_group", "by_
       + " UNION ALL SELECT 'density_by_agent', coalesce(agent, 'none') || '.' || f, round(sum(n)::DOUBLE / count(*), 4) FROM (SELECT agent, unnest([" + ", ".join(f"'{f}'" for f in _TS) + "]) AS f, unnest([" + ", ".join(f'"{f}"' for f in _TS) + "]) AS n FROM tp) GROUP BY 2")
 def sink_json_summary(spark, sf):
     """A nested summary (totals, counts by agent, group and method, densities of features by agent) written beside the export as one line of JSON, and read back as rows."""
-    tp = files.stored(export(spark, sf, "ts").select("agent", "agent_group", "detection_method", "any_additions", *_TS), "summed-up")
+    tp = files.stored(found(spark, sf, "ts").select("agent", "agent_group", "detection_method", "any_additions", *_TS), "summed-up")
     agent = F.coalesce("agent", F.lit("none"))
     numbers = lambda by: tp.groupBy(by.alias("k")).agg(F.count("*").cast("double").alias("v"))
     dense = tp.groupBy(agent.alias("k")).agg(F.map_from_arrays(F.array(*map(F.lit, _TS)), F.array(*[F.round(F.sum(f).cast("double") / F.count("*"), 4) for f in _TS])).alias("v"))
